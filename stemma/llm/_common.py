@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows are handed to the kernels in groups of about this many characters, so
 #: that memory does not depend on how many rows Arrow puts into a batch.
 SLICE_CHARS = 4_000_000
+#: Characters of a block of texts that asks a table for its keys once, and of a part of it that is worked on at a time.
+BLOCK_CHARS, PART_CHARS = 24_000_000, 2_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -66,5 +72,83 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = S
                 at, held = i + 1, 0
 
 
-def batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+def _blocks(batches, text: str):
+    """Runs of record batches with about ``BLOCK_CHARS`` bytes of text, in parts of ``PART_CHARS``."""
+    held, chars = [], 0
+    for b in batches:
+        sizes = pc.binary_length(b.column(text)).fill_null(0).to_pylist()
+        at = part = 0
+        for i, n in enumerate(sizes):
+            part += n
+            if part >= PART_CHARS or i + 1 == len(sizes):
+                held.append(b.slice(at, i + 1 - at))
+                chars += part
+                at, part = i + 1, 0
+                if chars >= BLOCK_CHARS:
+                    yield held
+                    held, chars = [], 0
+    if held:
+        yield held
+
+
+def _packed(part: pa.RecordBatch) -> bytes:
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(part)
+    return sink.getvalue()
+
+
+def _name(parts: list[pa.RecordBatch]) -> int:
+    """A block's name, from its partition and content: the same if the task runs again."""
+    h = xxhash.xxh3_64(str(TaskContext.get().partitionId()))
+    for p in parts:
+        for c in p.columns:
+            for x in (c.slice(0, 1), c.slice(len(c) - 1, 1)):
+                h.update(repr(x.to_pylist()).encode())
+        h.update(str(p.num_rows).encode())
+    return h.intdigest() - (1 << 63)
+
+
+def block_join(
+    docs: DataFrame,
+    table: DataFrame,
+    text: str,
+    wanted: Callable[[list[list[str | None]]], object],
+    key_type: pa.DataType,
+    answered: Callable[[pa.Table], Callable[[pa.Table], pa.Table]],
+    out: StructType,
+) -> DataFrame:
+    """Join texts with what ``table`` (key, ...) knows of them, without a row for each of their parts.
+
+    Texts of a task form blocks.  ``wanted`` names a block's distinct keys from its
+    texts; these meet ``table`` in an ordinary join, so that neither a large table
+    nor a frequent key gathers anywhere.  What is found meets the block again, which
+    travels compressed; ``answered`` makes from it the function that turns each part
+    of the block into rows of ``out``.  Blocks are named by partition and content, so
+    that the two readings of ``docs``, and a task that runs again, name them alike.
+    """
+
+    def asks(batches):
+        for parts in _blocks(batches, text):
+            keys, name = wanted([p.column(text).to_pylist() for p in parts]), _name(parts)
+            for at in range(0, len(keys), 100_000):
+                some = pa.array(keys[at : at + 100_000], key_type)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), some], names=["block", "key"])
+
+    def packs(batches):
+        for parts in _blocks(batches, text):
+            name = _name(parts)
+            for p in parts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name], pa.int64()), pa.array([_packed(p)], pa.binary())], names=["block", "part"]
+                )
+
+    def done(left: pa.Table, right: pa.Table) -> pa.Table:
+        apply = answered(right)
+        found = [apply(pa.ipc.open_stream(raw.as_buffer()).read_all()) for raw in left.column("part")]
+        return pa.concat_tables(found) if found else pa.table({f.name: [] for f in out})
+
+    kind = "bigint" if pa.types.is_integer(key_type) else "string"
+    answers = docs.mapInArrow(asks, f"block bigint, key {kind}").join(table, "key")
+    blocks = docs.mapInArrow(packs, "block bigint, part binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(done, out).select(*out.names)

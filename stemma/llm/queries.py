@@ -11,12 +11,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, quality_rules, token_files
+from . import (
+    byte_bpe,
+    decontaminate,
+    language_id,
+    near_duplicates,
+    pii,
+    quality_model,
+    quality_rules,
+    secrets,
+    token_counts,
+    token_files,
+)
 from ._common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+UNIGRAMS = public_tokenizers.path("piece_bpe_32k.model")
+#: The queries' key; a production run passes its own secret.
+PII_KEY = b"example key of the queries"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,17 +40,37 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality_model.classify(docs, table(spark, sf_dir, "labels"), keep_text=False)
+    return judged.select("doc_id", "lang", "perplexity", "n_scored", (~F.col("rejected")).alias("kept"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.apply_rules(docs).drop("text")
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     token_files.write(table(spark, sf_dir, "documents"), WORD_TOKENIZER, folder)
     return token_files.read(spark, folder)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, UNIGRAMS).drop("text")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
@@ -50,6 +84,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.join_back(docs, secrets.scan(docs))
+    base = F.filter("findings", lambda f: F.split(f["rule"], "@")[0].isin(*secrets.BASE))
+    count = lambda kind: F.size(F.filter("findings", lambda f: F.split(f["rule"], "@")[0] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in secrets.BASE),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("findings")).alias("spans"),
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.encode_decode(docs, BYTE_RANKS, PATTERN)
@@ -119,15 +166,78 @@ from judged
 """
 
 
+OP5_SQL = rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') as w from documents
+), grams as (
+  select distinct doc_id, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) as i from words where len(w) > 0)
+), sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as common from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+  select x, y from pairs join sizes s on x = s.doc_id join sizes t on y = t.doc_id where 100 * common >= 85 * (s.n + t.n - common)
+), edges as (select x, y from links union all select y, x from links),
+reach as (
+  select x as node, x as root from edges union select y, root from reach join edges on node = x where root < y
+), roots as (select node, min(root) as root from reach group by node)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(least(root, doc_id), doc_id) as component_id,
+  coalesce(least(root, doc_id), doc_id) = doc_id as kept
+from words left join sizes using (doc_id) left join roots on doc_id = node
+"""
+
+
+def _op9_sql() -> str:
+    """One block for each rule, with the same patterns; only the way to say "either case" differs."""
+    parts = []
+    for i, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace(r"\"", '"').replace("'", "''").replace(
+            "(?i:(password|passwd|secret|token|api_?key))",
+            "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])",
+        )
+        parts.append(
+            f"""select doc_id, {i} as number, '{r.name}' as kind, {r.least} as least,
+              list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) as own,
+              list_transform(regexp_extract_all(t, '{pattern}', {r.group}), lambda x: length(x)) as part,
+              list_transform(regexp_split_to_array(t, '{pattern}'), lambda x: length(x)) as gaps
+            from docs where regexp_matches(t, '{pattern}')"""
+        )
+    base = ", ".join(f"'{x}'" for x in secrets.BASE)
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+matches as ({" union all ".join(parts)}),
+spans as (
+  select doc_id, number, kind, least, part[i] as part, own[i] as own,
+    (list_sum(gaps[1:i]) + coalesce(list_sum(own[1:i - 1]), 0))::bigint as start
+  from (select *, unnest(range(1, len(own) + 1)) as i from matches)
+), kept as (
+  select doc_id, number, kind, start, kind || ':' || start || ':' || (start + own) as s from spans where part >= least
+), found as (
+  select doc_id, string_agg(s, ',' order by start, number) as spans,
+    string_agg(s, ',' order by start, number) filter (kind in ({base})) as base,
+    count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as k, count(*) filter (kind = 'hex') as h
+  from kept group by doc_id
+)
+select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(k, 0)::bigint as n_access, coalesce(h, 0)::bigint as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join found using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_quality_rules": op3_quality_rules,
+        "op4_pii_surrogates": op4_pii_surrogates,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_token_files": op6_token_files,
+        "op7_token_counts": op7_token_counts,
         "op8_decontamination": op8_decontamination,
+        "op9_secret_scan": op9_secret_scan,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op8_decontamination": OP8_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_secret_scan": _op9_sql()}
