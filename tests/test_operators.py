@@ -1,0 +1,217 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stemma.operators import composition, conservation, distances, homology, quality, selection, statistics, structure
+from stemma.sources import synthetic
+
+SEQ = "label bigint, gene string, species string, nt string"
+
+
+def seqs(spark, *nts, gene="g"):
+    return spark.createDataFrame([(i, gene, "s", nt) for i, nt in enumerate(nts)], SEQ)
+
+
+def test_usage_of_even_synonyms(spark):
+    r = {x.codon: x.rscu for x in composition.rscu(composition.codon_counts(seqs(spark, "TTTTTC"))).collect()}
+    assert r["TTT"] == r["TTC"] == 1 and r["GGG"] is None
+
+
+def test_adaptation(spark):
+    w = composition.cai_weights(seqs(spark, "TTT" * 50 + "AAA" * 50))
+    got = {r.label: r.cai for r in composition.cai(seqs(spark, "ATG" + "TTT" * 9, "ATG" + "TTC" * 9, "ATG"), w).collect()}
+    assert got[0] == pytest.approx(1) and got[1] < 0.2 and got[2] is None
+
+
+def test_percentiles(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 9.0)], "g string, v double")
+    assert sorted((r.g, r.v, r.percentile) for r in composition.percentiles(rows, "g", "v").collect()) == [("a", 1, 0), ("a", 1, 0), ("a", 2, 50), ("a", 3, 75), ("b", 9, 0)]
+
+
+def test_flags(spark):
+    good = "ATG" + "AAA" * 8 + "TAA"
+    got = {r.label: r.flags for r in quality.flags(seqs(spark, good, "ATGTAAAAATAA", good[:-3], "CTG" + good[3:], good[:6] + "N" + good[7:], good * 2)).collect()}
+    assert got[0] == [] and got[1] == ["internal_stop", "truncated"] and got[2] == ["no_stop_codon"]
+    assert got[3] == ["no_start_codon"] and got[4] == ["ambiguous_bases"] and got[5] == ["internal_stop", "extended"]
+
+
+def rows_of(spark, *rows):
+    return spark.createDataFrame([("g", i, "s", r) for i, r in enumerate(rows)], "gene string, label bigint, species string, row string")
+
+
+def test_position_weights(spark):
+    w = {r.label: r.weight for r in conservation.henikoff_weights(rows_of(spark, "AAAA", "AAAA", "CCCC")).collect()}
+    assert sum(w.values()) == pytest.approx(1) and w[2] == pytest.approx(0.5) and w[0] == w[1]
+
+
+def test_weights_count_missing_ends_as_gaps(spark):
+    got = [{r.label: round(r.weight, 12) for r in conservation.henikoff_weights(rows_of(spark, *x)).collect()} for x in (("ACGT", "AC", "A-GT", ""), ("ACGT", "AC--", "A-GT", "----"))]
+    assert got[0] == got[1]
+
+
+def test_conservation(spark):
+    got = {r.col: r for r in conservation.conservation(rows_of(spark, "AA-", "AC-", "AGA", "ATA", "A--")).collect()}
+    assert got[1].conservation == 1 and got[1].entropy == 0 and got[1].consensus == "A"
+    assert got[2].consensus == "A" and got[2].gap_fraction == pytest.approx(0.2)
+    assert got[3].gap_fraction == pytest.approx(0.6) and got[3].entropy is None
+
+
+def test_numbering(spark):
+    got = [(r.col, r.ref_position, r.ref_letter) for r in conservation.numbered(rows_of(spark, "A-CG", "AAAA")).orderBy("col").collect()]
+    assert got == [(1, 1, "A"), (2, None, ""), (3, 2, "C"), (4, 3, "G")]
+
+
+def test_extreme_windows(spark):
+    scores = spark.createDataFrame([("g", i, 1.0 if i <= 10 else 0.0 if i <= 20 else 0.5) for i in range(1, 61)], "gene string, col int, conservation double")
+    got = {(r.kind, r.rank): (r.start, r.end) for r in conservation.extreme_windows(scores, top=1, size=10).collect()}
+    assert got == {("conserved", 1): (1, 10), ("variable", 1): (11, 20)}
+
+
+def test_additive_tree():
+    d = np.array([[0, 3, 7, 8], [3, 0, 8, 9], [7, 8, 0, 5], [8, 9, 5, 0]], float)
+    assert distances.splits_of(d, "nj") == {0b1100} == distances.splits_of(d, "upgma")
+    text = distances.newick(list("ABCD"), d)
+    assert text.count("(") == 2 and text.endswith(";")
+
+
+def test_split_algebra(spark):
+    make = lambda *s: spark.createDataFrame([("t", x) for x in s], "tree string, split bigint")
+    rf = lambda a, b: distances.robinson_foulds(a, b, ["tree"]).first()
+    assert (rf(make(0b110, 0b11000), make(0b110, 0b11000)).rf, rf(make(0b00110), make(0b01100)).nrf) == (0, 1)
+    pair = spark.createDataFrame([(0b00110, 0b01110), (0b00110, 0b01100)], "a bigint, b bigint")
+    assert [r.c for r in pair.select(distances.compatible(F.col("a"), F.col("b"), 5).alias("c")).collect()] == [True, False]
+    assert [r.split for r in distances.restricted(make(0b110000, 0b000110), 0b111100, ["tree"]).collect()] == [0b110000]
+
+
+def test_bootstrap_support(spark):
+    rows = [("x", t, "s", r * 30) for t, r in enumerate(["AAAACCCC", "AAAACCCG", "GGTTCACC", "GGTTCACG", "GGTTCATG"])]
+    rows = spark.createDataFrame([(g, i, f"t{i}", r) for g, i, _, r in rows], "gene string, label bigint, species string, row string")
+    cons = distances.consensus(rows, "gene", "species")
+    got = distances.support(distances.tree_splits(distances.replicate_distances(cons, 50), ("nj",)), 50).collect()
+    assert {r.split: r.support for r in got}[0b11100] >= 95
+    counts = {(r.a, r.b): (r.valid, r.ts, r.tv) for r in distances.pair_counts(cons).collect()}
+    assert counts["t0", "t1"] == (240, 0, 30)
+
+
+def test_pooled_pairs_equal_explicit_pairs(spark):
+    from itertools import combinations
+
+    from stemma.functions.genetic_code import CODE, differences, sites
+
+    rng = np.random.default_rng(1)
+    sense = [c for c, a in CODE.items() if a != "*"]
+    nts = ["".join(rng.choice(sense[:12], 9)) for _ in range(6)]
+    got = selection.within(selection.codon_columns(seqs(spark, *nts), "gene"), ["gene"]).groupBy().sum("sd", "nd", "s", "n", "pairs").first()
+    want = np.zeros(5)
+    for a, b in combinations(nts, 2):
+        for i in range(0, len(a), 3):
+            x, y = a[i : i + 3], b[i : i + 3]
+            s = (sites(x) + sites(y)) / 2
+            want += [*differences(x, y), s, 3 - s, 1]
+    assert list(got) == pytest.approx(want.tolist())
+
+
+def test_omega_recovery(spark):
+    panel = synthetic.star_panel(spark, 9, 6, 300, [0.1, 0.4, 0.9], seed=3)
+    counts = selection.codon_columns(panel, "gene")
+    est = {r.gene: r.omega for r in selection.estimate(selection.within(counts, ["gene"]), ["gene"]).collect()}
+    truth = {r.gene: r.omega for r in panel.select("gene", "omega").distinct().collect()}
+    genes = sorted(truth)
+    means = [np.mean([est[g] for g in genes if truth[g] == w]) for w in (0.1, 0.4, 0.9)]
+    assert means == sorted(means) and np.median([abs(est[g] - truth[g]) / truth[g] for g in genes]) < 0.3
+
+
+def brute_local(a, b, s):
+    n, m = len(a), len(b)
+    h = np.zeros((n + 1, m + 1))
+    e, f = np.full((n + 1, m + 1), -np.inf), np.full((n + 1, m + 1), -np.inf)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            e[i, j] = max(h[i, j - 1] - s.open, e[i, j - 1] - s.extend)
+            f[i, j] = max(h[i - 1, j] - s.open, f[i - 1, j] - s.extend)
+            h[i, j] = max(0, h[i - 1, j - 1] + (s.match if a[i - 1] == b[j - 1] else s.mismatch), e[i, j], f[i, j])
+    return h.max()
+
+
+def rescored(ra, rb, s, *, free_ends):
+    core = [(x, y) for x, y in zip(ra, rb, strict=True)]
+    if free_ends:
+        while core and "-" in core[0]:
+            core.pop(0)
+        while core and "-" in core[-1]:
+            core.pop()
+    total, was = 0.0, None
+    for x, y in core:
+        gap = "a" if x == "-" else "b" if y == "-" else None
+        total += (s.match if x == y else s.mismatch) if gap is None else -(s.extend if gap == was else s.open)
+        was = gap
+    return total
+
+
+def test_alignment():
+    rng = np.random.default_rng(2)
+    s = homology.Scoring()
+    for _ in range(60):
+        a, b = ("".join(rng.choice(list("ACGT"), int(rng.integers(1, 25)))) for _ in range(2))
+        score, ra, rb, i, j = homology.align(a, b, s, local=True)
+        assert score == pytest.approx(brute_local(a, b, s)) == rescored(ra, rb, s, free_ends=False)
+        assert a[i:].startswith(ra.replace("-", "")) and b[j:].startswith(rb.replace("-", ""))
+        score, ra, rb, _, _ = homology.align(a, b, s, local=False)
+        assert (ra.replace("-", ""), rb.replace("-", "")) == (a, b) and len(ra) == len(rb)
+        assert score == pytest.approx(rescored(ra, rb, s, free_ends=True))
+    assert homology.identity("AC-G", "ATTG") == pytest.approx(200 / 3)
+
+
+def test_center_star_and_threading():
+    rows = homology.center_star({"a": "MKTAYIAKQR", "b": "MKTAIAKQR", "c": "MKTAYIAKQRW"})
+    assert len({len(r) for r in rows.values()}) == 1
+    assert {k: r.replace("-", "") for k, r in rows.items()} == {"a": "MKTAYIAKQR", "b": "MKTAIAKQR", "c": "MKTAYIAKQRW"}
+    assert homology.threaded("MK-A", "ATGAAAGCT") == "ATGAAA---GCT"
+    with pytest.raises(ValueError):
+        homology.threaded("MK-A", "ATGAAAGGG")
+
+
+def test_candidates(spark):
+    q = spark.createDataFrame([(1, "ABCDEF"), (2, "XYZXYZ")], "query int, seq string")
+    t = spark.createDataFrame([(10, "ABCDEF"), (11, "ABCD"), (12, "ABCDEF"), (13, "XYZ")], "target int, seq string")
+    scores = homology.shared_kmers(q, t)
+    assert [(r.query, r.target, r.shared) for r in homology.top_candidates(scores, 2).orderBy("query", "rank").collect()] == [(1, 10, 4), (1, 12, 4), (2, 13, 1)]
+    assert {(r.query, r.target) for r in homology.reciprocal_best(scores).collect()} == {(1, 10), (2, 13)}
+
+
+def test_effect_sizes(spark):
+    make = lambda a, b: spark.createDataFrame([("m", True, float(x)) for x in a] + [("m", False, float(x)) for x in b], "metric string, first boolean, value double")
+    test = lambda a, b: statistics.with_p(statistics.rank_test(make(a, b), ["metric"])).first()
+    assert test([5, 6], [1, 2]).delta == 1 and test([1, 2], [1, 2]).delta == 0
+    assert test([5, 6], [1, 2]).p == pytest.approx(1 / 3)
+    assert test([1, 1], [1, 1]).p is None
+
+
+def test_exact_p_by_enumeration():
+    from itertools import combinations
+
+    for n1, n2 in ((3, 4), (2, 6), (5, 3)):
+        us = [sum(x) - n1 * (n1 + 1) / 2 for x in combinations(range(1, n1 + n2 + 1), n1)]
+        for u in set(us):
+            top = max(u, n1 * n2 - u)
+            assert statistics.exact_p(u, n1, n2) == pytest.approx(min(1, 2 * sum(x >= top for x in us) / len(us)))
+
+
+def test_false_discovery(spark):
+    p = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, 0.5), (5, None)], "i int, p double")
+    q = {r.i: r.q for r in statistics.adjusted(p).collect()}
+    assert [q[i] for i in (1, 2, 3, 4)] == pytest.approx([0.04, 0.16 / 3, 0.16 / 3, 0.5]) and q[5] is None
+
+
+def test_ranks(spark):
+    rows = spark.createDataFrame([(1.0, 1.0), (2.0, 4.0), (2.0, 9.0), (5.0, 16.0)], "x double, y double")
+    assert statistics.spearman(rows, "x", "y").first().rho == pytest.approx(np.corrcoef([1, 2.5, 2.5, 4], [1, 2, 3, 4])[0, 1])
+
+
+def test_geometry(spark):
+    p = spark.createDataFrame([("a", i, *map(float, x)) for i, x in enumerate([(1, 0, 0), (0, 0, 0), (0, 1, 0), (0, 1, 1)])], "chain string, i int, x double, y double, z double")
+    assert abs(structure.chain_dihedrals(p, "chain", "i").orderBy("i").first().dihedral) == pytest.approx(90)
+    line = spark.createDataFrame([(float(i), 2.0 * i, 0.0) for i in range(5)], "x double, y double, z double")
+    assert structure.principal_axes(line)[0].tolist() == pytest.approx([1 / math.sqrt(5), 2 / math.sqrt(5), 0])
