@@ -11,8 +11,11 @@ class is what links connect.  The steps:
 2.  Representatives that share a band are candidates.  A bucket is not expanded
     into pairs: its members are compared with its least member, which usually
     holds the bucket together, and then with one other.
-3.  Only in buckets that still hold two classes or more are the pairs between
-    different classes compared, so that no link between them is lost.
+3.  Members of buckets that still hold two classes or more go through an exact
+    join: shingles are ordered from rare to frequent, and a pair that is similar
+    enough shares one among the first few of both, as many as their sizes allow
+    to differ.  So no link between classes is lost, and members of one large
+    group that differ by their own edits don't meet.
 4.  A compared pair must pass the sizes' ratio and the sketches' XOR count before
     its texts are brought together and the full sets confirm it.  Two MinHash
     samples that differ flip two bits at most, so that the limit on the count
@@ -48,6 +51,8 @@ SKETCH_BITS = 512
 #: Candidates of one representative that are verified beside one copy of its text.
 SPLIT = 2000
 WORDS_KEPT = 500_000
+#: Counters of shingles that order them from rare to frequent.
+SLOTS = 1 << 20
 _LANES = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 SIGNATURE = f"id bigint, size bigint, k0 bigint, k1 bigint, bands array<bigint>, {', '.join(f'{s} bigint' for s in _LANES)}"
@@ -180,6 +185,62 @@ def _near(left: str, right: str, percent: int, samples: int) -> Column:
     return ratio & (differing <= 2 * most_differing(percent, samples))
 
 
+def overlap(a: int, b: int, percent: int) -> int:
+    """The least number of common shingles of two sets of these sizes that are similar enough."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def _prefixes(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(token, at, id, label, size): each member's rarest shingles, as many as a partner may lack, and one more.
+
+    How often shingles occur is counted in ``SLOTS`` slots by hash: a table of fixed
+    size, which is broadcast.  Any order that all members share keeps the join
+    exact; a good one only keeps it small.
+    """
+    spark = members.sparkSession
+    whole = members.join(texts, "id").select("id", "label", "t")
+
+    def slots(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for t in b.column("t").to_pylist():
+                counts += np.bincount((shingles(t, n) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["slot", "c"])
+
+    table = np.zeros(SLOTS, np.int64)
+    found = whole.mapInArrow(slots, "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    table[found.column("slot").to_numpy()] = found.column("c").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    def run(batches):
+        counts = shared.value
+        for b in batches:
+            for i, label, t in zip(*(b.column(c).to_pylist() for c in ("id", "label", "t")), strict=True):
+                found = shingles(t, n)
+                size = len(found)
+                rare = found[np.lexsort((found, counts[(found % np.uint64(SLOTS)).astype(np.int64)]))]
+                first = rare[: size - -(-percent * size // 100) + 1].view(np.int64)
+                k = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first), pa.array(range(k), pa.int64()), *(pa.array([x] * k, pa.int64()) for x in (i, label, size))],
+                    names=["token", "at", "id", "label", "size"],
+                )
+
+    return whole.mapInArrow(run, "token bigint, at bigint, id bigint, label bigint, size bigint")
+
+
+def _across(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different labels that share a shingle early enough to be similar."""
+    x, y = prefixes.alias("x"), prefixes.alias("y")
+    total = (F.col("x.size") + F.col("y.size")) * percent
+    least = F.floor((total + 99 + percent) / (100 + percent)).cast("bigint")
+    near = F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
+    early = (F.col("x.at") <= F.col("x.size") - least) & (F.col("y.at") <= F.col("y.size") - least)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & near & early)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
@@ -275,7 +336,7 @@ def near_duplicates(
     links = cut(linked(stars))
     labels = cut(components(links))
 
-    # Buckets of two classes or more: first against one other member, then between all of different classes.
+    # Buckets of two classes or more: first against another member, then exactly.
     def mixed() -> DataFrame:
         labelled = _with_label(members.drop("pivot"), labels, "id")
         of = labelled.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
@@ -283,7 +344,8 @@ def near_duplicates(
 
     left = mixed()
     if not left.isEmpty():
-        other = left.groupBy("band", "hash").agg(F.min(F.struct(F.xxhash64("id", F.lit(1)).alias("h"), "id", "label")).alias("p"))
+        by_hash = F.struct(F.xxhash64("id", "band").alias("h"), "id", "label")
+        other = left.groupBy("band", "hash").agg(F.min(by_hash).alias("p"))
         second = (
             left.join(other, ["band", "hash"])
             .filter("label != p.label")
@@ -295,17 +357,9 @@ def near_duplicates(
         labels = cut(components(links))
         left = mixed()
     if not left.isEmpty():
-        full = left.join(sketch, "id")
-        x, y = full.alias("x"), full.alias("y")
-        across = x.join(
-            y,
-            (F.col("x.band") == F.col("y.band"))
-            & (F.col("x.hash") == F.col("y.hash"))
-            & (F.col("x.label") < F.col("y.label"))
-            & _near("x", "y", percent, samples),
-        )
-        pairs = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        links = cut(links.union(_confirmed(cut(pairs), texts, n, percent)))
+        alone = left.select("id", "label").distinct()
+        pairs = _across(_prefixes(alone, texts, n, percent), percent)
+        links = cut(links.union(linked(pairs)))
         labels = cut(components(links))
 
     roots = _with_label(classes, labels, "rep").select("k0", "k1", "label")
