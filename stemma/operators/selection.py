@@ -87,3 +87,22 @@ def bootstrap(totals: DataFrame, by: list[str], replicates: int = 200) -> DataFr
     q = est.groupBy(*by).agg(F.percentile("omega", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("omega").alias("n_finite"))
     enough = F.col("n_finite") * 2 >= replicates
     return q.select(*by, F.when(enough, F.col("q")[0]).alias("lo"), F.when(enough, F.col("q")[1]).alias("hi"), "n_finite")
+
+
+def against_controls(totals: DataFrame, gene: str, controls: list[str], replicates: int = 200) -> DataFrame:
+    """(gene, lo, hi, p): omega of each other gene over that of the pooled controls, replicate by replicate.
+
+    p is twice the smaller share of ratios on one side of 1, and never below one over the replicates.
+    """
+    reps = totals.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    w = replicate_weight(F.col("rep"), F.col("col"))
+    drawn = reps.withColumn("w", w).filter("w > 0").select(gene, "rep", *((F.col(c) * F.col("w")).alias(c) for c in SUMS))
+    control = F.col(gene).isin(controls)
+    own = estimate(drawn.filter(~control), [gene, "rep"], saturated=1.0).select(gene, "rep", "omega")
+    pooled = estimate(drawn.filter(control), ["rep"], saturated=1.0).select("rep", F.col("omega").alias("c"))
+    r = own.join(F.broadcast(pooled), "rep").withColumn("ratio", F.col("omega") / F.col("c")).filter("ratio is not null")
+    q = F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.975)))
+    side = lambda x: F.avg(x.cast("int"))
+    p = 2 * F.least(side(F.col("ratio") <= 1), side(F.col("ratio") >= 1))
+    out = r.groupBy(gene).agg(q.alias("q"), F.least(F.lit(1.0), F.greatest(1 / F.count("*"), p)).alias("p"))
+    return out.select(gene, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "p")

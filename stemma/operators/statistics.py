@@ -126,3 +126,11 @@ def spearman(values: DataFrame, x: str, y: str) -> DataFrame:
     both = values.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = ranks(ranks(both, x, "__rx"), y, "__ry")
     return ranked.agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho"))
+
+
+def midranks(values: DataFrame, by: str, value: str, places: int = 6) -> DataFrame:
+    """(by, value, midrank, n): the percentage of a group's rows with a greater value, ties half, for each distinct value."""
+    counts = values.groupBy(by, F.round(value, places).alias(value)).agg(F.count("*").alias("n"))
+    along = Window.partitionBy(by).orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("n").over(Window.partitionBy(by))
+    return counts.select(by, value, (100 * (F.sum("n").over(along) - F.col("n") / 2) / total).alias("midrank"), "n")

@@ -743,3 +743,177 @@ def union_modules(spark, sf_dir):
     m = sequence_metrics(spark, sf_dir)
     long = m.select("gene", "gc", "gc3", F.col("length").cast("double").alias("length")).unpivot("gene", ["gc", "gc3", "length"], "module", "value")
     return _rounded(long.groupBy("module", "gene").agg(F.avg("value").alias("value")), 4, "value")
+
+
+# --- further views of the same operators --------------------------------------------------------
+
+
+@query(f"with {SEQS} select label, round({GC.format('nt')}, 6) as gc from seqs")
+def gc_content(spark, sf_dir):
+    return _rounded(_seqs(spark, sf_dir).select("label", sequence.gc_fraction(F.col("nt")).alias("gc")), 6, "gc")
+
+
+@query(f"with {SEQS}, m as ({_METRICS}) select label, gc_skew from m")
+def gc_skew(spark, sf_dir):
+    return _rounded(_seqs(spark, sf_dir).select("label", sequence.gc_skew(F.col("nt")).alias("gc_skew")), 6, "gc_skew")
+
+
+@query(f"with {SEQS}, m as ({_METRICS}) select label, gc1, gc2, gc3 from m")
+def gc_by_codon_position(spark, sf_dir):
+    return sequence_metrics(spark, sf_dir).select("label", "gc1", "gc2", "gc3")
+
+
+@query(
+    f"""with {SEQS}, {PROTEINS}, kept as (select aa, min(label) as label, count(*) as n from proteins where length(aa) > 0 group by aa)
+    select label, n as n_copies, length(aa)::int as length from kept"""
+)
+def family_hits_dedup(spark, sf_dir):
+    """One record for each distinct translation, the first by label; copies are counted map-side, by digest."""
+    p = _proteins(spark, sf_dir).filter("seq <> ''").select("target", F.sha2(F.col("seq").cast("binary"), 256).alias("d"), F.length("seq").alias("length"))
+    return p.groupBy("d", "length").agg(F.min("target").alias("label"), F.count("*").alias("n_copies")).select("label", "n_copies", "length")
+
+
+@query("select l_orderkey, arg_min(l_partkey, (l_shipdate, l_linenumber)) as l_partkey from lineitem group by l_orderkey")
+def first_by_coordinate(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber")
+    return tables.first_of(rows, "l_orderkey", ["l_shipdate", "l_linenumber"]).select("l_orderkey", "l_partkey")
+
+
+@query(
+    f"""with {CELLS}, {CONSENSUS} select x.grp, x.taxon as a, y.taxon as b, round(100.0::double * count(*) filter (x.ch = y.ch) / count(*), 4) as identity
+    from taxa x join taxa y on x.grp = y.grp and x.col = y.col and x.taxon < y.taxon group by all"""
+)
+def pairwise_identity_ungapped(spark, sf_dir):
+    counts = distances.pair_counts(distances.consensus(_rows(spark, sf_dir), "species", "gene"))
+    out = counts.select("grp", "a", "b", (100 * (F.col("valid") - F.col("ts") - F.col("tv")) / F.col("valid")).alias("identity"))
+    return _rounded(out, 4, "identity")
+
+
+def _distinct_items(spark, sf_dir) -> DataFrame:
+    """Distinct item proteins with a hashed place in one of ten families."""
+    items = _items(spark, sf_dir).filter("seq <> ''").groupBy("seq").agg(F.min("query").alias("query"))
+    return items.withColumn("family", F.pmod("query", F.lit(10)))
+
+
+@query()
+def pairwise_identity_global(spark, sf_dir):
+    """Global alignments of the test items within families; the set of items is stated and small."""
+    i = _distinct_items(spark, sf_dir)
+    pairs = i.select("family", "query", F.col("seq").alias("q")).join(i.select("family", F.col("query").alias("target"), F.col("seq").alias("t")), "family").filter("query < target")
+    return _rounded(homology.align_pairs(pairs.repartition("query", "target"), local=False), 6, "score", "identity", "query_coverage", "target_coverage")
+
+
+@query()
+def center_star_msa(spark, sf_dir):
+    """A multiple alignment of each family of test items."""
+    import pandas as pd
+
+    def align(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("query")
+        rows = homology.center_star(dict(zip(g["query"], g["seq"], strict=True)))
+        return pd.DataFrame({"family": g["family"], "query": list(rows), "row": list(rows.values())})
+
+    return _distinct_items(spark, sf_dir).groupBy("family").applyInPandas(align, "family bigint, query bigint, row string")
+
+
+@query()
+def nj_splits(spark, sf_dir):
+    cons = distances.consensus(_rows(spark, sf_dir), "species", "gene")
+    return distances.tree_splits(distances.replicate_distances(cons, 0), ("nj",)).select("grp", "split")
+
+
+@query()
+def upgma_splits(spark, sf_dir):
+    cons = distances.consensus(_rows(spark, sf_dir), "species", "gene")
+    return distances.tree_splits(distances.replicate_distances(cons, 0), ("upgma",)).select("grp", "split")
+
+
+@query(
+    f"""with {MASKS}, s as (select label, case when split & 2 = 2 then (split & 62) # 62 else split & 62 end as split from masks)
+    select distinct label, split from s where bit_count(split) >= 2 and 5 - bit_count(split) >= 2""".replace("(split & 62) # 62", "xor(split & 62, 62::bigint)")
+)
+def split_restrict(spark, sf_dir):
+    return distances.restricted(_masks(spark, sf_dir), 62, ["label"])
+
+
+@query(
+    "select x, y, round(sd, 6) as sd, round(nd, 6) as nd from (" + f"with {PAIRS} select * from pair_table)"
+)
+def codon_differences(spark, sf_dir):
+    return _rounded(genetic_code.pair_table(spark).select("x", "y", "sd", "nd"), 6, "sd", "nd")
+
+
+@query(
+    f"""with {WITHIN}, drawn as (select gene, rep, sd * w as sd, nd * w as nd, s * w as s, n * w as n
+      from (select *, {WEIGHT.format("rep || ':' || col")} as w from totals, range(1, 51) t(rep)) where w > 0),
+    est as ({ESTIMATE.format('gene, rep', 'drawn').replace('not ps > 0.6', 'true').replace('round(case when ds > 0 and true then dn / ds end, 5)', 'case when ds > 0 then dn / ds end')}),
+    pooled as (select rep, sd, nd, s, n from drawn where gene in ('src0', 'src1', 'src2', 'src3')),
+    ctl as (select rep, case when ds > 0 then dn / ds end as c from (select rep, case when ps < 0.75 then -0.75::double * ln(1 - ps * 4 / 3) end as ds,
+        case when pn < 0.75 then -0.75::double * ln(1 - pn * 4 / 3) end as dn from (select rep, sum(sd) / nullif(sum(s), 0) as ps, sum(nd) / nullif(sum(n), 0) as pn from pooled group by rep))),
+    r as (select gene, omega / c as ratio from est join ctl using (rep) where gene not in ('src0', 'src1', 'src2', 'src3') and omega is not null and c is not null)
+    select gene, round(quantile_cont(ratio, 0.025), 4) as lo, round(quantile_cont(ratio, 0.975), 4) as hi,
+      round(least(1, greatest(1.0::double / count(*), 2 * least(avg((ratio <= 1)::int), avg((ratio >= 1)::int)))), 6) as p from r group by gene"""
+)
+def gene_vs_controls(spark, sf_dir):
+    """Each gene's omega over that of four pooled control genes, in paired replicates that redraw codon columns."""
+    totals = selection.within(selection.codon_columns(_seqs(spark, sf_dir), "gene"), ["gene"])
+    return _rounded(_rounded(selection.against_controls(totals, "gene", [f"src{i}" for i in range(4)], 50), 4, "lo", "hi"), 6, "p")
+
+
+@query(
+    f"""with {CELLS}, {HENIKOFF}, {COLS} select gene, col, ch, round(w / sum(w) over (partition by gene, col), 4) as freq from freq"""
+)
+def position_frequencies(spark, sf_dir):
+    return _rounded(conservation.frequencies(_rows(spark, sf_dir)), 4, "freq")
+
+
+@query(
+    f"""with {CELLS}, {HENIKOFF}, {COLS}, v as (select gene, col, round(1 - entropy / 2, 6) as c from scores where entropy is not null),
+    d as (select gene, c, count(*) as n from v group by all),
+    o as (select gene, c, n, sum(n) over (partition by gene order by c desc) - n as greater, sum(n) over (partition by gene) as total from d)
+    select gene, c as conservation, round(100.0::double * (greater + n / 2.0::double) / total, 4) as midrank, n from o"""
+)
+def midrank_percentile(spark, sf_dir):
+    """Share of a gene's columns that are conserved better, ties half, for every distinct value."""
+    c = conservation.conservation(_rows(spark, sf_dir)).filter("conservation is not null")
+    return _rounded(statistics.midranks(c, "gene", "conservation"), 4, "midrank")
+
+
+@query()
+def principal_axes(spark, sf_dir):
+    axes = structure.principal_axes(_points(spark, sf_dir))
+    return spark.createDataFrame([(i, *(round(float(x), 6) for x in a)) for i, a in enumerate(axes)], "axis int, x double, y double, z double")
+
+
+@query(f"with {CLASSES}, {UTEST} select metric, round(2 * u / (n1 * n2) - 1, 6) as delta from tests")
+def cliffs_delta(spark, sf_dir):
+    return rank_tests(spark, sf_dir).select("metric", "delta")
+
+
+@query()
+def effect_table(spark, sf_dir):
+    """Effect sizes of all metrics in a fixed order, as a forest plot reads them."""
+    order = spark.createDataFrame([(i, m) for i, m in enumerate(("gc", "gc3", "gc_skew"))], "ord int, metric string")
+    found = group_comparison(spark, sf_dir).select("metric", "n1", "n2", "median1", "median2", "delta", "lo", "hi", "p", "q", "significant")
+    return order.join(found, "metric", "left").orderBy("ord")
+
+
+@query()
+def omega_recovery(spark, sf_dir):
+    """True and estimated omega of simulated genes; takes no table."""
+    from ..sources import synthetic
+
+    panel = synthetic.star_panel(spark, 14, 6, 200, [0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0], seed=7)
+    est = selection.estimate(selection.within(selection.codon_columns(panel, "gene"), ["gene"]), ["gene"])
+    truth = panel.select("gene", F.col("omega").alias("true_omega")).distinct()
+    return _rounded(truth.join(est.select("gene", F.col("omega").alias("estimated_omega"), "ps"), "gene"), 6, "estimated_omega", "ps")
+
+
+@query(
+    f"""with {SEQS}, m as ({_METRICS}) select gene, species, count(*) as n_sequences, round(median(gc), 6) as median_gc, round(min(gc3), 6) as min_gc3,
+    round(max(gc3), 6) as max_gc3 from m where gene = 'src1' group by gene, species"""
+)
+def gene_view(spark, sf_dir):
+    m = sequence_metrics(spark, sf_dir).filter(F.col("gene") == "src1")
+    out = m.groupBy("gene", "species").agg(F.count("*").alias("n_sequences"), F.median("gc").alias("median_gc"), F.min("gc3").alias("min_gc3"), F.max("gc3").alias("max_gc3"))
+    return _rounded(out, 6, "median_gc", "min_gc3", "max_gc3")
