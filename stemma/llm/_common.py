@@ -93,7 +93,7 @@ def _blocks(batches, text: str):
 
 def _packed(part: pa.RecordBatch) -> bytes:
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write_batch(part)
     return sink.getvalue()
 

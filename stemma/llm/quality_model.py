@@ -37,8 +37,8 @@ PART_CHARS = 2_000_000
 HELD_OUT = 10
 #: Quantile of the held-out trusted log-perplexities, how far beyond it a text may lie, and the median's weight in characters.
 HIGH, MARGIN, PRIOR = 0.99, 0.05, 200
-#: Trusted ids that may be broadcast.
-BROADCAST_IDS = 2_000_000
+#: Trusted ids, and languages with limits of their own, that may be broadcast.
+BROADCAST_IDS, BROADCAST_LANGUAGES = 1_000_000, 10_000
 #: Held-out trusted texts that a language needs for quantiles of its own.
 LEAST_TEXTS = 50
 
@@ -136,7 +136,7 @@ def train(trusted: DataFrame, text: str = "text") -> DataFrame:
             contexts.select(F.col("h").bitwiseOR(high).alias("key"), F.lit(None).cast("double").alias("alpha"), (F.col("left") / F.col("total")).alias("gamma"))
         )
     both = reduce(DataFrame.union, rows).groupBy("key")
-    return cut(both.agg(F.coalesce(F.max("alpha"), F.lit(0.0)).alias("alpha"), F.coalesce(F.max("gamma"), F.lit(1.0)).alias("gamma")))
+    return cut(both.agg(F.coalesce(F.max("alpha"), F.lit(0.0)).cast("float").alias("alpha"), F.coalesce(F.max("gamma"), F.lit(1.0)).cast("float").alias("gamma")))
 
 
 def discount(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -245,7 +245,8 @@ def drawn(log: Column, n: Column, mid: Column) -> Column:
 def judged(scored: DataFrame, held_out: Column, lang: str = "lang") -> DataFrame:
     """``scored`` with ``rejected``; a text is rejected without a perplexity or beyond its language's limit."""
     own, (mid, limit) = limits(scored, held_out, lang)
-    joined = scored.join(own, F.col(lang) == F.col("__lang"), "left")
+    few = own.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    joined = scored.join(F.broadcast(own) if few else own, F.col(lang) == F.col("__lang"), "left")
     log = drawn(F.ln("perplexity"), F.col("n_scored"), F.coalesce("__mid", F.lit(mid).cast("double")))
     beyond = F.coalesce(log > F.coalesce("__limit", F.lit(limit).cast("double")), F.lit(False))
     return joined.withColumn("rejected", F.col("perplexity").isNull() | beyond).drop("__lang", "__mid", "__limit")
