@@ -31,8 +31,8 @@ MIN_WORDS = 20
 WINDOW = 8
 REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
-#: Documents whose rules are timed to order the cascade.
-SAMPLE_ROWS = 256
+#: Documents whose rules are timed to order the cascade, and the longest text among them.
+SAMPLE_ROWS, SAMPLE_CHARS = 256, 100_000
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
 _UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128))
@@ -113,7 +113,7 @@ RULES: dict[str, Callable[[Text], bool]] = {
     "symbols_per_word": lambda t: 5 * t.base["n_symbols"] > t.base["n_words"],
     "short_words": lambda t: t.base["word_chars"] < 2 * t.base["n_words"],
     "long_words": lambda t: t.base["word_chars"] > 16 * t.base["n_words"],
-    "duplicate_lines": lambda t: 10 * t.base["n_dup_lines"] > 3 * (t.raw.count(b"\n") + 1),
+    "duplicate_lines": lambda t: t.base["n_dup_lines"] > 2 and 10 * t.base["n_dup_lines"] > 3 * (t.raw.count(b"\n") + 1),
     "upper_case": _upper,
     "words_without_letter": _wordless,
     "digits": lambda t: 5 * len(t.raw.translate(None, _NOT_DIGIT)) > t.base["word_chars"],
@@ -132,7 +132,7 @@ def order_rules(sample: list[Text], rules: dict[str, Callable[[Text], bool]] = R
 
 def plan_cascade(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[str]:
     """The order of the rules from a sample of ``rows`` texts that pass the base limits, read by the driver."""
-    sample = [measure(r[0]) for r in docs.select(text).filter(F.col(text).isNotNull()).limit(rows).collect()]
+    sample = [measure(r[0]) for r in docs.select(text).filter(F.length(text) <= SAMPLE_CHARS).limit(rows).collect()]
     return order_rules([t for t in sample if not base_failed(t.base)])
 
 

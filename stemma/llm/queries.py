@@ -158,7 +158,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or 5 * n_symbols > n_words
     or word_chars < 2 * n_words
     or word_chars > 16 * n_words
-    or 10 * n_dup_lines > 3 * len(string_split(t, chr(10)))
+    or n_dup_lines > 2 and 10 * n_dup_lines > 3 * len(string_split(t, chr(10)))
     or 2 * strlen(regexp_replace(t, '[^A-Z]', '', 'g')) > strlen(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g'))
     or 5 * len(list_filter(w, lambda x: not regexp_matches(x, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]'))) > 2 * n_words
     or 5 * strlen(regexp_replace(t, '[^0-9]', '', 'g')) > word_chars) as kept
