@@ -53,12 +53,12 @@ def kmers(s: Column, k: int) -> Column:
 
 
 def jukes_cantor(p: Column, most: float | None = 3.0) -> Column:
-    """Distance of a share of differing sites; ``most`` where it is undefined, or null."""
+    """Distance of a share of differing sites; ``most`` where it is undefined (to rounding), or null."""
     arg = 1 - p * 4 / 3
-    return F.when(arg > 0, -0.75 * F.ln(arg) + 0.0).otherwise(F.lit(most).cast("double"))
+    return F.when(arg > 1e-9, -0.75 * F.ln(arg) + 0.0).otherwise(F.lit(most).cast("double"))
 
 
 def kimura(p: Column, q: Column, most: float = 3.0) -> Column:
     """Distance of the shares of transitions ``p`` and transversions ``q``."""
     a, b = 1 - 2 * p - q, 1 - 2 * q
-    return F.when((a > 0) & (b > 0), -0.5 * F.ln(a) - 0.25 * F.ln(b)).otherwise(F.lit(most))
+    return F.when((a > 0) & (b > 0), 0.0 - 0.5 * F.ln(a) - 0.25 * F.ln(b)).otherwise(F.lit(most))

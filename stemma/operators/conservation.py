@@ -29,6 +29,11 @@ def columns(rows: DataFrame) -> DataFrame:
     return rows.filter(F.length("row") > 0).select("gene", "label", "species", each).select("gene", "label", "species", (F.col("at") + 1).alias("col"), "ch")
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """``columns``, never to be broadcast: a plan's estimate knows the texts' size but not their letters' number."""
+    return columns(rows).hint("merge")
+
+
 def henikoff_weights(rows: DataFrame) -> DataFrame:
     """(gene, label, weight): position-based weights that add up to 1 in a gene; a gap is a letter like others.
 
@@ -49,15 +54,15 @@ def henikoff_weights(rows: DataFrame) -> DataFrame:
     )
     n_or_gaps = F.when(F.col("ch") == GAP, F.col("all_gaps")).otherwise(F.col("n"))
     share = per.join(of, ["gene", "col"]).select("gene", "col", "ch", (1 / (F.col("k") * n_or_gaps)).alias("share"))
-    own = columns(rows).join(share, ["gene", "col", "ch"]).groupBy("gene", "label").agg(F.sum("share").alias("own"))
+    own = _cells(rows).join(share, ["gene", "col", "ch"]).groupBy("gene", "label").agg(F.sum("share").alias("own"))
     behind = Window.partitionBy("gene").orderBy(F.col("col").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap_share = F.when(F.col("all_gaps") > 0, 1 / (F.col("k") * F.col("all_gaps"))).otherwise(0.0)
     tail = of.withColumn("tail", F.sum(gap_share).over(behind)).select("gene", F.col("col").alias("next"), "tail")
     ends = rows.select("gene", "label", (F.length("row") + 1).alias("next"))
-    raw = ends.join(tail, ["gene", "next"], "left").join(own, ["gene", "label"], "left")
-    raw = raw.select("gene", "label", (F.coalesce("own", F.lit(0.0)) + F.coalesce("tail", F.lit(0.0))).alias("raw"))
-    total = raw.groupBy("gene").agg(F.sum("raw").alias("total"))
-    return raw.join(F.broadcast(total), "gene").select("gene", "label", (F.col("raw") / F.nullif("total", F.lit(0.0))).alias("weight"))
+    raw = ends.join(tail, ["gene", "next"], "left").join(own, ["gene", "label"], "left").join(F.broadcast(size), "gene")
+    # A column's shares add up to 1, so a gene's add up to its number of columns.
+    shares = F.coalesce("own", F.lit(0.0)) + F.coalesce("tail", F.lit(0.0))
+    return raw.select("gene", "label", (shares / F.nullif("cols", F.lit(0))).alias("weight"))
 
 
 def conservation(rows: DataFrame, *, letters: int = 4, most_gaps: float = 0.5) -> DataFrame:
@@ -67,6 +72,7 @@ def conservation(rows: DataFrame, *, letters: int = 4, most_gaps: float = 0.5) -
     per = (
         columns(rows)
         .filter(F.col("ch") != GAP)
+        .hint("merge")
         .join(w, ["gene", "label"])
         .groupBy("gene", "col", "ch")
         .agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
@@ -145,7 +151,8 @@ def extreme_windows(scores: DataFrame, *, top: int = 3, size: int = 30, share: f
 
 def frequencies(rows: DataFrame) -> DataFrame:
     """(gene, col, ch, freq): weighted letter frequencies of each column without its gaps."""
-    per = columns(rows).filter(F.col("ch") != GAP).join(henikoff_weights(rows), ["gene", "label"]).groupBy("gene", "col", "ch").agg(F.sum("weight").alias("w"))
+    cells = columns(rows).filter(F.col("ch") != GAP).hint("merge")
+    per = cells.join(henikoff_weights(rows), ["gene", "label"]).groupBy("gene", "col", "ch").agg(F.sum("weight").alias("w"))
     total = F.sum("w").over(Window.partitionBy("gene", "col"))
     return per.select("gene", "col", "ch", (F.col("w") / total).alias("freq"))
 

@@ -197,7 +197,9 @@ def tree_splits(matrices: DataFrame, methods: tuple[str, ...] = ("nj", "upgma"))
                 d = np.array(r["d"], float).reshape(n, n)
                 out += [(r["grp"], r["rep"], m, r["taxa"], s) for m in methods for s in sorted(splits_of(d, m))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["grp", "rep", "method", "taxa", "split"])
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int64())
+                arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["grp", "rep", "method", "taxa", "split"])
 
     return matrices.repartition("grp", "rep").mapInArrow(run, "grp string, rep int, method string, taxa array<string>, split bigint")
 

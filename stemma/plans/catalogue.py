@@ -312,7 +312,7 @@ def column_conservation(spark, sf_dir):
       case when ch <> '-' then ch else '' end as ref_letter from c"""
 )
 def reference_numbering(spark, sf_dir):
-    return conservation.numbered(_rows(spark, sf_dir))
+    return conservation.numbered(_rows(spark, sf_dir)).withColumn("ref_position", F.col("ref_position").cast("bigint"))
 
 
 @query()
@@ -370,8 +370,8 @@ CONSENSUS = """taxa as (select species as grp, gene as taxon, col, arg_max(ch, (
       from taxa x join taxa y on x.grp = y.grp and x.col = y.col and x.taxon < y.taxon group by all),
     shares as (select *, ts::double / valid as p, tv::double / valid as q from pairs)
     select grp, a, b, valid, round(p + q, 6) as p,
-      round(case when 1 - (p + q) * 4 / 3 > 0 then -0.75::double * ln(1 - (p + q) * 4 / 3) else 3 end, 6) as jc,
-      round(case when 1 - 2 * p - q > 0 and 1 - 2 * q > 0 then -0.5::double * ln(1 - 2 * p - q) - 0.25::double * ln(1 - 2 * q) else 3 end, 6) as k2p
+      round(case when 1 - (p + q) * 4 / 3 > 1e-9 then 0.0::double - 0.75::double * ln(1 - (p + q) * 4 / 3) else 3 end, 6) as jc,
+      round(case when 1 - 2 * p - q > 0 and 1 - 2 * q > 0 then 0.0::double - 0.5::double * ln(1 - 2 * p - q) - 0.25::double * ln(1 - 2 * q) else 3 end, 6) as k2p
     from shares"""
 )
 def pair_distances(spark, sf_dir):
@@ -450,7 +450,7 @@ totals as (select gene, col, sum(pairs * sd) as sd, sum(pairs * nd) as nd, sum(p
   from met join pair_table using (x, y) where pairs > 0 group by all)"""
 ESTIMATE = """select {0}, round(ps, 6) as ps, round(pn, 6) as pn, round(ds, 5) as ds, round(dn, 5) as dn,
   round(case when ds > 0 and not ps > 0.6 then dn / ds end, 5) as omega, coalesce(ps > 0.6, false) as saturated
-from (select *, case when ps < 0.75 then -0.75::double * ln(1 - ps * 4 / 3) end as ds, case when pn < 0.75 then -0.75::double * ln(1 - pn * 4 / 3) end as dn
+from (select *, case when ps < 0.749999999 then 0.0::double - 0.75::double * ln(1 - ps * 4 / 3) end as ds, case when pn < 0.749999999 then 0.0::double - 0.75::double * ln(1 - pn * 4 / 3) end as dn
   from (select {0}, sum(sd) / nullif(sum(s), 0) as ps, sum(nd) / nullif(sum(n), 0) as pn from {1} group by {0}))"""
 
 
@@ -506,7 +506,8 @@ WEIGHT = "list_sum(list_transform([368, 736, 920, 981, 996, 999], lambda b: (('0
     f"""with {WITHIN}, drawn as (select gene, rep, sd * w as sd, nd * w as nd, s * w as s, n * w as n
       from (select *, {WEIGHT.format("rep || ':' || col")} as w from totals, range(1, 51) t(rep)) where w > 0),
     est as ({ESTIMATE.format('gene, rep', 'drawn').replace('not ps > 0.6', 'true').replace('round(case when ds > 0 and true then dn / ds end, 5)', 'case when ds > 0 then dn / ds end')})
-    select gene, round(quantile_cont(omega, 0.025), 4) as lo, round(quantile_cont(omega, 0.975), 4) as hi, count(omega) as n_finite from est group by gene"""
+    select gene, case when count(omega) >= 25 then round(quantile_cont(omega, 0.025), 4) end as lo,
+      case when count(omega) >= 25 then round(quantile_cont(omega, 0.975), 4) end as hi, count(omega) as n_finite from est group by gene"""
 )
 def dnds_bootstrap(spark, sf_dir):
     totals = selection.within(selection.codon_columns(_seqs(spark, sf_dir), "gene"), ["gene"])
@@ -848,8 +849,8 @@ def codon_differences(spark, sf_dir):
       from (select *, {WEIGHT.format("rep || ':' || col")} as w from totals, range(1, 51) t(rep)) where w > 0),
     est as ({ESTIMATE.format('gene, rep', 'drawn').replace('not ps > 0.6', 'true').replace('round(case when ds > 0 and true then dn / ds end, 5)', 'case when ds > 0 then dn / ds end')}),
     pooled as (select rep, sd, nd, s, n from drawn where gene in ('src0', 'src1', 'src2', 'src3')),
-    ctl as (select rep, case when ds > 0 then dn / ds end as c from (select rep, case when ps < 0.75 then -0.75::double * ln(1 - ps * 4 / 3) end as ds,
-        case when pn < 0.75 then -0.75::double * ln(1 - pn * 4 / 3) end as dn from (select rep, sum(sd) / nullif(sum(s), 0) as ps, sum(nd) / nullif(sum(n), 0) as pn from pooled group by rep))),
+    ctl as (select rep, case when ds > 0 then dn / ds end as c from (select rep, case when ps < 0.749999999 then 0.0::double - 0.75::double * ln(1 - ps * 4 / 3) end as ds,
+        case when pn < 0.749999999 then 0.0::double - 0.75::double * ln(1 - pn * 4 / 3) end as dn from (select rep, sum(sd) / nullif(sum(s), 0) as ps, sum(nd) / nullif(sum(n), 0) as pn from pooled group by rep))),
     r as (select gene, omega / c as ratio from est join ctl using (rep) where gene not in ('src0', 'src1', 'src2', 'src3') and omega is not null and c is not null)
     select gene, round(quantile_cont(ratio, 0.025), 4) as lo, round(quantile_cont(ratio, 0.975), 4) as hi,
       round(least(1, greatest(1.0::double / count(*), 2 * least(avg((ratio <= 1)::int), avg((ratio >= 1)::int)))), 6) as p from r group by gene"""
