@@ -448,13 +448,15 @@ met as (select a.gene, a.col, a.codon as x, b.codon as y, case when a.codon = b.
   from counts a join counts b on a.gene = b.gene and a.col = b.col and a.codon <= b.codon),
 totals as (select gene, col, sum(pairs * sd) as sd, sum(pairs * nd) as nd, sum(pairs * s) as s, sum(pairs * n) as n
   from met join pair_table using (x, y) where pairs > 0 group by all)"""
-ESTIMATE = """select {0}, round(ps, 6) as ps, round(pn, 6) as pn, round(ds, 5) as ds, round(dn, 5) as dn,
+ESTIMATE = """select {0}, round(ps + 1e-9, 6) as ps, round(pn + 1e-9, 6) as pn, round(ds, 5) as ds, round(dn, 5) as dn,
   round(case when ds > 0 and not ps > 0.6 then dn / ds end, 5) as omega, coalesce(ps > 0.6, false) as saturated
 from (select *, case when ps < 0.749999999 then 0.0::double - 0.75::double * ln(1 - ps * 4 / 3) end as ds, case when pn < 0.749999999 then 0.0::double - 0.75::double * ln(1 - pn * 4 / 3) end as dn
   from (select {0}, sum(sd) / nullif(sum(s), 0) as ps, sum(nd) / nullif(sum(n), 0) as pn from {1} group by {0}))"""
 
 
 def _estimates(df: DataFrame) -> DataFrame:
+    """Rounded; shares are often short binary fractions, so they are first moved off the middle between two."""
+    df = df.withColumns({c: F.col(c) + 1e-9 for c in ("ps", "pn")})
     return _rounded(_rounded(df, 6, "ps", "pn"), 5, "ds", "dn", "omega")
 
 
