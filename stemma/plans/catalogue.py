@@ -299,7 +299,7 @@ scores as (select gene, col, 1 - present::double / n_rows as gap_fraction, conse
 
 @query(
     f"""with {CELLS}, {HENIKOFF}, {COLS} select gene, col, round(gap_fraction, 4) as gap_fraction, consensus,
-    round(entropy, 4) as entropy, round(1 - entropy / 2, 4) as conservation from scores"""
+    round(entropy, 4) + 0.0::double as entropy, round(1 - entropy / 2, 4) + 0.0::double as conservation from scores"""
 )
 def column_conservation(spark, sf_dir):
     return _rounded(conservation.conservation(_rows(spark, sf_dir)), 4, "gap_fraction", "entropy", "conservation")
@@ -308,11 +308,11 @@ def column_conservation(spark, sf_dir):
 @query(
     f"""with {ROWS}, firsts as (select gene, arg_min(r, label) as r from rws group by gene), c as (
       select gene, unnest(range(1, length(r) + 1))::int as col, unnest(string_split(r, '')) as ch from firsts where length(r) > 0)
-    select gene, col, case when ch <> '-' then sum((ch <> '-')::int) over (partition by gene order by col)::bigint end as ref_position,
+    select gene, col, case when ch <> '-' then sum((ch <> '-')::int) over (partition by gene order by col)::double end as ref_position,
       case when ch <> '-' then ch else '' end as ref_letter from c"""
 )
 def reference_numbering(spark, sf_dir):
-    return conservation.numbered(_rows(spark, sf_dir)).withColumn("ref_position", F.col("ref_position").cast("bigint"))
+    return conservation.numbered(_rows(spark, sf_dir)).withColumn("ref_position", F.col("ref_position").cast("double"))
 
 
 @query()
@@ -322,7 +322,7 @@ def extreme_windows(spark, sf_dir):
 
 @query(
     f"""with {CELLS}, {HENIKOFF}, {COLS}, p as (select gene, col, ch, w / sum(w) over (partition by gene, col) as p from freq)
-    select gene, col, round(2 + sum(p * log2(p)), 4) as bits from p group by all"""
+    select gene, col, round(2 + sum(p * log2(p)), 4) + 0.0::double as bits from p group by all"""
 )
 def information_content(spark, sf_dir):
     return _rounded(conservation.information(conservation.frequencies(_rows(spark, sf_dir))), 4, "bits")
@@ -330,7 +330,7 @@ def information_content(spark, sf_dir):
 
 @query(
     f"""with {CELLS}, {HENIKOFF}, {COLS}, p as (select gene, col, ch, w / sum(w) over (partition by gene, col) as p from freq)
-    select gene, col, ch, round(log2((p + 0.01) / 1.04 * 4), 3) as score from p"""
+    select gene, col, ch, round(log2((p + 0.01) / 1.04 * 4), 3) + 0.0::double as score from p"""
 )
 def position_weights(spark, sf_dir):
     return _rounded(conservation.log_odds(conservation.frequencies(_rows(spark, sf_dir))), 3, "score")
