@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -20,11 +21,18 @@ from pyspark.sql.types import StructType
 #: that memory does not depend on how many rows Arrow puts into a batch.
 SLICE_CHARS = 4_000_000
 #: Characters of a block of texts that asks a table for its keys once, and of a part of it that is worked on at a time.
-BLOCK_CHARS, PART_CHARS = 24_000_000, 2_000_000
+BLOCK_CHARS, PART_CHARS = 24_000_000, 1_000_000
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it was not installed or shipped with ``--py-files``."""
+    """Let Python workers import this package where it was not installed or shipped with ``--py-files``.
+
+    Rows with whole texts are large: unless a user has chosen, Arrow batches get fewer of them.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -40,9 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = Path(tempfile.gettempdir(), f"stemma-{os.getuid()}").as_uri()
+    if base.startswith("/"):  # a path of the default file system
+        base = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/") + base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -59,6 +70,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the system, as workers live on beside the next tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[dict[str, list]]:
     """Columns as Python lists, in runs of rows whose texts have about ``chars`` bytes."""
     for batch in batches:
@@ -113,7 +132,7 @@ def block_join(
     docs: DataFrame,
     table: DataFrame,
     text: str,
-    wanted: Callable[[list[list[str | None]]], object],
+    wanted: Callable[[Iterable[list[str | None]]], object],
     key_type: pa.DataType,
     answered: Callable[[pa.Table], Callable[[pa.Table], pa.Table]],
     out: StructType,
@@ -130,10 +149,11 @@ def block_join(
 
     def asks(batches):
         for parts in _blocks(batches, text):
-            keys, name = wanted([p.column(text).to_pylist() for p in parts]), _name(parts)
+            keys, name = wanted(p.column(text).to_pylist() for p in parts), _name(parts)
             for at in range(0, len(keys), 100_000):
                 some = pa.array(keys[at : at + 100_000], key_type)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), some], names=["block", "key"])
+        tidy()
 
     def packs(batches):
         for parts in _blocks(batches, text):
@@ -146,6 +166,7 @@ def block_join(
     def done(left: pa.Table, right: pa.Table) -> pa.Table:
         apply = answered(right)
         found = [apply(pa.ipc.open_stream(raw.as_buffer()).read_all()) for raw in left.column("part")]
+        tidy()
         return pa.concat_tables(found) if found else pa.table({f.name: [] for f in out})
 
     kind = "bigint" if pa.types.is_integer(key_type) else "string"

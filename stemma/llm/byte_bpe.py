@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ._common import ready, slices
+from ._common import ready, slices, tidy
 
 #: Characters of a chunk, and those that it shares with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -146,6 +146,7 @@ def _encode_rows(text: str, path: str, pattern: str):
                 [*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())],
                 names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        tidy()
 
     return run
 

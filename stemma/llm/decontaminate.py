@@ -12,7 +12,6 @@ a null item id is skipped; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import ready, slices
+from ._common import cut, ready, slices, tidy
 
 #: Every byte that cannot be in a word becomes a space, and A-Z become a-z.
 FOLD = bytes(
@@ -128,45 +127,57 @@ def hits(
     ``clean_text`` is the text with every run of hit words cut out.  All columns
     of ``docs`` stay in front; a column of theirs with one of the new names is
     replaced.  A benchmark within ``limit`` bytes is broadcast once; a larger
-    one is scanned block by block, each block's hit words being merged.
+    one is scanned block by block, each block's hit words being merged and written out.
     """
     spark = ready(docs.sparkSession)
-    out = ["n_words", "n_hit", "hit_items", "clean_text"]
-    kept = docs.drop(*out)
-    state = kept.select(
-        "*",
-        F.lit(0).cast("bigint").alias("__n"),
-        F.lit(None).cast("array<int>").alias("__hit"),
-        F.lit(None).cast("array<bigint>").alias("__items"),
-    )
-    for block in _blocks(benchmark, item_id, item_text, limit):
-        shared = spark.sparkContext.broadcast(block)
-        state = state.mapInArrow(_scanner(shared, text, n), state.schema)
-    new = "n_words bigint, n_hit bigint, hit_items array<string>, clean_text string"
-    return state.mapInArrow(_finisher(text), StructType([*kept.schema, *StructType.fromDDL(new)]))
-
-
-def _scanner(shared, text: str, n: int):
+    new = StructType.fromDDL("n_words bigint, n_hit bigint, hit_items array<string>, clean_text string")
+    kept = docs.drop(*new.names)
+    state = StructType([*kept.schema, *StructType.fromDDL("__hit array<int>, __items array<bigint>")])
+    blocks, found = list(_blocks(benchmark, item_id, item_text, limit)), kept
+    for i, block in enumerate(blocks):
+        last = i + 1 == len(blocks)
+        scan = _scanner(spark.sparkContext.broadcast(block), text, n, last)
+        found = found.mapInArrow(scan, StructType([*kept.schema, *new]) if last else state)
+        found = found if last else cut(found)
+    return found
+
+
+def _scanner(shared, text: str, n: int, last: bool):
+    """Adds a block's hits to those of the blocks before; the last block's pass forms the result."""
+
     def run(batches):
         windows = Windows(shared.value, n)
         for b in batches:
-            at, n_col = 0, [0] * b.num_rows
-            hit_col, item_col = b.column("__hit").to_pylist(), b.column("__items").to_pylist()
+            before = "__hit" in b.schema.names
+            keep = [c for c in b.schema.names if c not in ("__hit", "__items")]
+            hits = b.column("__hit").to_pylist() if before else [None] * b.num_rows
+            items = b.column("__items").to_pylist() if before else [None] * b.num_rows
+            sizes, clean, at = [], [], 0
             for part in slices([b.select([text])], text):
                 for t in part[text]:
                     words = words_of(t)
-                    n_col[at] = len(words)
-                    mask, items = windows.scan(words)
-                    if items:
-                        hit_col[at] = sorted({*(hit_col[at] or ()), *np.flatnonzero(mask).tolist()})
-                        item_col[at] = sorted({*(item_col[at] or ()), *items})
+                    sizes.append(len(words))
+                    mask, more = windows.scan(words)
+                    if more:
+                        hits[at] = sorted({*(hits[at] or ()), *np.flatnonzero(mask).tolist()})
+                        items[at] = sorted({*(items[at] or ()), *more})
+                    if last:
+                        clean.append(without(t, hits[at]) if hits[at] else t)
                     at += 1
-            new = {
-                "__n": pa.array(n_col, pa.int64()),
-                "__hit": pa.array(hit_col, pa.list_(pa.int32())),
-                "__items": pa.array(item_col, pa.list_(pa.int64())),
-            }
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], names=b.schema.names)
+            columns = [b.column(c) for c in keep]
+            if last:
+                columns += [
+                    pa.array(sizes, pa.int64()),
+                    pa.array([len(h or ()) for h in hits], pa.int64()),
+                    pa.array([sorted(map(str, i or ())) for i in items], pa.list_(pa.string())),
+                    pa.array(clean, pa.string()),
+                ]
+                keep = [*keep, "n_words", "n_hit", "hit_items", "clean_text"]
+            else:
+                columns += [pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))]
+                keep = [*keep, "__hit", "__items"]
+            yield pa.RecordBatch.from_arrays(columns, names=keep)
+        tidy()
 
     return run
 
@@ -181,23 +192,3 @@ def without(text: str, hit: list[int]) -> str:
                 kept.append(text[at:start])
             at = end
     return "".join([*kept, text[at:]])
-
-
-def _finisher(text: str):
-    def run(batches):
-        for b in batches:
-            texts, hit, items = (b.column(c).to_pylist() for c in (text, "__hit", "__items"))
-            keep = [c for c in b.schema.names if not c.startswith("__")]
-            arrays = [b.column(c) for c in keep] + [
-                b.column("__n"),
-                pa.array([len(h or ()) for h in hit], pa.int64()),
-                pa.array([sorted(map(str, i or ())) for i in items], pa.list_(pa.string())),
-                pa.array([without(t, h) if h else t for t, h in zip(texts, hit, strict=True)], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_words", "n_hit", "hit_items", "clean_text"])
-
-    return run
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

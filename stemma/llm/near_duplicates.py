@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, ready, slices
+from ._common import cut, ready, slices, tidy
 
 ROWS = 5
 #: Probability with which a pair at the threshold may be missed, for the bands and for the sketches.
@@ -50,7 +50,7 @@ MISS = 1e-6
 SKETCH_BITS = 512
 #: Candidates of one representative that are verified beside one copy of its text.
 SPLIT = 2000
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 #: Counters of shingles that order them from rare to frequent.
 SLOTS = 1 << 20
 _LANES = [f"s{i}" for i in range(SKETCH_BITS // 64)]
@@ -146,7 +146,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows
 
     def run(batches):
         for b in batches:
-            for part in slices([b], "t"):
+            for part in slices([b], "t", 1_000_000):
                 sizes, keys, mins, full = [], [], [], []
                 for i, t in enumerate(part["t"]):
                     found = shingles(t, n)
@@ -172,6 +172,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows
                     ],
                     names=["id", "size", "k0", "k1", "bands", *_LANES],
                 )
+        _KNOWN.clear()
+        tidy()
 
     rows_in = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t")).filter("i is not null")
     return rows_in.mapInArrow(run, SIGNATURE)
@@ -260,6 +262,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        _KNOWN.clear()
+        tidy()
 
     of_b = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).alias("copies"))
     copied = of_b.join(texts.withColumnRenamed("id", "b").withColumnRenamed("t", "tb"), "b").select(

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -229,7 +230,7 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
     kept = docs.drop("n_entities")
     out = StructType([*kept.schema, StructField("n_entities", LongType())])
 
-    def wanted(texts: list[list[str | None]]) -> list[str]:
+    def wanted(texts: Iterable[list[str | None]]) -> list[str]:
         return sorted({entity(k, c) for part in texts for t in part for _, _, k, c in mentions(t)})
 
     def answered(found: pa.Table):

@@ -17,6 +17,7 @@ kept; repeated rows are scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
@@ -25,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ._common import block_join, cut, ready, slices
+from ._common import block_join, cut, ready, slices, tidy
 
 ORDER = 5
 #: Bits of a character's class: characters beyond 2,047 share classes by their low bits.
 BITS = 12
 CLASSES = 1 << BITS
 #: Characters that are counted at a time.
-PART_CHARS = 2_000_000
+PART_CHARS = 1_000_000
 #: The share of trusted texts that set the quantiles and train nothing: one in so many.
 HELD_OUT = 10
 #: Quantile of the held-out trusted log-perplexities, how far beyond it a text may lie, and the median's weight in characters.
@@ -97,6 +98,7 @@ def count(trusted: DataFrame, text: str = "text") -> DataFrame:
                     yield _rows(*parts.pop(0))
         if parts:
             yield _rows(*_merged(parts))
+        tidy()
 
     def _rows(grams, counts):
         return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "c"])
@@ -199,7 +201,7 @@ def score(docs: DataFrame, model: DataFrame, *, text: str = "text") -> DataFrame
     kept = docs.drop("perplexity", "n_scored")
     out = StructType([*kept.schema, StructField("perplexity", DoubleType()), StructField("n_scored", LongType())])
 
-    def wanted(texts: list[list[str | None]]) -> np.ndarray:
+    def wanted(texts: Iterable[list[str | None]]) -> np.ndarray:
         grams = np.empty(0, np.uint64)
         for part in texts:
             grams = np.union1d(grams, ngrams(part)[0])

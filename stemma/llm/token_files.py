@@ -27,6 +27,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import ready, shared_dir, slices
+from ._common import ready, shared_dir, slices, tidy
 
 MAGIC, VERSION = b"STEF", 1
 HEADER = struct.Struct("<4sHHqQ")
@@ -47,6 +48,8 @@ SAMPLE = 256
 FILE_BYTES = 24 << 20
 #: Words whose ids a Python worker remembers.
 CACHE_WORDS = 300_000
+#: Characters whose words are looked up at a time.
+ENCODE_CHARS = 1_500_000
 
 
 class EliasFano:
@@ -156,6 +159,7 @@ class WordEncoder:
 
     def __init__(self, path: str, width: int = 2):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = f"<u{width}"
         self.known: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -166,12 +170,16 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, words: list[str]) -> None:
+        """Words of letters: lower-case ASCII ones are pre-tokens as they are and go to the model itself."""
+        plain, kind = self.model.tokenize, "H" if self.kind == "<u2" else "I"
+        self.known.update((w, array(kind, [t.id for t in plain(w)]).tobytes()) for w in words if w.isascii() and w.islower())
+        words = [w for w in words if not (w.isascii() and w.islower())]
         joined = " ".join(words)
         if not unicodedata.is_normalized("NFC", joined):
             self.known.update((w, self._bytes(w)) for w in words)
             return
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
@@ -190,27 +198,29 @@ class WordEncoder:
                 split.append([t])
             else:
                 split.append((t or "").split())
-        new = {w for words in split for w in words if w not in known}
-        letters, parts, rest = set(), {}, []
+        new = set().union(*split).difference(known)
+        letters, parts, rest = set(), [], []
         for w in new:
-            body = w.rstrip(_TAIL)
-            if w.isalpha():
-                letters.add(w)
-            elif body and body.isalpha():
-                tail = w[len(body) :]
-                parts[w] = body, tail
-                if body not in known:
-                    letters.add(body)
-                if tail not in known:
-                    known[tail] = self._bytes(tail)
-            else:
+            low = w.lower() if w.isascii() else w  # the tokenizers fold case; beyond ASCII the order of steps could matter
+            body = low if low.isalpha() else low.rstrip(_TAIL)
+            if not body.isalpha():
                 rest.append(w)
+                continue
+            if body == w:
+                letters.add(w)
+                continue
+            tail = low[len(body) :]
+            parts.append((w, body, tail))
+            if body not in known:
+                letters.add(body)
+            if tail and tail not in known:
+                known[tail] = self._bytes(tail)
         self._learn(list(letters))
-        for w, (body, tail) in parts.items():
-            known[w] = known[body] + known[tail]
+        for w, body, tail in parts:
+            known[w] = known[body] + known[tail] if tail else known[body]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -227,6 +237,15 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
 
 
+def _moved(files: fs.FileSystem, mine: str, to: str) -> None:
+    """Rename a finished file; another attempt's equal file goes first where a file system won't replace it."""
+    try:
+        files.move(mine, to)
+    except OSError:
+        files.delete_file(to)
+        files.move(mine, to)
+
+
 def write(docs: DataFrame, tokenizer: str, to: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, width: int = 2, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the ids of ``docs`` under ``to`` in ascending doc_id order; returns the written manifest.
 
@@ -245,9 +264,10 @@ def write(docs: DataFrame, tokenizer: str, to: str, *, doc_id: str = "doc_id", t
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
         for b in batches:
-            for part in slices([b], "t"):
+            for part in slices([b], "t", ENCODE_CHARS):
                 doc_ids += part["d"]
                 ids += [x + stop for x in encoder.encode(part["t"])]
+        tidy()
         if not doc_ids:
             return
         shard, raw = TaskContext.get().partitionId(), pack(doc_ids, ids, width)
@@ -256,7 +276,7 @@ def write(docs: DataFrame, tokenizer: str, to: str, *, doc_id: str = "doc_id", t
         mine = f"{folder}/.{uuid.uuid4().hex}.part"
         with files.open_output_stream(mine) as f:
             f.write(raw)
-        files.move(mine, f"{folder}/{shard:08d}.stef")
+        _moved(files, mine, f"{folder}/{shard:08d}.stef")
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(doc_ids), sum(map(len, ids)) // width)], names=["shard", "n_docs", "n_ids"])
 
     done = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(run, "shard bigint, n_docs bigint, n_ids bigint")
