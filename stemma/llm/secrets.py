@@ -72,7 +72,10 @@ def _lengths(pattern: str, group: int, text: str) -> Column:
 
 
 def findings(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """What the rules named in ``todo`` find in ``text``: blob and its findings by place, for blobs with any."""
+    """What the rules named in ``todo`` find in ``text``: blob and its findings by place, for blobs with any.
+
+    Rows that repeat a blob have the same matches, which are kept once before they are placed.
+    """
     names = {"before": "int", "own": "int", "part": "int"}
     kind = f"array<struct<{','.join(f'{k}:{v}' for k, v in names.items())}>>"
     per_rule = [
@@ -83,7 +86,8 @@ def findings(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         for i, r in enumerate(rules)
     ]
     some = blobs.select("blob", F.explode(F.array(*per_rule)).alias("x")).filter("x.m is not null")
-    each = some.select("blob", "x.number", F.posexplode("x.m").alias("at", "m")).select("blob", "number", "at", "m.*")
+    once = some.groupBy("blob", "x.number").agg(F.first("x.m").alias("m"))
+    each = once.select("blob", "number", F.posexplode("m").alias("at", "m")).select("blob", "number", "at", "m.*")
     along = Window.partitionBy("blob", "number").orderBy("at")
     ends = each.withColumn("end", F.sum(F.col("before") + F.col("own")).over(along))
     least = reduce(lambda c, i: c.when(F.col("number") == i, rules[i].least), range(len(rules)), F)

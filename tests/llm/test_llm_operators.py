@@ -428,6 +428,16 @@ def test_secrets_against_brute_force(spark):
     assert all("hunter2" not in (r.text or "") and "AKIAAP5" not in (r.text or "") for r in clean.collect())
 
 
+def test_repeated_rows_share_the_right_spans(spark):
+    text = "x" * 10 + "AKIA" + "A" * 16 + " and AKIA" + "B" * 16 + " end"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, text), (None, "no"), (3, "token: 0123456789"), (3, "token: 0123456789")], "doc_id bigint, text string")
+    back = secrets.join_back(docs, secrets.scan(docs)).withColumn("clean", secrets.redacted(F.col("text"), F.col("findings"))).collect()
+    assert len(back) == 8
+    for r in back:
+        assert [(f.start, f.rule.split("@")[0], f.end) for f in r.findings] == brute_secrets(r.text)
+        assert "AKIA" not in r.clean
+
+
 def test_ledger_scans_only_what_is_new(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id int, text string")
     first = secrets.scan(docs)
