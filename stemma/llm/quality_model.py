@@ -1,11 +1,11 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of characters, five at a time.  Its counts are gathered from all
-trusted text and stay sharded by n-gram: no table of it is broadcast or
-collected.  To score, each task gathers the distinct n-grams of its block of
+The model is of characters, five at a time, and of words, three at a time.  Its
+counts are gathered from all trusted text and stay sharded by n-gram: no table of
+it is broadcast or collected.  Word n-grams are known by 64-bit hashes.  To score, each task gathers the distinct n-grams of its block of
 texts, which are far fewer than the characters; they meet the counts in a join
 by n-gram, and what is found meets the block again, which travels compressed.
-A text's perplexity is that of its characters; a text is rejected when it lies
+A text is rejected when the perplexity of its characters or that of its words lies
 beyond a quantile of what trusted text of its language shows, by a margin.  The
 quantiles are taken over trusted texts that the model was not trained on.
 
@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -32,12 +33,20 @@ ORDER = 5
 #: Bits of a character's class: characters beyond 2,047 share classes by their low bits.
 BITS = 12
 CLASSES = 1 << BITS
+#: Words at a time, and the number of words among which an unknown one is one.
+WORD_ORDER, WORD_CLASSES = 3, 1 << 20
+#: The bit that marks keys of the word model.
+OF_WORDS = np.uint64(1 << 63)
+#: Different words whose hashes a task keeps.
+HELD_WORDS = 1_000_000
 #: Characters that are counted at a time.
 PART_CHARS = 1_000_000
 #: The share of trusted texts that set the quantiles and train nothing: one in so many.
 HELD_OUT = 10
 #: Quantile of the held-out trusted log-perplexities, how far beyond it a text may lie, and the median's weight in characters.
 HIGH, MARGIN, PRIOR = 0.99, 0.05, 200
+#: Columns of both models' perplexities and lengths, and the median's weight in their units.
+JUDGES = (("perplexity", "n_scored", PRIOR), ("word_perplexity", "n_words", PRIOR // 5))
 #: Trusted ids, and languages with limits of their own, that may be broadcast.
 BROADCAST_IDS, BROADCAST_LANGUAGES = 1_000_000, 10_000
 #: Held-out trusted texts that a language needs for quantiles of its own.
@@ -79,6 +88,58 @@ def key(order: int, gram: np.ndarray) -> np.ndarray:
     return np.uint64(order << (BITS * ORDER)) | gram
 
 
+class Words(dict):
+    """64-bit hashes of words; every digit is a nought."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        plain = "".join("0" if "0" <= c <= "9" else c for c in word)
+        self[word] = h = max(2, xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")))
+        return h
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def hashed(word: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of one more bigint after those that gave ``seed``."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = seed + (p5 + np.uint64(8)) ^ _turned(word * p2, 31) * p1
+    h = _turned(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def word_lines(texts: list[str | None], known: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of WORD_ORDER word hashes, one for each word and each text's end, and how many each text has.
+
+    As with characters, 0 stands before a text and 1 at its end.
+    """
+    found, sizes = [], []
+    for t in texts:
+        words = (t or "").split()
+        if not words:
+            sizes.append(0)
+            continue
+        line = np.array([0] * (WORD_ORDER - 1) + [known[w] for w in words] + [1], np.uint64)
+        found.append(np.lib.stride_tricks.sliding_window_view(line, WORD_ORDER))
+        sizes.append(len(words) + 1)
+    return (np.concatenate(found) if found else np.empty((0, WORD_ORDER), np.uint64)), np.array(sizes, np.int64)
+
+
+def word_keys(lines: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the last ``order`` words of each row, and of these without the last."""
+    with np.errstate(over="ignore"):
+        h = hashed(np.zeros(len(lines), np.uint64), np.full(len(lines), 42, np.uint64))
+        context = h
+        for j in range(WORD_ORDER - order, WORD_ORDER):
+            context, h = h, hashed(lines[:, j], h)
+    return h | OF_WORDS, context | OF_WORDS
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     grams, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return grams, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(grams)).astype(np.int64)
@@ -106,8 +167,67 @@ def count(trusted: DataFrame, text: str = "text") -> DataFrame:
     return trusted.select(text).mapInArrow(run, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
+def count_words(trusted: DataFrame, text: str = "text") -> DataFrame:
+    """(w1, w2, ..., c): word n-grams of the highest order over all ``trusted`` texts, added up in each part before they move."""
+    names = [f"w{i + 1}" for i in range(WORD_ORDER)]
+
+    def run(batches):
+        known = Words()
+        for part in slices(batches, text, 4 * PART_CHARS):
+            lines = word_lines(part[text], known)[0]
+            _, first, c = np.unique(word_keys(lines, WORD_ORDER)[0], return_index=True, return_counts=True)
+            some = np.ascontiguousarray(lines[first].T).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in some), pa.array(c.astype(np.int64))], names=[*names, "c"])
+        tidy()
+
+    kind = ", ".join(f"{n} bigint" for n in [*names, "c"])
+    return trusted.select(text).mapInArrow(run, kind).groupBy(*names).agg(F.sum("c").alias("c"))
+
+
+def _discounts(orders: dict[int, DataFrame]) -> dict[int, tuple[float, float, float]]:
+    every = reduce(DataFrame.union, (t.select(F.lit(k).alias("k"), "c") for k, t in orders.items()))
+    of = every.groupBy("k").agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
+    return {r.k: discount(r.n1, r.n2, r.n3, r.n4) for r in of.collect()}
+
+
+def _discounted(discounts: dict[int, tuple[float, float, float]], k: int) -> Column:
+    d1, d2, d3 = discounts.get(k, (0.5, 1.0, 1.5))
+    return F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+
+
+def _model(rows: list[DataFrame]) -> DataFrame:
+    both = reduce(DataFrame.union, rows).groupBy("key")
+    return cut(both.agg(F.coalesce(F.max("alpha"), F.lit(0.0)).cast("float").alias("alpha"), F.coalesce(F.max("gamma"), F.lit(1.0)).cast("float").alias("gamma")))
+
+
 def train(trusted: DataFrame, text: str = "text") -> DataFrame:
-    """The model: (key, alpha, gamma) for every n-gram of every order, written to the shared folder.
+    """The models of characters and of words, whose keys differ."""
+    return train_characters(trusted, text).union(train_words(trusted, text))
+
+
+def train_words(trusted: DataFrame, text: str = "text") -> DataFrame:
+    """The word model, as ``train_characters`` makes that of characters."""
+    ready(trusted.sparkSession)
+    names = [f"w{i + 1}" for i in range(WORD_ORDER)]
+    orders = {WORD_ORDER: cut(count_words(trusted, text))}
+    for k in range(WORD_ORDER - 1, 0, -1):
+        orders[k] = cut(orders[k + 1].groupBy(*names[-k:]).agg(F.count("*").alias("c")))
+    discounts = _discounts(orders)
+    key_of = lambda words: F.xxhash64(F.lit(0).cast("bigint"), *words).bitwiseOR(F.lit(-(1 << 63))).alias("key")
+    none = F.lit(None).cast("double")
+    rows = []
+    for k, t in orders.items():
+        words, before = names[-k:], names[-k:-1]
+        own = t.withColumn("d", _discounted(discounts, k))
+        contexts = own.groupBy(*before).agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
+        joined = own.join(contexts, before) if before else own.crossJoin(F.broadcast(contexts))
+        rows.append(joined.select(key_of(words), ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha"), none.alias("gamma")))
+        rows.append(contexts.select(key_of(before), none.alias("alpha"), (F.col("left") / F.col("total")).alias("gamma")))
+    return _model(rows)
+
+
+def train_characters(trusted: DataFrame, text: str = "text") -> DataFrame:
+    """(key, alpha, gamma) for every n-gram of every order, written to the shared folder.
 
     ``alpha`` is the discounted share of its context's count that an n-gram holds,
     ``gamma`` the weight that it leaves, as a context, to the next lower order.
@@ -118,14 +238,10 @@ def train(trusted: DataFrame, text: str = "text") -> DataFrame:
     for k in range(ORDER - 1, 0, -1):
         tail = F.col("gram").bitwiseAND(F.lit(int(mask(k))))
         orders[k] = cut(orders[k + 1].groupBy(tail.alias("gram")).agg(F.count("*").alias("c")))
-    every = reduce(DataFrame.union, (t.select(F.lit(k).alias("k"), "c") for k, t in orders.items()))
-    of = every.groupBy("k").agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
-    discounts = {r.k: discount(r.n1, r.n2, r.n3, r.n4) for r in of.collect()}
+    discounts = _discounts(orders)
     rows = []
     for k, t in orders.items():
-        d1, d2, d3 = discounts.get(k, (0.5, 1.0, 1.5))
-        d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        own = t.withColumn("h", F.shiftrightunsigned("gram", BITS)).withColumn("d", d)
+        own = t.withColumn("h", F.shiftrightunsigned("gram", BITS)).withColumn("d", _discounted(discounts, k))
         contexts = own.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
         high = F.lit(k << (BITS * ORDER)).cast("bigint")
         rows.append(
@@ -137,8 +253,7 @@ def train(trusted: DataFrame, text: str = "text") -> DataFrame:
         rows.append(
             contexts.select(F.col("h").bitwiseOR(high).alias("key"), F.lit(None).cast("double").alias("alpha"), (F.col("left") / F.col("total")).alias("gamma"))
         )
-    both = reduce(DataFrame.union, rows).groupBy("key")
-    return cut(both.agg(F.coalesce(F.max("alpha"), F.lit(0.0)).cast("float").alias("alpha"), F.coalesce(F.max("gamma"), F.lit(1.0)).cast("float").alias("gamma")))
+    return _model(rows)
 
 
 def discount(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -160,21 +275,29 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def log_probabilities(grams: np.ndarray, keys: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
-    """The model's natural logarithm for each n-gram, from the sorted ``keys`` that were found."""
+def _look(wanted: np.ndarray, keys: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted)), np.ones(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return np.where(hit, alpha[at], 0.0), np.where(hit, gamma[at], 1.0)
 
-    def look(order: int, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        wanted = key(order, g)
-        if not len(keys):
-            return np.zeros(len(g)), np.ones(len(g))
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        hit = keys[at] == wanted
-        return np.where(hit, alpha[at], 0.0), np.where(hit, gamma[at], 1.0)
 
+def log_probabilities(grams: np.ndarray, *found: np.ndarray) -> np.ndarray:
+    """The model's natural logarithm for each n-gram, from what was ``found``: keys, in order, with alpha and gamma."""
     p = np.full(len(grams), 1 / CLASSES)
     for k in range(1, ORDER + 1):
         g = grams & mask(k)
-        p = look(k, g)[0] + look(k - 1, g >> np.uint64(BITS))[1] * p
+        p = _look(key(k, g), *found)[0] + _look(key(k - 1, g >> np.uint64(BITS)), *found)[1] * p
+    return np.log(p)
+
+
+def word_log_probabilities(lines: np.ndarray, *found: np.ndarray) -> np.ndarray:
+    """As ``log_probabilities``, for rows of word hashes."""
+    p = np.full(len(lines), 1 / WORD_CLASSES)
+    for k in range(1, WORD_ORDER + 1):
+        own, context = word_keys(lines, k)
+        p = _look(own, *found)[0] + _look(context, *found)[1] * p
     return np.log(p)
 
 
@@ -183,75 +306,99 @@ def perplexities(
 ) -> tuple[list[float | None], list[int]]:
     """Each text's perplexity, and over how many characters."""
     grams, sizes = ngrams(texts)
-    if not len(grams):
-        return [None] * len(texts), sizes.tolist()
     distinct, inverse = np.unique(grams, return_inverse=True)
-    each = log_probabilities(distinct, keys, alpha, gamma)[inverse]
+    return _by_text(log_probabilities(distinct, keys, alpha, gamma)[inverse], sizes)
+
+
+def word_perplexities(
+    texts: list[str | None], known: Words, keys: np.ndarray, alpha: np.ndarray, gamma: np.ndarray
+) -> tuple[list[float | None], list[int]]:
+    """Each text's perplexity by words, and over how many."""
+    lines, sizes = word_lines(texts, known)
+    return _by_text(word_log_probabilities(lines, keys, alpha, gamma), sizes)
+
+
+def _by_text(each: np.ndarray, sizes: np.ndarray) -> tuple[list[float | None], list[int]]:
+    if not len(each):
+        return [None] * len(sizes), sizes.tolist()
     some = np.flatnonzero(sizes)
     sums = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)])[some])
-    out: list[float | None] = [None] * len(texts)
+    out: list[float | None] = [None] * len(sizes)
     for i, x in zip(some.tolist(), np.exp(-sums / sizes[some]).tolist(), strict=True):
         out[i] = x
     return out, sizes.tolist()
 
 
 def score(docs: DataFrame, model: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``perplexity``, null where there is no character, and ``n_scored``; columns of these names are replaced."""
+    """``docs`` with ``perplexity``, null where there is no character, ``n_scored``, and ``word_perplexity`` and ``n_words`` alike.
+
+    Columns of these names are replaced.
+    """
     ready(docs.sparkSession)
-    kept = docs.drop("perplexity", "n_scored")
-    out = StructType([*kept.schema, StructField("perplexity", DoubleType()), StructField("n_scored", LongType())])
+    kept = docs.drop(*(c for ppl, n, _ in JUDGES for c in (ppl, n)))
+    out = StructType([*kept.schema, *(f for ppl, n, _ in JUDGES for f in (StructField(ppl, DoubleType()), StructField(n, LongType())))])
 
     def wanted(texts: Iterable[list[str | None]]) -> np.ndarray:
-        grams = np.empty(0, np.uint64)
+        grams, known, words = np.empty(0, np.uint64), Words(), []
         for part in texts:
             grams = np.union1d(grams, ngrams(part)[0])
-        return keys_of(grams).view(np.int64)
+            lines = word_lines(part, known)[0]
+            words.append(np.unique(np.concatenate([word_keys(lines, k)[i] for k in range(1, WORD_ORDER + 1) for i in (0, 1)])))
+        return np.concatenate([keys_of(grams), np.unique(np.concatenate(words))]).view(np.int64)
 
     def answered(found: pa.Table):
-        keys = found.column("key").to_numpy()
+        keys = found.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        keys = keys[order].view(np.uint64)
+        keys, known = keys[order], Words()
         alpha, gamma = (found.column(c).to_numpy()[order] for c in ("alpha", "gamma"))
 
         def scored(part: pa.Table) -> pa.Table:
-            ppl, n = perplexities(part.column(text).to_pylist(), keys, alpha, gamma)
-            part = part.append_column("perplexity", pa.array(ppl, pa.float64()))
-            return part.append_column("n_scored", pa.array(n, pa.int64()))
+            texts = part.column(text).to_pylist()
+            both = perplexities(texts, keys, alpha, gamma), word_perplexities(texts, known, keys, alpha, gamma)
+            for (ppl_name, n_name, _), (ppl, n) in zip(JUDGES, both, strict=True):
+                part = part.append_column(ppl_name, pa.array(ppl, pa.float64())).append_column(n_name, pa.array(n, pa.int64()))
+            return part
 
         return scored
 
     return block_join(kept, model, text, wanted, pa.int64(), answered, out)
 
 
-def limits(scored: DataFrame, held_out: Column, lang: str = "lang") -> tuple[DataFrame, tuple[float | None, float | None]]:
+def limits(
+    scored: DataFrame, held_out: Column, lang: str = "lang", judge: tuple[str, str, int] = JUDGES[0]
+) -> tuple[DataFrame, tuple[float | None, float | None]]:
     """(language, median, limit) where enough held-out trusted texts show them, and those of all languages together.
 
     Short texts scatter more, so a text's log-perplexity is first drawn towards
-    its language's median by the weight of ``PRIOR`` characters.
+    its language's median by the weight of ``PRIOR`` characters, or as many words.
     """
-    log = F.ln("perplexity")
-    x = scored.filter(held_out & F.col("perplexity").isNotNull()).select(F.col(lang).alias("__lang"), log.alias("l"), "n_scored")
+    ppl, n, prior = judge
+    log = F.ln(ppl)
+    x = scored.filter(held_out & F.col(ppl).isNotNull()).select(F.col(lang).alias("__lang"), log.alias("l"), F.col(n).alias("n_scored"))
     middle = lambda: F.percentile_approx("l", 0.5, 10_000)
     medians = x.groupBy("__lang").agg(middle().alias("__mid"), F.count("*").alias("n")).filter(f"n >= {LEAST_TEXTS} and __lang is not null")
     of_all = x.agg(middle().alias("mid")).first().mid
-    high = lambda mid: F.percentile_approx(drawn(F.col("l"), F.col("n_scored"), mid), HIGH, 10_000) + MARGIN
+    high = lambda mid: F.percentile_approx(drawn(F.col("l"), F.col("n_scored"), mid, prior), HIGH, 10_000) + MARGIN
     own = x.join(medians.drop("n"), "__lang").groupBy("__lang", "__mid").agg(high(F.col("__mid")).alias("__limit"))
     whole = None if of_all is None else x.agg(high(F.lit(of_all)).alias("limit")).first().limit
     return own, (of_all, whole)
 
 
-def drawn(log: Column, n: Column, mid: Column) -> Column:
-    return (log * n + mid * PRIOR) / (n + PRIOR)
+def drawn(log: Column, n: Column, mid: Column, prior: int = PRIOR) -> Column:
+    return (log * n + mid * prior) / (n + prior)
 
 
 def judged(scored: DataFrame, held_out: Column, lang: str = "lang") -> DataFrame:
-    """``scored`` with ``rejected``; a text is rejected without a perplexity or beyond its language's limit."""
-    own, (mid, limit) = limits(scored, held_out, lang)
-    few = own.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    joined = scored.join(F.broadcast(own) if few else own, F.col(lang) == F.col("__lang"), "left")
-    log = drawn(F.ln("perplexity"), F.col("n_scored"), F.coalesce("__mid", F.lit(mid).cast("double")))
-    beyond = F.coalesce(log > F.coalesce("__limit", F.lit(limit).cast("double")), F.lit(False))
-    return joined.withColumn("rejected", F.col("perplexity").isNull() | beyond).drop("__lang", "__mid", "__limit")
+    """``scored`` with ``rejected``; a text is rejected without a perplexity or where either lies beyond its language's limit."""
+    joined, rejected = scored, F.col("perplexity").isNull()
+    for i, (ppl, n, prior) in enumerate(JUDGES):
+        own, (mid, limit) = limits(scored, held_out, lang, (ppl, n, prior))
+        own = own.toDF(f"__lang{i}", f"__mid{i}", f"__limit{i}")
+        few = own.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+        joined = joined.join(F.broadcast(own) if few else own, F.col(lang) == F.col(f"__lang{i}"), "left")
+        log = drawn(F.ln(ppl), F.col(n), F.coalesce(f"__mid{i}", F.lit(mid).cast("double")), prior)
+        rejected = rejected | F.coalesce(log > F.coalesce(f"__limit{i}", F.lit(limit).cast("double")), F.lit(False))
+    return joined.withColumn("rejected", rejected).drop(*(f"__{c}{i}" for i in range(len(JUDGES)) for c in ("lang", "mid", "limit")))
 
 
 def marked(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -271,7 +418,7 @@ def marked(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFr
 def classify(
     docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep_text: bool = True
 ) -> DataFrame:
-    """``docs`` with ``trusted``, ``held_out``, ``perplexity``, ``n_scored`` and ``rejected``, read back from the shared folder.
+    """``docs`` with ``trusted``, ``held_out``, the columns of ``score`` and ``rejected``, read back from the shared folder.
 
     ``keep_text``: whether the text stays among the columns.
     """

@@ -177,6 +177,53 @@ def test_quality_rejects_junk(spark):
     assert gone >= {j[0] for j in junk} and len(gone) <= 20 + 7
 
 
+def test_word_perplexity(spark):
+    """The three-word model against dictionaries of tuples."""
+    train = [" ".join(WORDS), " ".join(WORDS[::-1]), "the the old old fox 77", " ".join(WORDS * 2)]
+    tests = ["the fox", "zzz qqq", None, " ", " ".join(WORDS[3:9]), "the the the the old fox 12"]
+    plain = lambda t: [re.sub("[0-9]", "0", w) for w in (t or "").split()]
+    grams = lambda t: [tuple(["<", "<", *plain(t), ">"][i : i + 3]) for i in range(len(plain(t)) + 1)] if plain(t) else []
+    counts = {3: Counter(g for t in train for g in grams(t))}
+    for k in (2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: quality_model.discount(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4))) for k, c in counts.items()}
+
+    def p(g):
+        if not g:
+            return 1 / quality_model.WORD_CLASSES
+        after = {h: c for h, c in counts[len(g)].items() if h[:-1] == g[:-1]}
+        cost = lambda c: d[len(g)][min(c, 3) - 1]
+        if not after:
+            return p(g[1:])
+        x = after.get(g, 0)
+        return ((x - cost(x) if x else 0) + sum(map(cost, after.values())) * p(g[1:])) / sum(after.values())
+
+    model = quality_model.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    got = quality_model.score(spark.createDataFrame([(i, t) for i, t in enumerate(tests)], "i int, text string"), model)
+    for r in got.collect():
+        g = grams(tests[r.i])
+        assert r.n_words == len(g)
+        assert r.word_perplexity is None if not g else math.isclose(r.word_perplexity, math.exp(-sum(math.log(p(x)) for x in g) / len(g)), rel_tol=1e-4)
+
+
+def test_quality_rejects_repeated_words(spark):
+    rng = np.random.default_rng(3)
+    follow = {w: list(rng.choice(WORDS, 3)) for w in WORDS}
+
+    def walk():
+        out = [str(rng.choice(WORDS))]
+        while len(out) < 60:
+            out.append(str(rng.choice(follow[out[-1]])))
+        return " ".join(out)
+
+    good = [(i, walk(), "en") for i in range(900)]
+    junk = [(1000 + i, " ".join([w] * 60), "en") for i, w in enumerate(w for w in WORDS if w not in follow[w])]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(800)], "doc_id int, quality int, toxic int")
+    out = quality_model.classify(spark.createDataFrame(good + junk, "doc_id int, text string, lang string"), labels).collect()
+    gone = {r.doc_id for r in out if r.rejected}
+    assert junk and gone >= {j[0] for j in junk} and len(gone) <= len(junk) + 30
+
+
 # --- 3 -----------------------------------------------------------------------------------------
 
 
