@@ -258,12 +258,7 @@ def reciprocal_best_hit(spark, sf_dir):
 @query()
 def local_alignment_hits(spark, sf_dir):
     items, proteins = _items(spark, sf_dir), _proteins(spark, sf_dir)
-    scores = homology.shared_kmers(items, proteins)
-    top = homology.top_candidates(scores, 2)
-    mutual = homology.reciprocal_best(scores).select("query", "target", F.lit(True).alias("best"))
-    pairs = top.join(mutual, ["query", "target"], "left").withColumn("reciprocal_best_hit", F.coalesce("best", F.lit(False))).drop("best")
-    whole = pairs.join(items.withColumnRenamed("seq", "q"), "query").join(proteins.withColumnRenamed("seq", "t"), "target")
-    hits = homology.align_pairs(whole.repartition("query", "target"))
+    hits = homology.aligned_hits(items, proteins)
     return _rounded(homology.ortholog_calls(hits), 6, "score", "identity", "query_coverage", "target_coverage")
 
 

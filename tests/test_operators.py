@@ -181,6 +181,25 @@ def test_candidates(spark):
     assert {(r.query, r.target) for r in homology.reciprocal_best(scores).collect()} == {(1, 10), (2, 13)}
 
 
+def test_best_hit_is_by_alignment(spark):
+    """Long texts that share every 3-mer, out of order, fill the first places; the aligned best is the fourth."""
+    seq = "MKTAYIAKQRWLEDNGVPSH"
+    mers = [seq[i : i + 3] for i in range(len(seq) - 2)]
+    q = spark.createDataFrame([(1, seq)], "query bigint, seq string")
+    t = spark.createDataFrame([(i, "C".join(np.random.default_rng(i).permutation(mers))) for i in (10, 11, 12)] + [(20, seq[:10] + "F" + seq[11:])], "target bigint, seq string")
+    got = {r.target: r for r in homology.aligned_hits(q, t).collect()}
+    assert sorted(got) == [10, 11, 12, 20] and got[20]["rank"] == 4
+    assert [x for x, r in got.items() if r.reciprocal_best_hit] == [20]
+
+
+def test_reverse_best_is_by_alignment(spark):
+    """The target's own best query is another, by score, that forward alignments may also name."""
+    seq = "MKTAYIAKQRWLEDNGVPSH"
+    q = spark.createDataFrame([(1, seq[:12]), (2, seq)], "query bigint, seq string")
+    t = spark.createDataFrame([(10, seq)], "target bigint, seq string")
+    assert {r["query"] for r in homology.aligned_hits(q, t).collect() if r.reciprocal_best_hit} == {2}
+
+
 def test_effect_sizes(spark):
     make = lambda a, b: spark.createDataFrame([("m", True, float(x)) for x in a] + [("m", False, float(x)) for x in b], "metric string, first boolean, value double")
     test = lambda a, b: statistics.with_p(statistics.rank_test(make(a, b), ["metric"])).first()
