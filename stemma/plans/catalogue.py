@@ -541,7 +541,7 @@ def group_comparison(spark, sf_dir):
     values = _two_classes(spark, sf_dir)
     t = statistics.with_p(statistics.rank_test(values, ["metric"]))
     whole = statistics.adjusted(t).join(statistics.medians(values, ["metric"]), "metric")
-    ci = statistics.mean_difference_interval(values, ["metric"], "label")
+    ci = statistics.resampled_difference(values, ["metric"], 5000)
     return _rounded(tables.significant(whole.join(ci, "metric")), 6, "delta", "p", "q", "median1", "median2", "median_difference", "difference", "lo", "hi")
 
 

@@ -234,3 +234,14 @@ def test_geometry(spark):
     assert abs(structure.chain_dihedrals(p, "chain", "i").orderBy("i").first().dihedral) == pytest.approx(90)
     line = spark.createDataFrame([(float(i), 2.0 * i, 0.0) for i in range(5)], "x double, y double, z double")
     assert structure.principal_axes(line)[0].tolist() == pytest.approx([1 / math.sqrt(5), 2 / math.sqrt(5), 0])
+
+
+def test_resampled_difference(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(1, 1, 200).round(6), rng.normal(0, 2, 300).round(6)
+    rows = spark.createDataFrame([("m", True, float(v)) for v in [*x, *x[:50]]] + [("m", False, float(v)) for v in y], "metric string, first boolean, value double")
+    r = statistics.resampled_difference(rows, ["metric"]).first()
+    both = np.concatenate([x, x[:50]])
+    spread = math.sqrt(both.var() / len(both) + y.var() / len(y))
+    assert r.difference == pytest.approx(both.mean() - y.mean())
+    assert r.lo == pytest.approx(r.difference - 1.96 * spread, abs=0.1 * spread) and r.hi == pytest.approx(r.difference + 1.96 * spread, abs=0.1 * spread)
