@@ -24,6 +24,7 @@ SLICE_CHARS = 4_000_000
 BLOCK_CHARS, PART_CHARS = 24_000_000, 1_000_000
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -58,11 +59,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, to: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a plan that lost executors can't undo."""
+    """Write ``df`` as a table in the shared folder and read it back: a plan that lost executors can't undo.
+
+    The shuffle files of the job that wrote it are of no more use and go at its end.
+    """
     spark = df.sparkSession
     to = to or shared_dir(spark)
     schema = df.schema
-    df.write.mode("overwrite").parquet(to)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(to)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(schema).parquet(to)
 
 
@@ -91,7 +100,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = S
                 at, held = i + 1, 0
 
 
-def _blocks(batches, text: str):
+def blocks_of(batches, text: str):
     """Runs of record batches with about ``BLOCK_CHARS`` bytes of text, in parts of ``PART_CHARS``."""
     held, chars = [], 0
     for b in batches:
@@ -110,22 +119,16 @@ def _blocks(batches, text: str):
         yield held
 
 
-def _packed(part: pa.RecordBatch) -> bytes:
+def packed(part: pa.RecordBatch) -> bytes:
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write_batch(part)
     return sink.getvalue()
 
 
-def _name(parts: list[pa.RecordBatch]) -> int:
-    """A block's name, from its partition and content: the same if the task runs again."""
-    h = xxhash.xxh3_64(str(TaskContext.get().partitionId()))
-    for p in parts:
-        for c in p.columns:
-            for x in (c.slice(0, 1), c.slice(len(c) - 1, 1)):
-                h.update(repr(x.to_pylist()).encode())
-        h.update(str(p.num_rows).encode())
-    return h.intdigest() - (1 << 63)
+def named_block(i: int) -> int:
+    """The name of a task's block ``i``, from its partition: the same if the task runs again."""
+    return TaskContext.get().partitionId() << 32 | i
 
 
 def block_join(
@@ -143,24 +146,25 @@ def block_join(
     texts; these meet ``table`` in an ordinary join, so that neither a large table
     nor a frequent key gathers anywhere.  What is found meets the block again, which
     travels compressed; ``answered`` makes from it the function that turns each part
-    of the block into rows of ``out``.  Blocks are named by partition and content, so
-    that the two readings of ``docs``, and a task that runs again, name them alike.
+    of the block into rows of ``out``, and must fail where an answer is missing.
+    Blocks are named by partition and number, so that the two readings of ``docs``,
+    and a task that runs again, name them alike: ``docs`` must read the same twice.
     """
 
     def asks(batches):
-        for parts in _blocks(batches, text):
-            keys, name = wanted(p.column(text).to_pylist() for p in parts), _name(parts)
+        for i, parts in enumerate(blocks_of(batches, text)):
+            keys, name = wanted(p.column(text).to_pylist() for p in parts), named_block(i)
             for at in range(0, len(keys), 100_000):
                 some = pa.array(keys[at : at + 100_000], key_type)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.int64()), some], names=["block", "key"])
         tidy()
 
     def packs(batches):
-        for parts in _blocks(batches, text):
-            name = _name(parts)
+        for i, parts in enumerate(blocks_of(batches, text)):
+            name = named_block(i)
             for p in parts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name], pa.int64()), pa.array([_packed(p)], pa.binary())], names=["block", "part"]
+                    [pa.array([name], pa.int64()), pa.array([packed(p)], pa.binary())], names=["block", "part"]
                 )
 
     def done(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -1,24 +1,31 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of characters, five at a time, and of words, three at a time.  Its
-counts are gathered from all trusted text and stay sharded by n-gram: no table of
-it is broadcast or collected.  Word n-grams are known by 64-bit hashes.  To score, each task gathers the distinct n-grams of its block of
-texts, which are far fewer than the characters; they meet the counts in a join
-by n-gram, and what is found meets the block again, which travels compressed.
-A text is rejected when the perplexity of its characters or that of its words lies
-beyond a quantile of what trusted text of its language shows, by a margin.  The
-quantiles are taken over trusted texts that the model was not trained on.
-
-Edge cases: a null, empty or blank text has no perplexity and is rejected; a
-null or rarely trusted language is judged by the quantiles of all languages;
-with no trusted text at all nothing is judged and every text with characters is
-kept; repeated rows are scored alike; an empty table gives no rows.
+The model is of words, two at a time; words are known by 48-bit hashes.  Its counts
+are gathered from all trusted text, grow with it, and stay sharded by n-gram: no
+table of it is broadcast or collected, only its counts of counts.  To score, each
+task gathers the distinct n-grams of a block of texts and asks each shard for its
+part, packed in one row, so that a join of counts moves a few bytes for an n-gram.
+What the shards answer meets the block again, which travels compressed.
+
+A text is rejected when its perplexity lies beyond a quantile of what trusted text
+of its language shows, by a margin.  The quantiles are taken over trusted texts
+that the model was not trained on; a language's are drawn towards those of all
+languages by a weight of ``LEAST_TEXTS`` texts, so that rare ones aren't left to chance.
+
+Edge cases: a null, empty or blank text has no perplexity and is rejected; a null
+language, or one without held-out trusted texts, is judged by the quantiles of all;
+with no trusted text at all nothing is judged and every text with words is kept;
+repeated rows are scored alike; an empty table gives no rows; letters of scripts
+that are written without blanks are words of their own; a very long text is a block
+of its own, so it must fit into a task's memory; columns of ``docs`` with one of the
+new names are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,233 +34,221 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ._common import block_join, cut, ready, slices, tidy
-
-ORDER = 5
-#: Bits of a character's class: characters beyond 2,047 share classes by their low bits.
-BITS = 12
-CLASSES = 1 << BITS
-#: Words at a time, and the number of words among which an unknown one is one.
-WORD_ORDER, WORD_CLASSES = 3, 1 << 20
-#: The bit that marks keys of the word model.
-OF_WORDS = np.uint64(1 << 63)
-#: Different words whose hashes a task keeps.
-HELD_WORDS = 1_000_000
-#: Characters that are counted at a time.
-PART_CHARS = 1_000_000
+from ._common import blocks_of, cut, named_block, packed, ready, slices, tidy
+
+#: Bits of a word's and of a pair's hash.
+KEY_BITS = 48
+#: The number of words among which an unknown one is one.
+CLASSES = 1 << 20
+#: Bytes of text to a shard of the counts.
+SHARD_BYTES = 32 << 20
+#: Different words whose hashes a task keeps, and words that are counted at a time.
+HELD_WORDS, PART_WORDS = 500_000, 3_000_000
 #: The share of trusted texts that set the quantiles and train nothing: one in so many.
 HELD_OUT = 10
-#: Quantile of the held-out trusted log-perplexities, how far beyond it a text may lie, and the median's weight in characters.
-HIGH, MARGIN, PRIOR = 0.99, 0.05, 200
-#: Columns of both models' perplexities and lengths, and the median's weight in their units.
-JUDGES = (("perplexity", "n_scored", PRIOR), ("word_perplexity", "n_words", PRIOR // 5))
+#: Quantile of the held-out trusted log-perplexities, how far beyond it a text may lie, and the median's weight in words.
+HIGH, MARGIN, PRIOR = 0.99, 0.05, 40
 #: Trusted ids, and languages with limits of their own, that may be broadcast.
 BROADCAST_IDS, BROADCAST_LANGUAGES = 1_000_000, 10_000
-#: Held-out trusted texts that a language needs for quantiles of its own.
+#: Texts of all languages that a language's own held-out texts are weighed against.
 LEAST_TEXTS = 50
 
+# Thai, Lao, Burmese, Khmer, kana and ideographs.
+UNSPACED = re.compile("[ก-໿က-႟ក-៿ぁ-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+ADDED = ("perplexity", "n_words")
+PACKED = "shard bigint, keys binary, values binary"
 
-def mask(order: int) -> np.uint64:
-    return np.uint64((1 << (BITS * order)) - 1)
 
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return (text if text.isascii() else UNSPACED.sub(r" \g<0> ", text)).split()
 
-def symbols(text: str | None) -> np.ndarray:
-    """Character classes: a run of white space is one blank, every digit a nought."""
-    codes = np.frombuffer(" ".join((text or "").split()).encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = np.where((codes >= 48) & (codes <= 57), 48, codes)
-    return np.where(codes < CLASSES // 2, codes, CLASSES // 2 + codes % (CLASSES // 2)).astype(np.uint64)
 
+class Words(dict):
+    """Hashes of words; every digit is a nought.  0 stands before a text and 1 at its end."""
 
-def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character and at each text's end, as numbers, and how many each text has.
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        plain = "".join("0" if "0" <= c <= "9" else c for c in word)
+        self[word] = h = max(2, xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) >> (64 - KEY_BITS))
+        return h
 
-    Class 0 stands before a text and 1 at its end; texts without characters have none.
-    """
-    found, sizes = [], []
+
+def pairs_of(texts: Iterable[str | None], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word and each text's end, with the word before it, and how many each text has."""
+    line, sizes = [], []
     for t in texts:
-        s = symbols(t)
-        if not len(s):
-            sizes.append(0)
-            continue
-        line = np.concatenate([np.zeros(ORDER - 1, np.uint64), s, np.ones(1, np.uint64)])
-        g = np.zeros(len(s) + 1, np.uint64)
-        for j in range(ORDER):
-            g = g << np.uint64(BITS) | line[j : j + len(g)]
-        found.append(g)
-        sizes.append(len(g))
-    return (np.concatenate(found) if found else np.empty(0, np.uint64)), np.array(sizes, np.int64)
+        words = words_of(t)
+        sizes.append(len(words) + 1 if words else 0)
+        if words:
+            line.append(0)
+            line.extend(map(known.__getitem__, words))
+            line.append(1)
+    line = np.array(line, np.uint64)
+    here = np.flatnonzero(line[1:])
+    return line[:-1][here], line[1:][here], np.array(sizes, np.int64)
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = before * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(29)) >> np.uint64(64 - KEY_BITS)
 
 
-def key(order: int, gram: np.ndarray) -> np.ndarray:
-    return np.uint64(order << (BITS * ORDER)) | gram
+# --- packed rows -------------------------------------------------------------------------------
 
 
-class Words(dict):
-    """64-bit hashes of words; every digit is a nought."""
+def squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values), codec="zstd", asbytes=True)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        plain = "".join("0" if "0" <= c <= "9" else c for c in word)
-        self[word] = h = max(2, xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")))
-        return h
 
+def restored(raw: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd"), kind)
 
-def _turned(x: np.ndarray, by: int) -> np.ndarray:
-    return x << np.uint64(by) | x >> np.uint64(64 - by)
 
+def pack(keys: np.ndarray) -> bytes:
+    """Ascending numbers as differences of equal width."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return int(keys[0]).to_bytes(8, "little") + bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-def hashed(word: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Spark's ``xxhash64`` of one more bigint after those that gave ``seed``."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    h = seed + (p5 + np.uint64(8)) ^ _turned(word * p2, 31) * p1
-    h = _turned(h, 27) * p1 + p4
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    return h ^ h >> np.uint64(32)
 
+def unpack(raw: bytes) -> np.ndarray:
+    width = raw[8]
+    steps = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(steps) + 1, 8), np.uint8)
+    out[1:, :width] = steps
+    out[0] = np.frombuffer(raw, np.uint8, 8)
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
-def word_lines(texts: list[str | None], known: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of WORD_ORDER word hashes, one for each word and each text's end, and how many each text has.
 
-    As with characters, 0 stands before a text and 1 at its end.
-    """
-    found, sizes = [], []
-    for t in texts:
-        words = (t or "").split()
-        if not words:
-            sizes.append(0)
-            continue
-        line = np.array([0] * (WORD_ORDER - 1) + [known[w] for w in words] + [1], np.uint64)
-        found.append(np.lib.stride_tricks.sliding_window_view(line, WORD_ORDER))
-        sizes.append(len(words) + 1)
-    return (np.concatenate(found) if found else np.empty((0, WORD_ORDER), np.uint64)), np.array(sizes, np.int64)
-
-
-def word_keys(lines: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the last ``order`` words of each row, and of these without the last."""
-    with np.errstate(over="ignore"):
-        h = hashed(np.zeros(len(lines), np.uint64), np.full(len(lines), 42, np.uint64))
-        context = h
-        for j in range(WORD_ORDER - order, WORD_ORDER):
-            context, h = h, hashed(lines[:, j], h)
-    return h | OF_WORDS, context | OF_WORDS
+def in_shards(keys: np.ndarray, shards: int) -> Iterable[tuple[int, slice]]:
+    """Where each shard's part of ascending keys lies; shards divide the keys' range evenly."""
+    of = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(shards) >> np.uint64(32)
+    ends = np.flatnonzero(np.diff(of, append=np.uint64(shards))) + 1 if len(keys) else []
+    at = 0
+    for end in ends:
+        yield int(of[at]), slice(at, int(end))
+        at = int(end)
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    grams, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return grams, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(grams)).astype(np.int64)
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
-def count(trusted: DataFrame, text: str = "text") -> DataFrame:
-    """(gram, c) over all ``trusted`` texts; each task adds up its own before any row moves."""
+# --- training ----------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Model:
+    """Packed counts (shard, keys, values): words in the first ``shards`` shards, pairs in the next; and what holds for all."""
+
+    table: DataFrame
+    shards: int
+    of_words: tuple[float, float, float]
+    of_pairs: tuple[float, float, float]
+    n_pairs: int
+    left: float
 
-    def run(batches):
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            for part in slices([b], text, PART_CHARS):
-                parts.append(np.unique(ngrams(part[text])[0], return_counts=True))
-                if len(parts) > 16:
-                    parts = [_merged(parts)]
-                if len(parts[0][0]) > 4_000_000:
-                    yield _rows(*parts.pop(0))
-        if parts:
-            yield _rows(*_merged(parts))
-        tidy()
 
-    def _rows(grams, counts):
-        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "c"])
+_TRAINED = f"{PACKED}, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"
+_TRAINED_ROWS = [("shard", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())] + [(c, pa.int64()) for c in ("n", "n1", "n2", "n3", "n4")]
+#: A word's sums: how often it goes before another, how many it goes before once, twice and more often, and how many go before it.
+SUMS = 5
 
-    return trusted.select(text).mapInArrow(run, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
 
+def _classes(counts: np.ndarray) -> list[int]:
+    return [int((counts > 0).sum()), *(int((counts == i).sum()) for i in (1, 2, 3, 4))]
 
-def count_words(trusted: DataFrame, text: str = "text") -> DataFrame:
-    """(w1, w2, ..., c): word n-grams of the highest order over all ``trusted`` texts, added up in each part before they move."""
-    names = [f"w{i + 1}" for i in range(WORD_ORDER)]
+
+def _count_pairs(shards: int, text: str):
+    """Rows for a shard: the pairs of a part of the texts and how often each occurs there."""
+    schema = [("shard", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("before", "word", "count"))]
+
+    def emitted(held):
+        before, word = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        keys, first, count = np.unique(pair_keys(before, word), return_index=True, return_counts=True)
+        rows = []
+        for shard, at in in_shards(keys, shards):
+            b, w, c = before[first[at]], word[first[at]], count[at].astype(np.uint32)
+            order = np.argsort(b, kind="stable")
+            six = (np.ascontiguousarray(x[order].view(np.uint8).reshape(-1, 8)[:, :6]) for x in (b, w))
+            rows.append((shard, len(b), *map(squeezed, six), squeezed(c[order])))
+        return _batch(rows, schema)
 
     def run(batches):
-        known = Words()
-        for part in slices(batches, text, 4 * PART_CHARS):
-            lines = word_lines(part[text], known)[0]
-            _, first, c = np.unique(word_keys(lines, WORD_ORDER)[0], return_index=True, return_counts=True)
-            some = np.ascontiguousarray(lines[first].T).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in some), pa.array(c.astype(np.int64))], names=[*names, "c"])
+        held, size, known = [], 0, Words()
+        for part in slices(batches, text):
+            before, word, _ = pairs_of(part[text], known)
+            held.append((before, word))
+            size += len(word)
+            if size >= PART_WORDS:
+                yield emitted(held)
+                held, size = [], 0
+        if size:
+            yield emitted(held)
         tidy()
 
-    kind = ", ".join(f"{n} bigint" for n in [*names, "c"])
-    return trusted.select(text).mapInArrow(run, kind).groupBy(*names).agg(F.sum("c").alias("c"))
+    return run
 
 
-def _discounts(orders: dict[int, DataFrame]) -> dict[int, tuple[float, float, float]]:
-    every = reduce(DataFrame.union, (t.select(F.lit(k).alias("k"), "c") for k, t in orders.items()))
-    of = every.groupBy("k").agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
-    return {r.k: discount(r.n1, r.n2, r.n3, r.n4) for r in of.collect()}
+def _whole(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = restored(raw, "u1", 6 * n).reshape(n, 6)
+    return out.view(np.uint64).ravel()
 
 
-def _discounted(discounts: dict[int, tuple[float, float, float]], k: int) -> Column:
-    d1, d2, d3 = discounts.get(k, (0.5, 1.0, 1.5))
-    return F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+def _sum_pairs(shards: int):
+    """A shard's pairs with their counts in all texts, and what they add to the words' sums, a row for each shard of these."""
 
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        before, word = (np.concatenate([_whole(r[c], r["n"]) for r in rows]) for c in ("before", "word"))
+        count = np.concatenate([restored(r["count"], "u4", r["n"]) for r in rows])
+        keys, first, inverse = np.unique(pair_keys(before, word), return_index=True, return_inverse=True)
+        count = np.bincount(inverse, count, len(keys)).astype(np.uint64)
+        before, word = before[first], word[first]
+        out = [(shards + rows[0]["shard"], pack(keys), squeezed(count), *_classes(count))]
+        words, at = np.unique(np.concatenate([before, word]), return_inverse=True)
+        of_before, of_word = at[: len(before)], at[len(before) :]
+        adds = [(of_before, count), *((of_before, x) for x in (count == 1, count == 2, count > 2)), (of_word, np.ones(len(word)))]
+        sums = np.stack([np.bincount(i, x, len(words)) for i, x in adds]).astype(np.uint64)
+        out += [(shard, pack(words[at]), squeezed(sums[:, at]), at.stop - at.start, 0, 0, 0, 0) for shard, at in in_shards(words, shards)]
+        tidy()
+        return pa.Table.from_batches([_batch(out, _TRAINED_ROWS)])
 
-def _model(rows: list[DataFrame]) -> DataFrame:
-    both = reduce(DataFrame.union, rows).groupBy("key")
-    return cut(both.agg(F.coalesce(F.max("alpha"), F.lit(0.0)).cast("float").alias("alpha"), F.coalesce(F.max("gamma"), F.lit(1.0)).cast("float").alias("gamma")))
+    return run
 
 
-def train(trusted: DataFrame, text: str = "text") -> DataFrame:
-    """The models of characters and of words, whose keys differ."""
-    return train_characters(trusted, text).union(train_words(trusted, text))
+def _sum_words(table: pa.Table) -> pa.Table:
+    """A shard's words with their sums over all shards of pairs."""
+    rows = table.to_pylist()
+    words, inverse = np.unique(np.concatenate([unpack(r["keys"]) for r in rows]), return_inverse=True)
+    parts = np.concatenate([restored(r["values"], "u8", SUMS * r["n"]).reshape(SUMS, -1) for r in rows], axis=1)
+    sums = np.stack([np.bincount(inverse, x, len(words)) for x in parts]).astype(np.uint64)
+    tidy()
+    return pa.Table.from_batches([_batch([(rows[0]["shard"], pack(words), squeezed(sums), *_classes(sums[-1]))], _TRAINED_ROWS)])
 
 
-def train_words(trusted: DataFrame, text: str = "text") -> DataFrame:
-    """The word model, as ``train_characters`` makes that of characters."""
+def train(trusted: DataFrame, text: str = "text", shards: int | None = None) -> Model:
+    """The model of all ``trusted`` texts, its counts written to the shared folder."""
     ready(trusted.sparkSession)
-    names = [f"w{i + 1}" for i in range(WORD_ORDER)]
-    orders = {WORD_ORDER: cut(count_words(trusted, text))}
-    for k in range(WORD_ORDER - 1, 0, -1):
-        orders[k] = cut(orders[k + 1].groupBy(*names[-k:]).agg(F.count("*").alias("c")))
-    discounts = _discounts(orders)
-    key_of = lambda words: F.xxhash64(F.lit(0).cast("bigint"), *words).bitwiseOR(F.lit(-(1 << 63))).alias("key")
-    none = F.lit(None).cast("double")
-    rows = []
-    for k, t in orders.items():
-        words, before = names[-k:], names[-k:-1]
-        own = t.withColumn("d", _discounted(discounts, k))
-        contexts = own.groupBy(*before).agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        joined = own.join(contexts, before) if before else own.crossJoin(F.broadcast(contexts))
-        rows.append(joined.select(key_of(words), ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha"), none.alias("gamma")))
-        rows.append(contexts.select(key_of(before), none.alias("alpha"), (F.col("left") / F.col("total")).alias("gamma")))
-    return _model(rows)
-
-
-def train_characters(trusted: DataFrame, text: str = "text") -> DataFrame:
-    """(key, alpha, gamma) for every n-gram of every order, written to the shared folder.
-
-    ``alpha`` is the discounted share of its context's count that an n-gram holds,
-    ``gamma`` the weight that it leaves, as a context, to the next lower order.
-    Orders below the highest count the distinct characters seen before an n-gram.
-    """
-    ready(trusted.sparkSession)
-    orders = {ORDER: cut(count(trusted, text))}
-    for k in range(ORDER - 1, 0, -1):
-        tail = F.col("gram").bitwiseAND(F.lit(int(mask(k))))
-        orders[k] = cut(orders[k + 1].groupBy(tail.alias("gram")).agg(F.count("*").alias("c")))
-    discounts = _discounts(orders)
-    rows = []
-    for k, t in orders.items():
-        own = t.withColumn("h", F.shiftrightunsigned("gram", BITS)).withColumn("d", _discounted(discounts, k))
-        contexts = own.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        high = F.lit(k << (BITS * ORDER)).cast("bigint")
-        rows.append(
-            own.join(contexts, "h").select(
-                F.col("gram").bitwiseOR(high).alias("key"), ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma")
-            )
-        )
-        high = F.lit((k - 1) << (BITS * ORDER)).cast("bigint")
-        rows.append(
-            contexts.select(F.col("h").bitwiseOR(high).alias("key"), F.lit(None).cast("double").alias("alpha"), (F.col("left") / F.col("total")).alias("gamma"))
-        )
-    return _model(rows)
+    if shards is None:
+        size = trusted.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        shards = 8 + size * 3 // SHARD_BYTES
+    parts = trusted.select(text).mapInArrow(_count_pairs(shards, text), "shard bigint, n bigint, before binary, word binary, count binary")
+    first = cut(parts.groupBy("shard").applyInArrow(_sum_pairs(shards), _TRAINED))
+    of_pairs = first.filter(F.col("shard") >= shards)
+    of_words = cut(first.filter(F.col("shard") < shards).groupBy("shard").applyInArrow(_sum_words, _TRAINED))
+    sums = [t.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n1", "n2", "n3", "n4"))).first() for t in (of_words, of_pairs)]
+    d1, d2 = (discount(s.n1, s.n2, s.n3, s.n4) for s in sums)
+    left = d1[0] * sums[0].n1 + d1[1] * sums[0].n2 + d1[2] * (sums[0].n - sums[0].n1 - sums[0].n2)
+    names = ("shard", "keys", "values")
+    return Model(of_words.select(*names).union(of_pairs.select(*names)), shards, d1, d2, sums[1].n, left)
 
 
 def discount(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -265,140 +260,179 @@ def discount(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), least) for d, least in zip(found, (0.95, 1.95, 2.95), strict=True))
 
 
-def keys_of(grams: np.ndarray) -> np.ndarray:
-    """The distinct keys, of all orders, that scoring these distinct n-grams asks for."""
-    out, now = [np.zeros(1, np.uint64)], grams
-    for k in range(ORDER, 0, -1):
-        now = np.unique(now & mask(k))
-        out.append(key(k, now))
-        out.append(key(k - 1, np.unique(now >> np.uint64(BITS))))
-    return np.unique(np.concatenate(out))
-
-
-def _look(wanted: np.ndarray, keys: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted)), np.ones(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[at] == wanted
-    return np.where(hit, alpha[at], 0.0), np.where(hit, gamma[at], 1.0)
-
-
-def log_probabilities(grams: np.ndarray, *found: np.ndarray) -> np.ndarray:
-    """The model's natural logarithm for each n-gram, from what was ``found``: keys, in order, with alpha and gamma."""
-    p = np.full(len(grams), 1 / CLASSES)
-    for k in range(1, ORDER + 1):
-        g = grams & mask(k)
-        p = _look(key(k, g), *found)[0] + _look(key(k - 1, g >> np.uint64(BITS)), *found)[1] * p
-    return np.log(p)
-
-
-def word_log_probabilities(lines: np.ndarray, *found: np.ndarray) -> np.ndarray:
-    """As ``log_probabilities``, for rows of word hashes."""
-    p = np.full(len(lines), 1 / WORD_CLASSES)
-    for k in range(1, WORD_ORDER + 1):
-        own, context = word_keys(lines, k)
-        p = _look(own, *found)[0] + _look(context, *found)[1] * p
-    return np.log(p)
-
-
-def perplexities(
-    texts: list[str | None], keys: np.ndarray, alpha: np.ndarray, gamma: np.ndarray
-) -> tuple[list[float | None], list[int]]:
-    """Each text's perplexity, and over how many characters."""
-    grams, sizes = ngrams(texts)
-    distinct, inverse = np.unique(grams, return_inverse=True)
-    return _by_text(log_probabilities(distinct, keys, alpha, gamma)[inverse], sizes)
-
-
-def word_perplexities(
-    texts: list[str | None], known: Words, keys: np.ndarray, alpha: np.ndarray, gamma: np.ndarray
-) -> tuple[list[float | None], list[int]]:
-    """Each text's perplexity by words, and over how many."""
-    lines, sizes = word_lines(texts, known)
-    return _by_text(word_log_probabilities(lines, keys, alpha, gamma), sizes)
-
-
-def _by_text(each: np.ndarray, sizes: np.ndarray) -> tuple[list[float | None], list[int]]:
-    if not len(each):
-        return [None] * len(sizes), sizes.tolist()
-    some = np.flatnonzero(sizes)
-    sums = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)])[some])
+def _cost(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
+
+
+# --- scoring -----------------------------------------------------------------------------------
+
+
+def _lines(parts: Iterable[list[str | None]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    known = Words()
+    return [pairs_of(texts, known) for texts in parts]
+
+
+def _keys_of(lines) -> tuple[np.ndarray, np.ndarray, int]:
+    """The distinct words and pairs, ascending, and a checksum of both."""
+    words = np.unique(np.concatenate([np.unique(x) for before, word, _ in lines for x in (before, word)]))
+    pairs = np.unique(np.concatenate([np.unique(pair_keys(before, word)) for before, word, _ in lines]))
+    h = xxhash.xxh3_64(words.tobytes())
+    h.update(pairs.tobytes())
+    return words, pairs, h.intdigest() - (1 << 63)
+
+
+def _asks(shards: int, text: str):
+    """A block's distinct n-grams, in a row for each shard that may know some."""
+    schema = [("shard", pa.int64()), ("block", pa.int64()), ("mark", pa.int64()), ("asked", pa.binary())]
+
+    def run(batches):
+        for i, parts in enumerate(blocks_of(batches, text)):
+            words, pairs, mark = _keys_of(_lines(p.column(text).to_pylist() for p in parts))
+            name = named_block(i)
+            rows = [(k * shards + shard, name, mark, pack(keys[at])) for k, keys in enumerate((words, pairs)) for shard, at in in_shards(keys, shards)]
+            yield _batch(rows, schema)
+        tidy()
+
+    return run
+
+
+def _answers(model: Model):
+    """What a shard knows of the n-grams asked for, in their order, 0 of others.
+
+    Of a pair its count; of a word how often it goes before others, the weight that
+    this leaves to single words, and its own probability.
+    """
+    schema = [("block", pa.int64()), ("shard", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("found", pa.binary())]
+    shards, d1, d2, n_pairs, left = model.shards, model.of_words, model.of_pairs, max(1, model.n_pairs), model.left
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        pairs = asked.num_rows and asked.column("shard")[0].as_py() >= shards
+        keys, values = np.empty(0, np.uint64), np.zeros((1 if pairs else 3, 0), "<f4")
+        for r in known.to_pylist():
+            keys = unpack(r["keys"])
+            if pairs:
+                values = restored(r["values"], "u8", len(keys)).reshape(1, -1).astype("<u4")
+            else:
+                total, once, twice, more, before = restored(r["values"], "u8", SUMS * len(keys)).reshape(SUMS, -1)
+                rest = (d2[0] * once + d2[1] * twice + d2[2] * more) / np.maximum(total, 1)
+                own = (before - _cost(before, d1)) / n_pairs
+                values = np.stack([total, rest, own]).astype("<f4")
+        out = []
+        for r in asked.to_pylist():
+            wanted = unpack(r["asked"])
+            found = np.zeros((len(values), len(wanted)), values.dtype)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == wanted)
+                found[:, hit] = values[:, at[hit]]
+            out.append((r["block"], r["shard"], r["mark"], len(wanted), squeezed(found)))
+        tidy()
+        return pa.Table.from_batches([_batch(out, schema)])
+
+    return run, "block bigint, shard bigint, mark bigint, n bigint, found binary"
+
+
+def _scored(model: Model, text: str, out: StructType):
+    shards, d2 = model.shards, np.array([0.0, *model.of_pairs])
+    unknown = (model.left / model.n_pairs if model.n_pairs else 1.0) / CLASSES
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [pa.ipc.open_stream(raw.as_buffer()).read_all() for raw in left.column("part")]
+        if not parts:
+            raise RuntimeError("a block of texts was read twice and not found again: write the texts out before they are scored")
+        lines = _lines(p.column(text).to_pylist() for p in parts)
+        words, pairs, mark = _keys_of(lines)
+        answers = sorted(right.to_pylist(), key=lambda r: r["shard"])
+        of_words = [restored(r["found"], "f4", 3 * r["n"]).reshape(3, -1) for r in answers if r["shard"] < shards]
+        of_pairs = [restored(r["found"], "u4", r["n"]) for r in answers if r["shard"] >= shards]
+        if sum(map(len, of_pairs)) != len(pairs) or any(r["mark"] != mark for r in answers):
+            raise RuntimeError("a block of texts was read twice and differed: write the texts out before they are scored")
+        total, rest, own = np.concatenate(of_words, axis=1).astype(float) if of_words else np.zeros((3, 0))
+        count = np.concatenate(of_pairs) if of_pairs else np.zeros(0, np.uint32)
+        some = []
+        for part, (before, word, sizes) in zip(parts, lines, strict=True):
+            b = np.searchsorted(words, before)
+            c = count[np.searchsorted(pairs, pair_keys(before, word))]
+            lower = own[np.searchsorted(words, word)] + unknown
+            seen = total[b] > 0
+            p = np.where(seen, (c - d2[np.minimum(c, 3)]) / np.maximum(total[b], 1) + rest[b] * lower, lower)
+            some.append(_with_perplexity(part, np.log(p), sizes))
+        tidy()
+        return pa.concat_tables(some).select(out.names)
+
+    return run
+
+
+def _with_perplexity(part: pa.Table, each: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    full = np.flatnonzero(sizes)
     out: list[float | None] = [None] * len(sizes)
-    for i, x in zip(some.tolist(), np.exp(-sums / sizes[some]).tolist(), strict=True):
-        out[i] = x
-    return out, sizes.tolist()
+    if len(full):
+        sums = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)])[full])
+        for i, x in zip(full.tolist(), np.exp(-sums / sizes[full]).tolist(), strict=True):
+            out[i] = x
+    return part.append_column(ADDED[0], pa.array(out, pa.float64())).append_column(ADDED[1], pa.array(sizes))
 
 
-def score(docs: DataFrame, model: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``perplexity``, null where there is no character, ``n_scored``, and ``word_perplexity`` and ``n_words`` alike.
+def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """``docs`` with ``perplexity``, null where there is no word, and ``n_words``, the text's end included.
 
-    Columns of these names are replaced.
+    ``docs`` are read twice and must be the same both times, as tables are; a
+    checksum of each block's n-grams tells where they aren't, and the job fails.
     """
     ready(docs.sparkSession)
-    kept = docs.drop(*(c for ppl, n, _ in JUDGES for c in (ppl, n)))
-    out = StructType([*kept.schema, *(f for ppl, n, _ in JUDGES for f in (StructField(ppl, DoubleType()), StructField(n, LongType())))])
-
-    def wanted(texts: Iterable[list[str | None]]) -> np.ndarray:
-        grams, known, words = np.empty(0, np.uint64), Words(), []
-        for part in texts:
-            grams = np.union1d(grams, ngrams(part)[0])
-            lines = word_lines(part, known)[0]
-            words.append(np.unique(np.concatenate([word_keys(lines, k)[i] for k in range(1, WORD_ORDER + 1) for i in (0, 1)])))
-        return np.concatenate([keys_of(grams), np.unique(np.concatenate(words))]).view(np.int64)
-
-    def answered(found: pa.Table):
-        keys = found.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, known = keys[order], Words()
-        alpha, gamma = (found.column(c).to_numpy()[order] for c in ("alpha", "gamma"))
-
-        def scored(part: pa.Table) -> pa.Table:
-            texts = part.column(text).to_pylist()
-            both = perplexities(texts, keys, alpha, gamma), word_perplexities(texts, known, keys, alpha, gamma)
-            for (ppl_name, n_name, _), (ppl, n) in zip(JUDGES, both, strict=True):
-                part = part.append_column(ppl_name, pa.array(ppl, pa.float64())).append_column(n_name, pa.array(n, pa.int64()))
-            return part
-
-        return scored
-
-    return block_join(kept, model, text, wanted, pa.int64(), answered, out)
-
-
-def limits(
-    scored: DataFrame, held_out: Column, lang: str = "lang", judge: tuple[str, str, int] = JUDGES[0]
-) -> tuple[DataFrame, tuple[float | None, float | None]]:
-    """(language, median, limit) where enough held-out trusted texts show them, and those of all languages together.
-
-    Short texts scatter more, so a text's log-perplexity is first drawn towards
-    its language's median by the weight of ``PRIOR`` characters, or as many words.
+    kept = docs.drop(*ADDED)
+    out = StructType([*kept.schema, StructField(ADDED[0], DoubleType()), StructField(ADDED[1], LongType())])
+    asks = kept.mapInArrow(_asks(model.shards, text), "shard bigint, block bigint, mark bigint, asked binary")
+    run, schema = _answers(model)
+    answers = cut(asks.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(run, schema).filter("n > 0"))
+
+    def packs(batches):
+        for i, parts in enumerate(blocks_of(batches, text)):
+            name = named_block(i)
+            for p in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([packed(p)], pa.binary())], names=["block", "part"])
+
+    blocks = kept.mapInArrow(packs, "block bigint, part binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(model, text, out), out)
+
+
+# --- judging -----------------------------------------------------------------------------------
+
+
+def drawn(log: Column, n: Column, mid: Column) -> Column:
+    return (log * n + mid * PRIOR) / (n + PRIOR)
+
+
+def limits(scored: DataFrame, held_out: Column, lang: str = "lang") -> tuple[DataFrame, tuple[float | None, float | None]]:
+    """(language, median, limit) of the held-out trusted texts, and median and limit of all languages together.
+
+    Short texts scatter more, so a text's log-perplexity is first drawn towards its
+    language's median by the weight of ``PRIOR`` words.  A language's median and
+    limit are drawn towards those of all languages by ``LEAST_TEXTS`` texts.
     """
-    ppl, n, prior = judge
-    log = F.ln(ppl)
-    x = scored.filter(held_out & F.col(ppl).isNotNull()).select(F.col(lang).alias("__lang"), log.alias("l"), F.col(n).alias("n_scored"))
+    x = scored.filter(held_out & F.col("perplexity").isNotNull()).select(F.col(lang).alias("__lang"), F.ln("perplexity").alias("l"), "n_words")
     middle = lambda: F.percentile_approx("l", 0.5, 10_000)
-    medians = x.groupBy("__lang").agg(middle().alias("__mid"), F.count("*").alias("n")).filter(f"n >= {LEAST_TEXTS} and __lang is not null")
+    high = lambda mid: F.percentile_approx(drawn(F.col("l"), F.col("n_words"), mid), HIGH, 10_000)
     of_all = x.agg(middle().alias("mid")).first().mid
-    high = lambda mid: F.percentile_approx(drawn(F.col("l"), F.col("n_scored"), mid, prior), HIGH, 10_000) + MARGIN
-    own = x.join(medians.drop("n"), "__lang").groupBy("__lang", "__mid").agg(high(F.col("__mid")).alias("__limit"))
-    whole = None if of_all is None else x.agg(high(F.lit(of_all)).alias("limit")).first().limit
-    return own, (of_all, whole)
-
-
-def drawn(log: Column, n: Column, mid: Column, prior: int = PRIOR) -> Column:
-    return (log * n + mid * prior) / (n + prior)
+    if of_all is None:
+        return x.select("__lang", F.lit(0.0).alias("__mid"), F.lit(0.0).alias("__limit")), (None, None)
+    whole = x.agg(high(F.lit(of_all)).alias("limit")).first().limit + MARGIN
+    shrunk = lambda own, all_: (own * F.col("n") + all_ * LEAST_TEXTS) / (F.col("n") + LEAST_TEXTS)
+    medians = x.filter("__lang is not null").groupBy("__lang").agg(middle().alias("m"), F.count("*").alias("n"))
+    medians = medians.select("__lang", "n", shrunk(F.col("m"), of_all).alias("__mid"))
+    few = medians.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    own = x.join(F.broadcast(medians) if few else medians, "__lang").groupBy("__lang", "__mid", "n").agg((high(F.col("__mid")) + MARGIN).alias("h"))
+    return own.select("__lang", "__mid", shrunk(F.col("h"), whole).alias("__limit")), (of_all, whole)
 
 
 def judged(scored: DataFrame, held_out: Column, lang: str = "lang") -> DataFrame:
-    """``scored`` with ``rejected``; a text is rejected without a perplexity or where either lies beyond its language's limit."""
-    joined, rejected = scored, F.col("perplexity").isNull()
-    for i, (ppl, n, prior) in enumerate(JUDGES):
-        own, (mid, limit) = limits(scored, held_out, lang, (ppl, n, prior))
-        own = own.toDF(f"__lang{i}", f"__mid{i}", f"__limit{i}")
-        few = own.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-        joined = joined.join(F.broadcast(own) if few else own, F.col(lang) == F.col(f"__lang{i}"), "left")
-        log = drawn(F.ln(ppl), F.col(n), F.coalesce(f"__mid{i}", F.lit(mid).cast("double")), prior)
-        rejected = rejected | F.coalesce(log > F.coalesce(f"__limit{i}", F.lit(limit).cast("double")), F.lit(False))
-    return joined.withColumn("rejected", rejected).drop(*(f"__{c}{i}" for i in range(len(JUDGES)) for c in ("lang", "mid", "limit")))
+    """``scored`` with ``rejected``: no perplexity, or one beyond its language's limit."""
+    own, (mid, limit) = limits(scored, held_out, lang)
+    few = own.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    joined = scored.join(F.broadcast(own) if few else own, F.col(lang) == F.col("__lang"), "left")
+    log = drawn(F.ln("perplexity"), F.col("n_words"), F.coalesce("__mid", F.lit(mid).cast("double")))
+    beyond = F.coalesce(log > F.coalesce("__limit", F.lit(limit).cast("double")), F.lit(False))
+    return joined.withColumn("rejected", F.col("perplexity").isNull() | beyond).drop("__lang", "__mid", "__limit")
 
 
 def marked(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -418,11 +452,10 @@ def marked(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFr
 def classify(
     docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep_text: bool = True
 ) -> DataFrame:
-    """``docs`` with ``trusted``, ``held_out``, the columns of ``score`` and ``rejected``, read back from the shared folder.
+    """``docs`` with ``perplexity``, ``n_words``, ``trusted``, ``held_out`` and ``rejected``, read back from the shared folder.
 
     ``keep_text``: whether the text stays among the columns.
     """
-    known = marked(docs, labels, doc_id)
-    model = train(known.filter("trusted and not held_out"), text)
-    scored = score(known, model, text=text)
-    return judged(cut(scored if keep_text else scored.drop(text)), F.col("held_out"), lang)
+    model = train(marked(docs, labels, doc_id).filter("trusted and not held_out"), text)
+    scored = score(docs, model, text=text)
+    return judged(marked(cut(scored if keep_text else scored.drop(text)), labels, doc_id), F.col("held_out"), lang)

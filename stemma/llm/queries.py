@@ -43,7 +43,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality_model.classify(docs, table(spark, sf_dir, "labels"), keep_text=False)
-    return judged.select("doc_id", "lang", "perplexity", "n_scored", "word_perplexity", "n_words", (~F.col("rejected")).alias("kept"))
+    return judged.select("doc_id", "lang", "perplexity", "n_words", (~F.col("rejected")).alias("kept"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

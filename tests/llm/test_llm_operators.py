@@ -79,7 +79,7 @@ OPERATORS = {
     "bpe": lambda d, **_: byte_bpe.encode_decode(d, BYTE_RANKS, PATTERN),
 }
 #: Names that the operators add.
-ADDED = ("lang_pred", "score", "perplexity", "n_scored", "kept", "n_words", "n_entities", "n_tokens", "hit_items", "findings", "rejected", "trusted", "held_out")
+ADDED = ("lang_pred", "score", "perplexity", "kept", "n_words", "n_entities", "n_tokens", "hit_items", "findings", "rejected", "trusted", "held_out")
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -129,42 +129,59 @@ def test_prototype_is_the_bundle():
 # --- 2 -----------------------------------------------------------------------------------------
 
 
-def brute_perplexity(train, text):
-    """Interpolated modified Kneser-Ney from dictionaries of tuples."""
-    n = quality_model.ORDER
-    grams = lambda t: [tuple(([0] * (n - 1) + [int(x) for x in quality_model.symbols(t)] + [1])[i : i + n]) for i in range(len(quality_model.symbols(t)) + 1)] if len(quality_model.symbols(t)) else []
-    counts = {n: Counter(g for t in train for g in grams(t))}
-    for k in range(n - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    d = {k: quality_model.discount(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4))) for k, c in counts.items()}
-    of = lambda k, c: d[k][min(c, 3) - 1]
-    total, left = defaultdict(int), defaultdict(float)
-    for k, c in counts.items():
-        for g, x in c.items():
-            total[k, g[:-1]] += x
-            left[k, g[:-1]] += of(k, x)
-
-    def p(g):
-        k = len(g)
-        if k == 0:
-            return 1 / quality_model.CLASSES
-        lower = p(g[1:])
-        t = total[k, g[:-1]]
-        x = counts[k][g]
-        return lower if not t else ((x - of(k, x)) / t if x else 0) + left[k, g[:-1]] / t * lower
-
-    g = grams(text)
-    return math.exp(-sum(math.log(p(x)) for x in g) / len(g)) if g else None
-
-
-def test_perplexity(spark):
-    train = [" ".join(WORDS), " ".join(WORDS[::-1]), "the the old old fox 77", " ".join(WORDS * 2)]
-    tests = ["the fox", "zzz qqq", None, "", " ".join(WORDS[3:9]), "ünknown 5\n\n6"]
-    model = quality_model.train(spark.createDataFrame([(t,) for t in train], "text string"))
-    got = quality_model.score(spark.createDataFrame([(i, t) for i, t in enumerate(tests)], "i int, text string"), model)
+def brute_model(train):
+    """Interpolated modified Kneser-Ney of word pairs, from dictionaries."""
+    plain = lambda t: [re.sub("[0-9]", "0", w) for w in re.sub("([\u3040-\u30ff\u3400-\u9fff])", r" \1 ", t or "").split()]
+    grams = lambda t: list(itertools.pairwise(["<", *plain(t), ">"])) if plain(t) else []
+    pairs = Counter(g for t in train for g in grams(t))
+    single = Counter(w for _, w in pairs)
+    of = lambda c: quality_model.discount(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4)))
+    d1, d2, after = of(single), of(pairs), defaultdict(dict)
+    for (v, w), c in pairs.items():
+        after[v][w] = c
+
+    def p(v, w):
+        n = sum(single.values())
+        own = (single[w] - d1[min(single[w], 3) - 1]) / n if w in single else 0.0
+        lower = own + (sum(d1[min(c, 3) - 1] for c in single.values()) / n if n else 1.0) / quality_model.CLASSES
+        if v not in after:
+            return lower
+        c, total = after[v].get(w, 0), sum(after[v].values())
+        return ((c - d2[min(c, 3) - 1] if c else 0) + sum(d2[min(x, 3) - 1] for x in after[v].values()) * lower) / total
+
+    return lambda text: (math.exp(-sum(math.log(p(*g)) for g in grams(text)) / len(grams(text))) if grams(text) else None, len(grams(text)))
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_perplexity(spark, shards):
+    train = [" ".join(WORDS), " ".join(WORDS[::-1]), "the the old old fox 77", " ".join(WORDS * 2), "日本語 テキスト", *TEXTS[:8]]
+    tests = ["the fox", "zzz qqq", None, "", " ", " ".join(WORDS[3:9]), "ünknown 5\n\n6", "the the the the old fox 12", "日本", LONG]
+    model = quality_model.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), shards=shards)
+    got = quality_model.score(spark.createDataFrame([(i, t, "x") for i, t in enumerate(tests)], "i int, text string, n_words string"), model)
+    want = brute_model(train)
     for r in got.collect():
-        want = brute_perplexity(train, tests[r.i])
-        assert r.perplexity is None if want is None else math.isclose(r.perplexity, want, rel_tol=1e-4)
+        ppl, n = want(tests[r.i])
+        assert r.n_words == n
+        assert r.perplexity is None if ppl is None else math.isclose(r.perplexity, ppl, rel_tol=1e-4)
+
+
+def test_limits_and_verdicts_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(np.exp(rng.normal(5 + (i % 3), 0.4))) if i % 17 else None, int(rng.integers(5, 200)), ("en", "de", None)[i % 3], i % 2 == 0) for i in range(1500)]
+    got = quality_model.judged(spark.createDataFrame(rows, "doc_id int, perplexity double, n_words bigint, lang string, held boolean"), F.col("held")).collect()
+    held = [(math.log(p), n, lang) for _, p, n, lang, h in rows if h and p]
+    at = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    pull = lambda x, n, mid: (x * n + mid * quality_model.PRIOR) / (n + quality_model.PRIOR)
+    mid = at([x for x, _, _ in held], 0.5)
+    top = at([pull(x, n, mid) for x, n, _ in held], quality_model.HIGH) + quality_model.MARGIN
+    of = {None: (mid, top)}
+    for lang in ("en", "de"):
+        own = [(x, n) for x, n, y in held if y == lang]
+        mix = lambda a, b: (a * len(own) + b * quality_model.LEAST_TEXTS) / (len(own) + quality_model.LEAST_TEXTS)
+        m = mix(at([x for x, _ in own], 0.5), mid)
+        of[lang] = m, mix(at([pull(x, n, m) for x, n in own], quality_model.HIGH) + quality_model.MARGIN, top)
+    assert {r.doc_id: r.rejected for r in got} == {i: p is None or pull(math.log(p), n, of[lang][0]) > of[lang][1] for i, p, n, lang, _ in rows}
+    assert any(r.rejected and r.perplexity for r in got)
 
 
 def test_quality_rejects_junk(spark):
@@ -177,35 +194,6 @@ def test_quality_rejects_junk(spark):
     assert gone >= {j[0] for j in junk} and len(gone) <= 20 + 7
 
 
-def test_word_perplexity(spark):
-    """The three-word model against dictionaries of tuples."""
-    train = [" ".join(WORDS), " ".join(WORDS[::-1]), "the the old old fox 77", " ".join(WORDS * 2)]
-    tests = ["the fox", "zzz qqq", None, " ", " ".join(WORDS[3:9]), "the the the the old fox 12"]
-    plain = lambda t: [re.sub("[0-9]", "0", w) for w in (t or "").split()]
-    grams = lambda t: [tuple(["<", "<", *plain(t), ">"][i : i + 3]) for i in range(len(plain(t)) + 1)] if plain(t) else []
-    counts = {3: Counter(g for t in train for g in grams(t))}
-    for k in (2, 1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    d = {k: quality_model.discount(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4))) for k, c in counts.items()}
-
-    def p(g):
-        if not g:
-            return 1 / quality_model.WORD_CLASSES
-        after = {h: c for h, c in counts[len(g)].items() if h[:-1] == g[:-1]}
-        cost = lambda c: d[len(g)][min(c, 3) - 1]
-        if not after:
-            return p(g[1:])
-        x = after.get(g, 0)
-        return ((x - cost(x) if x else 0) + sum(map(cost, after.values())) * p(g[1:])) / sum(after.values())
-
-    model = quality_model.train(spark.createDataFrame([(t,) for t in train], "text string"))
-    got = quality_model.score(spark.createDataFrame([(i, t) for i, t in enumerate(tests)], "i int, text string"), model)
-    for r in got.collect():
-        g = grams(tests[r.i])
-        assert r.n_words == len(g)
-        assert r.word_perplexity is None if not g else math.isclose(r.word_perplexity, math.exp(-sum(math.log(p(x)) for x in g) / len(g)), rel_tol=1e-4)
-
-
 def test_quality_rejects_repeated_words(spark):
     rng = np.random.default_rng(3)
     follow = {w: list(rng.choice(WORDS, 3)) for w in WORDS}
