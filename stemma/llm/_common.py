@@ -58,10 +58,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, to: str | None = None) -> DataFrame:
+def cut(df: DataFrame, to: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a plan that lost executors can't undo.
 
     The shuffle files of the job that wrote it are of no more use and go at its end.
+    ``by``: columns whose values name the table's folders.
     """
     spark = df.sparkSession
     to = to or shared_dir(spark)
@@ -69,12 +70,18 @@ def cut(df: DataFrame, to: str | None = None) -> DataFrame:
     before = spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.mode("overwrite").parquet(to)
+        df.write.mode("overwrite").partitionBy(*by).parquet(to)
     finally:
         spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(schema).parquet(to)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a table in the shared folder that no plan reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ._common import blocks_of, cut, named_block, packed, ready, slices, tidy
+from ._common import blocks_of, cut, discard, named_block, packed, ready, shared_dir, slices, tidy
 
 #: Bits of a word's and of a pair's hash.
 KEY_BITS = 48
@@ -62,7 +62,11 @@ PACKED = "shard bigint, keys binary, values binary"
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
-    return (text if text.isascii() else UNSPACED.sub(r" \g<0> ", text)).split()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        text = UNSPACED.sub(r" \g<0> ", text)
+    return text.split()
 
 
 class Words(dict):
@@ -76,8 +80,8 @@ class Words(dict):
         return h
 
 
-def pairs_of(texts: Iterable[str | None], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word and each text's end, with the word before it, and how many each text has."""
+def line_of(texts: Iterable[str | None], known: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' words in one line, each text between a 0 and a 1, and how many words and ends each has."""
     line, sizes = [], []
     for t in texts:
         words = words_of(t)
@@ -86,9 +90,13 @@ def pairs_of(texts: Iterable[str | None], known: Words) -> tuple[np.ndarray, np.
             line.append(0)
             line.extend(map(known.__getitem__, words))
             line.append(1)
-    line = np.array(line, np.uint64)
-    here = np.flatnonzero(line[1:])
-    return line[:-1][here], line[1:][here], np.array(sizes, np.int64)
+    return np.array(line, np.uint64), np.array(sizes, np.int64)
+
+
+def pairs_of(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word and each text's end, with the word before it."""
+    here = np.flatnonzero(line)
+    return line[here - 1], line[here]
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -102,26 +110,33 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values), codec="zstd", asbytes=True)
+    """Compressed, all first bytes in front, as the high ones are alike."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
 
 
 def restored(raw: bytes, kind: str, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd"), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Ascending numbers as differences of equal width."""
+    """Ascending numbers as differences: their low bytes as they are, the highest compressed."""
     steps = np.diff(keys)
-    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    return int(keys[0]).to_bytes(8, "little") + bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    low = max(0, (int(steps.max(initial=0)).bit_length() - 1) // 8)
+    planes = steps.view(np.uint8).reshape(-1, 8)
+    high = pa.compress(np.ascontiguousarray(planes[:, low]), codec="zstd", asbytes=True)
+    head = np.array([keys[0], len(steps), low, len(high)], np.uint64)
+    return head.tobytes() + high + planes[:, :low].tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    width = raw[8]
-    steps = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
-    out = np.zeros((len(steps) + 1, 8), np.uint8)
-    out[1:, :width] = steps
+    first, n, low, size = np.frombuffer(raw, np.uint64, 4).tolist()
+    out = np.zeros((n + 1, 8), np.uint8)
     out[0] = np.frombuffer(raw, np.uint8, 8)
+    out[1:, low] = np.frombuffer(pa.decompress(raw[32 : 32 + size], n, codec="zstd"), np.uint8)
+    out[1:, :low] = np.frombuffer(raw, np.uint8, offset=32 + size).reshape(n, low)
     return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
 
@@ -153,6 +168,7 @@ class Model:
     of_pairs: tuple[float, float, float]
     n_pairs: int
     left: float
+    folders: tuple[str, ...]
 
 
 _TRAINED = f"{PACKED}, n bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"
@@ -176,16 +192,14 @@ def _count_pairs(shards: int, text: str):
         for shard, at in in_shards(keys, shards):
             b, w, c = before[first[at]], word[first[at]], count[at].astype(np.uint32)
             order = np.argsort(b, kind="stable")
-            six = (np.ascontiguousarray(x[order].view(np.uint8).reshape(-1, 8)[:, :6]) for x in (b, w))
-            rows.append((shard, len(b), *map(squeezed, six), squeezed(c[order])))
+            rows.append((shard, len(b), squeezed(b[order]), squeezed(w[order]), squeezed(c[order])))
         return _batch(rows, schema)
 
     def run(batches):
         held, size, known = [], 0, Words()
         for part in slices(batches, text):
-            before, word, _ = pairs_of(part[text], known)
-            held.append((before, word))
-            size += len(word)
+            held.append(pairs_of(line_of(part[text], known)[0]))
+            size += len(held[-1][0])
             if size >= PART_WORDS:
                 yield emitted(held)
                 held, size = [], 0
@@ -196,18 +210,12 @@ def _count_pairs(shards: int, text: str):
     return run
 
 
-def _whole(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = restored(raw, "u1", 6 * n).reshape(n, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _sum_pairs(shards: int):
     """A shard's pairs with their counts in all texts, and what they add to the words' sums, a row for each shard of these."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        before, word = (np.concatenate([_whole(r[c], r["n"]) for r in rows]) for c in ("before", "word"))
+        before, word = (np.concatenate([restored(r[c], "u8", r["n"]) for r in rows]) for c in ("before", "word"))
         count = np.concatenate([restored(r["count"], "u4", r["n"]) for r in rows])
         keys, first, inverse = np.unique(pair_keys(before, word), return_index=True, return_inverse=True)
         count = np.bincount(inverse, count, len(keys)).astype(np.uint64)
@@ -241,14 +249,18 @@ def train(trusted: DataFrame, text: str = "text", shards: int | None = None) ->
         size = trusted.agg(F.sum(F.octet_length(text))).first()[0] or 0
         shards = 8 + size * 3 // SHARD_BYTES
     parts = trusted.select(text).mapInArrow(_count_pairs(shards, text), "shard bigint, n bigint, before binary, word binary, count binary")
-    first = cut(parts.groupBy("shard").applyInArrow(_sum_pairs(shards), _TRAINED))
-    of_pairs = first.filter(F.col("shard") >= shards)
-    of_words = cut(first.filter(F.col("shard") < shards).groupBy("shard").applyInArrow(_sum_words, _TRAINED))
+    spark = trusted.sparkSession
+    to, also = shared_dir(spark), shared_dir(spark)
+    first = parts.groupBy("shard").applyInArrow(_sum_pairs(shards), _TRAINED).withColumn("pairs", (F.col("shard") >= shards).cast("int"))
+    first = cut(first, to, ("pairs",))
+    of_pairs = first.filter("pairs = 1")
+    of_words = cut(first.filter("pairs = 0").drop("pairs").groupBy("shard").applyInArrow(_sum_words, _TRAINED), also)
+    discard(spark, f"{to}/pairs=0")
     sums = [t.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n1", "n2", "n3", "n4"))).first() for t in (of_words, of_pairs)]
     d1, d2 = (discount(s.n1, s.n2, s.n3, s.n4) for s in sums)
     left = d1[0] * sums[0].n1 + d1[1] * sums[0].n2 + d1[2] * (sums[0].n - sums[0].n1 - sums[0].n2)
     names = ("shard", "keys", "values")
-    return Model(of_words.select(*names).union(of_pairs.select(*names)), shards, d1, d2, sums[1].n, left)
+    return Model(of_words.select(*names).union(of_pairs.select(*names)), shards, d1, d2, sums[1].n, left, (to, also))
 
 
 def discount(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -267,18 +279,17 @@ def _cost(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 # --- scoring -----------------------------------------------------------------------------------
 
 
-def _lines(parts: Iterable[list[str | None]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    known = Words()
-    return [pairs_of(texts, known) for texts in parts]
-
-
-def _keys_of(lines) -> tuple[np.ndarray, np.ndarray, int]:
-    """The distinct words and pairs, ascending, and a checksum of both."""
-    words = np.unique(np.concatenate([np.unique(x) for before, word, _ in lines for x in (before, word)]))
-    pairs = np.unique(np.concatenate([np.unique(pair_keys(before, word)) for before, word, _ in lines]))
+def _mark(words: np.ndarray, pairs: np.ndarray) -> int:
     h = xxhash.xxh3_64(words.tobytes())
     h.update(pairs.tobytes())
-    return words, pairs, h.intdigest() - (1 << 63)
+    return h.intdigest() - (1 << 63)
+
+
+def _block_line(parts, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A block's texts in one line, and the sizes of those of each part."""
+    known = Words()
+    lines = [line_of(p.column(text).to_pylist(), known) for p in parts]
+    return np.concatenate([x for x, _ in lines]), [n for _, n in lines]
 
 
 def _asks(shards: int, text: str):
@@ -287,8 +298,9 @@ def _asks(shards: int, text: str):
 
     def run(batches):
         for i, parts in enumerate(blocks_of(batches, text)):
-            words, pairs, mark = _keys_of(_lines(p.column(text).to_pylist() for p in parts))
-            name = named_block(i)
+            line, _ = _block_line(parts, text)
+            words, pairs = np.unique(line), np.unique(pair_keys(*pairs_of(line)))
+            name, mark = named_block(i), _mark(words, pairs)
             rows = [(k * shards + shard, name, mark, pack(keys[at])) for k, keys in enumerate((words, pairs)) for shard, at in in_shards(keys, shards)]
             yield _batch(rows, schema)
         tidy()
@@ -340,8 +352,10 @@ def _scored(model: Model, text: str, out: StructType):
         parts = [pa.ipc.open_stream(raw.as_buffer()).read_all() for raw in left.column("part")]
         if not parts:
             raise RuntimeError("a block of texts was read twice and not found again: write the texts out before they are scored")
-        lines = _lines(p.column(text).to_pylist() for p in parts)
-        words, pairs, mark = _keys_of(lines)
+        line, sizes = _block_line(parts, text)
+        words, of_line = np.unique(line, return_inverse=True)
+        pairs, of_pair = np.unique(pair_keys(*pairs_of(line)), return_inverse=True)
+        mark = _mark(words, pairs)
         answers = sorted(right.to_pylist(), key=lambda r: r["shard"])
         of_words = [restored(r["found"], "f4", 3 * r["n"]).reshape(3, -1) for r in answers if r["shard"] < shards]
         of_pairs = [restored(r["found"], "u4", r["n"]) for r in answers if r["shard"] >= shards]
@@ -349,14 +363,14 @@ def _scored(model: Model, text: str, out: StructType):
             raise RuntimeError("a block of texts was read twice and differed: write the texts out before they are scored")
         total, rest, own = np.concatenate(of_words, axis=1).astype(float) if of_words else np.zeros((3, 0))
         count = np.concatenate(of_pairs) if of_pairs else np.zeros(0, np.uint32)
-        some = []
-        for part, (before, word, sizes) in zip(parts, lines, strict=True):
-            b = np.searchsorted(words, before)
-            c = count[np.searchsorted(pairs, pair_keys(before, word))]
-            lower = own[np.searchsorted(words, word)] + unknown
-            seen = total[b] > 0
-            p = np.where(seen, (c - d2[np.minimum(c, 3)]) / np.maximum(total[b], 1) + rest[b] * lower, lower)
-            some.append(_with_perplexity(part, np.log(p), sizes))
+        here = np.flatnonzero(line)
+        before, c = of_line[here - 1], count[of_pair]
+        lower = own[of_line[here]] + unknown
+        p = np.where(total[before] > 0, (c - d2[np.minimum(c, 3)]) / np.maximum(total[before], 1) + rest[before] * lower, lower)
+        log, some = np.log(p), []
+        for part, n in zip(parts, sizes, strict=True):
+            some.append(_with_perplexity(part, log[: n.sum()], n))
+            log = log[n.sum() :]
         tidy()
         return pa.concat_tables(some).select(out.names)
 
@@ -458,4 +472,6 @@ def classify(
     """
     model = train(marked(docs, labels, doc_id).filter("trusted and not held_out"), text)
     scored = score(docs, model, text=text)
+    for folder in model.folders:  # what the blocks asked for has been written out
+        discard(docs.sparkSession, folder)
     return judged(marked(cut(scored if keep_text else scored.drop(text)), labels, doc_id), F.col("held_out"), lang)
