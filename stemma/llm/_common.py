@@ -82,6 +82,21 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables of one job in the shared folder, deleted by ``clear`` when its last one has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.folders.append(shared_dir(self.spark))
+        return cut(df, self.folders[-1])
+
+    def clear(self) -> None:
+        while self.folders:
+            discard(self.spark, self.folders.pop())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

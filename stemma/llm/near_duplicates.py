@@ -14,8 +14,9 @@ class is what links connect.  The steps:
 3.  Members of buckets that still hold two classes or more go through an exact
     join: shingles are ordered from rare to frequent, and a pair that is similar
     enough shares one among the first few of both, as many as their sizes allow
-    to differ.  So no link between classes is lost, and members of one large
-    group that differ by their own edits don't meet.
+    to differ.  So no link between classes is lost.  A shingle that many members
+    have among their first is dealt out in blocks of members, and there a pair
+    must pass step 4's test to leave the join.
 4.  A compared pair must pass the sizes' ratio and the sketches' XOR count before
     its texts are brought together and the full sets confirm it.  Two MinHash
     samples that differ flip two bits at most, so that the limit on the count
@@ -24,10 +25,17 @@ class is what links connect.  The steps:
 The number of bands follows from the threshold: a pair at the threshold shares
 no band with a probability below ``MISS``.
 
+Keys that many rows share (a representative that holds a large bucket together, a
+node with many links) are broadcast with what belongs to them, or their rows
+salted, so that no task gets them all.
+
 Edge cases: texts that are null or wordless have an empty set and are alone; a
 text with fewer words than a shingle is one shingle of all of them; a row with a
 null doc_id isn't compared, has a null component and is kept; repeated rows of
-one doc_id are all kept or all dropped together; an empty table gives no rows.
+one doc_id and text are kept or dropped together; rows of one doc_id with
+different texts are documents of their own, told apart by ``text_hash``, which
+share only the number; an empty table gives no rows; columns of ``docs`` other than
+these two play no part; a text must fit into a task's memory.
 """
 
 from __future__ import annotations
@@ -42,20 +50,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, ready, slices, tidy
+from ._common import Scratch, cut, discard, ready, shared_dir, slices, tidy
 
 ROWS = 5
 #: Probability with which a pair at the threshold may be missed, for the bands and for the sketches.
 MISS = 1e-6
 SKETCH_BITS = 512
-#: Candidates of one representative that are verified beside one copy of its text.
-SPLIT = 2000
+#: Rows of one key that one task may get, and keys with more of them that may be broadcast.
+SPLIT, BROADCAST_KEYS = 2000, 1_000_000
+#: Members with one shingle among their first from which on they are dealt out in blocks, and a block's size.
+HOT, HOT_BLOCK = 100, 1000
 WORDS_KEPT = 250_000
 #: Counters of shingles that order them from rare to frequent.
 SLOTS = 1 << 20
 _LANES = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-SIGNATURE = f"id bigint, size bigint, k0 bigint, k1 bigint, bands array<bigint>, {', '.join(f'{s} bigint' for s in _LANES)}"
+SIGNATURE = f"id bigint, text_hash bigint, size bigint, k0 bigint, k1 bigint, bands array<bigint>, {', '.join(f'{s} bigint' for s in _LANES)}"
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -165,23 +175,29 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(part["i"], pa.int64()),
+                        pa.array(part["h"], pa.int64()),
                         pa.array(sizes, pa.int64()),
                         *(pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)),
                         pa.array(band_col, pa.list_(pa.int64())),
                         *(pa.array(lanes[:, j]) for j in range(len(_LANES))),
                     ],
-                    names=["id", "size", "k0", "k1", "bands", *_LANES],
+                    names=["id", "text_hash", "size", "k0", "k1", "bands", *_LANES],
                 )
         _KNOWN.clear()
         tidy()
 
-    rows_in = docs.select(F.col(doc_id).cast("bigint").alias("i"), F.col(text).alias("t")).filter("i is not null")
+    rows_in = docs.select(F.col(doc_id).cast("bigint").alias("i"), text_hash(text).alias("h"), F.col(text).alias("t")).filter("i is not null")
     return rows_in.mapInArrow(run, SIGNATURE)
 
 
+def text_hash(text: str = "text") -> Column:
+    """What tells different texts of one doc_id apart; null texts are empty ones."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _near(left: str, right: str, percent: int, samples: int) -> Column:
     """The cheap test of a pair: sizes that allow the similarity, and sketches that differ little enough."""
-    a, b = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
+    a, b = (lambda c: F.col(f"{left}{c}")), (lambda c: F.col(f"{right}{c}"))
     differing = reduce(lambda x, y: x + y, (F.bit_count(a(s).bitwiseXOR(b(s))) for s in _LANES))
     ratio = F.least(a("size"), b("size")) * 100 >= F.greatest(a("size"), b("size")) * percent
     return ratio & (differing <= 2 * most_differing(percent, samples))
@@ -232,23 +248,64 @@ def _prefixes(members: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
     return whole.mapInArrow(run, "token bigint, at bigint, id bigint, label bigint, size bigint")
 
 
-def _across(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of different labels that share a shingle early enough to be similar."""
-    x, y = prefixes.alias("x"), prefixes.alias("y")
-    total = (F.col("x.size") + F.col("y.size")) * percent
-    least = F.floor((total + 99 + percent) / (100 + percent)).cast("bigint")
-    near = F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
-    early = (F.col("x.at") <= F.col("x.size") - least) & (F.col("y.at") <= F.col("y.size") - least)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & near & early)
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def _across(prefixes: DataFrame, sketch: DataFrame, percent: int, samples: int) -> DataFrame:
+    """Distinct pairs (a, b) of different labels that share a shingle early enough to be similar.
 
+    A shingle that more than ``HOT`` members share is met block by block: each of
+    its members goes to all blocks, and only pairs whose sketches agree come out.
+    """
+    x, y = F.col("x.size"), F.col("y.size")
+    least = F.floor(((x + y) * percent + 99 + percent) / (100 + percent)).cast("bigint")
+    ratio = F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    early = (F.col("x.at") <= x - least) & (F.col("y.at") <= y - least)
+    fits = (F.col("x.label") < F.col("y.label")) & ratio & early
+    pair = F.col("x.id").alias("a"), F.col("y.id").alias("b")
+
+    of = prefixes.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    shared = prefixes.join(of.select("token", "n"), "token")
+    few = shared.filter(F.col("n") <= HOT)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & fits).select(*pair)
+
+    blocks = F.ceil(F.col("n") / HOT_BLOCK)
+    hot = shared.filter(F.col("n") > HOT).join(sketch.drop("size"), "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other")
+    left = hot.select("*", every).withColumnsRenamed({"own": "g", "other": "h"}).alias("x")
+    right = hot.select("*", every).withColumnsRenamed({"own": "h", "other": "g"}).alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.h") == F.col("y.h"))
+    return pairs.union(left.join(right, same & fits & _near("x.", "y.", percent, samples)).select(*pair)).distinct()
+
+
+def _hot_keys(keep: DataFrame) -> DataFrame | None:
+    """``keep`` (key, n, ...) for the keys with more than ``SPLIT`` rows, where these are few enough to be broadcast and not none."""
+    hot = keep.filter(F.col("n") > SPLIT)
+    n = hot.limit(BROADCAST_KEYS + 1).count()
+    return hot if 0 < n <= BROADCAST_KEYS else None
+
+
+def _join_by(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has how many rows a key has as ``n``: the frequent keys by broadcast."""
+    hot = _hot_keys(per_key)
+    if hot is None:
+        return rows.join(per_key, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(F.col("n") <= SPLIT), key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def _salted(pairs: DataFrame, right: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) joined with ``right`` (b, ...): rows of a ``b`` with many pairs are copied, one for every ``SPLIT`` of them."""
+    per_b = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    hot = _hot_keys(per_b)
+    if hot is None:
+        return pairs.join(right, "b")
+    copies = F.broadcast(hot.select("b", F.ceil(F.col("n") / SPLIT).alias("copies")))
+    salt = F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1).cast("bigint")))
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("copies", F.lit(1).cast("bigint")) - 1))
+    spread = pairs.join(copies, "b", "left").withColumn("salt", salt).drop("copies")
+    return spread.join(right.join(copies, "b", "left").withColumn("salt", each).drop("copies"), ["b", "salt"]).drop("salt")
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
 
-    A ``b`` with many pairs has its text copied once for every ``SPLIT`` of them,
-    so that no task gets all pairs of one representative.
-    """
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
 
     def run(batches):
         @lru_cache(64)
@@ -265,13 +322,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
         _KNOWN.clear()
         tidy()
 
-    of_b = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).alias("copies"))
-    copied = of_b.join(texts.withColumnRenamed("id", "b").withColumnRenamed("t", "tb"), "b").select(
-        "b", "tb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("salt")
-    )
-    salted = pairs.join(of_b, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).alias("salt"))
-    with_b = salted.join(copied, ["b", "salt"])
-    both = with_b.join(texts.withColumnRenamed("id", "a").withColumnRenamed("t", "ta"), "a")
+    with_b = _salted(pairs, texts.withColumnsRenamed({"id": "b", "t": "tb"}))
+    both = with_b.join(texts.withColumnsRenamed({"id": "a", "t": "ta"}), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -282,17 +334,18 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     the lesser ones; each round is written out, and the rounds end when none
     changes the edges.  Only a count and a checksum come to the driver.
     """
-    now = cut(
-        edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u > v").distinct()
-    )
+    spark, folders = edges.sparkSession, [shared_dir(edges.sparkSession)]
+    now = cut(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u > v").distinct(), folders[0])
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _join_by(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))  # a node's links go to least ones, few each
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.u", "e.v").filter("u > v").distinct())
+        folders.append(shared_dir(spark))
+        now = cut(small.select("e.u", "e.v").filter("u > v").distinct(), folders[-1])
+        discard(spark, folders.pop(0))
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if new == mark:
             break
@@ -310,71 +363,74 @@ def _with_label(rows: DataFrame, labels: DataFrame, node: str) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, a row for each row of ``docs``."""
-    ready(docs.sparkSession)
+    """doc_id, n_shingles, component_id, kept and text_hash, a row for each row of ``docs``."""
+    spark = ready(docs.sparkSession)
+    scratch, lasting = Scratch(spark), Scratch(spark)
     bands = bands_for(percent, rows)
     samples = bands * rows
-    signed = cut(signatures(docs, doc_id, text, n, bands, rows))
-    classes = cut(signed.filter("size > 0").groupBy("k0", "k1").agg(F.min("id").alias("rep")))
-    firsts = cut(signed.join(classes.select(F.col("rep").alias("id"), F.col("k0").alias("r0"), F.col("k1").alias("r1")), "id").filter("k0 = r0 and k1 = r1").drop("k0", "k1", "r0", "r1"))
+    signed = lasting.cut(signatures(docs, doc_id, text, n, bands, rows).withColumn("row", F.monotonically_increasing_id()))
+    # From here on a text is known by the row of the first one with its set.
+    first = F.min(F.struct("id", "text_hash", "row"))
+    classes = lasting.cut(signed.filter("size > 0").groupBy("k0", "k1").agg(first.alias("f")).select("k0", "k1", F.col("f.row").alias("rep"), "f.id", "f.text_hash"))
+    firsts = scratch.cut(signed.drop("id").join(classes.select(F.col("rep").alias("row")), "row").withColumnRenamed("row", "id"))
     sketch = firsts.select("id", "size", *_LANES)
 
-    in_band = firsts.select("id", F.posexplode("bands").alias("band", "hash"))
-    shared = in_band.groupBy("band", "hash").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last")
-    members = cut(in_band.join(shared, ["band", "hash"]).select("id", "band", "hash", "pivot"))
-    needed = members.select("id").distinct()
-    whole = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(text, F.lit("")).alias("t"))
-    texts = cut(whole.join(needed.hint("shuffle_hash"), "id", "left_semi"))
+    # Buckets go by a hash of band and value: two that share it only give more candidates.
+    in_band = firsts.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("key"))
+    of_bucket = F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")
+    shared = scratch.cut(in_band.groupBy("key").agg(*of_bucket).filter("pivot < last").drop("last"))
+    members = scratch.cut(_join_by(in_band, shared, "key").select("id", "key", "pivot"))
+    needed = members.select(F.col("id").alias("rep")).distinct().join(classes, "rep").select("rep", F.col("id").alias("i"), F.col("text_hash").alias("h"))
+    whole = docs.select(F.col(doc_id).cast("bigint").alias("i"), text_hash(text).alias("h"), F.coalesce(text, F.lit("")).alias("t"))
+    texts = scratch.cut(whole.join(needed.hint("shuffle_hash"), ["i", "h"]).select(F.col("rep").alias("id"), "t"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        a, b = sketch.alias("x"), sketch.alias("y")
-        tried = (
-            pairs.join(a, F.col("a") == F.col("x.id"))
-            .join(b, F.col("b") == F.col("y.id"))
-            .filter(_near("x", "y", percent, samples))
-            .select("a", "b")
-        )
-        return _confirmed(cut(tried), texts, n, percent)
+        x = sketch.withColumnsRenamed({"id": "a"} | {c: f"x_{c}" for c in sketch.columns[1:]})
+        y = sketch.withColumnsRenamed({"id": "b"} | {c: f"y_{c}" for c in sketch.columns[1:]})
+        tried = _salted(pairs, y).join(x, "a").filter(_near("x_", "y_", percent, samples)).select("a", "b")
+        return _confirmed(scratch.cut(tried), texts, n, percent)
 
-    stars = members.filter("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = cut(linked(stars))
-    labels = cut(components(links))
+    stars = scratch.cut(members.filter("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+    links = scratch.cut(linked(stars))
+    labels = scratch.cut(components(links))
 
     # Buckets of two classes or more: first against another member, then exactly.
     def mixed() -> DataFrame:
         labelled = _with_label(members.drop("pivot"), labels, "id")
-        of = labelled.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        return cut(labelled.join(of.select("band", "hash"), ["band", "hash"]))
+        of = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+        return scratch.cut(_join_by(labelled, scratch.cut(of.select("key", "n")), "key").drop("n"))
 
     left = mixed()
     if not left.isEmpty():
-        by_hash = F.struct(F.xxhash64("id", "band").alias("h"), "id", "label")
-        other = left.groupBy("band", "hash").agg(F.min(by_hash).alias("p"))
+        by_hash = F.struct(F.xxhash64("id", "key").alias("h"), "id", "label")
+        other = left.groupBy("key").agg(F.min(by_hash).alias("p"), F.count("*").alias("n"))
         second = (
-            left.join(other, ["band", "hash"])
+            _join_by(left, other, "key")
             .filter("label != p.label")
             .select(F.col("id").alias("a"), F.col("p.id").alias("b"))
             .distinct()
             .join(stars, ["a", "b"], "left_anti")
         )
-        links = cut(links.union(linked(second)))
-        labels = cut(components(links))
+        links = scratch.cut(links.union(linked(scratch.cut(second))))
+        labels = scratch.cut(components(links))
         left = mixed()
     if not left.isEmpty():
         alone = left.select("id", "label").distinct()
-        pairs = _across(_prefixes(alone, texts, n, percent), percent)
-        links = cut(links.union(linked(pairs)))
-        labels = cut(components(links))
-
-    roots = _with_label(classes, labels, "rep").select("k0", "k1", "label")
-    done = signed.select("id", "size", "k0", "k1").join(roots, ["k0", "k1"], "left")
-    named = done.select(
-        F.col("id").alias("doc_id"),
-        F.col("size").alias("n_shingles"),
-        F.coalesce("label", "id").alias("component_id"),
-        (F.col("id") == F.coalesce("label", "id")).alias("kept"),
+        prefixes = scratch.cut(_prefixes(alone, texts, n, percent))
+        links = scratch.cut(links.union(linked(scratch.cut(_across(prefixes, sketch, percent, samples)))))
+        labels = scratch.cut(components(links))
+
+    roots = _with_label(classes, labels, "rep")
+    least = roots.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("n"))
+    named = lasting.cut(_join_by(roots, least, "label").select("k0", "k1", "component"))
+    scratch.clear()
+    done = signed.select("id", "text_hash", "size", "k0", "k1").join(named, ["k0", "k1"], "left")
+    component = F.coalesce("component", "id")
+    out = done.select(
+        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"), "text_hash"
     )
+    none = F.lit(None).cast("bigint")
     nameless = docs.filter(F.col(doc_id).isNull()).select(
-        F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept")
+        none.alias("doc_id"), none.alias("n_shingles"), none.alias("component_id"), F.lit(True).alias("kept"), text_hash(text).alias("text_hash")
     )
-    return named.union(nameless)
+    return out.union(nameless)

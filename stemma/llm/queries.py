@@ -57,7 +57,7 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85).drop("text_hash")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

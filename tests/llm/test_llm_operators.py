@@ -340,6 +340,54 @@ def test_group_whose_least_member_is_an_outlier(spark):
     assert got == brute_components(list(enumerate(texts)), 3, 85)
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = " ".join(WORDS), " ".join(WORDS[::-1])
+    docs = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b), (4, "x y z"), (4, "x y z"), (None, a)], "doc_id bigint, text string")
+    got = near_duplicates.near_duplicates(docs, n=3, percent=85)
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got.collect()) == Counter([(1, 1, True), (2, 2, True), (2, 1, False), (3, 2, False), (4, 4, True), (4, 4, True), (None, None, True)])
+    kept = got.filter("kept and doc_id is not null").join(docs.withColumn("text_hash", near_duplicates.text_hash()), ["doc_id", "text_hash"])
+    assert {r.text for r in kept.collect()} == {a, b, "x y z"}
+
+
+def test_hot_shingles_and_hubs_lose_no_link(spark, monkeypatch):
+    """With small limits every frequent key takes the ways that are meant for large tables."""
+    monkeypatch.setattr(near_duplicates, "HOT", 3)
+    monkeypatch.setattr(near_duplicates, "HOT_BLOCK", 7)
+    monkeypatch.setattr(near_duplicates, "SPLIT", 5)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(80):
+        t = list(base)
+        for _ in range(int(rng.integers(0, 5))):
+            t[int(rng.integers(120))] = f"x{int(rng.integers(40))}"
+        texts.append(" ".join(t))
+    texts += [" ".join([*base, f"end{i}"]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, n=3, percent=85).collect()}
+    assert got == brute_components(list(enumerate(texts)), 3, 85)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3, 4])
+def test_recall_by_similarity(spark, edits):
+    """Pairs of their own words with so many edits; all pairs at or above the threshold are found, and none below."""
+    rng = np.random.default_rng(edits)
+    texts = []
+    for i in range(120):
+        base = [f"p{i}w{j}" for j in range(100)]
+        other = list(base)
+        for at in rng.choice(100, edits, replace=False):
+            other[at] = f"p{i}e{at}"
+        texts += [" ".join(base), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs, n=5, percent=80).collect()}
+    want = {}
+    for i in range(0, len(texts), 2):
+        want |= brute_components([(i, texts[i]), (i + 1, texts[i + 1])], 5, 80)
+    linked = {i for i, (_, c) in want.items() if i != c}
+    assert got == want and (edits > 2 or len(linked) == 120)
+
+
 def test_sketch_is_a_parity():
     samples = np.arange(24, dtype=np.uint32).reshape(2, 12)
     lanes = near_duplicates.odd_sketches(samples)
