@@ -28,8 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one of least doc_id, of each class of near duplicates: five words, 0.8."""
     found = near_duplicates.near_duplicates(docs, n=5, percent=80)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"), "text_hash").distinct()
+    same = (F.col("doc_id") == F.col("gone")) & (near_duplicates.text_hash() == F.col("text_hash"))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
