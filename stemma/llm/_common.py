@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows are handed to the kernels in groups of about this many characters, so
@@ -23,6 +24,9 @@ SLICE_CHARS = 4_000_000
 #: Characters of a block of texts that asks a table for its keys once, and of a part of it that is worked on at a time.
 BLOCK_CHARS, PART_CHARS = 24_000_000, 1_000_000
 
+#: Rows of one key that one task may get, and keys with more of them that may be broadcast.
+SPLIT, BROADCAST_KEYS = 2000, 1_000_000
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -101,6 +105,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hot_keys(per_key: DataFrame, split: int = SPLIT) -> DataFrame | None:
+    """The rows of ``per_key`` (key, n, ...) for keys with more than ``split`` rows, where there are some, few enough to be broadcast."""
+    hot = per_key.filter(F.col("n") > split)
+    n = hot.limit(BROADCAST_KEYS + 1).count()
+    return hot if 0 < n <= BROADCAST_KEYS else None
+
+
+def join_by(rows: DataFrame, per_key: DataFrame, key: str, split: int = SPLIT) -> DataFrame:
+    """``rows`` joined with ``per_key``, which tells as ``n`` how many rows a key has: the frequent keys by broadcast."""
+    hot = hot_keys(per_key, split)
+    if hot is None:
+        return rows.join(per_key, key)
+    rest = rows.join(F.broadcast(hot.select(key).distinct()), key, "left_anti").join(per_key.filter(F.col("n") <= split), key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def tidy() -> None:
     """Give memory that a task has freed back to the system, as workers live on beside the next tasks."""
     pa.default_memory_pool().release_unused()

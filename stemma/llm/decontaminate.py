@@ -5,31 +5,38 @@ is one window.  Words are runs of ASCII letters and digits and of any character
 beyond ASCII, with A-Z lower-cased.  A document word is hit if it lies inside
 any occurrence of a window.
 
+A benchmark within ``BROADCAST_BYTES`` is broadcast whole.  A larger one is not:
+its windows are a table, and of it a bitmap of fixed size alone is broadcast.  One
+pass over the texts emits the windows whose bit is set; these join the table, by
+the words themselves, and what is found joins the texts.  Both ways give the same.
+
 Edge cases: null or wordless texts have no words and no hits; null, empty or
-wordless items have no windows; repeated items count once for each item row id;
-a null item id is skipped; an empty benchmark hits nothing.
+wordless items have no windows; item ids may be of any type and are told by their
+string; repeated items count once; a null item id is skipped; an empty benchmark
+hits nothing; repeated rows, and texts that are equal, have equal hits; a text must
+fit into a task's memory.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import cut, ready, slices, tidy
+from ._common import Scratch, join_by, ready, slices, tidy
 
 #: Every byte that cannot be in a word becomes a space, and A-Z become a-z.
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 WINDOW = 10
-#: Benchmark bytes that one broadcast may hold; larger benchmarks are scanned in blocks of items.
-BROADCAST_BYTES = 4 << 20
+#: Benchmark bytes that one broadcast may hold, and the bits that stand for the windows of a larger one.
+BROADCAST_BYTES, BITS = 4 << 20, 1 << 26
+#: Words whose hashes a task keeps.
+HELD_WORDS = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,9 +60,9 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 class Windows:
     """The benchmark's windows: a hash set by window length, with the words for verification."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int = WINDOW):
+    def __init__(self, items: list[tuple[str, str]], n: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        self.found: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        self.found: dict[int, dict[tuple[int, ...], list[str]]] = {}
         for item, text in items:
             ids = tuple(self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text))
             if ids:
@@ -76,7 +83,7 @@ class Windows:
                 h ^= h >> np.uint64(29)
         return h
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Hit mask over the words, and the items with occurring windows."""
         hit, items = np.zeros(len(words), bool), set()
         if not words or not self.found:
@@ -101,14 +108,17 @@ class Windows:
         return hit, items
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks whose texts have at most about ``limit`` bytes each."""
-    items = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, math.ceil(total / limit))
-    for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        yield sorted((r.i, r.t) for r in block.collect())
+_BUILT: list = [None, 0, None]
+
+
+def _windows_of(items: list[tuple[str, str]], n: int) -> Windows:
+    """The windows of a broadcast benchmark, made once in each Python worker."""
+    if _BUILT[0] is not items or _BUILT[1] != n:
+        _BUILT[:] = items, n, Windows(items, n)
+    return _BUILT[2]
+
+
+NEW = "n_words bigint, n_hit bigint, hit_items array<string>, clean_text string"
 
 
 def hits(
@@ -126,60 +136,125 @@ def hits(
 
     ``clean_text`` is the text with every run of hit words cut out.  All columns
     of ``docs`` stay in front; a column of theirs with one of the new names is
-    replaced.  A benchmark within ``limit`` bytes is broadcast once; a larger
-    one is scanned block by block, each block's hit words being merged and written out.
+    replaced.
     """
     spark = ready(docs.sparkSession)
-    new = StructType.fromDDL("n_words bigint, n_hit bigint, hit_items array<string>, clean_text string")
+    new = StructType.fromDDL(NEW)
     kept = docs.drop(*new.names)
-    state = StructType([*kept.schema, *StructType.fromDDL("__hit array<int>, __items array<bigint>")])
-    blocks, found = list(_blocks(benchmark, item_id, item_text, limit)), kept
-    for i, block in enumerate(blocks):
-        last = i + 1 == len(blocks)
-        scan = _scanner(spark.sparkContext.broadcast(block), text, n, last)
-        found = found.mapInArrow(scan, StructType([*kept.schema, *new]) if last else state)
-        found = found if last else cut(found)
-    return found
-
-
-def _scanner(shared, text: str, n: int, last: bool):
-    """Adds a block's hits to those of the blocks before; the last block's pass forms the result."""
+    out = StructType([*kept.schema, *new])
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > limit:
+        return _joined(kept, items, text, n, out)
+    shared = spark.sparkContext.broadcast(sorted((r.i, r.t) for r in items.collect()))
 
     def run(batches):
-        windows = Windows(shared.value, n)
+        windows = _windows_of(shared.value, n)
         for b in batches:
-            before = "__hit" in b.schema.names
-            keep = [c for c in b.schema.names if c not in ("__hit", "__items")]
-            hits = b.column("__hit").to_pylist() if before else [None] * b.num_rows
-            items = b.column("__items").to_pylist() if before else [None] * b.num_rows
-            sizes, clean, at = [], [], 0
+            found = []
             for part in slices([b.select([text])], text):
                 for t in part[text]:
                     words = words_of(t)
-                    sizes.append(len(words))
-                    mask, more = windows.scan(words)
-                    if more:
-                        hits[at] = sorted({*(hits[at] or ()), *np.flatnonzero(mask).tolist()})
-                        items[at] = sorted({*(items[at] or ()), *more})
-                    if last:
-                        clean.append(without(t, hits[at]) if hits[at] else t)
-                    at += 1
-            columns = [b.column(c) for c in keep]
-            if last:
-                columns += [
-                    pa.array(sizes, pa.int64()),
-                    pa.array([len(h or ()) for h in hits], pa.int64()),
-                    pa.array([sorted(map(str, i or ())) for i in items], pa.list_(pa.string())),
-                    pa.array(clean, pa.string()),
-                ]
-                keep = [*keep, "n_words", "n_hit", "hit_items", "clean_text"]
-            else:
-                columns += [pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))]
-                keep = [*keep, "__hit", "__items"]
-            yield pa.RecordBatch.from_arrays(columns, names=keep)
+                    mask, some = windows.scan(words)
+                    found.append(_row(t, len(words), np.flatnonzero(mask).tolist(), some))
+            yield _with_hits(b, found)
+        tidy()
+
+    return kept.mapInArrow(run, out)
+
+
+def _row(text: str | None, n_words: int, hit: list[int], items) -> tuple[int, int, list[str], str | None]:
+    return n_words, len(hit), sorted(items), without(text, hit) if hit else text
+
+
+def _with_hits(b: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) if found else [()] * 4
+    kinds = pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()
+    names = ["n_words", "n_hit", "hit_items", "clean_text"]
+    return pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*b.schema.names, *names])
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def window_hashes(words: list[bytes], k: int, known: _Hashes) -> np.ndarray:
+    """The hash of each ``k`` consecutive words."""
+    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.full(max(0, len(ids) - k + 1), k, np.uint64)
+    for j in range(k):
+        h = (h ^ ids[j : j + len(h)]) * MULTIPLIER
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _joined(docs: DataFrame, items: DataFrame, text: str, n: int, out: StructType) -> DataFrame:
+    """``hits`` for a benchmark of any size."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+
+    def windows(batches):
+        known = _Hashes()
+        for b in batches:
+            for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist(), strict=True):
+                words = words_of(t)
+                k = min(n, len(words))
+                h = window_hashes(words, k, known).view(np.int64) if k else []
+                strings = [b" ".join(words[j : j + k]).decode() for j in range(len(h))]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(h), pa.int32()), pa.array(h, pa.int64()), pa.array(strings, pa.string()), pa.array([i] * len(h), pa.string())], names=["k", "h", "words", "item"])
+
+    table = items.mapInArrow(windows, "k int, h bigint, words string, item string").groupBy("h", "words", "k").agg(F.collect_set("item").alias("items"))
+    table = scratch.cut(table)
+    lengths = sorted(r.k for r in table.select("k").distinct().collect())
+    lanes = table.select(F.pmod("h", F.lit(BITS)).alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("bigint").alias("lane"))
+    lanes = lanes.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITS // 64, np.int64)
+    bitmap[lanes.column("lane").to_numpy()] = lanes.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    # Texts are told by two hashes, so that equal ones share what is found.
+    of_text = F.xxhash64(F.coalesce(text, F.lit(""))).alias("x"), F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))).alias("y")
+
+    def seen(batches):
+        bits, known = shared.value.view(np.uint64), _Hashes()
+        for b in batches:
+            for x, y, t in zip(*(b.column(c).to_pylist() for c in ("x", "y", "t")), strict=True):
+                words = words_of(t)
+                for k in lengths:
+                    h = window_hashes(words, k, known).view(np.int64)
+                    bit = np.mod(h, BITS).astype(np.uint64)
+                    at = np.flatnonzero(bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+                    if len(at):
+                        some = [pa.array([v] * len(at), pa.int64()) for v in (x, y)]
+                        strings = pa.array([b" ".join(words[j : j + k]).decode() for j in at.tolist()], pa.string())
+                        yield pa.RecordBatch.from_arrays([*some, pa.array([k] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(h[at]), strings], names=["x", "y", "k", "at", "h", "words"])
+        tidy()
+
+    rows = docs.select(*of_text, F.col(text).alias("t"))
+    asked = scratch.cut(rows.mapInArrow(seen, "x bigint, y bigint, k int, at bigint, h bigint, words string").distinct())
+    known = asked.groupBy("h").agg(F.count("*").alias("n")).join(table.withColumnsRenamed({"words": "w", "k": "len"}), "h")
+    found = join_by(asked, known, "h").filter("words = w and k = len")
+    per_text = Scratch(spark).cut(
+        found.select("x", "y", F.explode(F.sequence("at", F.col("at") + F.col("k") - 1)).alias("place"), "items")
+        .groupBy("x", "y")
+        .agg(F.array_sort(F.collect_set("place")).alias("__hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items"))
+    )
+    scratch.clear()
+
+    def finish(batches):
+        for b in batches:
+            found = [
+                _row(t, len(words_of(t)), hit or [], some or [])
+                for t, hit, some in zip(*(b.column(c).to_pylist() for c in (text, "__hit", "__items")), strict=True)
+            ]
+            yield _with_hits(b.drop_columns(["__hit", "__items"]), found)
         tidy()
 
-    return run
+    both = docs.select("*", of_text[0].alias("__x"), of_text[1].alias("__y")).join(per_text.withColumnsRenamed({"x": "__x", "y": "__y"}), ["__x", "__y"], "left")
+    return both.drop("__x", "__y").mapInArrow(finish, out)
 
 
 def without(text: str, hit: list[int]) -> str:

@@ -50,14 +50,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, cut, discard, ready, shared_dir, slices, tidy
+from ._common import SPLIT, Scratch, cut, discard, hot_keys, join_by, ready, shared_dir, slices, tidy
 
 ROWS = 5
 #: Probability with which a pair at the threshold may be missed, for the bands and for the sketches.
 MISS = 1e-6
 SKETCH_BITS = 512
-#: Rows of one key that one task may get, and keys with more of them that may be broadcast.
-SPLIT, BROADCAST_KEYS = 2000, 1_000_000
 #: Members with one shingle among their first from which on they are dealt out in blocks, and a block's size.
 HOT, HOT_BLOCK = 100, 1000
 WORDS_KEPT = 250_000
@@ -275,26 +273,10 @@ def _across(prefixes: DataFrame, sketch: DataFrame, percent: int, samples: int)
     return pairs.union(left.join(right, same & fits & _near("x.", "y.", percent, samples)).select(*pair)).distinct()
 
 
-def _hot_keys(keep: DataFrame) -> DataFrame | None:
-    """``keep`` (key, n, ...) for the keys with more than ``SPLIT`` rows, where these are few enough to be broadcast and not none."""
-    hot = keep.filter(F.col("n") > SPLIT)
-    n = hot.limit(BROADCAST_KEYS + 1).count()
-    return hot if 0 < n <= BROADCAST_KEYS else None
-
-
-def _join_by(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``per_key``, which has how many rows a key has as ``n``: the frequent keys by broadcast."""
-    hot = _hot_keys(per_key)
-    if hot is None:
-        return rows.join(per_key, key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(F.col("n") <= SPLIT), key)
-    return rest.unionByName(rows.join(F.broadcast(hot), key))
-
-
 def _salted(pairs: DataFrame, right: DataFrame) -> DataFrame:
     """``pairs`` (a, b) joined with ``right`` (b, ...): rows of a ``b`` with many pairs are copied, one for every ``SPLIT`` of them."""
     per_b = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    hot = _hot_keys(per_b)
+    hot = hot_keys(per_b)
     if hot is None:
         return pairs.join(right, "b")
     copies = F.broadcast(hot.select("b", F.ceil(F.col("n") / SPLIT).alias("copies")))
@@ -340,7 +322,7 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = _join_by(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = join_by(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))  # a node's links go to least ones, few each
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         folders.append(shared_dir(spark))
@@ -379,7 +361,7 @@ def near_duplicates(
     in_band = firsts.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("key"))
     of_bucket = F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")
     shared = scratch.cut(in_band.groupBy("key").agg(*of_bucket).filter("pivot < last").drop("last"))
-    members = scratch.cut(_join_by(in_band, shared, "key").select("id", "key", "pivot"))
+    members = scratch.cut(join_by(in_band, shared, "key").select("id", "key", "pivot"))
     needed = members.select(F.col("id").alias("rep")).distinct().join(classes, "rep").select("rep", F.col("id").alias("i"), F.col("text_hash").alias("h"))
     whole = docs.select(F.col(doc_id).cast("bigint").alias("i"), text_hash(text).alias("h"), F.coalesce(text, F.lit("")).alias("t"))
     texts = scratch.cut(whole.join(needed.hint("shuffle_hash"), ["i", "h"]).select(F.col("rep").alias("id"), "t"))
@@ -398,14 +380,14 @@ def near_duplicates(
     def mixed() -> DataFrame:
         labelled = _with_label(members.drop("pivot"), labels, "id")
         of = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-        return scratch.cut(_join_by(labelled, scratch.cut(of.select("key", "n")), "key").drop("n"))
+        return scratch.cut(join_by(labelled, scratch.cut(of.select("key", "n")), "key").drop("n"))
 
     left = mixed()
     if not left.isEmpty():
         by_hash = F.struct(F.xxhash64("id", "key").alias("h"), "id", "label")
         other = left.groupBy("key").agg(F.min(by_hash).alias("p"), F.count("*").alias("n"))
         second = (
-            _join_by(left, other, "key")
+            join_by(left, other, "key")
             .filter("label != p.label")
             .select(F.col("id").alias("a"), F.col("p.id").alias("b"))
             .distinct()
@@ -422,7 +404,7 @@ def near_duplicates(
 
     roots = _with_label(classes, labels, "rep")
     least = roots.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("n"))
-    named = lasting.cut(_join_by(roots, least, "label").select("k0", "k1", "component"))
+    named = lasting.cut(join_by(roots, least, "label").select("k0", "k1", "component"))
     scratch.clear()
     done = signed.select("id", "text_hash", "size", "k0", "k1").join(named, ["k0", "k1"], "left")
     component = F.coalesce("component", "id")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stemma.llm import (
+    _common,
     byte_bpe,
     decontaminate,
     language_id,
@@ -354,6 +355,8 @@ def test_hot_shingles_and_hubs_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "HOT", 3)
     monkeypatch.setattr(near_duplicates, "HOT_BLOCK", 7)
     monkeypatch.setattr(near_duplicates, "SPLIT", 5)
+    monkeypatch.setattr(near_duplicates, "hot_keys", lambda k, split=5: _common.hot_keys(k, 5))
+    monkeypatch.setattr(near_duplicates, "join_by", lambda r, k, key: _common.join_by(r, k, key, 5))
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -480,6 +483,13 @@ def test_decontamination_against_brute_force(docs, benchmark, limit):
         assert low(r.clean_text) == [x for i, x in enumerate(w) if i not in hit]
 
 
+def test_string_item_ids_on_both_sides_of_the_limit(docs, spark):
+    items = spark.createDataFrame([("b", " ".join(WORDS[2:14])), ("a10", "one"), ("a9", "ONE"), (None, "fox"), ("c", " ".join(WORDS[1:13]))], "item_id string, text string")
+    rows_of = lambda limit: sorted(map(str, decontaminate.hits(docs, items, limit=limit).collect()))
+    assert rows_of(1 << 20) == rows_of(1)
+    assert "['a10', 'a9']" in str(rows_of(1))
+
+
 # --- 9 -----------------------------------------------------------------------------------------
 
 
