@@ -7,15 +7,19 @@ surrogate, which is then written as each mention was: separators, lengths, lette
 case and script stay, a card number keeps its check digit valid, an address its
 domain's shape, and a name the gender that its title tells.
 
+A word that is a name is one entity wherever it stands: whichever titles it has
+in the table decide its gender, and conflicting ones leave it open.
+
 A surrogate is drawn by a keyed hash of the canonical form and an attempt.  All
-distinct entities of the table are then checked against each other: one whose
-surrogate another entity has too, or which is itself an entity, draws again with
-the next attempt, until all differ.  So distinct entities stay distinct, over
-all documents.
+distinct entities of the table are then checked against each other by what a
+reader sees, whatever their kinds: one whose surrogate another entity has too, or
+which reads like an entity, draws again with the next attempt, until all differ.
+So distinct entities stay distinct, over all documents.
 
 Edge cases: null and empty texts stay as they are; a text without entities is
 returned unchanged; repeated rows are treated alike; an empty table gives no
-rows.
+rows; very long texts take time in proportion and must fit into a task's memory;
+a format with fewer forms than entities ends in an error.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import block_join, cut, ready, slices
+from ._common import Scratch, block_join, cut, ready, slices
 
 # Titles and the gender that each tells (f, m, or x for neither).
 TITLES = {
@@ -43,13 +48,16 @@ TITLES = {
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+(?:[-'’][^\W\d_]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "card": re.compile(r"(?<![\w.+-])[3-6]\d{3}(?:[ -]?\d){9,15}(?!\w|[.-]\d)"),
     "ssn": re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?!\w|[.-]\d)"),
     "ip": re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"),
     "phone": re.compile(r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{4}(?!\w|[.-]\d)|(?<![\w+])\+\d{8,15}(?!\w)"),
 }
+# A local part from its run's first character on, so that no run is tried twice; and a domain.
+_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+KINDS = ("email", *PATTERNS, "name")
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.? ({_NAME})(?: ({_NAME}))?")
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -61,8 +69,8 @@ SYLLABLES = {
 }
 MAX_ATTEMPTS = 40
 
-#: An entity's mention: where it begins and ends, its kind, and its canonical form.
-Mention = tuple[int, int, str, str]
+#: An entity's mention: where it begins and ends, its kind, its canonical form, and the gender that its title tells.
+Mention = tuple[int, int, str, str, str]
 
 
 def _canonical(kind: str, found: str) -> str:
@@ -75,30 +83,42 @@ def _canonical(kind: str, found: str) -> str:
     return "".join(_DIGIT.findall(found))
 
 
+def _addresses(text: str) -> list[Mention]:
+    found = []
+    for m in _LOCAL.finditer(text):
+        local = m[0][:-1].lstrip("._%+-")
+        domain = _DOMAIN.match(text, m.end(), m.end() + 253)
+        if local and local[-1] != "." and domain:
+            start = m.end() - 1 - len(local)
+            found.append((start, domain.end(), "email", _canonical("email", text[start : domain.end()]), "x"))
+    return found
+
+
 def mentions(text: str | None) -> list[Mention]:
     """The entities of a text, left to right, without overlaps; kinds listed first win."""
     if not text:
         return []
-    found: list[Mention] = []
-    some_digit = _DIGIT.search(text) is not None
-    for kind, pattern in PATTERNS.items():
-        if "@" in text if kind == "email" else some_digit:
-            found += [(m.start(), m.end(), kind, _canonical(kind, m[0])) for m in pattern.finditer(text)]
-    names: dict[str, str] = {}
+    found = _addresses(text) if "@" in text else []
+    if _DIGIT.search(text):
+        for kind, pattern in PATTERNS.items():
+            found += [(m.start(), m.end(), kind, _canonical(kind, m[0]), "x") for m in pattern.finditer(text)]
+    names: dict[str, set[str]] = {}
     for m in _TITLED.finditer(text):
         words = [w for w in (m[2], m[3]) if w]
         for i, w in enumerate(words):
-            names.setdefault(w, "family" if i == len(words) - 1 else f"given_{TITLES[m[1]]}")
+            names.setdefault(w, set()).add("x" if i == len(words) - 1 else TITLES[m[1]])
     if names:  # their later mentions too, with or without a title
+        told = {w: (g - {"x"}).pop() if len(g - {"x"}) == 1 else "x" for w, g in names.items()}
         for m in _WORD.finditer(text):
-            if m[0] in names and len(m[0]) > 2:
-                found.append((m.start(), m.end(), names[m[0]], m[0].lower()))
-    rank = {k: i for i, k in enumerate(PATTERNS)}
-    taken: list[Mention] = []
-    for x in sorted(found, key=lambda x: (rank.get(x[2], len(rank)), x[0])):
-        if not any(x[0] < y[1] and y[0] < x[1] for y in taken):
-            taken.append(x)
-    return sorted(taken)
+            if m[0] in told and len(m[0]) > 2:
+                found.append((m.start(), m.end(), "name", m[0].lower(), told[m[0]]))
+    starts, taken = [], []
+    for x in sorted(found, key=lambda x: (KINDS.index(x[2]), x[0])):
+        at = bisect(starts, x[0])
+        if (at == 0 or taken[at - 1][1] <= x[0]) and (at == len(taken) or x[1] <= taken[at][0]):
+            starts.insert(at, x[0])
+            taken.insert(at, x)
+    return taken
 
 
 def entity(kind: str, canonical: str) -> str:
@@ -137,7 +157,29 @@ def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
 
 
-def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
+def _check_digits(iban: str) -> str:
+    """An account number's two check digits: the whole, its head moved to the end, is 1 modulo 97."""
+    value = "".join(str(int(c, 36)) for c in iban[4:] + iban[:2] + "00")
+    return f"{98 - int(value) % 97:02d}"
+
+
+def _address(octets: list[int], s: _Stream) -> str:
+    """Private and loopback addresses stay in their range; others get one outside of the reserved ranges."""
+    a, b = octets[:2]
+    if a in (10, 127):
+        head = [a]
+    elif (a, b) == (192, 168):
+        head = [a, b]
+    elif a == 172 and 16 <= b < 32:
+        head = [a, 16 + s.below(16)]
+    else:
+        head = [s.below(222) + 1]
+        while head[0] in (10, 100, 127, 169, 172, 192, 198, 203):
+            head = [s.below(222) + 1]
+    return ".".join(map(str, [*head, *(1 + s.below(254) for _ in range(4 - len(head)))]))
+
+
+def surrogate(key: bytes, kind: str, canonical: str, attempt: int, gender: str = "x") -> str:
     """A canonical form of the same kind and format."""
     s = _Stream(key, f"{kind}|{canonical}|{attempt}")
     if kind == "email":
@@ -147,9 +189,10 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
         hidden = ["".join(d.like(c) for c in x) for x in labels[:-1]]
         return "".join(s.like(c) for c in local) + "@" + ".".join([*hidden, labels[-1]])
     if kind == "ip":
-        return ".".join(str(1 + s.below(254)) for _ in range(4))
+        return _address([int(x) for x in canonical.split(".")], s)
     if kind == "iban":
-        return canonical[:2] + "".join(s.like(c) for c in canonical[2:])
+        out = canonical[:4] + "".join(s.like(c) for c in canonical[4:])
+        return out[:2] + _check_digits(out) + out[4:]
     if kind in ("card", "ssn", "phone"):
         keep = 1 if kind == "card" else 0
         out = canonical[:keep] + "".join(str(s.below(9) + 1) if i == 0 and not keep else str(s.below(10)) for i in range(len(canonical) - keep))
@@ -159,7 +202,7 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int) -> str:
     starts, vowels, female, male = SYLLABLES[_script(canonical)]
     n = max(2, min(4, len(canonical) // 2)) + attempt // 4
     word = "".join(starts[s.below(len(starts))] + vowels[s.below(len(vowels))] for _ in range(n))
-    return word + (starts[0] + female if kind == "given_f" else male if kind == "given_m" else "")
+    return word + {"f": starts[0] + female, "m": male, "x": ""}[gender]
 
 
 def written_like(found: str, kind: str, made: str) -> str:
@@ -177,49 +220,53 @@ def written_like(found: str, kind: str, made: str) -> str:
 def replaced(text: str, made: dict[str, str]) -> tuple[str, int]:
     """``text`` with every mention replaced, and how many there were."""
     out, at, n = [], 0, 0
-    for start, end, kind, canonical in mentions(text):
+    for start, end, kind, canonical, _ in mentions(text):
         out += [text[at:start], written_like(text[start:end], kind, made[entity(kind, canonical)])]
         at, n = end, n + 1
     return "".join([*out, text[at:]]), n
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct entities of all texts: (entity)."""
+    """The distinct entities of all texts, with the gender of names: (entity, gender)."""
 
     def run(batches):
         for b in batches:
             for part in slices([b], text):
-                found = {entity(k, c) for t in part[text] for _, _, k, c in mentions(t)}
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["entity"])
+                found = sorted({(entity(k, c), g) for t in part[text] for _, _, k, c, g in mentions(t)})
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["entity", "gender"])
 
-    return docs.select(text).mapInArrow(run, "entity string").distinct()
+    f, m = (F.bool_or(F.col("gender") == g) for g in "fm")
+    told = docs.select(text).mapInArrow(run, "entity string, gender string").groupBy("entity").agg(f.alias("f"), m.alias("m"))
+    return told.select("entity", F.when(F.col("f") == F.col("m"), "x").when(F.col("f"), "f").otherwise("m").alias("gender"))
 
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
-    """(key, surrogate) for every entity: distinct, and none of them an entity itself.
+    """(key, surrogate) for every entity (entity, gender): distinct, and none of them an entity itself.
 
-    Each round checks all surrogates; of the entities that drew one surrogate the
-    first by a hash keeps it.  The rounds end when none has to draw again.
+    Each round checks all surrogates as they are read, without their kinds; of the
+    entities that drew one surrogate the first by a hash keeps it.  The rounds end
+    when none has to draw again.
     """
 
     def draw(batches):
         for b in batches:
-            made = []
-            for e, attempt in zip(b.column("entity").to_pylist(), b.column("attempt").to_pylist(), strict=True):
-                kind, _, canonical = e.partition(":")
-                made.append(entity(kind, surrogate(key, kind, canonical, attempt)))
+            rows = zip(*(b.column(c).to_pylist() for c in ("entity", "attempt", "gender")), strict=True)
+            made = [surrogate(key, *e.split(":", 1), attempt, gender) for e, attempt, gender in rows]
             yield b.append_column("made", pa.array(made, pa.string()))
 
-    now = cut(found.withColumn("attempt", F.lit(0)))
+    scratch, columns = Scratch(found.sparkSession), ("entity", "gender", "attempt")
+    now = scratch.cut(found.withColumn("attempt", F.lit(0)).select(*columns))
+    real = now.select(F.expr("substring(entity, instr(entity, ':') + 1)").alias("made"), F.lit(True).alias("real")).distinct()
     for _ in range(MAX_ATTEMPTS):
-        drawn = cut(now.mapInArrow(draw, "entity string, attempt int, made string"))
-        real = drawn.select(F.col("entity").alias("made"), F.lit(True).alias("real"))
+        drawn = scratch.cut(now.mapInArrow(draw, "entity string, gender string, attempt int, made string"))
         order = Window.partitionBy("made").orderBy(F.col("attempt").desc(), F.xxhash64("entity"), "entity")
         checked = drawn.join(real, "made", "left").withColumn("place", F.row_number().over(order))
         again = F.col("real").isNotNull() | (F.col("place") > 1)
-        now = cut(checked.select("entity", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")))
+        now = scratch.cut(checked.select("entity", "gender", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")))
         if now.filter("again").isEmpty():
-            return drawn.select(F.col("entity").alias("key"), F.substring_index("made", ":", -1).alias("surrogate"))
+            done = cut(drawn.select(F.col("entity").alias("key"), F.col("made").alias("surrogate")))
+            scratch.clear()
+            return done
         now = now.drop("again")
     raise RuntimeError("no distinct surrogates: a format has fewer forms than entities")
 
@@ -231,7 +278,7 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text") -> DataFram
     out = StructType([*kept.schema, StructField("n_entities", LongType())])
 
     def wanted(texts: Iterable[list[str | None]]) -> list[str]:
-        return sorted({entity(k, c) for part in texts for t in part for _, _, k, c in mentions(t)})
+        return sorted({entity(k, c) for part in texts for t in part for _, _, k, c, _ in mentions(t)})
 
     def answered(found: pa.Table):
         made = dict(zip(found.column("key").to_pylist(), found.column("surrogate").to_pylist(), strict=True))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -267,22 +268,72 @@ def test_surrogates(spark):
 
 
 def test_surrogates_stay_distinct(spark):
-    found = spark.createDataFrame([(f"ssn:{i:09d}",) for i in range(3000)] + [(f"ip:1.1.{i // 250}.{i % 250}",) for i in range(500)], "entity string")
-    got = pii.assign(found, b"k").collect()
-    kinds = defaultdict(list)
-    for r in got:
-        kinds[r.key.split(":")[0]].append(r.surrogate)
-    assert all(len(x) == len(set(x)) for x in kinds.values()) and len(got) == 3500
-    assert not {r.key for r in got} & {f"{r.key.split(':')[0]}:{r.surrogate}" for r in got}
+    found = [(f"ssn:{i:09d}", "x") for i in range(3000)] + [(f"ip:1.1.{i // 250}.{i % 250}", "x") for i in range(500)] + [(f"phone:{i:09d}", "x") for i in range(500)]
+    got = pii.assign(spark.createDataFrame(found, "entity string, gender string"), b"k").collect()
+    seen = [r.surrogate for r in got]
+    assert len(got) == len(set(seen)) == 4000
+    assert not {e.split(":")[1] for e, _ in found} & set(seen)
 
 
-def test_collisions_are_drawn_again(spark, monkeypatch):
-    found = spark.createDataFrame([(f"given_x:{w}",) for w in ("ab", "cd", "ef", "gh", "ij", "kl", "mn", "op")] * 40, "entity string").distinct()
-    more = spark.createDataFrame([(f"given_x:{chr(97 + i)}{chr(97 + j)}",) for i in range(26) for j in range(26)], "entity string")
-    got = [r.surrogate for r in pii.assign(found.union(more).distinct(), b"k").collect()]
+def test_collisions_are_drawn_again(spark):
+    words = [(f"name:{chr(97 + i)}{chr(97 + j)}", "fmx"[(i + j) % 3]) for i in range(26) for j in range(26)]
+    got = [r.surrogate for r in pii.assign(spark.createDataFrame(words, "entity string, gender string"), b"k").collect()]
     assert len(got) == len(set(got)) == 676
 
 
+def test_one_name_is_one_entity(spark):
+    texts = ["Dr Anna Weiss came.", "Frau Anna Roth left.", "Mr Weiss saw Ms Roth.", "Mr Toni Roth and Mrs Toni Weiss.", "Anna"]
+    out = {r.i: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), b"k").collect()}
+    anna, weiss = re.fullmatch(r"Dr (\w+) (\w+) came\.", out[0]).groups()
+    anna2, roth = re.fullmatch(r"Frau (\w+) (\w+) left\.", out[1]).groups()
+    assert anna == anna2 and anna.endswith("a") and len({anna, weiss, roth}) == 3
+    assert out[2] == f"Mr {weiss} saw Ms {roth}." and out[4] == "Anna"
+
+
+def test_formats_of_surrogates():
+    made = lambda kind, x: pii.surrogate(b"k", kind, x, 0)
+    for x in ("DE89370400440532013000", "GB29NWBK60161331926819"):
+        y = made("iban", x)
+        whole = "".join(str(int(c, 36)) for c in y[4:] + y[:4])
+        assert y != x and y[:2] == x[:2] and len(y) == len(x) and int(whole) % 97 == 1
+        assert [c.isdigit() for c in y] == [c.isdigit() for c in x]
+    assert made("ip", "10.1.2.3").startswith("10.") and made("ip", "192.168.7.9").startswith("192.168.") and made("ip", "172.20.1.1").startswith("172.")
+    assert all(int(made("ip", f"8.8.{i}.8").split(".")[0]) not in (10, 127, 172, 192, 224) for i in range(200))
+
+
+def test_long_texts_take_time_in_proportion():
+    for text in ("a" * 1_000_000 + " x@y.example", "a.b-c" * 200_000, "12 " * 300_000, "Mr Bo " * 50_000 + "@" * 100_000, "x@y.com " * 60_000):
+        began = time.perf_counter()
+        found = pii.mentions(text)
+        assert time.perf_counter() - began < 20
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(found))
+
+
+def test_replacement_against_brute_force(spark):
+    """Every mention, and nothing else, is replaced, each entity by one form everywhere."""
+    rng = np.random.default_rng(11)
+    people = ["Anna", "Boris", "Clara", "Dieter", "Edith"]
+    parts = [
+        lambda i: f"user{i}@mail{i % 7}.example.org", lambda i: f"555-{i % 90 + 10}-{1000 + i}", lambda i: f"10.0.{i % 200}.{i % 250}",
+        lambda i: f"Frau {people[i % 5]} {people[(i + 2) % 5]}berg", lambda i: f"+1 855 555 {1000 + i}",
+    ]
+    made, texts = [], []
+    for _ in range(60):
+        line = [parts[int(k)](int(i)) for k, i in zip(rng.integers(0, 5, 6), rng.integers(0, 40, 6), strict=True)]
+        made.append(line)
+        texts.append(" and then ".join(line))
+    out = {r.i: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), b"k").collect()}
+    of, back = {}, {}
+    for i, line in enumerate(made):
+        new = out[i].text.split(" and then ")
+        assert len(new) == len(line)
+        for old, got in zip(line, new, strict=True):
+            words = list(zip(old.split()[1:], got.split()[1:], strict=True)) if old.startswith("Frau") else [(old, got)]
+            for a, b in words:
+                assert a != b and of.setdefault(a, b) == b and back.setdefault(b, a) == a
+    assert not set(of) & set(back)
+
+
 # --- 5 -----------------------------------------------------------------------------------------
 
 
