@@ -58,18 +58,15 @@ def chunks(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tu
 
 
 def boundaries(piece: str, pattern: regex.Pattern, start: int) -> list[int]:
-    """Text positions at which a pre-token begins with white space behind something else.
+    """Text positions at which a pre-token begins behind something else than white space.
 
     Matches near the end of the slice could change with what follows, so the
-    last ``AHEAD`` characters don't count.  Boundaries inside white space are
-    left out: there the pattern looks past the run, and a piece that ends in one
-    would be split in another way.
+    last ``AHEAD`` characters don't count.  Boundaries behind white space are left
+    out: there the pattern looks past the run, and a piece that ends in one would
+    be split in another way.  All others hold in scripts without blanks too, where
+    marks between letters make them.
     """
-    return [
-        start + at
-        for m in pattern.finditer(piece)
-        if 0 < (at := m.start()) <= len(piece) - AHEAD and piece[at] in " \n\t\r" and not piece[at - 1].isspace()
-    ]
+    return [start + at for m in pattern.finditer(piece) if 0 < (at := m.start()) <= len(piece) - AHEAD and not piece[at - 1].isspace()]
 
 
 def _cut(text: str, chunk: int, overlap: int):

@@ -13,7 +13,8 @@ between and of the matches add up to the positions.
 
 Edge cases: a null text is an empty one, and has no findings; copies and repeated
 rows share one blob and all get its findings; an empty table returns no rows;
-findings of different rules may overlap, and all are reported.
+findings of different rules may overlap, and all are reported; a column ``findings``
+of the versions is replaced; very long texts are scanned whole, in the JVM's memory.
 """
 
 from __future__ import annotations
@@ -47,7 +48,12 @@ RULES = (
     Rule("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]{32,}", 32),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 1),
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\r\n\t\x20]+[A-Za-z0-9+/=]{32,})*(?:[\r\n\t\x20]+[A-Za-z0-9+/=]*[\r\n\t\x20]*-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
+        1,
+        version=2,
+    ),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1),
     Rule("forge_token", r"gh[opsu]_[A-Za-z0-9]{36,}", 1),
 )
