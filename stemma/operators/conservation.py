@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .composition import AS_ALIGNED, LETTERS
@@ -118,14 +118,17 @@ def region_window(length: int) -> int:
     return min(30, max(10, length // 10))
 
 
-def extreme_windows(scores: DataFrame, *, top: int = 3, size: int = 30, share: float = 0.7) -> DataFrame:
+def extreme_windows(scores: DataFrame, *, top: int = 3, size: int | None = None, share: float = 0.7) -> DataFrame:
     """Per gene the ``top`` most and least conserved windows without overlap, the conserved ones taken first.
 
     A gene's scores, a row for each column, are one group: as long as its longest
-    row, not as its number of rows.  Ties go to the earlier window.
+    row, not as its number of rows.  Ties go to the earlier window.  ``size``: that
+    of ``region_window`` for the gene's columns where none is given.
     """
+    wanted = size
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
+        size = wanted or region_window(len(group))
         g = group.dropna(subset=["conservation"]).sort_values("col")
         means = g["conservation"].rolling(size, min_periods=max(1, int(share * size))).mean()
         table = pd.DataFrame({"end": g["col"].to_numpy(), "mean": means.to_numpy()}).dropna()
@@ -149,6 +152,34 @@ def extreme_windows(scores: DataFrame, *, top: int = 3, size: int = 30, share: f
     )
 
 
+def motifs(scores: DataFrame, *, width: int = 7, top: int = 6) -> DataFrame:
+    """(gene, rank, start, end, mean_conservation): the best full windows of a gene that begin ``width`` columns apart or more.
+
+    A gene's scores are one group, as long as its longest row; ties go to the earlier window.
+    """
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("col")
+        means = g["conservation"].rolling(width, min_periods=width).mean().round(9)
+        table = pd.DataFrame({"end": g["col"].to_numpy(), "mean": means.to_numpy()}).dropna().sort_values(["mean", "end"], ascending=[False, True])
+        out: list[tuple] = []
+        for r in table.itertuples():
+            if all(abs(r.end - x[3]) >= width for x in out):
+                out.append((group["gene"].iloc[0], len(out) + 1, int(r.end) - width + 1, int(r.end), float(r.mean)))
+            if len(out) == top:
+                break
+        return pd.DataFrame(out, columns=["gene", "rank", "start", "end", "mean_conservation"])
+
+    return scores.select("gene", "col", "conservation").groupBy("gene").applyInPandas(pick, "gene string, rank int, start bigint, end bigint, mean_conservation double")
+
+
+def match_states(row: Column, ref: Column) -> Column:
+    """For each place of ``row``: 2 where ``ref`` is the same, 1 where it differs, 0 where either has a gap or ``ref`` has ended."""
+    both = F.arrays_zip(F.split(row, "").alias("a"), F.split(ref, "").alias("b"))
+    state = lambda x: F.when((x["a"] == GAP) | (x["b"] == GAP) | x["b"].isNull() | (x["b"] == ""), 0).when(x["a"] == x["b"], 2).otherwise(1)
+    return F.transform(F.slice(both, F.lit(1), F.length(row)), state)
+
+
 def frequencies(rows: DataFrame) -> DataFrame:
     """(gene, col, ch, freq): weighted letter frequencies of each column without its gaps."""
     cells = columns(rows).filter(F.col("ch") != GAP).hint("merge")

@@ -25,6 +25,14 @@ def consensus(rows: DataFrame, group: str, taxon: str) -> DataFrame:
     return n.groupBy("grp", "taxon", "col").agg(F.max_by("ch", F.struct("n", (-F.ascii("ch")).alias("o"))).alias("ch"))
 
 
+def consensus_rows(cons: DataFrame) -> DataFrame:
+    """(grp, taxon, row): each taxon's letters in one row, a gap where it has none; as long as its last column."""
+    cells = F.map_from_entries(F.collect_list(F.struct("col", "ch")))
+    of = cons.groupBy("grp", "taxon").agg(cells.alias("m"), F.max("col").alias("n"))
+    row = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(GAP))), "")
+    return of.select("grp", "taxon", row.alias("row"))
+
+
 def pair_counts(cons: DataFrame) -> DataFrame:
     """(grp, a, b, valid, ts, tv) for every pair of taxa, by a join on the column.
 
@@ -184,6 +192,22 @@ def splits_of(d: np.ndarray, method: str) -> set[int]:
     return {s for s in sides if 1 < s.bit_count() < n - 1}
 
 
+def splits_of_newick(text: str) -> set[int]:
+    """The inner splits of a Newick tree, as bits of its sorted tip names."""
+    from ..sources import newick as source
+
+    rows = source.nodes(text)
+    parents = {r[1] for r in rows}
+    bit = {name: 1 << i for i, name in enumerate(sorted(r[2] for r in rows if r[0] not in parents))}
+    below = {r[0]: 0 if r[0] in parents else bit[r[2]] for r in rows}
+    for node, parent, *_ in reversed(rows):  # children stand behind their parents
+        if parent is not None:
+            below[parent] |= below[node]
+    n = len(bit)
+    sides = {canonical(side, n) for side in below.values()}
+    return {s for s in sides if 1 < s.bit_count() < n - 1}
+
+
 def tree_splits(matrices: DataFrame, methods: tuple[str, ...] = ("nj", "upgma")) -> DataFrame:
     """(grp, rep, method, taxa, split): a row for each inner split of each matrix's trees; taxa number 63 at most."""
 
@@ -219,6 +243,84 @@ def robinson_foulds(one: DataFrame, other: DataFrame, by: list[str]) -> DataFram
     return out.select(*by, "rf", F.when(F.col("n") > 0, F.col("rf") / F.col("n")).otherwise(0.0).alias("nrf"))
 
 
+def discordance(own: DataFrame, reference: DataFrame, taxa: int, least: float = 70.0) -> tuple[DataFrame, DataFrame]:
+    """How trees (grp, split, support) differ from one reference tree (split, support): a row a tree, and a row a conflict.
+
+    A split of at least ``least`` support conflicts where some reference split can't
+    stand in one tree with it; it is strong where such a one has that support too.
+    Splits of a tree are fewer than its taxa, so their pairs are bounded.
+    """
+    ref = F.broadcast(reference.select(F.col("split").alias("r"), F.col("support").alias("r_support")))
+    pairs = own.join(ref, ~compatible(F.col("split"), F.col("r"), taxa)).filter(F.col("support") >= least)
+    conflicts = pairs.groupBy("grp", "split", "support").agg(F.count("*").alias("n_against"), F.max("r_support").alias("strongest"))
+    conflicts = conflicts.withColumn("strong", F.col("strongest") >= least)
+    n = F.bit_count("split")
+    side = F.when(2 * n > taxa, F.col("split").bitwiseXOR(F.lit((1 << taxa) - 1))).otherwise(F.col("split"))
+    conflicts = conflicts.withColumn("smaller_side", side)
+    shared = own.join(F.broadcast(reference.select("split").distinct()).withColumn("same", F.lit(1)), "split", "left")
+    total = reference.select("split").distinct().agg(F.count("*").alias("n_reference"))
+    rows = shared.groupBy("grp").agg(F.count("*").alias("n_splits"), F.count("same").alias("n_shared"), F.avg("support").alias("mean_support"))
+    per = conflicts.groupBy("grp").agg(F.count("*").alias("n_conflicts"), F.count_if("strong").alias("n_strong"))
+    rows = rows.join(F.broadcast(total)).join(per, "grp", "left").fillna(0, ["n_conflicts", "n_strong"])
+    rf = F.col("n_splits") + F.col("n_reference") - 2 * F.col("n_shared")
+    return rows.withColumn("rf", rf).withColumn("nrf", F.when(F.col("n_splits") + F.col("n_reference") > 0, rf / (F.col("n_splits") + F.col("n_reference"))).otherwise(0.0)), conflicts
+
+
+def monophyletic(splits: DataFrame, clade: int, taxa: int, by: list[str]) -> DataFrame:
+    """(by, monophyletic): whether each tree has the clade in ``clade``'s bits; one of fewer than two taxa on a side always is."""
+    if min(clade.bit_count(), taxa - clade.bit_count()) < 2:
+        return splits.select(*by).distinct().withColumn("monophyletic", F.lit(True))
+    return splits.groupBy(*by).agg(F.bool_or(F.col("split") == canonical(clade, taxa)).alias("monophyletic"))
+
+
+def midpoint_rooted(text: str) -> str:
+    """A Newick tree with its root halfway between its two farthest tips; inner names move with the branch that they label.
+
+    Names and lengths stay; the old root goes where it joins two branches alone.
+    """
+    from ..sources import newick as source
+
+    rows = source.nodes(text)
+    near: dict[int, dict[int, float]] = {r[0]: {} for r in rows}
+    label: dict[frozenset, str] = {}
+    names = {r[0]: r[2] for r in rows}
+    tips = [r[0] for r in rows if r[0] not in {x[1] for x in rows}]
+    for node, parent, _, support, length in rows:
+        if parent is not None:
+            near[node][parent] = near[parent][node] = length or 0.0
+            label[frozenset((node, parent))] = "" if support is None else f"{support:.2f}"
+
+    def paths(start: int) -> dict[int, tuple[float, int | None]]:
+        seen, todo = {start: (0.0, None)}, [start]
+        while todo:
+            x = todo.pop()
+            for y, d in near[x].items():
+                if y not in seen:
+                    seen[y] = seen[x][0] + d, x
+                    todo.append(y)
+        return seen
+
+    start = max(tips, key=lambda t, d=paths(tips[0]): (d[t][0], -t))
+    far = paths(start)
+    end = max(tips, key=lambda t: (far[t][0], -t))
+    half, now = far[end][0] / 2, end
+    while far[now][1] is not None and far[far[now][1]][0] > half:
+        now = far[now][1]
+    up = far[now][1]
+    if up is None:
+        return text
+
+    def written(node: int, parent: int, length: float) -> str:
+        below = [written(y, node, d) for y, d in near[node].items() if y != parent]
+        if len(below) == 1:  # the old root between two branches
+            inner, _, more = below[0].rpartition(":")
+            return f"{inner}:{float(more) + length:.5f}"
+        head = f"({','.join(below)}){label.get(frozenset((node, parent)), '')}" if below else names[node]
+        return f"{head}:{length:.5f}"
+
+    return f"({written(now, up, far[now][0] - half)},{written(up, now, half - far[up][0])});"
+
+
 def restricted(splits: DataFrame, keep: int, by: list[str]) -> DataFrame:
     """Splits among the taxa in the bits of ``keep``: both sides two taxa or more, canonical for the least kept one."""
     low = keep & -keep

@@ -60,13 +60,18 @@ def estimate(totals: DataFrame, by: list[str], saturated: float = 0.6) -> DataFr
     return out.select("*", F.when((F.col("ds") > 0) & ~full, F.col("dn") / F.col("ds")).alias("omega"), full.alias("saturated"))
 
 
-def windows(totals: DataFrame, by: list[str], width: int = 60, step: int = 20) -> DataFrame:
-    """(by, start, ...): estimates of sliding windows of codon columns; a column goes to width / step windows."""
+def in_windows(totals: DataFrame, by: list[str], width: int = 60, step: int = 20) -> DataFrame:
+    """``totals`` with the ``start`` of each window that a column lies in, width / step of them."""
     last = totals.groupBy(*by).agg((F.max("col") + 1).alias("length"))
     first = F.greatest(F.lit(0), F.floor((F.col("col") - width) / step).cast("int") + 1) * step
     starts = F.sequence(first, F.floor(F.col("col") / step).cast("int") * step, F.lit(step))
     spread = totals.join(last, by).withColumn("start", F.explode(starts))
-    return estimate(spread.filter("start = 0 or start + %d <= length" % width), [*by, "start"])
+    return spread.filter("start = 0 or start + %d <= length" % width)
+
+
+def windows(totals: DataFrame, by: list[str], width: int = 60, step: int = 20) -> DataFrame:
+    """(by, start, ...): estimates of sliding windows of codon columns."""
+    return estimate(in_windows(totals, by, width, step), [*by, "start"])
 
 
 def replicate_weight(rep: Column, key: Column) -> Column:
@@ -106,3 +111,10 @@ def against_controls(totals: DataFrame, gene: str, controls: list[str], replicat
     p = 2 * F.least(side(F.col("ratio") <= 1), side(F.col("ratio") >= 1))
     out = r.groupBy(gene).agg(q.alias("q"), F.least(F.lit(1.0), F.greatest(1 / F.count("*"), p)).alias("p"))
     return out.select(gene, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "p")
+
+
+def replication(estimates: DataFrame, species: str, controls: list[str], least: int = 2) -> DataFrame:
+    """(species, first, value) for a rank test: omegas of control genes (first) and of others, where both are ``least`` or more."""
+    known = estimates.filter("omega is not null").select(species, F.col("gene").isin(controls).alias("first"), F.col("omega").alias("value"))
+    n = known.groupBy(species).agg(F.count_if("first").alias("n1"), F.count_if(~F.col("first")).alias("n2"))
+    return known.join(n.filter((F.col("n1") >= least) & (F.col("n2") >= least)).select(species), species, "left_semi")

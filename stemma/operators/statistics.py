@@ -10,6 +10,7 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,3 +170,108 @@ def midranks(values: DataFrame, by: str, value: str, places: int = 6) -> DataFra
     along = Window.partitionBy(by).orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("n").over(Window.partitionBy(by))
     return counts.select(by, value, (100 * (F.sum("n").over(along) - F.col("n") / 2) / total).alias("midrank"), "n")
+
+
+def resampled_statistics(values: DataFrame, by: list[str], replicates: int = 5000, places: int = 6, chunks: int = 20) -> DataFrame:
+    """(by, median_lo, median_hi, delta_lo, delta_hi): percentile bootstrap of the difference of medians and of Cliff's delta.
+
+    Both come from the counts of distinct rounded values.  A resampled group's
+    median is its sample's value at a beta distributed rank, and its counts are
+    Poisson draws.  Replicates are dealt over ``chunks`` tasks of each test.
+    """
+    v = values.filter("value is not null").withColumn("v", F.round("value", places).cast("double"))
+    counts = v.groupBy(*by, "v").agg(F.count_if("first").alias("n1"), F.count_if(~F.col("first")).alias("n2"))
+    dealt = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    kinds = ", ".join(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("v")
+        x, ns = g["v"].to_numpy(), [g[c].to_numpy() for c in ("n1", "n2")]
+        sizes, n = [int(k.sum()) for k in ns], -(-replicates // chunks)
+        out = pd.DataFrame({c: [g[c].iloc[0]] * n for c in by})
+        rng = np.random.default_rng([zlib.crc32(repr(g[by].iloc[0].tolist()).encode()), int(g["chunk"].iloc[0])])
+        if not all(sizes):
+            return out.assign(m=np.nan, d=np.nan)
+        at = [np.searchsorted(np.cumsum(k), np.ceil(size * rng.beta((size + 1) / 2, (size + 1) / 2, n))) for k, size in zip(ns, sizes, strict=True)]
+        deltas = []
+        for _ in range(n):
+            a, b = (rng.poisson(k) for k in ns)
+            u = (a * (np.cumsum(b) - b / 2)).sum()
+            deltas.append(2 * u / (a.sum() * b.sum()) - 1 if a.any() and b.any() else np.nan)
+        return out.assign(m=x[at[0]] - x[at[1]], d=deltas)
+
+    drawn = dealt.groupBy(*by, "chunk").applyInPandas(run, f"{kinds}, m double, d double")
+    bounds = F.array(F.lit(0.025), F.lit(0.975))
+    real = lambda c: F.when(~F.isnan(c), F.col(c))
+    q = drawn.groupBy(*by).agg(F.percentile(real("m"), bounds).alias("m"), F.percentile(real("d"), bounds).alias("d"))
+    return q.select(*by, *(F.col(c)[i].alias(f"{name}_{side}") for c, name in (("m", "median"), ("d", "delta")) for i, side in ((0, "lo"), (1, "hi"))))
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by Lentz's continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    f, c, d = 1.0, 1.0, 0.0
+    for k in range(400):
+        m = k // 2
+        if k == 0:
+            term = 1.0
+        elif k % 2 == 0:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + term * d)
+        c = 1 + term / c
+        f *= c * d
+        if abs(1 - c * d) < 1e-14:
+            break
+    return front * (f - 1)
+
+
+def correlation_p(rho: float | None, n: int) -> float | None:
+    """Two-sided p of a rank correlation, by Student's distribution with n - 2 degrees of freedom."""
+    if rho is None or n < 3:
+        return None
+    if abs(rho) >= 1:
+        return 0.0
+    t2 = rho * rho * (n - 2) / (1 - rho * rho)
+    return incomplete_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+
+
+def spearman_test(values: DataFrame, x: str, y: str, key: str, replicates: int = 2000) -> DataFrame:
+    """(n, rho, p, lo, hi): ``spearman`` with its p-value and a bootstrap interval.
+
+    Each row gets a Poisson weight for each replicate, from a hash of its key; a
+    task adds up its rows' weighted sums of ranks, which are those in the whole
+    table, and only the sums of replicates are shuffled.
+    """
+    both = values.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = ranks(ranks(both, x, "__rx"), y, "__ry").select(F.xxhash64(key).alias("k"), F.col("__rx").cast("double").alias("a"), F.col("__ry").cast("double").alias("b"))
+    names = ("w", "wa", "wb", "waa", "wbb", "wab")
+
+    def run(batches):
+        sums = np.zeros((len(names), replicates + 1))
+        for batch in batches:
+            for k, a, b in zip(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "a", "b")), strict=True):
+                w = np.concatenate([[1], np.random.default_rng(int(k) & (2**63 - 1)).poisson(1.0, replicates)])
+                sums += np.outer([1, a, b, a * a, b * b, a * b], w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates + 1)), *(pa.array(s) for s in sums)], names=["rep", *names])
+
+    added = ranked.mapInArrow(run, ", ".join(["rep bigint", *(f"{c} double" for c in names)])).groupBy("rep").agg(*(F.sum(c).alias(c) for c in names))
+    spread = lambda p, q, pq: F.col(pq) * F.col("w") - F.col(p) * F.col(q)
+    down = F.sqrt(spread("wa", "wa", "waa") * spread("wb", "wb", "wbb"))
+    per = added.select("rep", "w", F.when(down > 0, spread("wa", "wb", "wab") / down).alias("r"))
+    q = F.percentile(F.when(F.col("rep") > 0, F.col("r")), F.array(F.lit(0.025), F.lit(0.975)))
+    own = lambda c: F.max(F.when(F.col("rep") == 0, F.col(c)))
+    one = per.agg(own("w").cast("bigint").alias("n"), own("r").alias("rho"), q.alias("q"))
+
+    def with_test(batches):
+        for batch in batches:
+            p = [correlation_p(r, n) for r, n in zip(batch.column("rho").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            yield batch.append_column("p", pa.array(p, pa.float64()))
+
+    done = one.select("n", "rho", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    return done.mapInArrow(with_test, "n bigint, rho double, lo double, hi double, p double")

@@ -76,6 +76,54 @@ def chain_dihedrals(points: DataFrame, chain: str, order: str) -> DataFrame:
     return quads.withColumn("dihedral", F.when(F.col("__x3").isNotNull(), dihedral(p))).select(*points.columns, "dihedral")
 
 
+def linked_segments(atoms: DataFrame, chain: str, number: str, value: str, far: float = 4.3) -> DataFrame:
+    """A row for each two consecutive residues of a chain: whether they are bonded, and the mean of what is known of ``value``.
+
+    Bonded are neighbours by number whose atoms lie nearer than ``far``.
+    """
+    along = Window.partitionBy(chain).orderBy(number)
+    before = lambda c: F.lag(c).over(along)
+    d = F.sqrt(sum((F.pow(F.col(c) - before(c), F.lit(2)) for c in "xyz"), F.lit(0.0)))
+    both = atoms.select(chain, number, (F.col(number) - before(number)).alias("step"), d.alias("distance"), F.col(value).alias("own"), before(value).alias("last"))
+    mean = F.coalesce((F.col("own") + F.col("last")) / 2, "own", "last")
+    bonded = (F.col("step") == 1) & (F.col("distance") < far)
+    return both.filter("step is not null").select(chain, number, "distance", bonded.alias("bonded"), mean.alias("value"))
+
+
+def residue_table(atoms: DataFrame, standard: tuple[str, ...]) -> DataFrame:
+    """(chain, number, residue, x, y, z, b): standard residues with their alpha carbon, the first of its alternatives."""
+    alpha = atoms.filter((F.col("atom") == "CA") & (F.col("record") == "ATOM") & F.col("residue").isin(*standard))
+    names = ("residue", "x", "y", "z", "b")
+    first = alpha.groupBy("chain", "number").agg(F.min_by(F.struct(*names), "serial").alias("f"))
+    return first.select("chain", "number", *(f"f.{c}" for c in names))
+
+
+def summary(points: DataFrame, value: str, near: float) -> DataFrame:
+    """One row: how many points, mean and extremes of distance and value, and means near to and far from the centre."""
+    close = F.col("distance") <= near
+    return points.agg(
+        F.count("*").alias("n"), F.count(value).alias("n_scored"), F.avg(value).alias("mean_value"), F.min("distance").alias("least_distance"),
+        F.max("distance").alias("greatest_distance"), F.avg("distance").alias("mean_distance"), F.count_if(close).alias("n_near"),
+        F.avg(F.when(close, F.col(value))).alias("mean_near"), F.avg(F.when(~close, F.col(value))).alias("mean_far"), F.corr("distance", value).alias("correlation"),
+    )
+
+
+def backbone(points: DataFrame, chain: str, order: str) -> DataFrame:
+    """(chain, residue, phi, psi): points in runs of three are a residue's N, CA and C; phi looks back, psi ahead.
+
+    Points of a last residue that isn't whole are left out.
+    """
+    numbered = points.withColumn("__at", F.row_number().over(Window.partitionBy(chain).orderBy(order)) - 1)
+    atom = lambda i, c: F.max(F.when(F.col("__at") % 3 == i, F.col(c)))
+    of = numbered.groupBy(chain, F.floor(F.col("__at") / 3).alias("residue")).agg(F.count("*").alias("__n"), *(atom(i, c).alias(f"{n}{c}") for i, n in enumerate("nac") for c in "xyz"))
+    along = Window.partitionBy(chain).orderBy("residue")
+    point = lambda n: [F.col(f"{n}{c}") for c in "xyz"]
+    whole = of.filter("__n = 3").select("*", *(F.lag(f"c{c}").over(along).alias(f"b{c}") for c in "xyz"), *(F.lead(f"n{c}").over(along).alias(f"m{c}") for c in "xyz"))
+    phi = F.when(F.col("bx").isNotNull(), dihedral([point("b"), point("n"), point("a"), point("c")]))
+    psi = F.when(F.col("mx").isNotNull(), dihedral([point("n"), point("a"), point("c"), point("m")]))
+    return whole.select(chain, F.col("residue").cast("bigint").alias("residue"), phi.alias("phi"), psi.alias("psi"))
+
+
 def principal_axes(points: DataFrame) -> list[np.ndarray]:
     """Axes of greatest variance, from nine sums that the cluster adds up; an axis's first non-zero part is positive."""
     pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]

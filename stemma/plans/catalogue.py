@@ -116,14 +116,25 @@ def cai_per_sequence(spark, sf_dir):
     return _rounded(composition.cai(_seqs(spark, sf_dir), composition.cai_weights(_reference(spark, sf_dir))), 6, "cai")
 
 
+def _sql_mean(name: str) -> str:
+    """A mean to four decimals of values with six, in whole numbers: no rounding of a binary sum decides a tie."""
+    n, x = f"count({name})", f"sum(round(({name}::double + 1) * 1000000)::bigint)"
+    return f"(((2 * {x} + 100 * {n}) // (200 * nullif({n}, 0)))::bigint - 10000)::double / 10000"
+
+
+def _mean(name: str):
+    n, x = f"count({name})", f"sum(cast(round((cast({name} as double) + 1) * 1000000) as bigint))"
+    return F.expr(f"cast((2 * {x} + 100 * {n}) div (200 * nullif({n}, 0)) - 10000 as double) / 10000")
+
+
 @query(
-    f"""with {SEQS}, m as ({_METRICS}) select gene, species, count(*) as n_sequences, round(avg(gc), 4) as gc,
-    round(avg(gc3), 4) as gc3, round(avg(gc_skew), 4) as gc_skew, round(avg(length), 4) as length from m group by gene, species"""
+    f"""with {SEQS}, m as ({_METRICS}) select gene, species, count(*) as n_sequences, {_sql_mean("gc")} as gc,
+    {_sql_mean("gc3")} as gc3, {_sql_mean("gc_skew")} as gc_skew, {_sql_mean("length")} as length from m group by gene, species"""
 )
 def gene_level_means(spark, sf_dir):
     m = sequence_metrics(spark, sf_dir)
     names = ("gc", "gc3", "gc_skew", "length")
-    return _rounded(m.groupBy("gene", "species").agg(F.count("*").alias("n_sequences"), *(F.avg(c).alias(c) for c in names)), 4, *names)
+    return m.groupBy("gene", "species").agg(F.count("*").alias("n_sequences"), *(_mean(c).alias(c) for c in names))
 
 
 @query(
@@ -177,7 +188,7 @@ def amino_acid_composition(spark, sf_dir):
     round(100.0::double * (rank() over (partition by species order by gc3) - 1) / count(*) over (partition by species), 6) as percentile from m where gc3 is not null"""
 )
 def background_percentile(spark, sf_dir):
-    m = sequence_metrics(spark, sf_dir).select("label", "species", "gc3").filter("gc3 is not null")
+    m = sequence_metrics(spark, sf_dir).select("label", "species", "gc3").filter("gc3 is not null").persist()  # short rows, read twice
     return _rounded(composition.percentiles(m, "species", "gc3"), 6, "percentile")
 
 
@@ -197,8 +208,8 @@ FLAGGED = """flagged as (
 
 
 @query(f"with {SEQS}, {FLAGGED} select label, gene, array_to_string(flags, ';') as flags, included from kept")
-def qc_flags(spark, sf_dir):
-    return quality.flags(_seqs(spark, sf_dir)).select("label", "gene", F.array_join("flags", ";").alias("flags"), "included")
+def qc_flags(spark, sf_dir, seqs=_seqs):
+    return quality.flags(seqs(spark, sf_dir)).select("label", "gene", F.array_join("flags", ";").alias("flags"), "included")
 
 
 @query(
@@ -206,8 +217,8 @@ def qc_flags(spark, sf_dir):
     count(distinct species) filter (included) as n_species, median(length(nt))::double as median_length,
     min(length(nt))::int as min_length, max(length(nt))::int as max_length from kept group by gene"""
 )
-def qc_summary(spark, sf_dir):
-    return quality.summary(quality.flags(_seqs(spark, sf_dir)))
+def qc_summary(spark, sf_dir, seqs=_seqs):
+    return quality.summary(quality.flags(seqs(spark, sf_dir)))
 
 
 @query(
@@ -215,8 +226,8 @@ def qc_summary(spark, sf_dir):
     select gene, species, coalesce(state, 0)::int as state from dims
     left join (select gene, species, max(case when included then 2 else 1 end) as state from kept group by all) using (gene, species)"""
 )
-def presence_matrix(spark, sf_dir):
-    s = _seqs(spark, sf_dir)
+def presence_matrix(spark, sf_dir, seqs=_seqs):
+    s = seqs(spark, sf_dir)
     return quality.presence(quality.flags(s), s.select("gene").distinct(), s.select("species").distinct())
 
 
@@ -255,11 +266,13 @@ def reciprocal_best_hit(spark, sf_dir):
     return homology.reciprocal_best(homology.shared_kmers(_items(spark, sf_dir), _proteins(spark, sf_dir)))
 
 
+def aligned_items(spark, sf_dir) -> DataFrame:
+    return homology.aligned_hits(_items(spark, sf_dir), _proteins(spark, sf_dir))
+
+
 @query()
 def local_alignment_hits(spark, sf_dir):
-    items, proteins = _items(spark, sf_dir), _proteins(spark, sf_dir)
-    hits = homology.aligned_hits(items, proteins)
-    return _rounded(homology.ortholog_calls(hits), 6, "score", "identity", "query_coverage", "target_coverage")
+    return _rounded(homology.ortholog_calls(aligned_items(spark, sf_dir)), 6, "score", "identity", "query_coverage", "target_coverage")
 
 
 # --- alignment columns -------------------------------------------------------------------------
@@ -312,6 +325,7 @@ def reference_numbering(spark, sf_dir):
 
 @query()
 def extreme_windows(spark, sf_dir):
+    """Windows as long as ``region_window`` has it for a gene's number of columns."""
     return _rounded(conservation.extreme_windows(conservation.conservation(_rows(spark, sf_dir))), 6, "mean_conservation")
 
 
@@ -467,8 +481,8 @@ def codon_sites(spark, sf_dir):
 
 
 @query(f"with {WITHIN} {ESTIMATE.format('gene', 'totals')}")
-def dnds_within(spark, sf_dir):
-    return _estimates(selection.estimate(selection.within(selection.codon_columns(_seqs(spark, sf_dir), "gene"), ["gene"]), ["gene"]))
+def dnds_within(spark, sf_dir, seqs=_seqs):
+    return _estimates(selection.estimate(selection.within(selection.codon_columns(seqs(spark, sf_dir), "gene"), ["gene"]), ["gene"]))
 
 
 @query(
@@ -479,8 +493,8 @@ def dnds_within(spark, sf_dir):
       from met join pair_table using (x, y) group by all)
     {ESTIMATE.format('gene, one, other', 'totals')}"""
 )
-def dnds_between(spark, sf_dir):
-    counts = selection.codon_columns(_seqs(spark, sf_dir), "gene", "species")
+def dnds_between(spark, sf_dir, seqs=_seqs):
+    counts = selection.codon_columns(seqs(spark, sf_dir), "gene", "species")
     by = ["gene", "one", "other"]
     return _estimates(selection.estimate(selection.between(counts, ["gene"], "species"), by))
 
@@ -491,8 +505,8 @@ def dnds_between(spark, sf_dir):
       where t.col < s.start + 60 and (s.start = 0 or s.start + 60 <= length))
     {ESTIMATE.format('gene, start', 'spread')}""".replace("select gene, start, round", "select gene, start::int as start, round")
 )
-def dnds_windows(spark, sf_dir):
-    totals = selection.within(selection.codon_columns(_seqs(spark, sf_dir), "gene"), ["gene"])
+def dnds_windows(spark, sf_dir, seqs=_seqs):
+    totals = selection.within(selection.codon_columns(seqs(spark, sf_dir), "gene"), ["gene"])
     return _estimates(selection.windows(totals, ["gene"]))
 
 

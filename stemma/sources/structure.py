@@ -10,9 +10,17 @@ def _field(start: int, end: int) -> Column:
     return F.trim(F.substring("value", start, end - start + 1))
 
 
+# The standard amino acids.
+STANDARD = tuple("ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split())
+
+
 def read(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
-    """(record, serial, atom, residue, chain, number, x, y, z, b, line) of the ATOM and HETATM lines."""
-    lines = spark.read.text(path).filter(F.substring("value", 1, 6).isin("ATOM  ", "HETATM"))
+    """(record, serial, atom, residue, chain, number, x, y, z, b, line) of the ATOM and HETATM lines of a file's first model.
+
+    A file is read whole by one task, as its models are told apart by the lines between.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"(?s)\A(.*?)(?:\nENDMDL|\z)", 1).alias("value"))
+    lines = text.select(F.explode(F.split("value", "\r?\n")).alias("value")).filter(F.substring("value", 1, 6).isin("ATOM  ", "HETATM"))
     atoms = lines.select(
         _field(1, 6).alias("record"),
         _field(7, 11).cast("int").alias("serial"),
@@ -26,6 +34,18 @@ def read(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
     return atoms if chain is None else atoms.filter(F.col("chain") == chain)
 
 
+def first_available(spark: SparkSession, paths: list[str], chain: str | None = None) -> DataFrame:
+    """The atoms of the first of ``paths``, in order of preference, that is there and has any."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(conf).exists(p):
+            atoms = read(spark, path, chain)
+            if not atoms.isEmpty():
+                return atoms
+    raise FileNotFoundError(f"no structure among {paths}")
+
+
 def with_factors(atoms: DataFrame, scores: DataFrame) -> DataFrame:
     """Lines whose B-factor is 100 times ``score`` of (number, score), or -1 for a residue without."""
     b = F.coalesce(F.round(100 * F.col("score"), 2), F.lit(-1.0))

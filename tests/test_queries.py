@@ -1,11 +1,14 @@
 """Queries equal their SQL on the smallest test tables, where these are present."""
 
+import itertools
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
-from stemma.plans import catalogue, flagship
+from stemma.operators import conservation
+from stemma.plans import catalogue, flagship, panel
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -27,6 +30,82 @@ def test_query_equals_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+#: Columns that the panel must fill, so that equal nulls or empty results prove nothing.
+FILLED = {"panel_dnds_within": "omega", "panel_dnds_between": "omega", "panel_dnds_windows": "omega", "panel_dnds_bootstrap": "lo", "panel_gene_vs_controls": "p", "panel_window_intervals": "lo"}
+
+
+@pytest.mark.parametrize("name", FILLED)
+def test_panel_fills_what_it_estimates(spark, name):
+    got = catalogue.QUERIES[name](spark, SF).toPandas()[FILLED[name]]
+    assert len(got) > 3 and got.notna().mean() > 0.7 and got.nunique() > 3
+
+
+def test_panel_passes_checks(spark):
+    got = catalogue.QUERIES["panel_qc_summary"](spark, SF).toPandas()
+    assert (got["n_included"] > 0).all() and (got["n_included"] < got["n_found"]).any()
+    assert (catalogue.QUERIES["gene_conservation_summary"](spark, SF).toPandas()["invariant_fraction"] > 0).all()
+
+
+def test_simulated_tree_is_found(spark):
+    assert {(r.grp, r.rf, r.nrf) for r in panel.topology_recovery(spark, SF).collect()} == {("codons", 0, 0.0), ("bases", 0, 0.0)}
+
+
+def test_panel_extraction(spark):
+    best = panel.extract_panel(spark, SF).toPandas()
+    assert len(best) == 20 and (best["query"] == best["target"]).all() and (best["identity"] == 1.0).all() and best["ortholog_call"].all()
+    rejected = panel.rejected_hits(spark, SF).toPandas()
+    assert len(rejected) and set(rejected["reason"]) <= {"not reciprocal", "identity", "coverage"} and (rejected["query"] != rejected["target"]).any()
+    family = panel.extract_family(spark, SF).toPandas()
+    assert len(family) >= 3 and family["target"].is_unique and set(family["query"]) <= {0, 1, 2} and (family["identity"] >= 0.3).all()
+
+
+def test_motif_windows(spark):
+    scores = conservation.conservation(panel._panel_rows(spark, SF)).toPandas()
+    got = panel.motif_windows(spark, SF).toPandas()
+    for gene, g in scores.groupby("gene"):
+        c = dict(zip(g["col"], g["conservation"], strict=True))
+        means = {e: round(sum(c[e - i] for i in range(7)) / 7, 9) for e in c if all(c.get(e - i) is not None and c.get(e - i) == c.get(e - i) for i in range(7))}
+        left, want = sorted(means, key=lambda e: (-means[e], e)), []
+        while left and len(want) < 6:
+            want.append(left[0])
+            left = [e for e in left if abs(e - want[-1]) >= 7]
+        own = got[got["gene"] == gene].sort_values("rank")
+        assert [round(x, 4) for x in own["mean_conservation"]] == [round(means[e], 4) for e in want]
+        assert all(abs(a - b) >= 7 for a, b in itertools.combinations(own["end"], 2))
+
+
+def test_conflicts_and_discordance(spark):
+    rows, against = panel.discordance(spark, SF).toPandas(), panel.conflicts(spark, SF).toPandas()
+    assert len(rows) and ((rows["n_splits"] + rows["n_reference"] - 2 * rows["n_shared"]) == rows["rf"]).all()
+    assert rows["n_conflicts"].sum() == len(against) and (against["support"] >= 70).all() and (against["n_against"] >= 1).all()
+
+
+def test_rank_correlation(spark):
+    m = catalogue.sequence_metrics(spark, SF).select("gc", "gc3").toPandas().dropna()
+    got = panel.spearman_test(spark, SF).toPandas().iloc[0]
+    rho = m["gc"].rank().corr(m["gc3"].rank())
+    assert abs(got["rho"] - rho) < 1e-6 and got["lo"] < rho < got["hi"] and 0 <= got["p"] < 0.05
+    reps = [x["gc"].rank().corr(x["gc3"].rank()) for x in (m.sample(frac=1, replace=True, random_state=i) for i in range(300))]
+    assert abs(np.quantile(reps, 0.025) - got["lo"]) < 0.05 and abs(np.quantile(reps, 0.975) - got["hi"]) < 0.05
+
+
+def test_resampled_statistics(spark):
+    v = catalogue._two_classes(spark, SF).toPandas().dropna()
+    got = panel.resampled_statistics(spark, SF).toPandas().set_index("metric")
+    rng = np.random.default_rng(1)
+    for metric, g in v.groupby("metric"):
+        a, b = (g[g["first"] == side]["value"].to_numpy() for side in (True, False))
+        m, d = [], []
+        for _ in range(1500):
+            x, y = rng.choice(a, len(a)), rng.choice(b, len(b))
+            m.append(np.median(x) - np.median(y))
+            d.append(np.sign(x[:, None] - y[None, :]).mean())
+        width = np.quantile(d, 0.975) - np.quantile(d, 0.025)
+        assert abs(got.loc[metric, "delta_lo"] - np.quantile(d, 0.025)) < 0.2 * width and abs(got.loc[metric, "delta_hi"] - np.quantile(d, 0.975)) < 0.2 * width
+        width = np.quantile(m, 0.975) - np.quantile(m, 0.025)
+        assert abs(got.loc[metric, "median_lo"] - np.quantile(m, 0.025)) < 0.35 * width and abs(got.loc[metric, "median_hi"] - np.quantile(m, 0.975)) < 0.35 * width
+
+
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.SQL])
 def test_other_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
