@@ -19,10 +19,23 @@ from stemma.llm._common import cut, table
 from stemma.llm.queries import BYTE_RANKS, PATTERN
 
 
+#: Columns that stages read; others travel in one column, so that none clashes with what an operator adds.
+NAMED = ("doc_id", "text", "lang")
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    rest = F.struct(F.lit(True).alias("__kept"), *(c for c in docs.columns if c not in NAMED))
+    return docs.select(*(c for c in docs.columns if c in NAMED), rest.alias("__rest"))
+
+
+def together(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*(F.col(c) if c in NAMED else F.col("__rest")[c].alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
-    judged = quality_model.classify(docs, table(spark, sf_dir, "labels"))
-    return judged.filter(~F.col("rejected")).select(*docs.columns)
+    judged = quality_model.classify(apart(docs), table(spark, sf_dir, "labels"))
+    return together(judged.filter(~F.col("rejected")), docs)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,23 +43,24 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = near_duplicates.near_duplicates(docs, n=5, percent=80)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"), "text_hash").distinct()
     same = (F.col("doc_id") == F.col("gone")) & (near_duplicates.text_hash() == F.col("text_hash"))
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti").select(*docs.columns)
+    return together(apart(docs).join(gone.hint("shuffle_hash"), same, "left_anti"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter("n_hit = 0").select(*docs.columns)
+    found = decontaminate.hits(apart(docs), table(spark, sf_dir, "benchmark"))
+    return together(found.filter("n_hit = 0"), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the secrets in the texts; ``n_chars`` follows."""
-    found = secrets.join_back(docs, secrets.scan(docs))
+    found = secrets.join_back(apart(docs), secrets.scan(docs))
     clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("findings")))
+    whole = together(clean, docs)
     if "n_chars" in docs.columns:
         changed = F.when(F.size("findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-        clean = clean.withColumn("n_chars", changed.otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+        whole = together(clean.withColumn("__rest", F.col("__rest").withField("n_chars", changed.otherwise(F.col("__rest.n_chars")))), docs)
+    return whole
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
