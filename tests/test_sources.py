@@ -70,3 +70,19 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.species, r.n) for r in spark.table("running").collect()} == {("en", 2), ("de", 1)}
+
+
+def test_csv_and_log(spark, tmp_path):
+    from stemma.sources import tabular
+
+    schema = "gene string, n bigint, x double"
+    rows = [("a", 1, 0.1 + 0.2), ("b, c", None, 1e-17), (None, 3, None)]
+    df = spark.createDataFrame(rows, schema)
+    tabular.write_csv(df, str(tmp_path / "t"))
+    back = tabular.read_csv(spark, str(tmp_path / "t"), schema)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+    log = str(tmp_path / "log")
+    assert tabular.read_log(spark, log, schema).collect() == []
+    tabular.write_log(df, log)
+    tabular.write_log(df.limit(1), log)
+    assert tabular.read_log(spark, log, schema).count() == 4
