@@ -7,14 +7,26 @@ gaps and is never written out, so that data grow with the letters alone.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .composition import AS_ALIGNED, LETTERS
 
 GAP = "-"
+#: Columns whose counts or shares stand together.
+BLOCK = 4_096
+#: Letters that a task gathers before it counts them, and counters that it holds before it hands them on.
+GATHERED = 2_000_000
+HELD = 4_000_000
+#: Pieces of rows that meet one copy of a block's shares.
+PIECES = 2_048
 
 
 def aligned(docs: DataFrame) -> DataFrame:
@@ -29,9 +41,111 @@ def columns(rows: DataFrame) -> DataFrame:
     return rows.filter(F.length("row") > 0).select("gene", "label", "species", each).select("gene", "label", "species", (F.col("at") + 1).alias("col"), "ch")
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """``columns``, never to be broadcast: a plan's estimate knows the texts' size but not their letters' number."""
-    return columns(rows).hint("merge")
+def _codes(row: str) -> np.ndarray:
+    return np.frombuffer(row.encode("utf-32-le"), np.uint32)
+
+
+def _fields(rows: DataFrame, *names: str) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+
+
+def counted(rows: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+    """(by, col, ch, n, w): how many rows have a letter or written gap in a column, and the sum of their ``weight`` (null: none).
+
+    Each task counts its rows' letters in arrays, so that what is shuffled are
+    counts by column and never letters.  Null rows count as empty ones.
+    """
+
+    def add(held: dict, waiting: dict) -> None:
+        for key, pieces in waiting.items():
+            codes = np.concatenate([x for x, _ in pieces])
+            lengths = np.array([len(x) for x, _ in pieces])
+            col = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            letters = np.flatnonzero(np.bincount(codes))
+            cell = np.searchsorted(letters, codes) * BLOCK + col
+            ones = np.bincount(cell, minlength=len(letters) * BLOCK).reshape(-1, BLOCK)
+            sums = ones if weight is None else np.bincount(cell, np.repeat([w for _, w in pieces], lengths), len(letters) * BLOCK).reshape(-1, BLOCK)
+            for i, letter in enumerate(letters.tolist()):
+                n, w = held.setdefault((*key, letter), (np.zeros(BLOCK, np.int64), np.zeros(BLOCK)))
+                n += ones[i]
+                w += sums[i]
+        waiting.clear()
+
+    def hand_on(held: dict):
+        for (group, at, letter), (n, w) in held.items():
+            some = np.flatnonzero(n)
+            of = [pa.array([g] * len(some), out.field(i).type) for i, g in enumerate(group)]
+            yield pa.RecordBatch.from_arrays([*of, pa.array((at + 1 + some).astype(np.int32)), pa.array([chr(letter)] * len(some)), pa.array(n[some]), pa.array(w[some])], schema=out)
+        held.clear()
+
+    def run(batches):
+        held, waiting, letters = {}, defaultdict(list), 0
+        for b in batches:
+            weights = repeat(1.0) if weight is None else b.column("weight").to_pylist()
+            for row, w, *group in zip(b.column("row"), weights, *(b.column(c).to_pylist() for c in by)):  # noqa: B905
+                codes = _codes(row.as_py() or "")
+                for at in range(0, len(codes), BLOCK):
+                    waiting[tuple(group), at].append((codes[at : at + BLOCK], w or 0.0))
+                letters += len(codes)
+                if letters > GATHERED:
+                    add(held, waiting)
+                    letters = 0
+                if len(held) * BLOCK > HELD:
+                    yield from hand_on(held)
+        add(held, waiting)
+        yield from hand_on(held)
+
+    given = rows.select(*by, "row") if weight is None else rows.select(*by, "row", F.col(weight).cast("double").alias("weight"))
+    out = to_arrow_schema(given.select(*by, F.lit(0).alias("col"), F.lit("").alias("ch"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("w")).schema)
+    per_task = given.mapInArrow(run, _fields(rows, *by) + ", col int, ch string, n bigint, w double")
+    return per_task.groupBy(*by, "col", "ch").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+
+
+def _looked_up(rows: DataFrame, share: DataFrame) -> DataFrame:
+    """(gene, label, own): the sum of a row's letters' shares, from ``share`` (gene, col, ch, share).
+
+    Rows are cut into blocks of columns, which meet the block's shares; a block of
+    a gene with many rows is met in as many parts as its rows need.
+    """
+
+    def cut(batches):
+        for b in batches:
+            for gene, label, row in zip(b.column("gene"), b.column("label"), b.column("row"), strict=True):
+                row = row.as_py() or ""
+                parts = [row[at : at + BLOCK] for at in range(0, len(row), BLOCK)]
+                names = [pa.array([x.as_py()] * len(parts), x.type) for x in (gene, label)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["gene", "label", "block", "piece"])
+
+    def gathered(batches):
+        """Batches of a useful size."""
+        small: list = []
+        for b in cut(batches):
+            small.append(b)
+            if len(small) == 1_000:
+                yield from pa.Table.from_batches(small).combine_chunks().to_batches()
+                small = []
+        if small:
+            yield from pa.Table.from_batches(small).combine_chunks().to_batches()
+
+    def meet(pieces: pa.Table, shares: pa.Table) -> pa.Table:
+        at, letter = shares.column("col").to_numpy(), np.array([ord(c) for c in shares.column("ch").to_pylist()], np.uint32)
+        letters = np.unique(letter)
+        table = np.zeros((len(letters), BLOCK))
+        table[np.searchsorted(letters, letter), (at - 1) % BLOCK] = shares.column("share").to_numpy()
+        codes = [_codes(p) for p in pieces.column("piece").to_pylist()]
+        own = [float(table[np.searchsorted(letters, c), np.arange(len(c))].sum()) for c in codes]
+        return pieces.select(["gene", "label"]).append_column("own", pa.array(own, pa.float64()))
+
+    block = ((F.col("col") - 1) / BLOCK).cast("int")
+    pieces = rows.select("gene", "label", "row").mapInArrow(gathered, _fields(rows, "gene", "label") + ", block int, piece string")
+    each = F.explode(F.sequence(F.lit(0), ((F.length("row") - 1) / BLOCK).cast("int"))).alias("block")
+    many = rows.filter(F.length("row") > 0).select("gene", each).groupBy("gene", "block").agg(F.ceil(F.count("*") / PIECES).alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    left = pieces.join(many, ["gene", "block"], "left").withColumn("part", F.pmod(F.xxhash64("label"), parts)).drop("parts")
+    right = share.withColumn("block", block).join(many, ["gene", "block"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    key = ["gene", "block", "part"]
+    met = left.groupBy(*key).cogroup(right.drop("parts").groupBy(*key)).applyInArrow(meet, _fields(rows, "gene", "label") + ", own double")
+    return met.groupBy("gene", "label").agg(F.sum("own").alias("own"))
 
 
 def henikoff_weights(rows: DataFrame) -> DataFrame:
@@ -42,7 +156,7 @@ def henikoff_weights(rows: DataFrame) -> DataFrame:
     backwards, once for each column and not for each row.
     """
     size = rows.groupBy("gene").agg(F.count("*").alias("rows"), F.max(F.length("row")).alias("cols"))
-    per = columns(rows).groupBy("gene", "col", "ch").agg(F.count("*").alias("n"))
+    per = counted(rows, "gene")
     there = per.groupBy("gene", "col").agg(
         F.sum("n").alias("present"), F.count("*").alias("kinds"), F.sum(F.when(F.col("ch") == GAP, F.col("n")).otherwise(0)).alias("gaps")
     )
@@ -54,29 +168,27 @@ def henikoff_weights(rows: DataFrame) -> DataFrame:
     )
     n_or_gaps = F.when(F.col("ch") == GAP, F.col("all_gaps")).otherwise(F.col("n"))
     share = per.join(of, ["gene", "col"]).select("gene", "col", "ch", (1 / (F.col("k") * n_or_gaps)).alias("share"))
-    own = _cells(rows).join(share, ["gene", "col", "ch"]).groupBy("gene", "label").agg(F.sum("share").alias("own"))
+    own = _looked_up(rows, share)
     behind = Window.partitionBy("gene").orderBy(F.col("col").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap_share = F.when(F.col("all_gaps") > 0, 1 / (F.col("k") * F.col("all_gaps"))).otherwise(0.0)
     tail = of.withColumn("tail", F.sum(gap_share).over(behind)).select("gene", F.col("col").alias("next"), "tail")
     ends = rows.select("gene", "label", (F.length("row") + 1).alias("next"))
-    raw = ends.join(tail, ["gene", "next"], "left").join(own, ["gene", "label"], "left").join(F.broadcast(size), "gene")
+    raw = ends.join(tail, ["gene", "next"], "left").join(own, ["gene", "label"], "left").join(size, "gene")
     # A column's shares add up to 1, so a gene's add up to its number of columns.
     shares = F.coalesce("own", F.lit(0.0)) + F.coalesce("tail", F.lit(0.0))
     return raw.select("gene", "label", (shares / F.nullif("cols", F.lit(0))).alias("weight"))
 
 
+def _weighted(rows: DataFrame) -> DataFrame:
+    """(gene, col, ch, n, w) of letters that aren't gaps, w by ``henikoff_weights``."""
+    own = rows.join(henikoff_weights(rows), ["gene", "label"])
+    return counted(own, "gene", weight="weight").filter(F.col("ch") != GAP)
+
+
 def conservation(rows: DataFrame, *, letters: int = 4, most_gaps: float = 0.5) -> DataFrame:
     """Per column: gap_fraction, consensus, and, where gaps are few enough, weighted entropy (bits) and conservation."""
     size = rows.groupBy("gene").agg(F.count("*").alias("rows"))
-    w = henikoff_weights(rows)
-    per = (
-        columns(rows)
-        .filter(F.col("ch") != GAP)
-        .hint("merge")
-        .join(w, ["gene", "label"])
-        .groupBy("gene", "col", "ch")
-        .agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    )
+    per = _weighted(rows)
     total = per.groupBy("gene", "col").agg(
         F.sum("n").alias("present"),
         F.sum("w").alias("sum_w"),
@@ -86,7 +198,7 @@ def conservation(rows: DataFrame, *, letters: int = 4, most_gaps: float = 0.5) -
     # Entropy of w / sum_w, without another pass: log2(sum_w) - sum(w log2 w) / sum_w.
     h = F.log2("sum_w") - F.col("sum_wlogw") / F.col("sum_w")
     h = F.when(h < 1e-9, 0.0).otherwise(h)
-    out = total.join(F.broadcast(size), "gene").withColumn("gap_fraction", 1 - F.col("present") / F.col("rows"))
+    out = total.join(size, "gene").withColumn("gap_fraction", 1 - F.col("present") / F.col("rows"))
     scored = F.col("gap_fraction") <= most_gaps
     return out.select(
         "gene",
@@ -182,8 +294,7 @@ def match_states(row: Column, ref: Column) -> Column:
 
 def frequencies(rows: DataFrame) -> DataFrame:
     """(gene, col, ch, freq): weighted letter frequencies of each column without its gaps."""
-    cells = columns(rows).filter(F.col("ch") != GAP).hint("merge")
-    per = cells.join(henikoff_weights(rows), ["gene", "label"]).groupBy("gene", "col", "ch").agg(F.sum("weight").alias("w"))
+    per = _weighted(rows)
     total = F.sum("w").over(Window.partitionBy("gene", "col"))
     return per.select("gene", "col", "ch", (F.col("w") / total).alias("freq"))
 

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence
-from .conservation import GAP, columns
+from .conservation import GAP, counted
 
 
 def consensus(rows: DataFrame, group: str, taxon: str) -> DataFrame:
     """(grp, taxon, col, ch): the most frequent letter of a taxon's rows, ties by letter, where any row has one."""
-    n = columns(rows).filter(F.col("ch") != GAP).groupBy(F.col(group).alias("grp"), F.col(taxon).alias("taxon"), "col", "ch").agg(F.count("*").alias("n"))
+    n = counted(rows.select(F.col(group).alias("grp"), F.col(taxon).alias("taxon"), "row"), "grp", "taxon").filter(F.col("ch") != GAP)
     return n.groupBy("grp", "taxon", "col").agg(F.max_by("ch", F.struct("n", (-F.ascii("ch")).alias("o"))).alias("ch"))
 
 

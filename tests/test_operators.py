@@ -51,6 +51,25 @@ def test_weights_count_missing_ends_as_gaps(spark):
     assert got[0] == got[1]
 
 
+def test_counts_and_weights_of_long_rows(spark, monkeypatch):
+    monkeypatch.setattr(conservation, "PIECES", 2)  # blocks are met in parts
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ACGT-é"), n)) for n in (9_000, 4_096, 4_097, 700, 700, 0)]
+    rows = spark.createDataFrame([("g", i, "s", t) for i, t in enumerate(texts)] + [("h", 9, "s", None)], "gene string, label bigint, species string, row string")
+    want, raw = {}, np.zeros(len(texts))
+    for col in range(9_000):
+        letters = [t[col] if col < len(t) else "-" for t in texts]
+        for i, t in enumerate(texts):
+            raw[i] += 1 / (len(set(letters)) * letters.count(letters[i]))
+            if col < len(t):
+                key = (col + 1, t[col])
+                want[key] = want.get(key, 0) + 1
+    got = conservation.counted(rows, "gene").collect()
+    assert {(r.col, r.ch): r.n for r in got} == want and {r.gene for r in got} == {"g"}
+    weights = {(r.gene, r.label): r.weight for r in conservation.henikoff_weights(rows).collect()}
+    assert [weights["g", i] for i in range(len(texts))] == pytest.approx(raw / 9_000) and weights["h", 9] is None
+
+
 def test_conservation(spark):
     got = {r.col: r for r in conservation.conservation(rows_of(spark, "AA-", "AC-", "AGA", "ATA", "A--")).collect()}
     assert got[1].conservation == 1 and got[1].entropy == 0 and got[1].consensus == "A"
