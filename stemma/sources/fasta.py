@@ -28,6 +28,11 @@ def record(id_: Column, seq: Column) -> Column:
     return F.concat(F.lit(">"), id_, F.lit("\n"), seq)
 
 
+def headed(id_: Column, **fields: Column) -> Column:
+    """An id followed by its fields as name=value; null fields are left out."""
+    return F.concat_ws(" ", id_, *(F.concat(F.lit(f"{name}="), c.cast("string")) for name, c in fields.items()))
+
+
 def write(records: DataFrame, path: str, *, by: str | None = None, compression: str | None = None) -> None:
     """Records as FASTA, in a folder of its own for each value of ``by``."""
     lines = records.select(*([by] if by else []), record(F.col("id"), F.col("seq")).alias("value"))

@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FEATURES = (
     "accession string, type string, locus_tag string, old_locus_tag string, protein_id string, gene_name string, product string, "
     "start bigint, end bigint, strand int, pseudo boolean, nt string, aa string"
 )
+METADATA = "accession string, title string, length bigint, gc double"
+SLICE = "accession string, gene string, value string"
 #: A record's end, which also parts the records of one file.
 RECORD_END = "\n//"
 _COMPLEMENT = str.maketrans("ACGTRYKMBVDHacgtrykmbvdh", "TGCAYRMKVBHDtgcayrmkvbhd")
@@ -91,3 +94,84 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     out = records.mapInArrow(run, FEATURES.replace("strand int", "strand bigint"))
     return out.withColumn("strand", out["strand"].cast("int"))
+
+
+def whole_of(record: str) -> tuple[str, str, str]:
+    """A record's accession, title and sequence."""
+    head, _, rest = record.partition("\nFEATURES")
+    accession = next((x.split()[1] for x in head.splitlines() if x.startswith("ACCESSION") and len(x.split()) > 1), "")
+    title = re.search(r"^DEFINITION +((?:.|\n {12})*)", head, re.M)
+    seq = re.sub(r"[^A-Za-z]", "", rest.partition("\nORIGIN")[2].partition("\n")[2]).upper()
+    return accession, re.sub(r"\s+", " ", title[1]).strip().rstrip(".") if title else "", seq
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record: accession, title, length and share of G and C (null without A, C, G and T)."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t in b.column("value").to_pylist():
+                if t and "FEATURES" in t:
+                    accession, title, seq = whole_of(t)
+                    gc, known = (sum(map(seq.count, letters)) for letters in ("GC", "ACGT"))
+                    rows.append((accession, title, len(seq), round(gc / known, 4) if known else None))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.float64())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["accession", "title", "length", "gc"])
+
+    return spark.read.text(path, lineSep=RECORD_END).mapInArrow(run, METADATA)
+
+
+def coding(rows: DataFrame) -> DataFrame:
+    """Features that are translated and no pseudogenes."""
+    return rows.filter((F.col("type") == "CDS") & (F.col("aa") != "") & ~F.col("pseudo"))
+
+
+def ribosomal(rows: DataFrame) -> DataFrame:
+    """Coding features whose product is a protein of a ribosome's subunit."""
+    return coding(rows).filter(F.col("product").rlike("^(30S|50S) ribosomal protein"))
+
+
+def cut_out(gene: str, accession: str, start: int, end: int, seq: str) -> str:
+    """A record of ``seq`` from ``start`` (from 0) to ``end`` alone."""
+    part = seq[start:end].lower()
+    lines = [f"{i + 1:>9} " + " ".join(part[j : j + 10] for j in range(i, min(i + 60, len(part)), 10)) for i in range(0, len(part), 60)]
+    return "\n".join([
+        f"LOCUS       {gene[:16]:<16} {len(part):>11} bp    DNA     linear   UNK",
+        f"DEFINITION  {gene} of {accession}.",
+        f"ACCESSION   {accession}:{start + 1}-{end}",
+        "FEATURES             Location/Qualifiers",
+        f"     gene            1..{len(part)}",
+        f'                     /gene="{gene}"',
+        "ORIGIN",
+        *lines,
+        "//",
+    ])
+
+
+def slices(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(accession, gene, value): a record for each row (accession, gene, start, end) of ``wanted``; accessions that ``path`` lacks give none.
+
+    A record's places travel to it as one list, so that its sequence isn't repeated.
+    """
+
+    def named(batches):
+        for b in batches:
+            found = [whole_of(t) for t in b.column("value").to_pylist() if t and "FEATURES" in t]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 2)], names=["accession", "seq"])
+
+    def run(batches):
+        for b in batches:
+            for accession, seq, places in zip(*(b.column(c).to_pylist() for c in ("accession", "seq", "places")), strict=True):
+                rows = [(accession, p["gene"], cut_out(p["gene"], accession, p["start"], p["end"], seq)) for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["accession", "gene", "value"])
+
+    wholes = spark.read.text(path, lineSep=RECORD_END).mapInArrow(named, "accession string, seq string")
+    places = wanted.dropna(subset=["gene", "start", "end"]).groupBy("accession").agg(F.collect_list(F.struct("gene", "start", "end")).alias("places"))
+    return wholes.join(places, "accession").mapInArrow(run, SLICE)
+
+
+def write_slices(rows: DataFrame, path: str) -> None:
+    """Records as text, in a folder of its own for each gene."""
+    rows.select("gene", "value").write.mode("overwrite").partitionBy("gene").text(path)

@@ -6,6 +6,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 NODES = "node int, parent int, name string, support double, length double"
 _TOKEN = re.compile(r"\s*([(),;]|:[^(),;:]*|'(?:[^']|'')*'|[^(),:;]+)")
@@ -58,3 +59,8 @@ def read(trees: DataFrame, text: str = "value") -> DataFrame:
             )
 
     return trees.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), NODES]))
+
+
+def write(trees: DataFrame, path: str, *, by: str, text: str = "value") -> None:
+    """Trees as text, in a folder of its own for each value of ``by``."""
+    trees.select(by, F.col(text).alias("value")).write.mode("overwrite").partitionBy(by).text(path)

@@ -86,3 +86,33 @@ def test_csv_and_log(spark, tmp_path):
     tabular.write_log(df, log)
     tabular.write_log(df.limit(1), log)
     assert tabular.read_log(spark, log, schema).count() == 4
+
+
+def test_genbank_metadata_and_slices(spark, tmp_path):
+    (tmp_path / "a.gb").write_text(RECORD + RECORD.replace("X1", "X2").replace("a test.", "two\n            lines."))
+    path = str(tmp_path / "a.gb")
+    got = {r.accession: (r.title, r.length, r.gc) for r in genbank.metadata(spark, path).collect()}
+    assert got == {"X1": ("a test", 40, 0.475), "X2": ("two lines", 40, 0.475)}  # 19 of 40
+    wanted = spark.createDataFrame([("X1", "a gene with a long name", 3, 12), ("X1", "b", 0, 40), ("X9", "b", 0, 3), ("X2", "b", None, 3)], "accession string, gene string, start bigint, end bigint")
+    genbank.write_slices(genbank.slices(spark, path, wanted), str(tmp_path / "out"))
+    back = {r.accession: r for r in genbank.metadata(spark, str(tmp_path / "out")).collect()}
+    assert {k: r.length for k, r in back.items()} == {"X1:4-12": 9, "X1:1-40": 40}
+    text = genbank.cut_out("a gene with a long name", "X1", 3, 12, "AAACCCGGGTTTAA")
+    assert text.splitlines()[0].split()[1:6] == ["a", "gene", "with", "a", "lo"] and "cccgggttt" in text.replace(" ", "")
+
+
+def test_coding_and_ribosomal(spark):
+    rows = [("CDS", "M", False, "30S ribosomal protein S2"), ("CDS", "", False, "50S ribosomal protein L1"), ("CDS", "M", True, "x"), ("rRNA", "M", False, "x"), ("CDS", "M", False, "a 30S ribosomal protein")]
+    df = spark.createDataFrame(rows, "type string, aa string, pseudo boolean, product string")
+    assert genbank.coding(df).count() == 2
+    assert [r.product for r in genbank.ribosomal(df).collect()] == ["30S ribosomal protein S2"]
+
+
+def test_headed_fasta_and_newick_sink(spark, tmp_path):
+    df = spark.createDataFrame([("g1", "rpoB", "L1", "ACG"), ("g2", "rpoB", None, "A")], "label string, gene string, locus_tag string, seq string")
+    rows = df.select(fasta.headed(df.label, gene=df.gene, locus_tag=df.locus_tag).alias("id"), "seq")
+    fasta.write(rows, str(tmp_path / "f"), compression="gzip")
+    assert {(r.id, r.header) for r in fasta.read(spark, str(tmp_path / "f")).collect()} == {("g1", "g1 gene=rpoB locus_tag=L1"), ("g2", "g2 gene=rpoB")}
+    trees = spark.createDataFrame([("a", "(A:1.00000,B:2.00000);"), ("b", "(C,D)99.00;")], "gene string, value string")
+    newick.write(trees, str(tmp_path / "t"), by="gene")
+    assert sorted(map(tuple, spark.read.text(str(tmp_path / "t")).select("gene", "value").collect())) == sorted(map(tuple, trees.collect()))
