@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from . import (
     byte_bpe,
     decontaminate,
+    divergence,
+    filter_audit,
     language_id,
+    mixing,
     near_duplicates,
     pii,
     quality_model,
@@ -23,7 +26,7 @@ from . import (
     token_counts,
     token_files,
 )
-from ._common import table
+from ._common import cut, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -102,6 +105,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(docs, BYTE_RANKS, PATTERN)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(mixing.sized(table(spark, sf_dir, "documents"), 0).select("doc_id", "source", "size", "hash"))
+    return mixing.plan(rows).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP8_SQL = rf"""
@@ -224,6 +240,114 @@ from docs left join found using (doc_id)
 """
 
 
+OP11_SQL = rf"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), words as (select r, lang, source, unnest(w) as t from docs),
+kept as (select lang, t, count(*)::hugeint as c from words group by lang, t having count(distinct r) >= 3),
+langs as (select lang, count(*)::hugeint as v, sum(c)::hugeint as n from kept group by lang),
+whole as (select lang, t, 1 + (1000000000::hugeint * (c + 1)) // (n + v) as q from kept join langs using (lang)),
+groups as (select distinct lang, source from docs),
+counts as (select lang, source, t, count(*)::hugeint as c from words join kept using (lang, t) group by all),
+totals as (select lang, source, sum(c)::hugeint as n from counts group by all),
+cells as (
+  select g.lang, g.source, k.t, coalesce(c, 0) as c,
+    1 + (1000000000::hugeint * (coalesce(c, 0) + 1)) // (coalesce(totals.n, 0) + v) as p
+  from groups g join (select lang, t from kept) k on g.lang = k.lang join langs on g.lang = langs.lang
+    left join counts on counts.lang = g.lang and counts.source = g.source and counts.t = k.t
+    left join totals on totals.lang = g.lang and totals.source = g.source
+), sums as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+  from cells a join cells b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by all
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source
+), terms as (
+  select c.lang, c.source, 'term' as part, c.t as item, (((p - q) * (p - q)) // q)::bigint as value
+  from cells c join whole on c.lang = whole.lang and c.t = whole.t where c.c > 0 and p > q
+)
+select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from (select * from pairs union all select * from terms)
+qualify part = 'pair' or rank <= 200
+"""
+
+OP12_SQL = r"""
+with docs as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5('0:' || coalesce(doc_id::varchar, '-') || ':' || coalesce(text, '')), 1, 15))::bigint as hash
+  from documents
+), sources as (
+  select source, coalesce('=' || source, '-') as name, sum(size)::bigint as source_size,
+    [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight
+  from docs group by source
+), rates as (
+  select *, ((150 * sum(source_size) over ())::bigint / 100.0::double
+      - coalesce(sum(2 * source_size) over before, 0)::bigint) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as rate
+  from sources
+  window before as (order by 2 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)
+), rate as (
+  select first(rate order by 2 * source_size / weight, source nulls last) as r from rates where rate * weight <= 2 * source_size
+), targets as (
+  select *, least(weight * r, (2 * source_size)::double) as target, greatest(1, least(65536, ceil(source_size / 4096)))::bigint as n_blocks
+  from sources, rate
+), rows as (
+  select doc_id, docs.source, name, size, hash, source_size, target, ((hash % 65536) * n_blocks) // 65536 as block,
+    case when source_size > 0 then round(target)::bigint // source_size else 0 end as passes,
+    case when source_size > 0 then round(target)::bigint % source_size else 0 end as rest
+  from docs join targets on docs.source is not distinct from targets.source
+), blocks as (
+  select name, block, coalesce(sum(words) over (partition by name order by md5('0:order:' || name || ':' || block::varchar)
+    rows between unbounded preceding and 1 preceding), 0) as before
+  from (select name, block, sum(size) as words from rows group by all)
+), ordered as (
+  select *, before + coalesce(sum(size) over (partition by name, block order by hash, doc_id
+    rows between unbounded preceding and 1 preceding), 0) as start
+  from rows join blocks using (name, block)
+)
+select doc_id, size, source_size, target, (passes * size + least(size, greatest(0, rest - start)))::bigint as taken from ordered
+"""
+
+OP13_SQL = r"""
+with docs as (
+  select row_number() over () as r, doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents
+), firsts as (select t, min(doc_id) as first from docs group by t),
+masks as (
+  select r, doc_id, part,
+    (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as mask
+  from docs join firsts using (t)
+), given as (
+  select doc_id, max(coalesce(quality = 1, false)::int) as good, max(coalesce(toxic = 1, false)::int) as toxic
+  from labels where doc_id is not null group by doc_id
+), counts as (
+  select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+  from masks left join given using (doc_id) group by all
+), letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps as (
+  select filter_order, step::int as step, (1 << (ascii(filter_order[step]) - 65))::int as bit,
+    list_sum(list_transform(range(1, step), lambda i: (1 << (ascii(filter_order[i]) - 65))::int)) as earlier
+  from orders, (select unnest(range(1, 6)) as step)
+), coded as (select filter_order, step, bit, coalesce(earlier, 0)::int as before from steps)
+select part, filter_order, step,
+  coalesce(sum(n) filter (mask & (bit | before) = 0), 0)::bigint as kept,
+  coalesce(sum(n) filter (mask & bit <> 0 and mask & before = 0), 0)::bigint as removed,
+  coalesce(sum(n) filter (mask & bit <> 0 and mask & before <> 0), 0)::bigint as redundant,
+  coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (mask & bit <> 0 and mask & before = 0), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (mask & bit <> 0 and mask & before = 0), 0)::bigint as toxic_lost,
+  coalesce(sum(n * (120 // greatest(1, bit_count(mask)))) filter (mask & bit <> 0), 0)::bigint as shapley
+from counts, coded group by all
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -236,8 +360,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_secret_scan": op9_secret_scan,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_source_mixing": op12_source_mixing,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_secret_scan": _op9_sql()}
+    return {"op3_quality_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_secret_scan": _op9_sql(), "op11_source_divergence": OP11_SQL, "op12_source_mixing": OP12_SQL, "op13_filter_audit": OP13_SQL}
