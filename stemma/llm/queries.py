@@ -204,10 +204,10 @@ from words left join sizes using (doc_id) left join roots on doc_id = node
 
 
 def _op9_sql() -> str:
-    """One block for each rule, with the same patterns; only the way to say "either case" differs."""
+    """One block for each rule, with the same patterns; only the ways to say "either case" and "taken for good" differ."""
     parts = []
     for i, r in enumerate(secrets.RULES):
-        pattern = r.pattern.replace(r"\"", '"').replace("'", "''").replace(
+        pattern = r.pattern.replace(r"\"", '"').replace("'", "''").replace("*+", "*").replace(
             "(?i:(password|passwd|secret|token|api_?key))",
             "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])",
         )

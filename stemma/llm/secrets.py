@@ -50,9 +50,10 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}", 32),
     Rule(
         "private_key",
-        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\r\n\t\x20]+[A-Za-z0-9+/=]{32,})*(?:[\r\n\t\x20]+[A-Za-z0-9+/=]*[\r\n\t\x20]*-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
+        # The lines are taken for good ("*+"): a matched group that could give some back is kept on the stack, a level for each line.
+        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\r\n\t\x20]+[A-Za-z0-9+/=]{32,})*+(?:[\r\n\t\x20]+[A-Za-z0-9+/=]*[\r\n\t\x20]*-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
         1,
-        version=2,
+        version=3,
     ),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1),
     Rule("forge_token", r"gh[opsu]_[A-Za-z0-9]{36,}", 1),
