@@ -270,7 +270,7 @@ def mix(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     kept = docs.drop(*ADDED, "shard", "words", "hash")
     rows = plan(sized(kept, seed), seed, **options)
     each = rows.select(*kept.columns, "size", "hash", F.explode("draws").alias("d")).filter("d.words > 0")
-    start = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("d.words"), F.lit("}"))
+    start = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("d.words"), F.lit("}+"))
     text = F.when(F.col("d.words") < F.col("size"), F.regexp_substr("text", start)).otherwise(F.col("text"))
     out = each.withColumns({"text": text, "shard": F.col("d.shard"), "words": F.col("d.words"), "__order": F.xxhash64(F.lit(seed), F.lit("mix"), "hash", "d.at")})
     return out.repartition("shard").sortWithinPartitions("shard", "__order").select(*kept.columns, "shard", "words")
