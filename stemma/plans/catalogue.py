@@ -254,7 +254,7 @@ def _items(spark, sf_dir) -> DataFrame:
     select *, row_number() over (partition by query order by shared desc, target) as rank from shared) where rank <= 5"""
 )
 def kmer_topk_candidates(spark, sf_dir):
-    return homology.top_candidates(homology.shared_kmers(_items(spark, sf_dir), _proteins(spark, sf_dir)))
+    return homology.candidates(_items(spark, sf_dir), _proteins(spark, sf_dir)).select("query", "target", "shared", "rank")
 
 
 @query(
@@ -263,7 +263,7 @@ def kmer_topk_candidates(spark, sf_dir):
     select query, target, shared from f join b using (query, target) join shared using (query, target)"""
 )
 def reciprocal_best_hit(spark, sf_dir):
-    return homology.reciprocal_best(homology.shared_kmers(_items(spark, sf_dir), _proteins(spark, sf_dir)))
+    return homology.reciprocal_best(_items(spark, sf_dir), _proteins(spark, sf_dir))
 
 
 def aligned_items(spark, sf_dir) -> DataFrame:
@@ -801,33 +801,6 @@ def pairwise_identity_ungapped(spark, sf_dir):
     return _rounded(out, 4, "identity")
 
 
-def _distinct_items(spark, sf_dir) -> DataFrame:
-    """Distinct item proteins with a hashed place in one of ten families."""
-    items = _items(spark, sf_dir).filter("seq <> ''").groupBy("seq").agg(F.min("query").alias("query"))
-    return items.withColumn("family", F.pmod("query", F.lit(10)))
-
-
-@query()
-def pairwise_identity_global(spark, sf_dir):
-    """Global alignments of the test items within families; the set of items is stated and small."""
-    i = _distinct_items(spark, sf_dir)
-    pairs = i.select("family", "query", F.col("seq").alias("q")).join(i.select("family", F.col("query").alias("target"), F.col("seq").alias("t")), "family").filter("query < target")
-    return _rounded(homology.align_pairs(pairs.repartition("query", "target"), local=False), 6, "score", "identity", "query_coverage", "target_coverage")
-
-
-@query()
-def center_star_msa(spark, sf_dir):
-    """A multiple alignment of each family of test items."""
-    import pandas as pd
-
-    def align(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("query")
-        rows = homology.center_star(dict(zip(g["query"], g["seq"], strict=True)))
-        return pd.DataFrame({"family": g["family"], "query": list(rows), "row": list(rows.values())})
-
-    return _distinct_items(spark, sf_dir).groupBy("family").applyInPandas(align, "family bigint, query bigint, row string")
-
-
 @query()
 def nj_splits(spark, sf_dir):
     cons = distances.consensus(_rows(spark, sf_dir), "species", "gene")

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import genetic_code, sequence
-from ..operators import composition, conservation, distances, homology, quality, selection, statistics, structure, tables
+from ..operators import alignment, composition, conservation, distances, families, homology, quality, selection, statistics, structure, tables
+from ..operators.lineage import written
 from ..sources import synthetic
 from .catalogue import (
-    _METRICS, CELLS, CODON_COLS, CODONS, COLS, CONSENSUS, DISTANT, ESTIMATE, FLAGGED, HENIKOFF, QUERIES, ROWS, RSCU, SEQS, SQL, UTEST, WEIGHT, WITHIN,
-    _distant, _points, _rounded, _rows, _seqs, _table, _two_classes, dnds_between, dnds_windows, dnds_within, presence_matrix, qc_flags, qc_summary,
+    _METRICS, CELLS, CODON_COLS, CODONS, COLS, CONSENSUS, DISTANT, ESTIMATE, FLAGGED, HENIKOFF, PROTEINS, QUERIES, ROWS, RSCU, SEQS, SQL, UTEST, WEIGHT, WITHIN,
+    _distant, _items, _points, _proteins, _rounded, _rows, _seqs, _table, _two_classes, dnds_between, dnds_windows, dnds_within, presence_matrix, qc_flags, qc_summary,
     query, sequence_metrics,
 )
 
@@ -334,44 +336,118 @@ def topology_recovery(spark, sf_dir):
 # --- homology ----------------------------------------------------------------------------------
 
 
-def _panel_hits(spark, sf_dir, candidates: int = 5):
-    """The first record of each gene, aligned with its best candidates among all records' proteins."""
-    s = _panel(spark, sf_dir)
-    first = s.groupBy("gene").agg(F.min("label").alias("label"))
-    proteins = s.select("gene", "label", sequence.translated(F.col("nt")).alias("seq"))
-    queries = proteins.join(first, ["gene", "label"]).select(F.col("label").alias("query"), "seq")
-    return homology.aligned_hits(queries, proteins.select(F.col("label").alias("target"), "seq"), candidates)
+#: The genome whose records are the queries: the first of each gene in English.
+REFERENCE = "en-1"
+
+
+def _genomes(spark, sf_dir):
+    """(genome, gene, target, seq): the panel's proteins; the n-th record of each gene in a language is of that language's n-th genome."""
+    number = F.row_number().over(Window.partitionBy("species", "gene").orderBy("label"))
+    return _panel(spark, sf_dir).select(F.concat_ws("-", "species", number).alias("genome"), "gene", F.col("label").alias("target"), sequence.translated(F.col("nt")).alias("seq"))
+
+
+def _extracted(spark, sf_dir):
+    """The reference's genes in every other genome."""
+    every = written(_genomes(spark, sf_dir))
+    own = every.filter(F.col("genome") == REFERENCE).select("target", "seq")
+    others = every.filter(F.col("genome") != REFERENCE).select("genome", "target", "seq")
+    return homology.reasons(homology.extraction(own.withColumnRenamed("target", "query"), others, own))
 
 
 @query()
 def rejected_hits(spark, sf_dir):
-    """Alignments that aren't called orthologs, and why."""
-    calls = homology.ortholog_calls(_panel_hits(spark, sf_dir)).filter(~F.col("ortholog_call"))
-    low = F.col("identity") < 0.3
-    why = F.when(~F.col("reciprocal_best_hit"), "not reciprocal").when(low, "identity").otherwise("coverage")
-    return _rounded(calls.select("query", "target", "score", "identity", why.alias("reason")), 6, "score", "identity")
+    """Best hits that aren't called orthologs, and everything that speaks against them."""
+    calls = _extracted(spark, sf_dir).filter(~F.col("ortholog_call"))
+    return _rounded(calls.select("genome", "query", "target", "score", "identity", "reasons"), 6, "score", "identity")
 
 
 @query()
 def extract_panel(spark, sf_dir):
-    """One row for each query with any hit: its best aligned target, and whether that is called an ortholog."""
-    best = homology.best_aligned(homology.ortholog_calls(_panel_hits(spark, sf_dir)))
+    """One row for each gene and genome with any hit: the best aligned target, and whether it is called an ortholog."""
     names = ("score", "identity", "query_coverage", "target_coverage")
-    return _rounded(best.select("query", "target", *names, "reciprocal_best_hit", "ortholog_call"), 4, *names)
+    return _rounded(_extracted(spark, sf_dir).select("genome", "query", "target", *names, "reciprocal_best_hit", "ortholog_call"), 4, *names)
 
 
 @query()
 def extract_family(spark, sf_dir):
-    """Distinct sequences like any of three queries, each under the query of greatest score."""
-    return _rounded(homology.family(_panel_hits(spark, sf_dir, 10), [0, 1, 2], 0.3, 0.5), 4, "score", "identity")
+    """Different sequences of all genomes like any of three queries, each under the query of greatest score."""
+    every = written(_genomes(spark, sf_dir))
+    three = every.filter((F.col("genome") == REFERENCE) & F.col("gene").isin(CONTROLS[:3])).select(F.col("target").alias("query"), "seq")
+    return _rounded(homology.family(three, every.select("genome", "target", "seq")), 4, "score", "identity")
+
+
+# --- families ----------------------------------------------------------------------------------
+
+#: A longer gap costs as much as mismatches, so that substitutions alone never make one: the SQL then knows the rows.
+SUBSTITUTIONS = alignment.Scoring(extend=3.0)
+
+
+def _families(spark, sf_dir):
+    proteins = _panel(spark, sf_dir).select("label", sequence.translated(F.col("nt")).alias("seq"))
+    return families.families(proteins, SUBSTITUTIONS, least_coverage=0.4)
+
+
+@query(_on_panel(f"with {SEQS} select label, min(label) over (partition by gene) as family from seqs"))
+def family_members(spark, sf_dir):
+    """Families of the panel's proteins by their alignments alone; the SQL knows them from the genes."""
+    return _families(spark, sf_dir).select("label", "family")
+
+
+@query()
+def pairwise_identity_global(spark, sf_dir):
+    """Score and identity of all pairs of different sequences of each family, aligned globally."""
+    pairs = families.pairs_within(written(_families(spark, sf_dir)))
+    found = alignment.align_pairs(pairs.repartition("family", "a", "b"), SUBSTITUTIONS, local=False)
+    return _rounded(found.select("family", "a", "b", "score", (100 * F.col("identity")).alias("identity")), 6, "score", "identity")
+
+
+def _family_rows(spark, sf_dir):
+    return families.star_alignment(written(_families(spark, sf_dir)), SUBSTITUTIONS)
+
+
+@query()
+def center_star_msa(spark, sf_dir):
+    """A multiple alignment of each family."""
+    return _family_rows(spark, sf_dir)
+
+
+_PROTEIN_ROWS = f"""{PANEL}, {PROTEINS}, rws as (
+  select min(label) over (partition by s.gene) as gene, label, s.species as species, aa as r from seqs s join proteins using (label)
+)"""
+
+
+@query(
+    f"""with {CELLS}, {HENIKOFF}, {COLS} select gene as family, col, round(gap_fraction, 4) as gap_fraction, consensus,
+    round(entropy, 4) + 0.0::double as entropy, round(1 - entropy / log2(20), 4) + 0.0::double as conservation from scores""".replace(ROWS, _PROTEIN_ROWS)
+)
+def family_conservation(spark, sf_dir):
+    """Conservation of the columns of each family's multiple alignment."""
+    rows = _family_rows(spark, sf_dir).select(F.col("family").alias("gene"), "label", F.lit("").alias("species"), "row")
+    found = conservation.conservation(rows, letters=20).withColumnRenamed("gene", "family")
+    return _rounded(found, 4, "gap_fraction", "entropy", "conservation")
+
+
+@query()
+def aligned_segments(spark, sf_dir):
+    """The ungapped stretches of the local alignments of items with their candidates, and the gaps between them."""
+    items, proteins = _items(spark, sf_dir), _proteins(spark, sf_dir)
+    pairs = homology.candidates(items, proteins).select("query", "target")
+    whole = pairs.join(items.withColumnRenamed("seq", "q"), "query").join(proteins.withColumnRenamed("seq", "t"), "target")
+    return alignment.gaps(alignment.aligned_segments(whole.repartition("query", "target")), "query", "target")
 
 
 # --- records and plain tables ------------------------------------------------------------------
 
 
-@query(f"with {SEQS}, m as ({_METRICS}) select label, species as title, length, round(gc, 4) as gc from m")
+@query(
+    f"""with {SEQS}, n as (select label, species, length(nt)::bigint as n, length(nt) - length(translate(nt, 'GC', '')) as gc from seqs)
+    select label, species as title, n::int as length, ((20000 * gc + n) // (2 * nullif(n, 0)))::double / 10000 as gc from n"""
+)
 def record_metadata(spark, sf_dir):
-    return _rounded(sequence_metrics(spark, sf_dir).select("label", F.col("species").alias("title"), "length", "gc"), 4, "gc")
+    """Names and contents of records; the share of G and C comes from the counts, so that it is rounded once, in whole numbers."""
+    n, gc = F.length("nt").cast("bigint"), (F.length("nt") - F.length(F.translate("nt", "GC", ""))).cast("bigint")
+    counts = _seqs(spark, sf_dir).select("label", F.col("species").alias("title"), n.cast("int").alias("length"), n.alias("n"), gc.alias("g"))
+    return counts.select("label", "title", "length", F.expr("cast((20000 * g + n) div (2 * nullif(n, 0)) as double) / 10000").alias("gc"))
 
 
 @query("select item_id, length(text) as length from benchmark where item_id <= 20")
@@ -443,11 +519,22 @@ def headline_metrics(spark, sf_dir):
     return one.join(F.broadcast(est))  # one row each
 
 
-@query("select user_id, event_id, date_diff('second', lag(ts) over w, ts)::double as gap from events window w as (partition by user_id order by ts, event_id)")
+@query(
+    f"""with {CELLS}, firsts as (select gene, arg_min(r, label) as r from rws group by gene),
+    sides as (select c.gene, label, col, ch as x, r[col] as y, sum((ch <> '-')::int) over w as p, sum((r[col] <> '-')::int) over w as q
+      from cells c join firsts using (gene) where r[col] <> '' window w as (partition by c.gene, label order by col)),
+    runs as (select *, col - row_number() over (partition by gene, label order by col) as island from sides where x <> '-' and y <> '-'),
+    segs as (select gene, label, island, min(p) - 1 as q_start, max(p) as q_end, min(q) - 1 as t_start, max(q) as t_end from runs group by all)
+    select gene, label, (row_number() over w - 1)::int as segment, q_start::int as q_start, q_end::int as q_end, t_start::int as t_start, t_end::int as t_end,
+      (q_start - lag(q_end) over w + t_start - lag(t_end) over w)::double as gap from segs window w as (partition by gene, label order by island)"""
+)
 def segment_gaps(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp("ts").alias("start"))
-    ends = e.withColumn("end", F.col("start") + F.col("event_id") * 0)
-    return tables.gaps(ends, "user_id", "start", "end").select("user_id", "event_id", F.col("gap").cast("double").alias("gap"))
+    """Each row of a gene beside its first: aligned segments, and the letters of both that lie between two of them."""
+    rows = _rows(spark, sf_dir)
+    first = rows.groupBy("gene").agg(F.min_by("row", "label").alias("ref"))
+    cells = conservation.columns(rows).join(first, "gene").filter(F.col("col") <= F.length("ref")).select("gene", "label", "col", F.col("ch").alias("x"), F.substring("ref", F.col("col"), F.lit(1)).alias("y"))
+    out = alignment.gaps(alignment.segments_of_rows(cells, "gene", "label"), "gene", "label")
+    return out.withColumn("gap", F.col("gap").cast("double"))
 
 
 @query(
