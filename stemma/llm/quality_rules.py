@@ -9,8 +9,10 @@ cheap rule.  The order changes the cost alone: a text is kept if no rule rejects
 it, whichever runs first.
 
 Edge cases: null and empty texts have no words, fail the base limits and are
-not kept; repeated rows are judged alike; an empty table returns no rows and
-leaves the order as declared.
+not kept; repeated rows are judged alike; very long texts are judged whole, but
+none beyond ``SAMPLE_CHARS`` is in the sample; rules that gain alike run in the
+order of their declaration; columns with the names of the results are replaced; an
+empty table returns no rows and leaves the order as declared.
 """
 
 from __future__ import annotations
@@ -137,8 +139,11 @@ def order_rules(sample: list[Text], rules: dict[str, Callable[[Text], bool]] = R
 
 
 def plan_cascade(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[str]:
-    """The order of the rules from a random sample of ``rows`` texts that pass the base limits, read by the driver."""
-    drawn = docs.select(text).filter(F.length(text) <= SAMPLE_CHARS).orderBy(F.rand(3)).limit(rows)
+    """The order of the rules from a random sample of about ``rows`` texts that pass the base limits, read by the driver.
+
+    Each row is drawn on its own, so that none but the drawn texts leaves its task; four times ``rows`` is the most.
+    """
+    drawn = docs.select(text).filter(F.rand(3) < rows / max(docs.count(), 1)).filter(F.length(text) <= SAMPLE_CHARS).limit(4 * rows)
     sample = [measure(r[0]) for r in drawn.collect()]
     return order_rules([t for t in sample if not base_failed(t.base)])
 
