@@ -19,14 +19,17 @@ So distinct entities stay distinct, over all documents.
 Edge cases: null and empty texts stay as they are; a text without entities is
 returned unchanged; repeated rows are treated alike; an empty table gives no
 rows; very long texts take time in proportion and must fit into a task's memory;
-a format with fewer forms than entities ends in an error.
+a format with too few forms for its entities is widened: private addresses first
+to 10.0.0.0/8 and then to public ones, digits by a digit, so that none is left over.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
+import unicodedata
 from bisect import bisect
 from collections.abc import Iterable
 
@@ -67,7 +70,9 @@ SYLLABLES = {
     "cyrillic": ("бвгдзклмнпрст", "аеиоу", "а", "н"),
     "greek": ("βγδζκλμνπρστφ", "αειου", "α", "ς"),
 }
-MAX_ATTEMPTS = 40
+MAX_ATTEMPTS = 60
+#: Attempts after which a format counts as full and is widened, and widened again.
+WIDEN = (8, 20)
 
 #: An entity's mention: where it begins and ends, its kind, its canonical form, and the gender that its title tells.
 Mention = tuple[int, int, str, str, str]
@@ -153,8 +158,21 @@ def luhn(digits: str) -> bool:
     return sum(doubled) % 10 == 0
 
 
-def _script(word: str) -> str:
-    return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
+def _script(word: str) -> str | None:
+    """The script of a name whose syllables are known; None for others."""
+    ranges = {"latin": ("A", "ɏ"), "cyrillic": ("Ѐ", "ӿ"), "greek": ("Ͱ", "Ͽ")}
+    return next((name for name, (a, z) in ranges.items() if a <= word[0] <= z), None)
+
+
+def _kind(c: str) -> tuple[str, str]:
+    """A character's category, and the script that its name begins with."""
+    return unicodedata.category(c), unicodedata.name(c, "").partition(" ")[0]
+
+
+@functools.cache
+def _alike(block: int, kind: tuple[str, str]) -> str:
+    """The letters of one category and script in a run of 128 code points."""
+    return "".join(c for c in map(chr, range(block << 7, block + 1 << 7)) if _kind(c) == kind)
 
 
 def _check_digits(iban: str) -> str:
@@ -163,14 +181,17 @@ def _check_digits(iban: str) -> str:
     return f"{98 - int(value) % 97:02d}"
 
 
-def _address(octets: list[int], s: _Stream) -> str:
-    """Private and loopback addresses stay in their range; others get one outside of the reserved ranges."""
+def _address(octets: list[int], s: _Stream, attempt: int = 0) -> str:
+    """Private and loopback addresses stay in their range while it has room; others get one outside of the reserved ranges."""
     a, b = octets[:2]
-    if a in (10, 127):
+    private = a in (10, 127) or (a, b) == (192, 168) or a == 172 and 16 <= b < 32
+    if private and attempt >= WIDEN[0] and attempt < WIDEN[1]:
+        head = [10]
+    elif a in (10, 127) and attempt < WIDEN[0]:
         head = [a]
-    elif (a, b) == (192, 168):
+    elif (a, b) == (192, 168) and attempt < WIDEN[0]:
         head = [a, b]
-    elif a == 172 and 16 <= b < 32:
+    elif private and attempt < WIDEN[0]:
         head = [a, 16 + s.below(16)]
     else:
         head = [s.below(222) + 1]
@@ -189,17 +210,21 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int, gender: str =
         hidden = ["".join(d.like(c) for c in x) for x in labels[:-1]]
         return "".join(s.like(c) for c in local) + "@" + ".".join([*hidden, labels[-1]])
     if kind == "ip":
-        return _address([int(x) for x in canonical.split(".")], s)
+        return _address([int(x) for x in canonical.split(".")], s, attempt)
     if kind == "iban":
         out = canonical[:4] + "".join(s.like(c) for c in canonical[4:])
         return out[:2] + _check_digits(out) + out[4:]
     if kind in ("card", "ssn", "phone"):
         keep = 1 if kind == "card" else 0
-        out = canonical[:keep] + "".join(str(s.below(9) + 1) if i == 0 and not keep else str(s.below(10)) for i in range(len(canonical) - keep))
+        more = sum(attempt >= w for w in WIDEN)
+        out = canonical[:keep] + "".join(str(s.below(9) + 1) if i == 0 and not keep else str(s.below(10)) for i in range(len(canonical) - keep + more))
         if kind == "card" and luhn(canonical):
             out = next(out[:-1] + c for c in "0123456789" if luhn(out[:-1] + c))
         return out
-    starts, vowels, female, male = SYLLABLES[_script(canonical)]
+    if (script := _script(canonical)) is None:  # letter by letter, each by one of its block
+        more = canonical[-1] * (attempt // 4)
+        return "".join(alike[s.below(len(alike))] if c.isalpha() and (alike := _alike(ord(c) >> 7, _kind(c))) else c for c in canonical + more)
+    starts, vowels, female, male = SYLLABLES[script]
     n = max(2, min(4, len(canonical) // 2)) + attempt // 4
     word = "".join(starts[s.below(len(starts))] + vowels[s.below(len(vowels))] for _ in range(n))
     return word + {"f": starts[0] + female, "m": male, "x": ""}[gender]
@@ -213,7 +238,7 @@ def written_like(found: str, kind: str, made: str) -> str:
         return made
     if kind in PATTERNS:
         left = iter(made)
-        return "".join(next(left) if c.isalnum() else c for c in found)
+        return "".join(next(left) if c.isalnum() else c for c in found) + "".join(left)
     return made.upper() if found.isupper() else made.capitalize() if found[0].isupper() else made
 
 
@@ -254,12 +279,13 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
             made = [surrogate(key, *e.split(":", 1), attempt, gender) for e, attempt, gender in rows]
             yield b.append_column("made", pa.array(made, pa.string()))
 
-    scratch, columns = Scratch(found.sparkSession), ("entity", "gender", "attempt")
-    now = scratch.cut(found.withColumn("attempt", F.lit(0)).select(*columns))
+    scratch, kinds = Scratch(found.sparkSession), "entity string, gender string, attempt int, again boolean"
+    now = scratch.cut(found.select("entity", "gender", F.lit(0).alias("attempt"), F.lit(True).alias("again")))
     real = now.select(F.expr("substring(entity, instr(entity, ':') + 1)").alias("made"), F.lit(True).alias("real")).distinct()
     for _ in range(MAX_ATTEMPTS):
-        drawn = scratch.cut(now.mapInArrow(draw, "entity string, gender string, attempt int, made string"))
-        order = Window.partitionBy("made").orderBy(F.col("attempt").desc(), F.xxhash64("entity"), "entity")
+        drawn = scratch.cut(now.mapInArrow(draw, f"{kinds}, made string"))
+        # One that has its surrogate keeps it, so that each draws as often as it must and no more.
+        order = Window.partitionBy("made").orderBy("again", F.xxhash64("entity"), "entity")
         checked = drawn.join(real, "made", "left").withColumn("place", F.row_number().over(order))
         again = F.col("real").isNotNull() | (F.col("place") > 1)
         now = scratch.cut(checked.select("entity", "gender", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")))
@@ -267,7 +293,6 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
             done = cut(drawn.select(F.col("entity").alias("key"), F.col("made").alias("surrogate")))
             scratch.clear()
             return done
-        now = now.drop("again")
     raise RuntimeError("no distinct surrogates: a format has fewer forms than entities")
 
 

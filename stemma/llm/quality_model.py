@@ -42,6 +42,8 @@ KEY_BITS = 48
 CLASSES = 1 << 20
 #: Bytes of text to a shard of the counts.
 SHARD_BYTES = 32 << 20
+#: Bytes of scored text, on a shard's part, whose questions to the shard are answered in one group.
+ASKED_BYTES = 96 << 20
 #: Different words whose hashes a task keeps, and words that are counted at a time.
 HELD_WORDS, PART_WORDS = 500_000, 3_000_000
 #: The share of trusted texts that set the quantiles and train nothing: one in so many.
@@ -318,7 +320,9 @@ def _answers(model: Model):
     shards, d1, d2, n_pairs, left = model.shards, model.of_words, model.of_pairs, max(1, model.n_pairs), model.left
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        pairs = asked.num_rows and asked.column("shard")[0].as_py() >= shards
+        if not asked.num_rows:
+            return pa.Table.from_batches([_batch([], schema)])
+        pairs = asked.column("shard")[0].as_py() >= shards
         keys, values = np.empty(0, np.uint64), np.zeros((1 if pairs else 3, 0), "<f4")
         for r in known.to_pylist():
             keys = unpack(r["keys"])
@@ -396,9 +400,13 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     ready(docs.sparkSession)
     kept = docs.drop(*ADDED)
     out = StructType([*kept.schema, StructField(ADDED[0], DoubleType()), StructField(ADDED[1], LongType())])
-    asks = kept.mapInArrow(_asks(model.shards, text), "shard bigint, block bigint, mark bigint, asked binary")
+    # What is asked of a shard grows with the texts: it is dealt to as many copies of the shard as keep a group bounded.
+    size = kept.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    copies = 1 + size // (model.shards * ASKED_BYTES)
+    asks = kept.mapInArrow(_asks(model.shards, text), "shard bigint, block bigint, mark bigint, asked binary").withColumn("copy", F.pmod(F.xxhash64("block"), F.lit(copies)))
+    known = model.table.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))))
     run, schema = _answers(model)
-    answers = cut(asks.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(run, schema).filter("n > 0"))
+    answers = cut(asks.groupBy("shard", "copy").cogroup(known.groupBy("shard", "copy")).applyInArrow(run, schema).filter("n > 0"))
 
     def packs(batches):
         for i, parts in enumerate(blocks_of(batches, text)):

@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -178,8 +179,13 @@ def brute_model(train):
     return lambda text: (math.exp(-sum(math.log(p(*g)) for g in grams(text)) / len(grams(text))) if grams(text) else None, len(grams(text)))
 
 
-@pytest.mark.parametrize("shards", [1, 5])
-def test_perplexity(spark, shards):
+@pytest.mark.parametrize(("shards", "asked"), [(1, None), (5, None), (3, 100)])
+def test_perplexity(spark, monkeypatch, shards, asked):
+    """Also where a shard's questions are dealt to many copies of it."""
+    if asked:
+        monkeypatch.setattr(quality_model, "ASKED_BYTES", asked)
+        monkeypatch.setattr(_common, "BLOCK_CHARS", 50)
+        monkeypatch.setattr(_common, "PART_CHARS", 20)
     train = [" ".join(WORDS), " ".join(WORDS[::-1]), "the the old old fox 77", " ".join(WORDS * 2), "日本語 テキスト", *TEXTS[:8]]
     tests = ["the fox", "zzz qqq", None, "", " ", " ".join(WORDS[3:9]), "ünknown 5\n\n6", "the the the the old fox 12", "日本", LONG]
     model = quality_model.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), shards=shards)
@@ -305,6 +311,26 @@ def test_collisions_are_drawn_again(spark):
     assert len(got) == len(set(got)) == 676
 
 
+def test_full_formats_are_widened(spark):
+    """More private addresses than half of their range, whose surrogates mustn't be any of them."""
+    found = [(f"ip:192.168.{i // 254}.{i % 254 + 1}", "x") for i in range(36_000)] + [("ip:8.8.8.8", "x"), ("ip:10.0.0.1", "x")]
+    got = {r.key: r.surrogate for r in pii.assign(spark.createDataFrame(found, "entity string, gender string"), b"k").collect()}
+    assert len(got) == len(set(got.values())) == 36_002 and not {e[3:] for e, _ in found} & set(got.values())
+    private = [v for k, v in got.items() if k.startswith("ip:192.168.")]
+    assert all(v.startswith(("192.168.", "10.")) for v in private) and any(v.startswith("192.168.") for v in private)
+    wide = pii.surrogate(b"k", "ssn", "123456789", pii.WIDEN[1])
+    assert len(wide) == 11 and wide.isdigit() and pii.written_like("123-45-6789", "ssn", wide) == f"{wide[:3]}-{wide[3:5]}-{wide[5:9]}{wide[9:]}"
+
+
+@pytest.mark.parametrize("name", ["Արմեն", "محمد", "王小明", "משה", "Иван", "Νίκος", "Élodie", "სანდრო"])
+def test_names_keep_their_script(spark, name):
+    out = pii.pseudonymise(spark.createDataFrame([(f"Dr {name} came. {name}!",)], "text string"), b"k").first().text
+    made = re.fullmatch(r"Dr (\w+) came\. (\w+)!", out)
+    assert made and made[1] == made[2] != name
+    script = lambda c: unicodedata.name(c).split()[0]
+    assert {script(c) for c in made[1]} == {script(c) for c in name}
+
+
 def test_one_name_is_one_entity(spark):
     texts = ["Dr Anna Weiss came.", "Frau Anna Roth left.", "Mr Weiss saw Ms Roth.", "Mr Toni Roth and Mrs Toni Weiss.", "Anna"]
     out = {r.i: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), b"k").collect()}
