@@ -65,19 +65,26 @@ def star(taxa: int, length: float) -> str:
     return "(" + ",".join(f"taxon{i}:{length}" for i in range(taxa)) + ");"
 
 
-def species_tree(species: dict[str, list[str]], stem: float = 0.25, inner: float = 0.02) -> str:
-    """A tree in which each species' strains are a clade, halved again and again, and the species join one by one."""
-
-    def halved(tips: list[str]) -> str:
-        if len(tips) == 1:
-            return f"{tips[0]}:{inner}"
-        return f"({halved(tips[: len(tips) // 2])},{halved(tips[len(tips) // 2 :])}):{inner}"
-
-    clades = [halved(tips).rpartition(":")[0] + f":{stem}" for tips in species.values()]
-    tree = clades[0]
-    for clade in clades[1:]:
-        tree = f"({tree},{clade}):{stem / 2}"
-    return tree.rpartition(":")[0] + ";"
+def joined(lineages: list[tuple[str, float]], pause: float, rng: np.random.Generator) -> tuple[str, float]:
+    """Lineages (text, age) joined two by two, backwards in time, until one is left.
+
+    While k are left, the next two meet after a time of mean ``pause`` / k, half of it
+    fixed and half of it exponential; which two is drawn.
+    """
+    now = max(age for _, age in lineages)
+    while len(lineages) > 1:
+        now += pause / len(lineages) * (0.5 + rng.exponential(0.5))
+        pair = set(rng.choice(len(lineages), 2, replace=False).tolist())
+        text = ",".join(f"{lineages[i][0]}:{now - lineages[i][1]:.6f}" for i in sorted(pair))
+        lineages = [x for i, x in enumerate(lineages) if i not in pair] + [(f"({text})", now)]
+    return lineages[0]
+
+
+def species_tree(species: dict[str, list[str]], within: float = 0.2, between: float = 1.2, seed: int = 1) -> str:
+    """A drawn tree in Newick's form: the strains of a species join first, then the species."""
+    rng = np.random.default_rng(seed)
+    clades = [joined([(strain, 0.0) for strain in strains], within, rng) for strains in species.values()]
+    return joined(clades, between, rng)[0] + ";"
 
 
 def _panel(spark: SparkSession, genes: int, of_gene: Callable[[int, np.random.Generator], tuple[dict[str, str], float | None]], seed: int) -> DataFrame:
