@@ -1,7 +1,9 @@
 """Two-group rank statistics, bootstrap intervals and false-discovery control.
 
-Values are rounded and counted before they are ordered: windows see distinct
-values, whose number the rounding bounds, and never all rows.
+Equal values are counted before they are ordered, and distinct ones are ordered by
+range partitions with offsets (``order.below``): ranks are of the exact values, and
+no task sees a whole group.  ``places`` rounds values whose last digits depend on
+the order of a sum.
 """
 
 from __future__ import annotations
@@ -15,18 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import below, exact
 from .selection import replicate_weight
 
 
-def _ordered(values: DataFrame, by: list[str], places: int) -> DataFrame:
-    """(by, v, n1, n2, below2, t): counts of the two groups at each distinct value, and of group 2 below it."""
-    v = values.filter("value is not null").withColumn("v", F.round("value", places))
+def _ordered(values: DataFrame, by: list[str], places: int | None) -> DataFrame:
+    """(by, v, n1, n2, below_n2): counts of the two groups at each distinct value, and of group 2 below it."""
+    v = values.filter("value is not null").withColumn("v", exact("value", places))
     counts = v.groupBy(*by, "v").agg(F.count_if("first").alias("n1"), F.count_if(~F.col("first")).alias("n2"))
-    along = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("below2", F.sum("n2").over(along) - F.col("n2"))
+    return below(counts, by, "v", "n2")
 
 
-def rank_test(values: DataFrame, by: list[str], places: int = 6) -> DataFrame:
+def rank_test(values: DataFrame, by: list[str], places: int | None = None) -> DataFrame:
     """(by, n1, n2, u, delta, ties) from rows (by, first boolean, value): Mann-Whitney's U of the first group and Cliff's delta.
 
     Each pair of values that ties counts one half; ``ties`` sums t^3 - t over tied values.
@@ -35,7 +37,7 @@ def rank_test(values: DataFrame, by: list[str], places: int = 6) -> DataFrame:
     sums = _ordered(values, by, places).groupBy(*by).agg(
         F.sum("n1").alias("n1"),
         F.sum("n2").alias("n2"),
-        F.sum(F.col("n1") * (F.col("below2") + F.col("n2") / 2)).alias("u"),
+        F.sum(F.col("n1") * (F.col("below_n2") + F.col("n2") / 2)).alias("u"),
         F.sum((t * t * t - t).cast("double")).alias("ties"),
     )
     pairs = F.nullif(F.col("n1") * F.col("n2"), F.lit(0))
@@ -148,12 +150,11 @@ def resampled_difference(values: DataFrame, by: list[str], replicates: int = 500
     return out.select(*by, "difference", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
-def ranks(values: DataFrame, value: str, name: str, places: int = 6) -> DataFrame:
-    """``values`` with the average rank of ``value`` to ``places`` decimals."""
-    v = values.withColumn("__v", F.round(value, places))
+def ranks(values: DataFrame, value: str, name: str, places: int | None = None) -> DataFrame:
+    """``values`` with the average rank of ``value``."""
+    v = values.withColumn("__v", exact(value, places))
     counts = v.groupBy("__v").agg(F.count("*").alias("__n"))
-    along = Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = counts.select("__v", (F.sum("__n").over(along) - (F.col("__n") - 1) / 2).alias(name))
+    table = below(counts, [], "__v", "__n").select("__v", (F.col("below___n") + (F.col("__n") + 1) / 2).alias(name))
     return v.join(table, "__v").drop("__v")
 
 
@@ -164,12 +165,19 @@ def spearman(values: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho"))
 
 
-def midranks(values: DataFrame, by: str, value: str, places: int = 6) -> DataFrame:
-    """(by, value, midrank, n): the percentage of a group's rows with a greater value, ties half, for each distinct value."""
-    counts = values.groupBy(by, F.round(value, places).alias(value)).agg(F.count("*").alias("n"))
-    along = Window.partitionBy(by).orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("n").over(Window.partitionBy(by))
-    return counts.select(by, value, (100 * (F.sum("n").over(along) - F.col("n") / 2) / total).alias("midrank"), "n")
+def midranks(values: DataFrame, by: str, value: str, places: int | None = None) -> DataFrame:
+    """(by, value, midrank, n, strict, worst): the percentage of a group's rows with a greater value, for each distinct value.
+
+    Rows with an equal value count half in ``midrank``, not at all in ``strict``, which
+    is a value's best case, and whole in ``worst``.
+    """
+    counts = values.groupBy(by, exact(value, places).alias(value)).agg(F.count("*").alias("n"))
+    known = below(counts, [by], value, "n")
+    totals = counts.groupBy(by).agg(F.sum("n").alias("__total")).withColumnRenamed(by, "__by")
+    greater = F.col("__total") - F.col("below_n") - F.col("n")
+    found = known.join(totals, F.col(by).eqNullSafe(F.col("__by")))
+    share = lambda x: 100 * x / F.col("__total")
+    return found.select(by, value, share(greater + F.col("n") / 2).alias("midrank"), "n", share(greater).alias("strict"), share(greater + F.col("n")).alias("worst"))
 
 
 def resampled_statistics(values: DataFrame, by: list[str], replicates: int = 5000, places: int = 6, chunks: int = 20) -> DataFrame:

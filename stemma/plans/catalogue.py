@@ -856,12 +856,13 @@ def position_frequencies(spark, sf_dir):
     f"""with {CELLS}, {HENIKOFF}, {COLS}, v as (select gene, col, round(1 - entropy / 2, 6) as c from scores where entropy is not null),
     d as (select gene, c, count(*) as n from v group by all),
     o as (select gene, c, n, sum(n) over (partition by gene order by c desc) - n as greater, sum(n) over (partition by gene) as total from d)
-    select gene, c as conservation, round(100.0::double * (greater + n / 2.0::double) / total, 4) as midrank, n from o"""
+    select gene, c as conservation, round(100.0::double * (greater + n / 2.0::double) / total, 4) as midrank, n,
+      round(100.0::double * greater / total, 4) as strict, round(100.0::double * (greater + n) / total, 4) as worst from o"""
 )
 def midrank_percentile(spark, sf_dir):
-    """Share of a gene's columns that are conserved better, ties half, for every distinct value."""
+    """Share of a gene's columns that are conserved better, ties half, not at all or whole, for every distinct value."""
     c = conservation.conservation(_rows(spark, sf_dir)).filter("conservation is not null")
-    return _rounded(statistics.midranks(c, "gene", "conservation"), 4, "midrank")
+    return _rounded(statistics.midranks(c, "gene", "conservation", 6), 4, "midrank", "strict", "worst")
 
 
 @query()

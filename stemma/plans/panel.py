@@ -211,7 +211,7 @@ def catalytic_ranks(spark, sf_dir):
     wanted = F.broadcast(spark.createDataFrame([(p,) for p in CATALYTIC], "ref_position bigint"))  # three rows
     at = conservation.numbered(_panel_rows(spark, sf_dir)).select("gene", "col", "ref_position").join(wanted, "ref_position")
     c = _scores(spark, sf_dir).filter("conservation is not null").select("gene", "col", F.round("conservation", 6).alias("conservation"))
-    found = at.join(c, ["gene", "col"]).join(statistics.midranks(c, "gene", "conservation").drop("n"), ["gene", "conservation"])
+    found = at.join(c, ["gene", "col"]).join(statistics.midranks(c, "gene", "conservation", 6).drop("n", "strict", "worst"), ["gene", "conservation"])
     out = found.select("gene", F.col("ref_position").cast("int").alias("ref_position"), "col", "conservation", "midrank", (F.col("midrank") <= 10).alias("in_top10"))
     return _rounded(out, 4, "midrank")
 

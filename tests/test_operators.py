@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import composition, conservation, distances, homology, quality, selection, statistics, structure
+from stemma.operators import composition, conservation, distances, homology, order, quality, selection, statistics, structure
 from stemma.sources import synthetic
 
 SEQ = "label bigint, gene string, species string, nt string"
@@ -245,6 +245,37 @@ def test_ranks(spark):
     assert statistics.spearman(rows, "x", "y").first().rho == pytest.approx(np.corrcoef([1, 2.5, 2.5, 4], [1, 2, 3, 4])[0, 1])
 
 
+def test_ranks_are_of_exact_values(spark):
+    """Values that differ in the ninth place are no tie, and zeros of either sign are."""
+    x = [0.1, 0.1 + 1e-9, 0.1 + 2e-9, 0.0, -0.0, 5.0]
+    rows = spark.createDataFrame([(v,) for v in x], "x double")
+    ranked = statistics.ranks(rows, "x", "r")
+    assert sorted((r.x, float(r.r)) for r in ranked.collect()) == [(0.0, 1.5), (0.0, 1.5), (x[0], 3.0), (x[1], 4.0), (x[2], 5.0), (5.0, 6.0)]
+    groups = spark.createDataFrame([("m", i < 3, v) for i, v in enumerate([0.1 + 2e-9, 0.1 + 1e-9, 3.0, 0.1, 0.1, 0.1])], "metric string, first boolean, value double")
+    assert statistics.rank_test(groups, ["metric"]).first().delta == 1
+
+
+def test_no_window_holds_a_table(spark):
+    """The plan of ranks has no exchange into one partition, nor a window without a partition."""
+    rows = spark.range(1000).select(F.rand(1).alias("x"))
+    plan = statistics.ranks(rows, "x", "r")._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "rangepartitioning" not in plan.lower().split("window")[0]
+
+
+def test_sums_below_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v), int(n), int(m)) for g in ("a", None, "c") for v, n, m in zip(rng.permutation(300) / 7, rng.integers(0, 9, 300), rng.integers(0, 9, 300), strict=True)]
+    frame = spark.createDataFrame(rows, "g string, v double, n bigint, m bigint")
+    for by in (["g"], []):
+        d = frame if by else frame.groupBy("v").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        table = d.collect()
+        got = order.below(d, by, "v", "n", "m").collect()
+        assert len(got) == len(table)
+        for r in got:
+            less = [x for x in table if x.v < r.v and (not by or x.g == r.g)]
+            assert (r.below_n, r.below_m) == (sum(x.n for x in less), sum(x.m for x in less))
+
+
 def test_geometry(spark):
     p = spark.createDataFrame([("a", i, *map(float, x)) for i, x in enumerate([(1, 0, 0), (0, 0, 0), (0, 1, 0), (0, 1, 1)])], "chain string, i int, x double, y double, z double")
     assert abs(structure.chain_dihedrals(p, "chain", "i").orderBy("i").first().dihedral) == pytest.approx(90)
