@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .alignment import Scoring, aligned_segments
+
 
 def centroid(points: DataFrame) -> DataFrame:
     return points.agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"))
@@ -98,6 +100,36 @@ def residue_table(atoms: DataFrame, standard: tuple[str, ...]) -> DataFrame:
     return first.select("chain", "number", *(f"f.{c}" for c in names))
 
 
+def reference_positions(residues: DataFrame, references: DataFrame, letters: dict[str, str], scoring: Scoring = Scoring()) -> DataFrame:
+    """``residues`` (chain, number, residue, ...) with ``aa``, ``ref_position`` and ``ref_aa``: where a chain's residues stand in its reference.
+
+    ``references`` are (chain, seq).  A chain's residues in the order of their numbers
+    are aligned with its reference from end to end.  The aligned segments are one map,
+    from a residue's place in the chain to the reference; a residue outside of them,
+    and every residue of a chain without a reference, keeps its row without a position.
+    """
+    code = F.create_map(*(F.lit(x) for pair in letters.items() for x in pair))
+    along = Window.partitionBy("chain").orderBy("number")
+    placed = residues.withColumn("aa", F.coalesce(F.try_element_at(code, F.col("residue")), F.lit("X"))).withColumn("place", F.row_number().over(along) - 1)
+    chains = placed.groupBy("chain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "aa"))), lambda x: x["aa"]), "").alias("q"))
+    segments = aligned_segments(chains.join(references.withColumnRenamed("seq", "t"), "chain").repartition("chain"), scoring, local=False)
+    each = segments.select("chain", "t_start", F.posexplode(F.sequence("q_start", F.col("q_end") - 1)).alias("i", "place"))
+    known = each.select("chain", "place", (F.col("t_start") + F.col("i") + 1).alias("ref_position"))
+    found = placed.join(known, ["chain", "place"], "left").join(references, "chain", "left")
+    return found.withColumn("ref_aa", F.when(F.col("ref_position").isNotNull(), F.substring("seq", F.col("ref_position"), F.lit(1)))).drop("seq", "place")
+
+
+def with_column_scores(residues: DataFrame, numbered: DataFrame, scores: DataFrame) -> DataFrame:
+    """``residues`` of ``reference_positions`` with ``col`` and ``conservation``, null where a residue has no position or its column no score.
+
+    ``numbered`` (gene, col, ref_position) is the other map, from the reference's
+    positions to an alignment's columns; ``scores`` are (gene, col, conservation).
+    """
+    columns = numbered.filter("ref_position is not null").select(F.col("gene").alias("chain"), "col", F.col("ref_position").cast("int").alias("ref_position"))
+    scored = columns.join(scores.select(F.col("gene").alias("chain"), "col", "conservation"), ["chain", "col"], "left")
+    return residues.join(scored, ["chain", "ref_position"], "left")
+
+
 def summary(points: DataFrame, value: str, near: float) -> DataFrame:
     """One row: how many points, mean and extremes of distance and value, and means near to and far from the centre."""
     close = F.col("distance") <= near

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import genetic_code, sequence
 from ..operators import alignment, composition, conservation, distances, families, homology, quality, selection, statistics, structure, tables
 from ..operators.lineage import written
+from ..sources import structure as pdb
 from ..sources import synthetic
 from .catalogue import (
     _METRICS, CELLS, CODON_COLS, CODONS, COLS, CONSENSUS, DISTANT, ESTIMATE, FLAGGED, HENIKOFF, PROTEINS, QUERIES, ROWS, RSCU, SEQS, SQL, UTEST, WEIGHT, WITHIN,
@@ -586,6 +587,33 @@ def backbone_angles(spark, sf_dir):
     return _rounded(structure.backbone(_points(spark, sf_dir), "label", "vec_id"), 4, "phi", "psi")
 
 
+@query(
+    f"""with {CELLS}, {HENIKOFF}, {COLS}, firsts as (select gene, arg_min(r, label) as r from rws group by gene),
+    residues as (select gene as chain, pos, r[pos] as aa from firsts, (select unnest(range(7, 81))::int as pos) where r[pos] not in ('', '*', 'X'))
+    select chain, pos + 100 as number, aa, pos::double as ref_position, aa as ref_aa, pos::double as col, round(1 - entropy / log2(20), 4) + 0.0::double as conservation
+    from residues left join scores on gene = chain and scores.col = pos""".replace(ROWS, _PROTEIN_ROWS.replace("min(label) over (partition by s.gene)", "s.gene"))
+)
+def residue_conservation(spark, sf_dir):
+    """Residues of a chain, the middle of each gene's first protein, with the conservation of the columns where they stand.
+
+    The chain's atoms have alternates, and numbers of their own; its ends are missing.
+    """
+    proteins = _panel(spark, sf_dir).select("gene", "label", "species", sequence.translated(F.col("nt")).alias("row"))
+    first = proteins.groupBy("gene").agg(F.min_by("row", "label").alias("seq")).select(F.col("gene").alias("chain"), "seq")
+    name = F.create_map(*(F.lit(x) for k, v in pdb.LETTERS.items() for x in (v, k)))
+    each = first.select("chain", F.explode(F.sequence(F.lit(7), F.least(F.lit(80), F.length("seq")))).alias("at"), "seq").filter(F.length("seq") >= 7)
+    residue = F.coalesce(F.try_element_at(name, F.substring("seq", F.col("at"), F.lit(1))), F.lit("UNK"))
+    made = each.select("chain", (F.col("at") + 100).alias("number"), residue.alias("residue"), F.explode(F.array(F.lit(0), F.lit(1))).alias("alternate"), "at")
+    atoms = made.select(
+        "chain", "number", "residue", (2 * F.col("at") + F.col("alternate")).alias("serial"), F.lit("CA").alias("atom"), F.lit("ATOM").alias("record"),
+        *((F.col("at") * k + F.col("alternate")).cast("double").alias(c) for k, c in enumerate("xyz", 1)), F.lit(0.0).alias("b"),
+    )
+    placed = structure.reference_positions(structure.residue_table(atoms, pdb.STANDARD), first, pdb.LETTERS)
+    found = structure.with_column_scores(placed, conservation.numbered(proteins), conservation.conservation(proteins, letters=20))
+    out = found.select("chain", "number", "aa", F.col("ref_position").cast("double").alias("ref_position"), "ref_aa", F.col("col").cast("double").alias("col"), "conservation")
+    return _rounded(out, 4, "conservation")
+
+
 @query()
 def spearman_test(spark, sf_dir):
     m = sequence_metrics(spark, sf_dir).select("label", "gc", "gc3")

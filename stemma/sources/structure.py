@@ -12,6 +12,8 @@ def _field(start: int, end: int) -> Column:
 
 # The standard amino acids.
 STANDARD = tuple("ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split())
+#: Their letters.
+LETTERS = dict(zip(STANDARD, "ARNDCQEGHILKMFPSTWYV", strict=True))
 
 
 def read(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
