@@ -338,18 +338,37 @@ def compatible(a, b, taxa: int):
     return (a.bitwiseAND(b) == 0) | (a.bitwiseAND(y) == 0) | (x.bitwiseAND(b) == 0) | (x.bitwiseAND(y) == 0)
 
 
-def newick(taxa: list[str], d: np.ndarray, method: str = "nj") -> str:
-    """The tree as text."""
+def newick(taxa: list[str], d: np.ndarray, method: str = "nj", support: dict[int, float] | None = None) -> str:
+    """The tree as text; ``support``, by canonical splits, stands behind the inner nodes, with two decimals."""
     clades = sorted({tuple(c): length for c, length in joined_tree(d, method)}.items(), key=lambda x: len(x[0]))
     text = {(i,): taxa[i] for i in range(len(taxa))}
     for clade, length in clades:
         inner = [c for c in text if set(c) <= set(clade)]
         if len(inner) > 1:
-            text[clade] = "(" + ",".join(text.pop(c) for c in sorted(inner)) + ")"
+            known = (support or {}).get(canonical(sum(1 << i for i in clade), len(taxa)))
+            text[clade] = "(" + ",".join(text.pop(c) for c in sorted(inner)) + ")" + ("" if known is None else f"{known:.2f}")
         text[clade] += f":{length:.5f}"
     return "(" + ",".join(text[c] for c in sorted(text)) + ");"
 
 
+def tree_texts(matrices: DataFrame, supports: DataFrame | None = None, method: str = "nj") -> DataFrame:
+    """(grp, value): the tree of each group's matrix of replicate 0 as text, with ``supports`` (grp, method, split, support), whole percents."""
+    own = matrices.filter("rep = 0").select("grp", "taxa", "d")
+    if supports is None:
+        own = own.withColumn("known", F.lit(None).cast("array<struct<split:bigint,support:double>>"))
+    else:
+        rounded = F.struct("split", F.bround("support").alias("support"))
+        own = own.join(supports.filter(F.col("method") == method).groupBy("grp").agg(F.collect_list(rounded).alias("known")), "grp", "left")
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            made = [newick(r["taxa"], np.array(r["d"], float).reshape(len(r["taxa"]), -1), method, {x["split"]: x["support"] for x in r["known"] or ()}) for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column("grp"), pa.array(made, pa.string())], names=["grp", "value"])
+
+    return own.mapInArrow(run, "grp string, value string")
+
+
 def pandas_matrix(rows: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     """A symmetric matrix from rows (a, b, d)."""
     taxa = sorted({*rows["a"], *rows["b"]})

@@ -13,10 +13,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import genetic_code, sequence
-from ..operators import alignment, composition, conservation, distances, families, homology, quality, selection, statistics, structure, tables
+from ..operators import alignment, composition, conservation, distances, families, homology, quality, selection, statistics, structure, tables, trees
 from ..operators.lineage import written
+from ..sources import newick, synthetic
 from ..sources import structure as pdb
-from ..sources import synthetic
 from .catalogue import (
     _METRICS, CELLS, CODON_COLS, CODONS, COLS, CONSENSUS, DISTANT, ESTIMATE, FLAGGED, HENIKOFF, PROTEINS, QUERIES, ROWS, RSCU, SEQS, SQL, UTEST, WEIGHT, WITHIN,
     _distant, _items, _points, _proteins, _rounded, _rows, _seqs, _table, _two_classes, dnds_between, dnds_windows, dnds_within, presence_matrix, qc_flags, qc_summary,
@@ -314,15 +314,24 @@ def conflicts(spark, sf_dir):
     return distances.discordance(s.filter("grp != 'en'"), s.filter("grp = 'en'"), taxa)[1]
 
 
+@query()
+def rooted_trees(spark, sf_dir):
+    """The tree of each language's sources as text, rooted halfway between its farthest tips, with the support of its splits."""
+    matrices = written(distances.replicate_distances(distances.consensus(_panel_rows(spark, sf_dir), "species", "gene"), 100))
+    supports = distances.support(distances.tree_splits(matrices, ("nj",)), 100)
+    nodes = newick.read(distances.tree_texts(matrices, supports).withColumnRenamed("grp", "tree"))
+    return trees.texts(trees.midpoint_rooted(nodes))
+
+
 SPECIES = {s: [f"{s}{i}" for i in range(4)] for s in ("a", "b", "c", "d")}
 
 
 @query()
 def topology_recovery(spark, sf_dir):
     """Splits of a simulated tree that neighbour joining finds again, from codons and from bases; takes no table."""
-    newick = synthetic.species_tree(SPECIES)
-    truth = distances.splits_of_newick(newick)
-    kinds = {"codons": synthetic.codon_panel(spark, newick, 12, 400, [0.2], scale=0.5, seed=3), "bases": synthetic.nucleotide_panel(spark, newick, 6, 4000, scale=0.5, seed=5)}
+    tree = synthetic.species_tree(SPECIES)
+    truth = distances.splits_of_newick(tree)
+    kinds = {"codons": synthetic.codon_panel(spark, tree, 12, 400, [0.2], scale=0.5, seed=3), "bases": synthetic.nucleotide_panel(spark, tree, 6, 4000, scale=0.5, seed=5)}
     out = None
     for kind, panel in kinds.items():
         rows = panel.select(F.lit(kind).alias("grp"), "species", "gene", "nt")
