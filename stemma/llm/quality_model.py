@@ -359,22 +359,26 @@ def _scored(model: Model, text: str, out: StructType):
         line, sizes = _block_line(parts, text)
         words, of_line = np.unique(line, return_inverse=True)
         pairs, of_pair = np.unique(pair_keys(*pairs_of(line)), return_inverse=True)
-        mark = _mark(words, pairs)
+        # A block's arrays are long: what has been used goes, places take four bytes, and the rest is done a part at a time.
+        of_line, of_pair, here = of_line.astype(np.int32), of_pair.astype(np.int32), np.flatnonzero(line).astype(np.int32)
+        mark, n_pairs = _mark(words, pairs), len(pairs)
+        del line, words, pairs
         answers = sorted(right.to_pylist(), key=lambda r: r["shard"])
         of_words = [restored(r["found"], "f4", 3 * r["n"]).reshape(3, -1) for r in answers if r["shard"] < shards]
         of_pairs = [restored(r["found"], "u4", r["n"]) for r in answers if r["shard"] >= shards]
-        if sum(map(len, of_pairs)) != len(pairs) or any(r["mark"] != mark for r in answers):
+        if sum(map(len, of_pairs)) != n_pairs or any(r["mark"] != mark for r in answers):
             raise RuntimeError("a block of texts was read twice and differed: write the texts out before they are scored")
+        del answers
         total, rest, own = np.concatenate(of_words, axis=1).astype(float) if of_words else np.zeros((3, 0))
         count = np.concatenate(of_pairs) if of_pairs else np.zeros(0, np.uint32)
-        here = np.flatnonzero(line)
-        before, c = of_line[here - 1], count[of_pair]
-        lower = own[of_line[here]] + unknown
-        p = np.where(total[before] > 0, (c - d2[np.minimum(c, 3)]) / np.maximum(total[before], 1) + rest[before] * lower, lower)
-        log, some = np.log(p), []
+        some, at = [], 0
         for part, n in zip(parts, sizes, strict=True):
-            some.append(_with_perplexity(part, log[: n.sum()], n))
-            log = log[n.sum() :]
+            end = at + int(n.sum())
+            before, c = of_line[here[at:end] - 1], count[of_pair[at:end]]
+            lower = own[of_line[here[at:end]]] + unknown
+            p = np.where(total[before] > 0, (c - d2[np.minimum(c, 3)]) / np.maximum(total[before], 1) + rest[before] * lower, lower)
+            some.append(_with_perplexity(part, np.log(p), n))
+            at = end
         tidy()
         return pa.concat_tables(some).select(out.names)
 
