@@ -285,6 +285,27 @@ def motifs(scores: DataFrame, *, width: int = 7, top: int = 6) -> DataFrame:
     return scores.select("gene", "col", "conservation").groupBy("gene").applyInPandas(pick, "gene string, rank int, start bigint, end bigint, mean_conservation double")
 
 
+def verified_sites(seqs: DataFrame, sites: DataFrame, *, longest: int = 32, around: int = 5) -> DataFrame:
+    """Each of ``sites`` (position, expected, motif, pattern) in each of ``seqs`` (label, seq) that is long enough.
+
+    A site is in its motif if a match of the pattern begins before it and ends at it
+    or behind, wherever matches begin, overlapping ones too; a match is ``longest``
+    letters at most.  ``context`` is the site with ``around`` letters on either side.
+    Sites are few: each row of ``seqs`` meets all of them.
+    """
+    known = sites.agg(F.collect_list(F.struct("position", "expected", "motif", "pattern")).alias("sites"))
+    each = seqs.join(F.broadcast(known)).select("label", "seq", F.explode("sites").alias("s")).select("label", "seq", "s.*").filter(F.col("position") <= F.length("seq"))
+    offsets = F.sequence(F.greatest(F.lit(0), F.col("position") - longest), F.col("position") - 1)
+    anchored = F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")"))
+    reaches = lambda s: F.coalesce(F.length(F.regexp_substr(F.substring("seq", s + 1, F.lit(longest)), anchored)), F.lit(0)) >= F.col("position") - s
+    start = F.greatest(F.lit(1), F.col("position") - around)
+    observed = F.substring("seq", F.col("position"), F.lit(1))
+    return each.select(
+        "label", "position", "motif", "expected", observed.alias("observed"), (observed == F.col("expected")).alias("as_expected"),
+        F.exists(offsets, reaches).alias("in_motif"), F.substring("seq", start, F.col("position") + around - start + 1).alias("context"),
+    )
+
+
 def match_states(row: Column, ref: Column) -> Column:
     """For each place of ``row``: 2 where ``ref`` is the same, 1 where it differs, 0 where either has a gap or ``ref`` has ended."""
     both = F.arrays_zip(F.split(row, "").alias("a"), F.split(ref, "").alias("b"))

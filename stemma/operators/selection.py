@@ -8,18 +8,46 @@ many sequences there are.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genetic_code, sequence
+from .conservation import counted
 
 SUMS = ("sd", "nd", "s", "n")
 
 
+_BASES = np.full(256, 255, np.uint8)
+_BASES[[ord(c) for c in "TCAG"]] = range(4)
+
+
+def _lettered(batches):
+    """Rows of codons as rows of one sign for each, by the numbers of their bases; a codon with another letter is a gap."""
+    for b in batches:
+        rows = []
+        for nt in b.column("nt").to_pylist():
+            x = _BASES[np.frombuffer((nt or "").encode("latin-1", "replace"), np.uint8)]
+            x = x[: len(x) // 3 * 3].reshape(-1, 3)
+            signs = (48 + 16 * x[:, 0].astype(np.int64) + 4 * x[:, 1] + x[:, 2]).astype(np.uint8)
+            rows.append(np.where((x < 4).all(axis=1), signs, np.uint8(ord("-"))).tobytes().decode("ascii"))
+        at = b.schema.get_field_index("nt")
+        yield b.set_column(at, pa.field("row", pa.string()), pa.array(rows, pa.string()))
+
+
 def codon_columns(seqs: DataFrame, *by: str) -> DataFrame:
-    """(by, col, codon, k): how many sequences have a codon in a column."""
-    each = seqs.select(*by, F.posexplode(sequence.whole_codons(F.col("nt"))).alias("col", "codon"))
-    return each.filter(F.col("codon").isin(genetic_code.SENSE)).groupBy(*by, "col", "codon").agg(F.count("*").alias("k"))
+    """(by, col, codon, k): how many sequences have a sense codon in a column, columns from 0.
+
+    Codons become signs, whose columns each task counts in arrays: what is shuffled
+    are counts by column and never codons.
+    """
+    kinds = "".join(f"`{c}` {seqs.schema[c].dataType.simpleString()}, " for c in by)
+    rows = seqs.select(*by, "nt").mapInArrow(_lettered, f"{kinds}row string")
+    signs = {chr(48 + 16 * i + 4 * j + k): x + y + z for i, x in enumerate("TCAG") for j, y in enumerate("TCAG") for k, z in enumerate("TCAG")}
+    codon = F.create_map(*(F.lit(x) for sign, c in signs.items() if c in genetic_code.SENSE for x in (sign, c)))
+    found = counted(rows, *by).select(*by, (F.col("col") - 1).alias("col"), F.try_element_at(codon, F.col("ch")).alias("codon"), F.col("n").alias("k"))
+    return found.filter("codon is not null")
 
 
 def _summed(pairs: DataFrame, by: list[str]) -> DataFrame:

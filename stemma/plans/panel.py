@@ -217,6 +217,47 @@ def catalytic_ranks(spark, sf_dir):
     return _rounded(out, 4, "midrank")
 
 
+#: Positions, the letter expected there, and the motif that each should be in.
+SITES = [(12, "L", "turn", "[ILV].[ST]"), (40, "S", "pair", "S[A-Z][A-Z]?G|LS"), (77, "G", "run", "(?:AA|LL|SS)[KRG]?"), (3, "A", "head", "^M..|A[A-Z]A")]
+
+
+@query(
+    f"""with {SEQS}, {PROTEINS}, sites(position, expected, motif, pattern) as (values {", ".join(map(str, SITES))})
+    select label, position::int as position, motif, expected, aa[position:position] as observed, aa[position:position] = expected as as_expected,
+      len(list_filter(range(greatest(0, position - 32), position), lambda s: length(regexp_extract(substr(aa, (s + 1)::bigint, 32), '^(?:' || pattern || ')')) >= position - s)) > 0 as in_motif,
+      aa[greatest(1, position - 5):position + 5] as context
+    from proteins, sites where position <= length(aa)"""
+)
+def motif_sites(spark, sf_dir):
+    """Whether letters stand at their positions in every protein, and within a match of their motif."""
+    proteins = _proteins(spark, sf_dir).select(F.col("target").alias("label"), "seq")
+    sites = spark.createDataFrame(SITES, "position int, expected string, motif string, pattern string")  # four rows
+    return conservation.verified_sites(proteins, sites)
+
+
+def _strains(spark, sf_dir):
+    """The panel with genes apart by species, where a species has three sequences or more."""
+    seqs = _panel(spark, sf_dir).withColumn("gene", F.concat_ws(":", "gene", "species"))
+    enough = seqs.groupBy("gene").agg(F.count("*").alias("n")).filter("n >= 3")
+    return seqs.join(enough, "gene", "left_semi")
+
+
+_STRAINS = PANEL.replace("source as gene, lang as species,", "source || ':' || lang as gene, lang as species,").replace("), seqs as (", "), every_seq as (") + ", seqs as (select * from every_seq qualify count(*) over (partition by gene) >= 3)"
+
+
+@query(
+    f"""{_on_panel(SQL["dnds_within"]).replace(PANEL, _STRAINS).replace("with ", "with e as (with ", 1)}), sized as (with {_STRAINS} select gene, count(*) as n_sequences from seqs group by gene)
+    select string_split(gene, ':')[1] as gene, string_split(gene, ':')[2] as species, n_sequences, string_split(gene, ':')[1] in ({", ".join(f"'{c}'" for c in CONTROLS)}) as control,
+      ps, pn, ds, dn, omega, saturated from e join sized using (gene)"""
+)
+def selection_within_species(spark, sf_dir):
+    """Pooled omega of each gene within each species of three strains or more."""
+    sizes = _strains(spark, sf_dir).groupBy("gene").agg(F.count("*").alias("n_sequences"))
+    found = dnds_within(spark, sf_dir, seqs=_strains).join(sizes, "gene")
+    name = F.split("gene", ":")
+    return found.withColumns({"species": name[1], "gene": name[0]}).withColumn("control", F.col("gene").isin(CONTROLS))
+
+
 @query()
 def motif_windows(spark, sf_dir):
     """The six best conserved stretches of seven columns of each gene that don't overlap, the best first."""

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from stemma.operators import alignment, conservation, homology
-from stemma.plans import catalogue, flagship, panel
+from stemma.plans import catalogue, flagship, panel, views  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
