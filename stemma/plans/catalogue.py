@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import genetic_code, sequence
 from ..operators import composition, conservation, distances, homology, quality, selection, statistics, structure, tables
 from ..operators.composition import AS_ALIGNED, AS_BASES, LETTERS
+from ..operators.lineage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -552,11 +553,13 @@ def rank_tests(spark, sf_dir):
 
 @query()
 def group_comparison(spark, sf_dir):
-    values = _two_classes(spark, sf_dir)
+    """Each metric's two groups: sizes, medians, U and its p and q, and intervals of the differences of means and medians and of delta."""
+    values = written(_two_classes(spark, sf_dir))
     t = statistics.with_p(statistics.rank_test(values, ["metric"]))
     whole = statistics.adjusted(t).join(statistics.medians(values, ["metric"]), "metric")
-    ci = statistics.resampled_difference(values, ["metric"], 5000)
-    return _rounded(tables.significant(whole.join(ci, "metric")), 6, "delta", "p", "q", "median1", "median2", "median_difference", "difference", "lo", "hi")
+    ci = statistics.resampled_difference(values, ["metric"], 5000).join(statistics.resampled_statistics(values, ["metric"]), "metric")
+    names = ("delta", "p", "q", "median1", "median2", "median_difference", "difference", "lo", "hi", "median_lo", "median_hi", "delta_lo", "delta_hi")
+    return _rounded(tables.significant(whole.join(ci, "metric")), 6, *names)
 
 
 @query(
@@ -880,7 +883,7 @@ def cliffs_delta(spark, sf_dir):
 def effect_table(spark, sf_dir):
     """Effect sizes of all metrics in a fixed order, as a forest plot reads them."""
     order = spark.createDataFrame([(i, m) for i, m in enumerate(("gc", "gc3", "gc_skew"))], "ord int, metric string")
-    found = group_comparison(spark, sf_dir).select("metric", "n1", "n2", "median1", "median2", "delta", "lo", "hi", "p", "q", "significant")
+    found = group_comparison(spark, sf_dir).select("metric", "n1", "n2", "median1", "median2", "delta", "delta_lo", "delta_hi", "p", "q", "significant")
     return order.join(found, "metric", "left").orderBy("ord")
 
 

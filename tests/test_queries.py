@@ -161,6 +161,13 @@ def test_resampled_statistics(spark):
         assert abs(got.loc[metric, "median_lo"] - np.quantile(m, 0.025)) < 0.35 * width and abs(got.loc[metric, "median_hi"] - np.quantile(m, 0.975)) < 0.35 * width
 
 
+def test_comparison_has_all_intervals(spark):
+    for r in catalogue.effect_table(spark, SF).collect():
+        assert r.delta_lo <= r.delta <= r.delta_hi and 0 <= r.p <= r.q <= 1
+    for r in catalogue.group_comparison(spark, SF).collect():
+        assert r.median_lo <= r.median_difference <= r.median_hi and r.lo <= r.difference <= r.hi
+
+
 @pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.SQL])
 def test_other_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
