@@ -14,24 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genetic_code, sequence
+from .composition import numbered
 from .conservation import counted
 
 SUMS = ("sd", "nd", "s", "n")
 
 
-_BASES = np.full(256, 255, np.uint8)
-_BASES[[ord(c) for c in "TCAG"]] = range(4)
-
-
 def _lettered(batches):
-    """Rows of codons as rows of one sign for each, by the numbers of their bases; a codon with another letter is a gap."""
+    """Rows of codons as rows of one sign for each; a codon with another letter than the four bases is a gap."""
     for b in batches:
-        rows = []
-        for nt in b.column("nt").to_pylist():
-            x = _BASES[np.frombuffer((nt or "").encode("latin-1", "replace"), np.uint8)]
-            x = x[: len(x) // 3 * 3].reshape(-1, 3)
-            signs = (48 + 16 * x[:, 0].astype(np.int64) + 4 * x[:, 1] + x[:, 2]).astype(np.uint8)
-            rows.append(np.where((x < 4).all(axis=1), signs, np.uint8(ord("-"))).tobytes().decode("ascii"))
+        numbers = (numbered(nt or "") for nt in b.column("nt").to_pylist())
+        rows = [np.where(x < 64, 48 + x, ord("-")).astype(np.uint8).tobytes().decode("ascii") for x in numbers]
         at = b.schema.get_field_index("nt")
         yield b.set_column(at, pa.field("row", pa.string()), pa.array(rows, pa.string()))
 
