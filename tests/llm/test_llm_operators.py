@@ -197,25 +197,53 @@ def test_perplexity(spark, monkeypatch, shards, asked):
         assert r.perplexity is None if ppl is None else math.isclose(r.perplexity, ppl, rel_tol=1e-4)
 
 
-def test_limits_and_verdicts_against_brute_force(spark):
-    rng = np.random.default_rng(8)
-    rows = [(i, float(np.exp(rng.normal(5 + (i % 3), 0.4))) if i % 17 else None, int(rng.integers(5, 200)), ("en", "de", None)[i % 3], i % 2 == 0) for i in range(1500)]
-    got = quality_model.judged(spark.createDataFrame(rows, "doc_id int, perplexity double, n_words bigint, lang string, held boolean"), F.col("held")).collect()
+def verdicts(rows):
+    """Whether each of (id, perplexity, words, language, held out) is rejected."""
     held = [(math.log(p), n, lang) for _, p, n, lang, h in rows if h and p]
     at = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
     pull = lambda x, n, mid: (x * n + mid * quality_model.PRIOR) / (n + quality_model.PRIOR)
     mid = at([x for x, _, _ in held], 0.5)
     top = at([pull(x, n, mid) for x, n, _ in held], quality_model.HIGH) + quality_model.MARGIN
-    of = {None: (mid, top)}
-    for lang in ("en", "de"):
+    of = {}
+    for lang in {y for _, _, y in held} - {None}:
         own = [(x, n) for x, n, y in held if y == lang]
-        mix = lambda a, b: (a * len(own) + b * quality_model.LEAST_TEXTS) / (len(own) + quality_model.LEAST_TEXTS)
+        mix = lambda a, b: (a * len(own) + b * quality_model.LEAST_TEXTS) / (len(own) + quality_model.LEAST_TEXTS)  # noqa: B023, E731
         m = mix(at([x for x, _ in own], 0.5), mid)
         of[lang] = m, mix(at([pull(x, n, m) for x, n in own], quality_model.HIGH) + quality_model.MARGIN, top)
-    assert {r.doc_id: r.rejected for r in got} == {i: p is None or pull(math.log(p), n, of[lang][0]) > of[lang][1] for i, p, n, lang, _ in rows}
+    limit = lambda lang: of.get(lang, (mid, top))
+    return {i: p is None or pull(math.log(p), n, limit(lang)[0]) > limit(lang)[1] for i, p, n, lang, _ in rows}
+
+
+def test_limits_and_verdicts_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(np.exp(rng.normal(5 + (i % 3), 0.4))) if i % 17 else None, int(rng.integers(5, 200)), ("en", "de", None)[i % 3], i % 2 == 0) for i in range(1500)]
+    got = quality_model.judged(spark.createDataFrame(rows, "doc_id int, perplexity double, n_words bigint, lang string, held boolean"), F.col("held")).collect()
+    assert {r.doc_id: r.rejected for r in got} == verdicts(rows)
     assert any(r.rejected and r.perplexity for r in got)
 
 
+def test_whole_classifier_against_brute_force(spark):
+    """The split into trusted and held out, training, scoring, limits and verdicts in one chain."""
+    rng = np.random.default_rng(12)
+    docs = [(i, " ".join(rng.choice(WORDS, int(rng.integers(5, 60)))), ("en", "de", None, "fr")[i % 4]) for i in range(400)]
+    docs += [(400 + i, " ".join("".join(rng.choice(list("qxz#"), 5)) for _ in range(30)), ("en", "it")[i % 2]) for i in range(12)] + [(500, None, "en"), (501, "", "de"), (502, WORDS[0], "xx")]
+    given = [(i, int(i % 5 > 0), (0, None, 1)[i % 7 % 3]) for i in range(0, 412, 1) if i % 3]
+    known = spark.createDataFrame(given, "doc_id bigint, quality int, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    hashed = {r.doc_id: r.h for r in frame.select("doc_id", F.xxhash64("doc_id", F.lit("held out")).alias("h")).collect()}
+    trusted = {i for i, q, t in given if q == 1 and not t}
+    held = {i for i in trusted if hashed[i] % quality_model.HELD_OUT == 0}
+    text = {i: t for i, t, _ in docs}
+    want = brute_model([text[i] for i in sorted(trusted - held)])
+    rows = [(i, *want(t), lang, i in held) for i, t, lang in docs]
+    got = quality_model.classify(frame.repartition(3), known).collect()
+    assert {r.doc_id: (r.trusted, r.held_out) for r in got} == {i: (i in trusted, i in held) for i in text}
+    for r, (_, ppl, n, _, _) in zip(sorted(got, key=lambda r: r.doc_id), rows, strict=True):
+        assert r.n_words == n and (r.perplexity is None if ppl is None else math.isclose(r.perplexity, ppl, rel_tol=1e-4))
+    assert {r.doc_id: r.rejected for r in got} == verdicts(rows)
+    assert len(held) > 10 and any(r.rejected and r.perplexity for r in got) and not all(r.rejected for r in got)
+
+
 def test_quality_rejects_junk(spark):
     rng = np.random.default_rng(2)
     good = [(i, " ".join(rng.choice(WORDS, 40)), "en") for i in range(700)]

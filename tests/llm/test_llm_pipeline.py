@@ -69,3 +69,11 @@ def test_awkward_tables(spark, tmp_path):
 
 def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, _written(tmp_path, [])).collect() == []
+
+
+def test_long_private_key_is_gone(spark):
+    """A key of 15,000 lines, a megabyte, in the stage that takes secrets out."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 16 + ("\n" + "QUJD" * 16) * 15_000 + "\n-----END RSA PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, f"before {key} after", "en", "s", 7)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    row = corpus_pipeline.secret_scan(spark, docs, "").first()
+    assert row.text == "before [SECRET] after" and row.n_chars == len(row.text)
