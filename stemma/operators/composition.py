@@ -132,7 +132,7 @@ def amino_acid_composition(seqs: DataFrame) -> DataFrame:
     whole = per.groupBy("species", "label").agg(F.sum("n").alias("total"))
     size = whole.groupBy("species").agg(F.count("*").alias("n_seqs"))
     shares = per.join(whole, ["species", "label"]).groupBy("species", "aa").agg(F.sum(F.col("n") / F.col("total")).alias("s"))
-    return shares.join(F.broadcast(size), "species").select("species", "aa", (F.col("s") / F.col("n_seqs")).alias("fraction"))
+    return shares.join(size, "species").select("species", "aa", (F.col("s") / F.col("n_seqs")).alias("fraction"))
 
 
 def percentiles(values: DataFrame, group: str, value: str, places: int = 6) -> DataFrame:

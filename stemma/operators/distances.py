@@ -100,7 +100,7 @@ def replicate_distances(cons: DataFrame, replicates: int = 100) -> DataFrame:
     matrix product, and hands on one sum for each group.
     """
     taxa = cons.groupBy("grp").agg(F.array_sort(F.collect_set("taxon")).alias("taxa"))
-    packed = cons.groupBy("grp", "col").agg(F.array_sort(F.collect_list(F.struct("taxon", "ch"))).alias("row")).join(F.broadcast(taxa), "grp")
+    packed = cons.groupBy("grp", "col").agg(F.array_sort(F.collect_list(F.struct("taxon", "ch"))).alias("row")).join(taxa, "grp")
 
     def run(batches):
         sums: dict[tuple[str, tuple[str, ...]], np.ndarray] = {}
@@ -257,7 +257,7 @@ def discordance(own: DataFrame, reference: DataFrame, taxa: int, least: float =
     n = F.bit_count("split")
     side = F.when(2 * n > taxa, F.col("split").bitwiseXOR(F.lit((1 << taxa) - 1))).otherwise(F.col("split"))
     conflicts = conflicts.withColumn("smaller_side", side)
-    shared = own.join(F.broadcast(reference.select("split").distinct()).withColumn("same", F.lit(1)), "split", "left")
+    shared = own.join(reference.select("split").distinct().withColumn("same", F.lit(1)), "split", "left")
     total = reference.select("split").distinct().agg(F.count("*").alias("n_reference"))
     rows = shared.groupBy("grp").agg(F.count("*").alias("n_splits"), F.count("same").alias("n_shared"), F.avg("support").alias("mean_support"))
     per = conflicts.groupBy("grp").agg(F.count("*").alias("n_conflicts"), F.count_if("strong").alias("n_strong"))
