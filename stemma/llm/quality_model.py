@@ -28,6 +28,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -287,6 +288,15 @@ def _mark(words: np.ndarray, pairs: np.ndarray) -> int:
     return h.intdigest() - (1 << 63)
 
 
+def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them; only distinct ones are sorted."""
+    codes, distinct = pd.factorize(keys)
+    order = np.argsort(distinct)
+    rank = np.empty(len(distinct), np.int32)
+    rank[order] = np.arange(len(distinct), dtype=np.int32)
+    return distinct[order], rank[codes]
+
+
 def _block_line(parts, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """A block's texts in one line, and the sizes of those of each part."""
     known = Words()
@@ -301,7 +311,7 @@ def _asks(shards: int, text: str):
     def run(batches):
         for i, parts in enumerate(blocks_of(batches, text)):
             line, _ = _block_line(parts, text)
-            words, pairs = np.unique(line), np.unique(pair_keys(*pairs_of(line)))
+            words, pairs = np.sort(pd.unique(line)), np.sort(pd.unique(pair_keys(*pairs_of(line))))
             name, mark = named_block(i), _mark(words, pairs)
             rows = [(k * shards + shard, name, mark, pack(keys[at])) for k, keys in enumerate((words, pairs)) for shard, at in in_shards(keys, shards)]
             yield _batch(rows, schema)
@@ -357,10 +367,10 @@ def _scored(model: Model, text: str, out: StructType):
         if not parts:
             raise RuntimeError("a block of texts was read twice and not found again: write the texts out before they are scored")
         line, sizes = _block_line(parts, text)
-        words, of_line = np.unique(line, return_inverse=True)
-        pairs, of_pair = np.unique(pair_keys(*pairs_of(line)), return_inverse=True)
         # A block's arrays are long: what has been used goes, places take four bytes, and the rest is done a part at a time.
-        of_line, of_pair, here = of_line.astype(np.int32), of_pair.astype(np.int32), np.flatnonzero(line).astype(np.int32)
+        words, of_line = placed(line)
+        pairs, of_pair = placed(pair_keys(*pairs_of(line)))
+        here = np.flatnonzero(line).astype(np.int32)
         mark, n_pairs = _mark(words, pairs), len(pairs)
         del line, words, pairs
         answers = sorted(right.to_pylist(), key=lambda r: r["shard"])
