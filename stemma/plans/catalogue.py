@@ -790,8 +790,10 @@ def family_hits_dedup(spark, sf_dir):
 
 @query("select l_orderkey, arg_min(l_partkey, (l_shipdate, l_linenumber)) as l_partkey from lineitem group by l_orderkey")
 def first_by_coordinate(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber")
-    return tables.first_of(rows, "l_orderkey", ["l_shipdate", "l_linenumber"]).select("l_orderkey", "l_partkey")
+    """Of lines with the same date and number the one that the table has first, as ``arg_min`` keeps it."""
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber", *place)
+    return tables.first_of(rows, "l_orderkey", ["l_shipdate", "l_linenumber", "file", "at"]).select("l_orderkey", "l_partkey")
 
 
 @query(

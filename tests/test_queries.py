@@ -175,3 +175,14 @@ def test_other_queries_run(spark, name):
 
 def test_flagship(spark):
     assert {r.species for r in flagship.by_species(spark, SF).collect()} == {"de", "en", "es", "fr"}
+
+
+def test_first_of_equal_lines_is_the_first_of_the_table(spark, tmp_path):
+    """The greater file is read first; among equal lines the one that stands first in the table counts all the same."""
+    db, to = duckdb.connect(), tmp_path / "lineitem.parquet"
+    to.mkdir()
+    lines = "select {0} as l_orderkey, {1} as l_partkey, timestamp '2020-01-01' as l_shipdate, 1::integer as l_linenumber from range({2}) t(i)"
+    for name, key, part, n in (("a", "i", "i + 500", 200), ("b", "i % 200", "i", 20_000)):
+        db.sql(f"copy ({lines.format(key, part, n)}) to '{to}/{name}.parquet'")
+    got = {r.l_orderkey: r.l_partkey for r in catalogue.first_by_coordinate(spark, str(tmp_path)).collect()}
+    assert got == {i: i + 500 for i in range(200)}
