@@ -28,7 +28,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -47,6 +46,8 @@ SHARD_BYTES = 32 << 20
 ASKED_BYTES = 96 << 20
 #: Different words whose hashes a task keeps, and words that are counted at a time.
 HELD_WORDS, PART_WORDS = 500_000, 3_000_000
+#: Words of a block's line whose pairs are made, or looked up, at a time.
+LINE_PART = 1 << 18
 #: The share of trusted texts that set the quantiles and train nothing: one in so many.
 HELD_OUT = 10
 #: Quantile of the held-out trusted log-perplexities, how far beyond it a text may lie, and the median's weight in words.
@@ -109,6 +110,17 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (h ^ h >> np.uint64(29)) >> np.uint64(64 - KEY_BITS)
 
 
+def placed_pairs(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words and the texts' ends of a block's line stand, in four bytes each, and the keys of their pairs, made a part at a time."""
+    here = np.empty(np.count_nonzero(line), np.int32)
+    keys, n = np.empty(len(here), np.uint64), 0
+    for at in range(0, len(line), LINE_PART):
+        some = np.flatnonzero(line[at : at + LINE_PART]) + at
+        here[n : n + len(some)], keys[n : n + len(some)] = some, pair_keys(line[some - 1], line[some])
+        n += len(some)
+    return here, keys
+
+
 # --- packed rows -------------------------------------------------------------------------------
 
 
@@ -288,20 +300,34 @@ def _mark(words: np.ndarray, pairs: np.ndarray) -> int:
     return h.intdigest() - (1 << 63)
 
 
+def distinct_of(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order, from one sorted copy."""
+    keys = np.sort(keys)
+    return keys[np.diff(keys, prepend=~keys[:1]) != 0]
+
+
 def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, and the place of each key among them; only distinct ones are sorted."""
-    codes, distinct = pd.factorize(keys)
-    order = np.argsort(distinct)
-    rank = np.empty(len(distinct), np.int32)
-    rank[order] = np.arange(len(distinct), dtype=np.int32)
-    return distinct[order], rank[codes]
+    """The distinct keys in order, and the place of each key among them, in four bytes; no table of all keys lies beside them."""
+    distinct = distinct_of(keys)
+    places = np.empty(len(keys), np.int32)
+    for at in range(0, len(keys), LINE_PART):  # a part in its order, so that what is looked up lies side by side
+        order = np.argsort(keys[at : at + LINE_PART])
+        places[at + order] = np.searchsorted(distinct, keys[at + order])
+    return distinct, places
 
 
 def _block_line(parts, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """A block's texts in one line, and the sizes of those of each part."""
-    known = Words()
-    lines = [line_of(p.column(text).to_pylist(), known) for p in parts]
-    return np.concatenate([x for x, _ in lines]), [n for _, n in lines]
+    known, lines, sizes = Words(), [], []
+    for p in parts:
+        line, n = line_of(p.column(text).to_pylist(), known)
+        lines.append(line)
+        sizes.append(n)
+    whole, at = np.empty(sum(map(len, lines)), np.uint64), 0
+    for i, line in enumerate(lines):  # a part goes as soon as it has been copied
+        whole[at : at + len(line)] = line
+        at, lines[i] = at + len(line), None
+    return whole, sizes
 
 
 def _asks(shards: int, text: str):
@@ -311,7 +337,7 @@ def _asks(shards: int, text: str):
     def run(batches):
         for i, parts in enumerate(blocks_of(batches, text)):
             line, _ = _block_line(parts, text)
-            words, pairs = np.sort(pd.unique(line)), np.sort(pd.unique(pair_keys(*pairs_of(line))))
+            words, pairs = distinct_of(line), distinct_of(placed_pairs(line)[1])
             name, mark = named_block(i), _mark(words, pairs)
             rows = [(k * shards + shard, name, mark, pack(keys[at])) for k, keys in enumerate((words, pairs)) for shard, at in in_shards(keys, shards)]
             yield _batch(rows, schema)
@@ -368,11 +394,12 @@ def _scored(model: Model, text: str, out: StructType):
             raise RuntimeError("a block of texts was read twice and not found again: write the texts out before they are scored")
         line, sizes = _block_line(parts, text)
         # A block's arrays are long: what has been used goes, places take four bytes, and the rest is done a part at a time.
+        here, keys = placed_pairs(line)
         words, of_line = placed(line)
-        pairs, of_pair = placed(pair_keys(*pairs_of(line)))
-        here = np.flatnonzero(line).astype(np.int32)
+        del line
+        pairs, of_pair = placed(keys)
         mark, n_pairs = _mark(words, pairs), len(pairs)
-        del line, words, pairs
+        del keys, words, pairs
         answers = sorted(right.to_pylist(), key=lambda r: r["shard"])
         of_words = [restored(r["found"], "f4", 3 * r["n"]).reshape(3, -1) for r in answers if r["shard"] < shards]
         of_pairs = [restored(r["found"], "u4", r["n"]) for r in answers if r["shard"] >= shards]

@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import time
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -244,6 +245,22 @@ def test_whole_classifier_against_brute_force(spark):
     assert len(held) > 10 and any(r.rejected and r.perplexity for r in got) and not all(r.rejected for r in got)
 
 
+def test_keys_are_placed_in_little_memory():
+    """A block's keys find their places among the distinct ones with 32 bytes a key beside them at most."""
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 48, 600_000, np.uint64)[rng.integers(600_000, size=1_000_000)]
+    tracemalloc.start()
+    distinct, places = quality_model.placed(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (distinct[places] == keys).all() and (np.diff(distinct.astype(np.int64)) > 0).all() and peak < 32 * len(keys)
+    none, nowhere = quality_model.placed(keys[:0])
+    assert len(none) == len(nowhere) == 0
+    line = np.array([0, 7, 8, 1, 0, 9, 1] * 90_000, np.uint64)
+    here, of = quality_model.placed_pairs(line)
+    assert (here == np.flatnonzero(line)).all() and (of == quality_model.pair_keys(*quality_model.pairs_of(line))).all()
+
+
 def test_quality_rejects_junk(spark):
     rng = np.random.default_rng(2)
     good = [(i, " ".join(rng.choice(WORDS, 40)), "en") for i in range(700)]
