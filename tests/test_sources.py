@@ -1,6 +1,6 @@
 import gzip
 
-from stemma.sources import fasta, genbank, newick, structure
+from stemma.sources import fasta, genbank, newick, structure, synthetic
 from stemma.streaming import composition as streaming
 
 RECORD = """LOCUS       X1 40 bp
@@ -116,3 +116,13 @@ def test_headed_fasta_and_newick_sink(spark, tmp_path):
     trees = spark.createDataFrame([("a", "(A:1.00000,B:2.00000);"), ("b", "(C,D)99.00;")], "gene string, value string")
     newick.write(trees, str(tmp_path / "t"), by="gene")
     assert sorted(map(tuple, spark.read.text(str(tmp_path / "t")).select("gene", "value").collect())) == sorted(map(tuple, trees.collect()))
+
+
+def test_panel_is_made_in_parallel_with_one_digest_a_codon(spark):
+    """However few parts the keys are read in; keys that are null or many make the same panel."""
+    rows = [(i, g, s) for i in range(1, 40) for g in ("a", None) for s in ("en", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string").coalesce(1)
+    got = synthetic.derived_panel(docs, 20)
+    assert got.rdd.getNumPartitions() > 4 and got.count() == len(rows)
+    made = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "__codons" in x and "md5(" in x)
+    assert made.count("md5(") == made.count("array_join(")
