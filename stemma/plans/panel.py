@@ -602,8 +602,9 @@ def segment_gaps(spark, sf_dir):
 def running_places(spark, sf_dir):
     """Positions of two aligned rows at each column, gaps put in by rule; rows numbered by tens are the queries."""
     rows = _panel_rows(spark, sf_dir)
-    first = rows.groupBy("gene").agg(F.min_by("row", "label").alias("ref"))
-    each = conservation.columns(rows.filter("label % 10 = 0")).join(first, "gene").filter(F.col("col") <= F.length("ref"))
+    # A row meets its gene's first before it becomes columns; all columns of a gene never meet in one task.
+    met = rows.filter("label % 10 = 0 and length(row) > 0").join(_firsts(rows), "gene").select("gene", "label", "ref", F.posexplode(F.split("row", "")).alias("at", "ch"))
+    each = met.withColumn("col", F.col("at") + 1).filter(F.col("col") <= F.length("ref"))
     x = F.when((F.col("col") + F.col("label")) % 11 == 0, "-").otherwise(F.col("ch"))
     y = F.when(F.col("col") % 7 == 0, "-").otherwise(F.substring("ref", F.col("col"), F.lit(1)))
     both = each.select("gene", "label", "col", x.alias("x"), y.alias("y"))

@@ -186,3 +186,9 @@ def test_first_of_equal_lines_is_the_first_of_the_table(spark, tmp_path):
         db.sql(f"copy ({lines.format(key, part, n)}) to '{to}/{name}.parquet'")
     got = {r.l_orderkey: r.l_partkey for r in catalogue.first_by_coordinate(spark, str(tmp_path)).collect()}
     assert got == {i: i + 500 for i in range(200)}
+
+
+def test_rows_meet_the_first_before_they_are_columns(spark):
+    """The columns of a gene never meet in the task of a join."""
+    plan = panel.running_places(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate posexplode") < plan.index("Join")
