@@ -8,12 +8,15 @@ many sequences there are.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genetic_code, sequence
+from .blocks import Block, per_block, repeated
 from .composition import numbered
 from .conservation import counted
 
@@ -23,10 +26,11 @@ SUMS = ("sd", "nd", "s", "n")
 def _lettered(batches):
     """Rows of codons as rows of one sign for each; a codon with another letter than the four bases is a gap."""
     for b in batches:
-        numbers = (numbered(nt or "") for nt in b.column("nt").to_pylist())
-        rows = [np.where(x < 64, 48 + x, ord("-")).astype(np.uint8).tobytes().decode("ascii") for x in numbers]
         at = b.schema.get_field_index("nt")
-        yield b.set_column(at, pa.field("row", pa.string()), pa.array(rows, pa.string()))
+        for some in (b.slice(i, 1_000) for i in range(0, b.num_rows, 1_000)):
+            numbers = (numbered(nt.as_py() or "") for nt in some.column("nt"))
+            rows = [np.where(x < 64, 48 + x, ord("-")).astype(np.uint8).tobytes().decode("ascii") for x in numbers]
+            yield some.set_column(at, pa.field("row", pa.string()), pa.array(rows, pa.string()))
 
 
 def codon_columns(seqs: DataFrame, *by: str) -> DataFrame:
@@ -35,10 +39,8 @@ def codon_columns(seqs: DataFrame, *by: str) -> DataFrame:
     Codons become signs, whose columns each task counts in arrays: what is shuffled
     are counts by column and never codons.
     """
-    kinds = "".join(f"`{c}` {seqs.schema[c].dataType.simpleString()}, " for c in by)
-    rows = seqs.select(*by, "nt").mapInArrow(_lettered, f"{kinds}row string")
-    signs = {chr(48 + 16 * i + 4 * j + k): x + y + z for i, x in enumerate("TCAG") for j, y in enumerate("TCAG") for k, z in enumerate("TCAG")}
-    codon = F.create_map(*(F.lit(x) for sign, c in signs.items() if c in genetic_code.SENSE for x in (sign, c)))
+    rows = _lettered_rows(seqs, *by)
+    codon = F.create_map(*(F.lit(x) for sign, c in _SIGNS.items() if c in genetic_code.SENSE for x in (sign, c)))
     found = counted(rows, *by).select(*by, (F.col("col") - 1).alias("col"), F.try_element_at(codon, F.col("ch")).alias("codon"), F.col("n").alias("k"))
     return found.filter("codon is not null")
 
@@ -67,6 +69,69 @@ def between(counts: DataFrame, by: list[str], group: str) -> DataFrame:
     return _summed(both, [*by, "one", "other"])
 
 
+#: Columns of codons that are summed at once: each has 61 counts.
+CODON_BLOCK = 512
+_SIGNS = {chr(48 + 16 * i + 4 * j + k): x + y + z for i, x in enumerate("TCAG") for j, y in enumerate("TCAG") for k, z in enumerate("TCAG")}
+
+
+@lru_cache
+def _tables() -> np.ndarray:
+    """``SUMS`` of each two sense codons, one table behind the other; rows and columns in the order of ``SENSE``."""
+    at = {c: i for i, c in enumerate(genetic_code.SENSE)}
+    out = np.zeros((len(SUMS), len(at), len(at)))
+    for x, y, *values in genetic_code.pair_rows():
+        out[:, at[x], at[y]] = out[:, at[y], at[x]] = values
+    return out
+
+
+def _codon_numbers(block: Block) -> np.ndarray:
+    """How many sequences have each sense codon in each column of a block."""
+    none = np.zeros(block.size, np.int64)
+    sign = {c: s for s, c in _SIGNS.items()}
+    return np.stack([block.counts.get(sign[c], (none,))[0] for c in genetic_code.SENSE]).T.astype(float)
+
+
+def _lettered_rows(seqs: DataFrame, *names: str) -> DataFrame:
+    kinds = "".join(f"`{c}` {seqs.schema[c].dataType.simpleString()}, " for c in names)
+    return seqs.select(*names, "nt").mapInArrow(_lettered, f"{kinds}row string")
+
+
+def within_columns(seqs: DataFrame, *by: str) -> DataFrame:
+    """``within`` of the codons of ``seqs``: a block's counts become sums in one place, as products of matrices."""
+
+    def finish(group: tuple, at: int, found: dict[tuple, Block]) -> pa.RecordBatch:
+        k = _codon_numbers(found[()])
+        pairs = k.sum(axis=1) * (k.sum(axis=1) - 1) / 2
+        sums = [(((k @ m) * k).sum(axis=1) - k @ np.diag(m)) / 2 for m in _tables()]
+        col = np.flatnonzero(pairs)
+        return pa.RecordBatch.from_arrays([*repeated(group, len(col)), pa.array(at * CODON_BLOCK + col), *(pa.array(x[col]) for x in (*sums, pairs))], names=[*by, "col", *SUMS, "pairs"])
+
+    kinds = "".join(f"`{c}` {seqs.schema[c].dataType.simpleString()}, " for c in by)
+    return per_block(_lettered_rows(seqs, *by), list(by), [], finish, f"{kinds}col int, sd double, nd double, s double, n double, pairs double", size=CODON_BLOCK)
+
+
+def between_columns(seqs: DataFrame, by: list[str], group: str) -> DataFrame:
+    """``between`` of the codons of ``seqs``; the groups of a block meet in one place."""
+
+    def finish(of: tuple, at: int, found: dict[tuple, Block]) -> pa.RecordBatch | None:
+        counts = {g: _codon_numbers(block) for (g,), block in sorted((x for x in found.items() if x[0][0] is not None), key=lambda x: x[0])}
+        names, out = list(counts), []
+        for i, one in enumerate(names):
+            each = [counts[one] @ m for m in _tables()]
+            for other in names[i + 1 :]:
+                k = counts[other]
+                pairs = counts[one].sum(axis=1) * k.sum(axis=1)
+                col = np.flatnonzero(pairs)
+                sums = [(x * k).sum(axis=1)[col] for x in each]
+                out.append(pa.RecordBatch.from_arrays([*repeated((*of, one, other), len(col)), pa.array(at * CODON_BLOCK + col), *map(pa.array, (*sums, pairs[col].astype(np.int64)))], names=[*by, "one", "other", "col", *SUMS, "pairs"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(len(x) for x in out) else None
+
+    kinds = "".join(f"`{c}` {seqs.schema[c].dataType.simpleString()}, " for c in by)
+    kind = seqs.schema[group].dataType.simpleString()
+    schema = f"{kinds}one {kind}, other {kind}, col int, sd double, nd double, s double, n double, pairs bigint"
+    return per_block(_lettered_rows(seqs, *by, group), by, [group], finish, schema, size=CODON_BLOCK)
+
+
 def jukes_cantor(p: Column) -> Column:
     """Null from a share of 0.75 on, unlike the capped distance of trees."""
     return sequence.jukes_cantor(p, None)

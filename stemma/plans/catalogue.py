@@ -483,7 +483,7 @@ def codon_sites(spark, sf_dir):
 
 @query(f"with {WITHIN} {ESTIMATE.format('gene', 'totals')}")
 def dnds_within(spark, sf_dir, seqs=_seqs):
-    return _estimates(selection.estimate(selection.within(selection.codon_columns(seqs(spark, sf_dir), "gene"), ["gene"]), ["gene"]))
+    return _estimates(selection.estimate(selection.within_columns(seqs(spark, sf_dir), "gene"), ["gene"]))
 
 
 @query(
@@ -495,9 +495,8 @@ def dnds_within(spark, sf_dir, seqs=_seqs):
     {ESTIMATE.format('gene, one, other', 'totals')}"""
 )
 def dnds_between(spark, sf_dir, seqs=_seqs):
-    counts = selection.codon_columns(seqs(spark, sf_dir), "gene", "species")
-    by = ["gene", "one", "other"]
-    return _estimates(selection.estimate(selection.between(counts, ["gene"], "species"), by))
+    totals = selection.between_columns(seqs(spark, sf_dir), ["gene"], "species")
+    return _estimates(selection.estimate(totals, ["gene", "one", "other"]))
 
 
 @query(
@@ -507,7 +506,7 @@ def dnds_between(spark, sf_dir, seqs=_seqs):
     {ESTIMATE.format('gene, start', 'spread')}""".replace("select gene, start, round", "select gene, start::int as start, round")
 )
 def dnds_windows(spark, sf_dir, seqs=_seqs):
-    totals = selection.within(selection.codon_columns(seqs(spark, sf_dir), "gene"), ["gene"])
+    totals = selection.within_columns(seqs(spark, sf_dir), "gene")
     return _estimates(selection.windows(totals, ["gene"]))
 
 
@@ -522,7 +521,7 @@ WEIGHT = "list_sum(list_transform([368, 736, 920, 981, 996, 999], lambda b: (('0
       case when count(omega) >= 25 then round(quantile_cont(omega, 0.975), 4) end as hi, count(omega) as n_finite from est group by gene"""
 )
 def dnds_bootstrap(spark, sf_dir):
-    totals = selection.within(selection.codon_columns(_seqs(spark, sf_dir), "gene"), ["gene"])
+    totals = selection.within_columns(_seqs(spark, sf_dir), "gene")
     return _rounded(selection.bootstrap(totals, ["gene"], 50), 4, "lo", "hi")
 
 
@@ -846,7 +845,7 @@ def codon_differences(spark, sf_dir):
 )
 def gene_vs_controls(spark, sf_dir):
     """Each gene's omega over that of four pooled control genes, in paired replicates that redraw codon columns."""
-    totals = selection.within(selection.codon_columns(_seqs(spark, sf_dir), "gene"), ["gene"])
+    totals = selection.within_columns(_seqs(spark, sf_dir), "gene")
     return _rounded(_rounded(selection.against_controls(totals, "gene", [f"src{i}" for i in range(4)], 50), 4, "lo", "hi"), 6, "p")
 
 
@@ -895,7 +894,7 @@ def omega_recovery(spark, sf_dir):
     from ..sources import synthetic
 
     panel = synthetic.star_panel(spark, 14, 6, 200, [0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0], seed=7)
-    est = selection.estimate(selection.within(selection.codon_columns(panel, "gene"), ["gene"]), ["gene"])
+    est = selection.estimate(selection.within_columns(panel, "gene"), ["gene"])
     truth = panel.select("gene", F.col("omega").alias("true_omega")).distinct()
     return _rounded(truth.join(est.select("gene", F.col("omega").alias("estimated_omega"), "ps"), "gene"), 6, "estimated_omega", "ps")
 

@@ -80,7 +80,7 @@ REPLICATES, WINDOW_REPLICATES = 1000, 200
 
 
 def _totals(spark, sf_dir):
-    return selection.within(selection.codon_columns(_panel(spark, sf_dir), "gene"), ["gene"])
+    return selection.within_columns(_panel(spark, sf_dir), "gene")
 
 
 def _replicated(sql: str, replicates: int) -> str:
@@ -158,7 +158,7 @@ totals as (select species, gene, col, sum(pairs * sd) as sd, sum(pairs * nd) as
 )
 def panel_replication(spark, sf_dir):
     """Within each species: whether control genes differ from the others in omega, where both are two or more."""
-    totals = selection.within(selection.codon_columns(_panel(spark, sf_dir), "species", "gene"), ["species", "gene"])
+    totals = selection.within_columns(_panel(spark, sf_dir), "species", "gene")
     est = _rounded(selection.estimate(totals, ["species", "gene"]), 6, "omega")
     t = statistics.rank_test(selection.replication(est, "species", CONTROLS), ["species"])
     return _rounded(_rounded(t.select("species", "n1", "n2", "u", "delta"), 3, "u"), 6, "delta")
