@@ -44,3 +44,12 @@ def test_distances(spark):
     assert one(spark, sequence.jukes_cantor(F.col("p"), None), p=0.8) is None
     want = -0.5 * math.log(1 - 0.2 - 0.05) - 0.25 * math.log(1 - 0.1)
     assert one(spark, sequence.kimura(F.col("p"), F.col("q")), p=0.1, q=0.05) == pytest.approx(want)
+
+
+def test_proteins_of_whole_sequences(spark):
+    from stemma.operators import composition
+
+    rows = [(0, "ATGTAANNNAA"), (1, ""), (2, None), (3, "AC"), (4, "éTGTTTtttGGC\nAA"), (5, "".join(x + y + z for x in "TCAG" for y in "TCAG" for z in "TCAG"))]
+    df = spark.createDataFrame(rows, "label bigint, nt string")
+    got = {r.label: r.aa for r in composition.proteins(df, "label").collect()}
+    assert got == {r.label: r.aa for r in df.select("label", sequence.translated(F.col("nt")).alias("aa")).collect()}
