@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 #: Columns whose letters stand together.
 BLOCK = 4_096
 #: Letters that a task gathers before it looks which are counted, and bytes of counts that it holds before it hands them on.
-GATHERED, HELD = 16_000_000, 32_000_000
+GATHERED, HELD = 8_000_000, 32_000_000
 #: Letters that are counted at once, bytes of a batch that leaves a task, and letters' worth of room that a piece takes besides its own.
 COUNTED, SENT, ROOM = 500_000, 8_000_000, 100
 

@@ -7,24 +7,20 @@ gaps and is never written out, so that data grow with the letters alone.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from itertools import repeat
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from .blocks import BLOCK, codes_of, per_block, repeated
 from .composition import AS_ALIGNED, LETTERS
+from .lineage import written
 
 GAP = "-"
-#: Columns whose counts or shares stand together.
-BLOCK = 4_096
-#: Letters that a task gathers before it counts them, and counters that it holds before it hands them on.
-GATHERED = 2_000_000
-HELD = 4_000_000
 #: Pieces of rows that meet one copy of a block's shares.
 PIECES = 2_048
 
@@ -41,10 +37,6 @@ def columns(rows: DataFrame) -> DataFrame:
     return rows.filter(F.length("row") > 0).select("gene", "label", "species", each).select("gene", "label", "species", (F.col("at") + 1).alias("col"), "ch")
 
 
-def _codes(row: str) -> np.ndarray:
-    return np.frombuffer(row.encode("utf-32-le"), np.uint32)
-
-
 def _fields(rows: DataFrame, *names: str) -> str:
     return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
 
@@ -52,100 +44,113 @@ def _fields(rows: DataFrame, *names: str) -> str:
 def counted(rows: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
     """(by, col, ch, n, w): how many rows have a letter or written gap in a column, and the sum of their ``weight`` (null: none).
 
-    Each task counts its rows' letters in arrays, so that what is shuffled are
-    counts by column and never letters.  Null rows count as empty ones.
+    What is shuffled are blocks of letters or their counts, never a row for each
+    letter.  Null rows count as empty ones.
     """
 
-    def add(held: dict, waiting: dict) -> None:
-        for key, pieces in waiting.items():
-            codes = np.concatenate([x for x, _ in pieces])
-            lengths = np.array([len(x) for x, _ in pieces])
-            col = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            letters = np.flatnonzero(np.bincount(codes))
-            cell = np.searchsorted(letters, codes) * BLOCK + col
-            ones = np.bincount(cell, minlength=len(letters) * BLOCK).reshape(-1, BLOCK)
-            sums = ones if weight is None else np.bincount(cell, np.repeat([w for _, w in pieces], lengths), len(letters) * BLOCK).reshape(-1, BLOCK)
-            for i, letter in enumerate(letters.tolist()):
-                n, w = held.setdefault((*key, letter), (np.zeros(BLOCK, np.int64), np.zeros(BLOCK)))
-                n += ones[i]
-                w += sums[i]
-        waiting.clear()
-
-    def hand_on(held: dict):
-        for (group, at, letter), (n, w) in held.items():
-            some = np.flatnonzero(n)
-            of = [pa.array([g] * len(some), out.field(i).type) for i, g in enumerate(group)]
-            yield pa.RecordBatch.from_arrays([*of, pa.array((at + 1 + some).astype(np.int32)), pa.array([chr(letter)] * len(some)), pa.array(n[some]), pa.array(w[some])], schema=out)
-        held.clear()
-
-    def run(batches):
-        held, waiting, letters = {}, defaultdict(list), 0
+    def finish(group: tuple, at: int, found: dict) -> pa.RecordBatch:
+        letters, n, w = found[()].arrays()
+        i, col = np.nonzero(n)
+        values = pa.array(n[i, col]), pa.array(np.zeros(len(i)) if w is None else w[i, col])
+        cells = pa.array(at * BLOCK + col + 1), pa.array(np.array(letters, object)[i], pa.string())
+        return pa.RecordBatch.from_arrays([*repeated(group, len(i)), *cells, *values], names=[*by, "col", "ch", "n", "w"])
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by), "col int, ch string, n bigint, w double"])
+    out = per_block(rows, list(by), [], finish, schema, weight=weight, size=BLOCK)
+    return out if weight else out.withColumn("w", F.col("n").cast("double"))
+
+
+def _shares(rows: DataFrame) -> DataFrame:
+    """(gene, block, letters, share, tail, gap, parts, after, cols): a row's share by its letter in each column of a block.
+
+    ``tail`` is what a row gets that ends before a column, for the columns of the block
+    from there on, and ``after`` for all later blocks; ``cols`` is the gene's number of
+    columns, ``parts`` as how many groups the block's rows are met.
+    """
+
+    def finish(group: tuple, at: int, found: dict) -> pa.RecordBatch:
+        letters, n, _ = found[()].arrays()
+        return pa.RecordBatch.from_arrays([*repeated(group, 1), pa.array([at]), pa.array(["".join(letters)]), pa.array([n.tobytes()], pa.binary())], names=["gene", "block", "letters", "n"])
+
+    def shared(batches):
         for b in batches:
-            weights = repeat(1.0) if weight is None else b.column("weight").to_pylist()
-            for row, w, *group in zip(b.column("row"), weights, *(b.column(c).to_pylist() for c in by)):  # noqa: B905
-                codes = _codes(row.as_py() or "")
-                for at in range(0, len(codes), BLOCK):
-                    waiting[tuple(group), at].append((codes[at : at + BLOCK], w or 0.0))
-                letters += len(codes)
-                if letters > GATHERED:
-                    add(held, waiting)
-                    letters = 0
-                if len(held) * BLOCK > HELD:
-                    yield from hand_on(held)
-        add(held, waiting)
-        yield from hand_on(held)
-
-    given = rows.select(*by, "row") if weight is None else rows.select(*by, "row", F.col(weight).cast("double").alias("weight"))
-    out = to_arrow_schema(given.select(*by, F.lit(0).alias("col"), F.lit("").alias("ch"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("w")).schema)
-    per_task = given.mapInArrow(run, _fields(rows, *by) + ", col int, ch string, n bigint, w double")
-    return per_task.groupBy(*by, "col", "ch").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
-
-
-def _looked_up(rows: DataFrame, share: DataFrame) -> DataFrame:
-    """(gene, label, own): the sum of a row's letters' shares, from ``share`` (gene, col, ch, share).
+            for i in range(b.num_rows):
+                letters, rows = b.column("letters")[i].as_py(), b.column("rows")[i].as_py()
+                n = np.frombuffer(b.column("n")[i].as_buffer(), np.int64).reshape(-1, BLOCK)
+                present, gaps = n.sum(axis=0), n[letters.index(GAP)] if GAP in letters else np.zeros(BLOCK, np.int64)
+                all_gaps = gaps + rows - present
+                k = (n > 0).sum(axis=0) + ((gaps == 0) & (present < rows))
+                of = np.stack([all_gaps if c == GAP else x for c, x in zip(letters, n, strict=True)])
+                share = np.divide(1.0, k * of, out=np.zeros(n.shape), where=n > 0)
+                gap = np.divide(1.0, k * all_gaps, out=np.zeros(BLOCK), where=(present > 0) & (all_gaps > 0))
+                tail = np.cumsum(gap[::-1])[::-1]
+                made = [share.tobytes(), tail.tobytes(), float(tail[0]), -(-int(rows if b.column("block")[i].as_py() == 0 else present[0]) // PIECES), int(np.count_nonzero(present))]
+                some = b.slice(i, 1).select(["gene", "block", "letters"])
+                arrays = [pa.array([x], t) for x, t in zip(made, (pa.binary(), pa.binary(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*some.columns, *arrays], names=[*some.schema.names, "share", "tail", "gap", "parts", "n_cols"])
+
+    kind = f"gene {rows.schema['gene'].dataType.simpleString()}, block int, letters string, "
+    size = rows.groupBy("gene").agg(F.count("*").alias("rows"))
+    # Few rows, which are written so that a task has one Python worker and not two.
+    blocks = written(per_block(rows, ["gene"], [], finish, kind + "n binary", size=BLOCK)).join(size, "gene")
+    later = Window.partitionBy("gene").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = blocks.mapInArrow(shared, kind + "share binary, tail binary, gap double, parts bigint, n_cols bigint")
+    of_gene = {"after": F.coalesce(F.sum("gap").over(later), F.lit(0.0)), "cols": F.sum("n_cols").over(Window.partitionBy("gene"))}
+    return written(found.withColumns(of_gene).drop("n_cols", "gap"))
+
+
+def _looked_up(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """(gene, label, raw, cols): the sum of a row's shares, those behind its end too, and its gene's number of columns.
 
     Rows are cut into blocks of columns, which meet the block's shares; a block of
     a gene with many rows is met in as many parts as its rows need.
     """
 
-    def cut(batches):
+    def cut(b: pa.RecordBatch):
+        """Pieces of rows; the one where a row ends may be empty."""
+        of, block, parts, last = [], [], [], []
+        for i, row in enumerate(b.column("row")):
+            text = row.as_py()
+            n = len(text or "") // BLOCK + 1
+            of += [i] * n
+            block += range(n)
+            parts += [(text or "")[at * BLOCK : (at + 1) * BLOCK] for at in range(n)]
+            last += [False] * (n - 1) + [text is not None]
+        at = pa.array(of, pa.int64())
+        arrays = [b.column("gene").take(at), b.column("label").take(at), pa.array(block, pa.int32()), pa.array(parts, pa.string()), pa.array(last)]
+        return pa.RecordBatch.from_arrays(arrays, names=["gene", "label", "block", "piece", "last"])
+
+    def pieces_of(batches):
         for b in batches:
-            for gene, label, row in zip(b.column("gene"), b.column("label"), b.column("row"), strict=True):
-                row = row.as_py() or ""
-                parts = [row[at : at + BLOCK] for at in range(0, len(row), BLOCK)]
-                names = [pa.array([x.as_py()] * len(parts), x.type) for x in (gene, label)]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["gene", "label", "block", "piece"])
-
-    def gathered(batches):
-        """Batches of a useful size."""
-        small: list = []
-        for b in cut(batches):
-            small.append(b)
-            if len(small) == 1_000:
-                yield from pa.Table.from_batches(small).combine_chunks().to_batches()
-                small = []
-        if small:
-            yield from pa.Table.from_batches(small).combine_chunks().to_batches()
+            for at in range(0, b.num_rows, 1_000):
+                yield cut(b.slice(at, 1_000))
 
     def meet(pieces: pa.Table, shares: pa.Table) -> pa.Table:
-        at, letter = shares.column("col").to_numpy(), np.array([ord(c) for c in shares.column("ch").to_pylist()], np.uint32)
-        letters = np.unique(letter)
-        table = np.zeros((len(letters), BLOCK))
-        table[np.searchsorted(letters, letter), (at - 1) % BLOCK] = shares.column("share").to_numpy()
-        codes = [_codes(p) for p in pieces.column("piece").to_pylist()]
-        own = [float(table[np.searchsorted(letters, c), np.arange(len(c))].sum()) for c in codes]
-        return pieces.select(["gene", "label"]).append_column("own", pa.array(own, pa.float64()))
-
-    block = ((F.col("col") - 1) / BLOCK).cast("int")
-    pieces = rows.select("gene", "label", "row").mapInArrow(gathered, _fields(rows, "gene", "label") + ", block int, piece string")
-    each = F.explode(F.sequence(F.lit(0), ((F.length("row") - 1) / BLOCK).cast("int"))).alias("block")
-    many = rows.filter(F.length("row") > 0).select("gene", each).groupBy("gene", "block").agg(F.ceil(F.count("*") / PIECES).alias("parts")).filter("parts > 1")
+        own, tails, cols = [], [], None
+        if shares.num_rows:
+            of = shares.select(["letters", "share", "tail", "after", "cols"]).to_pylist()[0]
+            place = np.full(max(map(ord, of["letters"])) + 1, -1)
+            place[[ord(c) for c in of["letters"]]] = range(len(of["letters"]))
+            table, tail, cols = np.frombuffer(of["share"]).reshape(-1, BLOCK), np.append(np.frombuffer(of["tail"]), 0.0) + of["after"], of["cols"]
+        for piece, last in zip(pieces.column("piece"), pieces.column("last").to_pylist(), strict=True):
+            text = piece.as_py()
+            own.append(float(table[place[codes_of(text)], np.arange(len(text))].sum()) if text else 0.0)
+            tails.append((float(tail[len(text)]) if cols else 0.0) if last else None)
+        found = pieces.select(["gene", "label"]).append_column("own", pa.array(own, pa.float64())).append_column("tail", pa.array(tails, pa.float64()))
+        return found.append_column("cols", pa.array([cols] * len(own), pa.int64()))
+
+    kinds = _fields(rows, "gene", "label")
+    pieces = rows.select("gene", "label", "row").mapInArrow(pieces_of, kinds + ", block int, piece string, last boolean")
+    many = shares.filter("parts > 1").select("gene", "block", "parts")
     parts = F.coalesce("parts", F.lit(1).cast("bigint"))
     left = pieces.join(many, ["gene", "block"], "left").withColumn("part", F.pmod(F.xxhash64("label"), parts)).drop("parts")
-    right = share.withColumn("block", block).join(many, ["gene", "block"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    right = shares.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("parts", F.lit(1).cast("bigint")) - 1))).drop("parts")
     key = ["gene", "block", "part"]
-    met = left.groupBy(*key).cogroup(right.drop("parts").groupBy(*key)).applyInArrow(meet, _fields(rows, "gene", "label") + ", own double")
-    return met.groupBy("gene", "label").agg(F.sum("own").alias("own"))
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, kinds + ", own double, tail double, cols bigint")
+    # A key's rows each have all its letters' shares, and what lies behind their own end.
+    ends = F.when(F.count("tail") > 0, F.collect_list("tail")).otherwise(F.array(F.lit(0.0)))
+    per = met.groupBy("gene", "label").agg(F.sum("own").alias("own"), ends.alias("ends"), F.max("cols").alias("cols"))
+    return per.select("gene", "label", "own", "cols", F.explode("ends").alias("tail")).select("gene", "label", (F.col("own") + F.col("tail")).alias("raw"), "cols")
 
 
 def henikoff_weights(rows: DataFrame) -> DataFrame:
@@ -155,48 +160,46 @@ def henikoff_weights(rows: DataFrame) -> DataFrame:
     end its letter is the gap, whose shares are summed from the gene's last column
     backwards, once for each column and not for each row.
     """
-    size = rows.groupBy("gene").agg(F.count("*").alias("rows"), F.max(F.length("row")).alias("cols"))
-    per = counted(rows, "gene")
-    there = per.groupBy("gene", "col").agg(
-        F.sum("n").alias("present"), F.count("*").alias("kinds"), F.sum(F.when(F.col("ch") == GAP, F.col("n")).otherwise(0)).alias("gaps")
-    )
-    of = there.join(size, "gene").select(
-        "gene",
-        "col",
-        (F.col("gaps") + F.col("rows") - F.col("present")).alias("all_gaps"),
-        (F.col("kinds") + ((F.col("gaps") == 0) & (F.col("present") < F.col("rows"))).cast("int")).alias("k"),
-    )
-    n_or_gaps = F.when(F.col("ch") == GAP, F.col("all_gaps")).otherwise(F.col("n"))
-    share = per.join(of, ["gene", "col"]).select("gene", "col", "ch", (1 / (F.col("k") * n_or_gaps)).alias("share"))
-    own = _looked_up(rows, share)
-    behind = Window.partitionBy("gene").orderBy(F.col("col").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap_share = F.when(F.col("all_gaps") > 0, 1 / (F.col("k") * F.col("all_gaps"))).otherwise(0.0)
-    tail = of.withColumn("tail", F.sum(gap_share).over(behind)).select("gene", F.col("col").alias("next"), "tail")
-    ends = rows.select("gene", "label", (F.length("row") + 1).alias("next"))
-    raw = ends.join(tail, ["gene", "next"], "left").join(own, ["gene", "label"], "left").join(size, "gene")
     # A column's shares add up to 1, so a gene's add up to its number of columns.
-    shares = F.coalesce("own", F.lit(0.0)) + F.coalesce("tail", F.lit(0.0))
-    return raw.select("gene", "label", (shares / F.nullif("cols", F.lit(0))).alias("weight"))
+    return _looked_up(rows, _shares(rows)).select("gene", "label", (F.col("raw") / F.nullif("cols", F.lit(0))).alias("weight"))
+
+
+def _weighted(rows: DataFrame, finish: Callable[[list[str], np.ndarray, np.ndarray], tuple[np.ndarray, list[pa.Array]]], kinds: str) -> DataFrame:
+    """(gene, col, ...) of letters that aren't gaps, weighted by ``henikoff_weights``.
+
+    ``finish`` makes columns, from 0, and further fields, as ``kinds`` has them, of a
+    block's letters, their counts and their sums of weights.
+    """
 
+    def of_block(group: tuple, at: int, found: dict) -> pa.RecordBatch | None:
+        letters, n, w = found[()].arrays()
+        solid = [i for i, c in enumerate(letters) if c != GAP]
+        if not solid:
+            return None
+        col, values = finish([letters[i] for i in solid], n[solid], w[solid])
+        return pa.RecordBatch.from_arrays([*repeated(group, len(col)), pa.array(at * BLOCK + col + 1), *values], names=names)
 
-def _weighted(rows: DataFrame) -> DataFrame:
-    """(gene, col, ch, n, w) of letters that aren't gaps, w by ``henikoff_weights``."""
+    schema = f"{_fields(rows, 'gene')}, col int, {kinds}"
+    names = StructType.fromDDL(schema).fieldNames()
     own = rows.join(henikoff_weights(rows), ["gene", "label"])
-    return counted(own, "gene", weight="weight").filter(F.col("ch") != GAP)
+    return per_block(own, ["gene"], [], of_block, schema, weight="weight", size=BLOCK)
 
 
 def conservation(rows: DataFrame, *, letters: int = 4, most_gaps: float = 0.5) -> DataFrame:
     """Per column: gap_fraction, consensus, and, where gaps are few enough, weighted entropy (bits) and conservation."""
+
+    def summed(letters: list[str], n: np.ndarray, w: np.ndarray):
+        present = n.sum(axis=0)
+        col = np.flatnonzero(present)
+        n, w = n[:, col], w[:, col]
+        wlogw = (w * np.log2(w, out=np.zeros(w.shape), where=w > 0)).sum(axis=0)
+        best = np.array(letters, object)[n.argmax(axis=0)]  # the least letter of equal ones
+        return col, [pa.array(present[col]), pa.array(w.sum(axis=0)), pa.array(wlogw), pa.array(best, pa.string())]
+
     size = rows.groupBy("gene").agg(F.count("*").alias("rows"))
-    per = _weighted(rows)
-    total = per.groupBy("gene", "col").agg(
-        F.sum("n").alias("present"),
-        F.sum("w").alias("sum_w"),
-        F.sum(F.col("w") * F.log2("w")).alias("sum_wlogw"),
-        F.max_by("ch", F.struct("n", (-F.ascii("ch")).alias("o"))).alias("consensus"),
-    )
+    total = _weighted(rows, summed, "present bigint, sum_w double, sum_wlogw double, consensus string")
     # Entropy of w / sum_w, without another pass: log2(sum_w) - sum(w log2 w) / sum_w.
-    h = F.log2("sum_w") - F.col("sum_wlogw") / F.col("sum_w")
+    h = F.log2("sum_w") - F.col("sum_wlogw") / F.nullif("sum_w", F.lit(0.0))
     h = F.when(h < 1e-9, 0.0).otherwise(h)
     out = total.join(size, "gene").withColumn("gap_fraction", 1 - F.col("present") / F.col("rows"))
     scored = F.col("gap_fraction") <= most_gaps
@@ -315,9 +318,14 @@ def match_states(row: Column, ref: Column) -> Column:
 
 def frequencies(rows: DataFrame) -> DataFrame:
     """(gene, col, ch, freq): weighted letter frequencies of each column without its gaps."""
-    per = _weighted(rows)
-    total = F.sum("w").over(Window.partitionBy("gene", "col"))
-    return per.select("gene", "col", "ch", (F.col("w") / total).alias("freq"))
+
+    def shared(letters: list[str], n: np.ndarray, w: np.ndarray):
+        i, col = np.nonzero(n)
+        total = w.sum(axis=0)[col]
+        freq = np.divide(w[i, col], total, out=np.zeros(len(i)), where=total > 0)
+        return col, [pa.array(np.array(letters, object)[i], pa.string()), pa.array(freq, mask=total <= 0)]
+
+    return _weighted(rows, shared, "ch string, freq double")
 
 
 def information(freq: DataFrame, letters: int = 4) -> DataFrame:
