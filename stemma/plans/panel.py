@@ -653,7 +653,7 @@ def residue_conservation(spark, sf_dir):
 
     The chain's atoms have alternates, and numbers of their own; its ends are missing.
     """
-    proteins = _panel(spark, sf_dir).select("gene", "label", "species", sequence.translated(F.col("nt")).alias("row"))
+    proteins = composition.proteins(_panel(spark, sf_dir), "gene", "label", "species", aa="row")
     first = proteins.groupBy("gene").agg(F.min_by("row", "label").alias("seq")).select(F.col("gene").alias("chain"), "seq")
     name = F.create_map(*(F.lit(x) for k, v in pdb.LETTERS.items() for x in (v, k)))
     each = first.select("chain", F.explode(F.sequence(F.lit(7), F.least(F.lit(80), F.length("seq")))).alias("at"), "seq").filter(F.length("seq") >= 7)
