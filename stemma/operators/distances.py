@@ -16,13 +16,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence
-from .conservation import GAP, counted
+from .blocks import BLOCK, per_block, repeated
+from .conservation import GAP
 
 
 def consensus(rows: DataFrame, group: str, taxon: str) -> DataFrame:
     """(grp, taxon, col, ch): the most frequent letter of a taxon's rows, ties by letter, where any row has one."""
-    n = counted(rows.select(F.col(group).alias("grp"), F.col(taxon).alias("taxon"), "row"), "grp", "taxon").filter(F.col("ch") != GAP)
-    return n.groupBy("grp", "taxon", "col").agg(F.max_by("ch", F.struct("n", (-F.ascii("ch")).alias("o"))).alias("ch"))
+
+    def most(of: tuple, at: int, found: dict) -> pa.RecordBatch | None:
+        letters, n, _ = found[()].arrays()
+        solid = [i for i, c in enumerate(letters) if c != GAP]
+        if not solid:
+            return None
+        n = n[solid]
+        col = np.flatnonzero(n.sum(axis=0))
+        best = np.array([letters[i] for i in solid], object)[n[:, col].argmax(axis=0)]  # the least letter of equal ones
+        return pa.RecordBatch.from_arrays([*repeated(of, len(col)), pa.array(at * BLOCK + col + 1), pa.array(best, pa.string())], names=["grp", "taxon", "col", "ch"])
+
+    given = rows.select(F.col(group).alias("grp"), F.col(taxon).alias("taxon"), "row")
+    kinds = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in ("grp", "taxon"))
+    return per_block(given, ["grp", "taxon"], [], most, f"{kinds}, col int, ch string", size=BLOCK)
 
 
 def consensus_rows(cons: DataFrame) -> DataFrame:
