@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,7 +14,7 @@ def runs(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     return marked.groupBy(by, value, "__island").agg(F.min("__at").alias("start"), F.count("*").alias("n")).drop("__island")
 
 
-def first_of(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+def first_of(rows: DataFrame, by: str, order: list[str | Column]) -> DataFrame:
     """The first row of each ``by``; Spark keeps one a group before it shuffles."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter("__n = 1").drop("__n")
 

@@ -789,10 +789,14 @@ def family_hits_dedup(spark, sf_dir):
 
 @query("select l_orderkey, arg_min(l_partkey, (l_shipdate, l_linenumber)) as l_partkey from lineitem group by l_orderkey")
 def first_by_coordinate(spark, sf_dir):
-    """Of lines with the same date and number the one that the table has first, as ``arg_min`` keeps it."""
+    """Of lines with the same date and number the one that the table has first, as ``arg_min`` keeps it where one thread reads.
+
+    As there, a line without a part counts only where an order has no other, and unknown dates and numbers come last.
+    """
     place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber", *place)
-    return tables.first_of(rows, "l_orderkey", ["l_shipdate", "l_linenumber", "file", "at"]).select("l_orderkey", "l_partkey")
+    order = [F.isnull("l_partkey"), F.asc_nulls_last("l_shipdate"), F.asc_nulls_last("l_linenumber"), "file", "at"]
+    return tables.first_of(rows, "l_orderkey", order).select("l_orderkey", "l_partkey")
 
 
 @query(

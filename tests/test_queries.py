@@ -192,3 +192,14 @@ def test_rows_meet_the_first_before_they_are_columns(spark):
     """The columns of a gene never meet in the task of a join."""
     plan = panel.running_places(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.index("Generate posexplode") < plan.index("Join")
+
+
+def test_first_lines_of_orders_with_unknown_fields(spark, tmp_path):
+    """Lines without a part, a date or a number, as the SQL takes them."""
+    db = duckdb.connect()
+    lines = "(1, null, 1, 1), (1, 5, 2, 1), (2, null, 1, 1), (3, 7, null, 1), (3, 8, 1, 2), (4, 7, 1, null), (4, 8, 1, 2), (null, 3, 1, 1), (5, 9, null, null), (6, 1, null, null), (6, 2, null, 4)"
+    day = "timestamp '2020-01-01' + to_days(d::integer)"
+    db.sql(f"copy (select k::bigint as l_orderkey, p::bigint as l_partkey, {day} as l_shipdate, n::integer as l_linenumber from (values {lines}) t(k, p, d, n)) to '{tmp_path}/lineitem.parquet'")
+    db.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    got = {tuple(r) for r in catalogue.first_by_coordinate(spark, str(tmp_path)).collect()}
+    assert got == set(db.sql(catalogue.SQL["first_by_coordinate"]).fetchall()) and (1, 5) in got and (2, None) in got
